@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_join, exact_dedup, langid, mixing, near_dedup, packing, secrets, warc
+from . import chat, embed_join, exact_dedup, html_extract, langid, mixing, near_dedup, packing, secrets, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op3_minhash_near_dedup, op4_exact_dedup, op5_best_fit_packing,
+        op1_language_id, op2_html_extraction, op3_minhash_near_dedup, op4_exact_dedup, op5_best_fit_packing,
         op6_embedding_near_dedup, op7_chat_formatting, op8_source_mixing, op9_warc, op10_secret_scan,
     )
 }
