@@ -157,7 +157,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = plan_mix(at, keep=(FILE, ROW), **options).where("taken > 0").select(FILE, ROW, F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     whole = F.floor(F.col("_taken") / F.col("_size"))
     part = F.col("_taken") - whole * F.col("_size")
-    drawn = at.join(plan, [FILE, ROW]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
+    drawn = at.join(plan.hint("merge"), [FILE, ROW]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
     cut = F.when(F.col("_copy") <= whole, F.col("text")).otherwise(first_words(F.col("text"), part))
     drawn = drawn.withColumn("text", cut)
     if "n_chars" in names:

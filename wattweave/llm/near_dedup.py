@@ -165,10 +165,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) that are links, by the full shingle sets of their texts.
 
     Both joins are on the same key of ``texts``, so its exchange is made once;
-    adaptive execution splits the partitions of nodes with many pairs.
+    adaptive execution splits the partitions of nodes with many pairs. Pairs grow
+    with the input and aren't broadcast at any size.
     """
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_similar(k, percent), "a long, b long"), "links")
+    return stored(pairs.select("a", "b").hint("merge").join(a, "a").hint("merge").join(b, "b").mapInPandas(_similar(k, percent), "a long, b long"), "links")
 
 
 def near_duplicates(
@@ -264,4 +265,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])

@@ -98,7 +98,7 @@ def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
         "payloads",
     )
     other = ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
-    return full.join(shared, ["digest", "size"], "left").select(
+    return full.join(shared.hint("merge"), ["digest", "size"], "left").select(
         "page_id", "url", "payload", "size", "digest", F.when(other, F.col("first_id")).alias("refers_to")
     )
 
