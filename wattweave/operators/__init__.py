@@ -1 +1 @@
-
+"""DataFrame operators over readings, weather and decoded states."""

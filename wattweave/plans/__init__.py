@@ -1 +1 @@
-
+"""Jobs over many series: regimes, segments, rankings, selection."""

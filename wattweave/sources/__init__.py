@@ -1 +1 @@
-
+"""Sources, sinks and ingestion jobs."""
