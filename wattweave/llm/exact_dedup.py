@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import FILE, ROW, WORD_BREAK, placed, scratch_path, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Each store would else reserve 4 MB of disk, whatever it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -50,7 +54,7 @@ def _conf(spark: SparkSession, values: dict[str, str]):
 
 def update_state(arrivals: str, checkpoint: str, spark: SparkSession, files_per_batch: int = 1000) -> None:
     """Run the stream over the arrival files not seen yet; the state stays in ``checkpoint``."""
-    with _conf(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+    with _conf(spark, STATE):
         stream = (
             spark.readStream.schema(spark.read.parquet(arrivals).schema)
             .option("maxFilesPerTrigger", files_per_batch)
@@ -69,14 +73,16 @@ def update_state(arrivals: str, checkpoint: str, spark: SparkSession, files_per_
 
 
 def read_state(checkpoint: str, spark: SparkSession) -> DataFrame:
-    """(digest, first, arrivals): one row for each digest that the stream has met."""
-    state = spark.read.format("statestore").load(checkpoint)
-    first, arrivals = (f"`{f.name}`" for f in state.schema["value"].dataType.fields)
-    return state.select(
-        F.col("key.digest").alias("digest"),
-        F.col(f"value.{first}").alias("first"),
-        F.col(f"value.{arrivals}").alias("arrivals"),
-    )
+    """(digest, first, arrivals): one row for each digest that the stream has met, as a stored table."""
+    with _conf(spark, STATE):
+        state = spark.read.format("statestore").load(checkpoint)
+        first, arrivals = (f"`{f.name}`" for f in state.schema["value"].dataType.fields)
+        return stored(
+            state.select(
+                F.col("key.digest").alias("digest"), F.col(f"value.{first}").alias("first"), F.col(f"value.{arrivals}").alias("arrivals")
+            ),
+            "state",
+        )
 
 
 def exact_dedup(
@@ -107,22 +113,23 @@ def exact_dedup(
 
     checkpoint = checkpoint or scratch_path(spark, "dedup-state")
     update_state(path, checkpoint, spark)
-    state = stored(read_state(checkpoint, spark), "state")
+    state = read_state(checkpoint, spark)
 
-    # Full bytes of the hits against the bytes at the stored locator.
+    # Full bytes of the hits against the bytes at the stored locator. The hits grow
+    # with the input, so they are never broadcast, at any size.
     repeated = stored(
         arrivals.join(state.where("arrivals > 1").select("digest", "first"), "digest").select("digest", "first", "file", "row"),
         "hits",
     )
     texts = stored(
-        source.select("file", "row", "text").join(repeated, ["file", "row"]).select("file", "row", "digest", "first", body.alias("body")),
+        source.select("file", "row", "text").join(repeated.hint("merge"), ["file", "row"]).select("file", "row", "digest", "first", body.alias("body")),
         "hit-texts",
     )
     keepers = texts.where((F.col("first.file") == F.col("file")) & (F.col("first.row") == F.col("row"))).select(
         "digest", F.col("body").alias("kept_body")
     )
     odd = stored(
-        texts.join(keepers, "digest").where(F.col("body") != F.col("kept_body")).select("file", "row", "digest", "body"),
+        texts.join(keepers.hint("merge"), "digest").where(F.col("body") != F.col("kept_body")).select("file", "row", "digest", "body"),
         "collisions",
     )
     regrouped = odd.join(
@@ -158,4 +165,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     at = placed(docs)
     kept = exact_dedup(at, id_col, text_col).where("kept").select(F.col("file").alias(FILE), F.col("row").alias(ROW))
-    return at.join(kept, [FILE, ROW], "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return at.join(kept.hint("merge"), [FILE, ROW], "left_semi").select(*[F.col(f"`{c}`") for c in names])
