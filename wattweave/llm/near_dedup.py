@@ -10,7 +10,9 @@ First, every node of a bucket meets the bucket's smallest node; true links are
 contracted to components. Second, in buckets that still hold several components,
 the nodes outside the bucket's largest component meet the nodes of other
 components there. Links inside a component change nothing, so no link between
-components is lost. Every link is confirmed on the full shingle sets of the
+components is lost. Before that, the shingles that only one of these nodes holds
+are counted: a pair's intersection can't be larger than what either node shares
+with anybody, so a copy with too many edits of its own meets nobody. Every link is confirmed on the full shingle sets of the
 whole texts.
 """
 
@@ -143,6 +145,26 @@ def _features(k: int, bands: int, rows: int):
     return features
 
 
+def _shingle_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                each = [shingle_hashes(t.as_py(), powers, k) for t in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(), [len(h) for h in each])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(each).view(np.int64))], names=["node", "shingle"])
+
+    return rows
+
+
+def held_in_common(texts: DataFrame, k: int) -> DataFrame:
+    """node, own: how many of a node's shingles no other of these nodes has. One exchange on the shingle, folded in each task first."""
+    rows = texts.mapInArrow(_shingle_rows(k), "node long, shingle long")
+    single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    return single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _similar(k: int, percent: int):
     """Keeps the pairs whose full shingle sets reach the threshold; pairs come sorted by b."""
 
@@ -172,6 +194,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return stored(pairs.select("a", "b").hint("merge").join(a, "a").hint("merge").join(b, "b").mapInPandas(_similar(k, percent), "a long, b long"), "links")
 
 
+def _open_buckets(members: DataFrame, *keep: str) -> DataFrame:
+    """Members of buckets that hold several components, with the bucket's largest component."""
+    sizes = members.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = stored(
+        sizes.groupBy("band", "value")
+        .agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+        .where("components > 1")
+        .select("band", "value", "largest"),
+        "mixed",
+    )
+    return members.join(mixed, ["band", "value"]).select("band", "value", "node", "n", "component", "largest", *keep)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -207,6 +242,10 @@ def near_duplicates(
         "hubs",
     )
     near_in_size = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    company = nodes.join(shared.select("band", "value"), ["band", "value"], "left_semi")
+    texts = stored(
+        source.join(company.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), "company-texts"
+    )
     first = stored(
         nodes.join(shared.select("band", "value", F.col("node").alias("b"), F.col("n").alias("m")), ["band", "value"])
         .where((F.col("node") != F.col("b")) & near_in_size)
@@ -214,35 +253,30 @@ def near_duplicates(
         .distinct(),
         "pairs",
     )
-    links = confirm(first, source, k, percent)
+    links = confirm(first, texts, k, percent)
     held = connected_components(links, "a", "b").select(F.col("id").alias("node"), "component_id")
     rest = stored(
-        nodes.join(shared.select("band", "value"), ["band", "value"])
-        .join(held, "node", "left")
-        .select("band", "value", "node", "n", F.coalesce("component_id", "node").alias("component")),
+        company.join(held, "node", "left").select("band", "value", "node", "n", F.coalesce("component_id", "node").alias("component")),
         "members",
     )
-    sizes = rest.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = stored(
-        sizes.groupBy("band", "value")
-        .agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("size", "component")).alias("largest"))
-        .where("components > 1")
-        .select("band", "value", "largest"),
-        "mixed",
-    )
-    left = stored(rest.join(mixed, ["band", "value"]), "open")
+    left = stored(_open_buckets(rest), "open")
+    # A node's intersection with another is at most what it has in common with any.
+    lone = held_in_common(texts.join(left.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "text"), k)
+    able = left.join(stored(lone, "own-shingles"), "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
+    left = stored(_open_buckets(able.drop("largest").where(100 * F.col("c") >= percent * F.col("n")), "c"), "open")
     outside = left.where("component <> largest").select(
-        "band", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.lit(True).alias("out")
+        "band", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other")
     )
+    enough = (100 + percent) * F.least("c", "d") >= percent * (F.col("n") + F.col("m"))
     second = (
         left.join(outside, ["band", "value"])
-        .where((F.col("component") != F.col("other")) & near_in_size)
+        .where((F.col("component") != F.col("other")) & near_in_size & enough)
         .where((F.col("component") == F.col("largest")) | (F.col("node") < F.col("b")))
         .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         .distinct()
         .join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = confirm(stored(second, "pairs"), source, k, percent)
+    more = confirm(stored(second, "pairs"), texts, k, percent)
     final = stored(connected_components(links.unionByName(more), "a", "b"), "components").select(F.col("id").alias("node"), "component_id")
     component = F.coalesce("component_id", "node", "id")
     return (
