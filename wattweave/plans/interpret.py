@@ -48,9 +48,9 @@ def stationary_distribution(p: DataFrame, t: str = "t", squarings: int = 30) ->
     power = F.aggregate(F.sequence(F.lit(1), F.lit(squarings)), lazy, square)
     k = F.size("m")
     uniform = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(1.0) / k)
-    return mats.withColumn("_p", power).select("uid", t, F.posexplode(row_times(uniform, F.col("_p"))).alias("_s", "pi")).select(
-        "uid", t, (F.col("_s") + 1).alias("state"), "pi"
-    )
+    pi = mats.withColumn("_p", power).select("uid", t, row_times(uniform, F.col("_p")).alias("_pi"))
+    total = F.aggregate("_pi", F.lit(0.0), lambda a, x: a + x)  # squaring lets the scale drift a little
+    return pi.select("uid", t, F.posexplode(F.transform("_pi", lambda x: x / total)).alias("_s", "pi")).select("uid", t, (F.col("_s") + 1).alias("state"), "pi")
 
 
 def expected_duration(p: DataFrame, t: str = "t") -> DataFrame:

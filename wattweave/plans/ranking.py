@@ -68,7 +68,7 @@ def drank(scores: DataFrame, truth: DataFrame, replicates: int = 200, seed: int
     u = F.pmod(F.xxhash64(F.lit(seed), "b", "rep"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     # Poisson(1) by its distribution function.
     weight = F.when(F.col("b") == 0, 1).when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).otherwise(4)
-    means = draws.withColumn("w", weight).groupBy("b", key, "rank").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("m")).where("m IS NOT NULL")
+    means = draws.withColumn("w", weight).groupBy("b", key, "rank").agg(F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum("w").cast("double")).alias("m")).where("m IS NOT NULL")
     w = Window.partitionBy("b").orderBy(F.col("m").desc(), key)
     placed = means.withColumn("place", F.row_number().over(w))
     n = F.count(F.lit(1))
