@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +68,16 @@ def placed(docs: DataFrame, label: str = "placed") -> DataFrame:
         except AnalysisException:  # a plan over files that hides where its rows are stored
             pass
     return stored(docs.withColumnsRenamed({"_metadata": "_metadata_"}), label).select("*", *place)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block, for work that ends within it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

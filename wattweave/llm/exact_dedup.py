@@ -17,12 +17,11 @@ Only DataFrame functions run on the executors.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, WORD_BREAK, placed, scratch_path, stored
+from .common import FILE, ROW, WORD_BREAK, placed, scratch_path, settings, stored
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -40,21 +39,9 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-@contextmanager
-def _conf(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def update_state(arrivals: str, checkpoint: str, spark: SparkSession, files_per_batch: int = 1000) -> None:
     """Run the stream over the arrival files not seen yet; the state stays in ``checkpoint``."""
-    with _conf(spark, STATE):
+    with settings(spark, STATE):
         stream = (
             spark.readStream.schema(spark.read.parquet(arrivals).schema)
             .option("maxFilesPerTrigger", files_per_batch)
@@ -74,7 +61,7 @@ def update_state(arrivals: str, checkpoint: str, spark: SparkSession, files_per_
 
 def read_state(checkpoint: str, spark: SparkSession) -> DataFrame:
     """(digest, first, arrivals): one row for each digest that the stream has met, as a stored table."""
-    with _conf(spark, STATE):
+    with settings(spark, STATE):
         state = spark.read.format("statestore").load(checkpoint)
         first, arrivals = (f"`{f.name}`" for f in state.schema["value"].dataType.fields)
         return stored(

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import settings, stored
 from .tokenise import words
 
 CAPACITY = 2048
 #: Bytes of text that are tokenised at once (a longer text on its own).
-SLICE = 1 << 24
+SLICE = 3 << 20
 SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -173,7 +173,8 @@ def pack(
     gives an empty result. Columns that aren't named aren't read. The driver
     gets one row for each length that occurs, ``capacity`` at most.
     """
-    pieces = stored(token_pieces(docs, id_col, text_col, tokenizer, capacity, end_id), "pieces")
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):  # whole texts: a few MB at once
+        pieces = stored(token_pieces(docs, id_col, text_col, tokenizer, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = plan(counts, capacity)
     slots = docs.sparkSession.createDataFrame(rows, "s_length long, s_rank long, s_times long, s_sequence long, s_offset long")

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 TOKENIZER = "word_bpe_49k.json"
 #: Runs of letters, and other words, held by a worker at most.
-RUNS, WORDS = 1_000_000, 200_000
+RUNS, WORDS = 200_000, 20_000
 #: Letters whose lower case is one letter and that NFC leaves alone.
 LATIN = "a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ž"
 _RUN = f"^[{LATIN}]*$"
