@@ -44,7 +44,7 @@ def test_random_texts(spark, docs):
 
 
 def test_ownership_tells_examples_from_live_ones(spark, docs, clash):
-    wide, own, forge, copied = "AKIAEXAMPLE12345678", "AKIAOWNER0000000001", "ghp_" + "a1" * 18, "ghp_" + "b2" * 18
+    wide, own, forge, copied = "AKIAEXAMPLE12345678", "AKIAOWNER0000000001", "ghp_" + "Zq" * 18, "ghp_" + "Yw" * 18
     rows = [(i, f"key {wide} {copied}", "en", f"s{i % 5}") for i in range(20)] + [(100, f"my {own} {forge}", "en", "s1"), (101, f"my {own}", "en", "s1"), (102, "nothing", None, None)]
     out = {r["id"]: r for r in secrets.scan_secrets(clash(docs(rows))).collect()}
     assert all(not s["live"] for s in out[3]["spans"]) and [s["kind"] for s in out[3]["spans"]] == ["access"]

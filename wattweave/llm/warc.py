@@ -175,23 +175,21 @@ class _Inflated(io.RawIOBase):
     """A whole-file gzip stream, inflated as it is read."""
 
     def __init__(self, source):
-        self.source, self.inflate, self.ended = source, zlib.decompressobj(31), False
+        self.source, self.inflate, self.pending = source, zlib.decompressobj(31), b""
 
     def read(self, n: int = BLOCK) -> bytes:
-        while not self.ended:
-            data = self.inflate.unconsumed_tail or self.source.read(BLOCK)
-            if not data:
-                self.ended = True
-                return self.inflate.flush()
-            out = self.inflate.decompress(data, n)
-            if self.inflate.eof:  # a further member, if there is one
-                rest = self.inflate.unused_data
+        while True:
+            self.pending = self.pending or self.source.read(BLOCK)
+            if not self.pending:
+                return b""
+            out = self.inflate.decompress(self.pending, n)
+            if self.inflate.eof:  # a further member may follow
+                self.pending = self.inflate.unused_data
                 self.inflate = zlib.decompressobj(31)
-                if rest:
-                    out += self.inflate.decompress(rest)
+            else:
+                self.pending = self.inflate.unconsumed_tail
             if out:
                 return out
-        return b""
 
 
 def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
