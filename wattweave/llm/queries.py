@@ -121,3 +121,66 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to
 FROM g
 """
+
+_COMPONENTS = """
+walk AS (SELECT a AS id, b AS c FROM both_ways UNION SELECT w.id, l.b FROM walk w JOIN both_ways l ON l.a = w.c),
+component AS (SELECT id, least(id, min(c)) AS component_id FROM walk GROUP BY id)
+"""
+
+ORACLES["op3_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                            ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * common >= 85 * (m.n + o.n - common)),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+""" + _COMPONENTS + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN component c ON c.id = d.doc_id
+"""
+
+ORACLES["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+both_ways AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+              WHERE list_inner_product(x.e, y.e) >= 0.98 * sqrt(list_inner_product(x.e, x.e)) * sqrt(list_inner_product(y.e, y.e))),
+""" + _COMPONENTS + """
+, d AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN d ON d.a = e.vec_id LEFT JOIN component c ON c.id = e.vec_id
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _scan(kind: secrets.Kind, rank: int) -> str:
+    p = _quoted(kind.pattern)
+    return (
+        f"SELECT doc_id, source, {rank} AS rank, '{kind.name}' AS kind, {kind.least} AS least, {_quoted(kind.secret)} AS secret_at, "
+        f"string_split_regex(t, {p}) AS pieces, regexp_extract_all(t, {p}) AS matches FROM t"
+    )
+
+
+ORACLES["op10_secret_scan"] = (
+    "WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), k AS ("
+    + " UNION ALL ".join(f"SELECT *, regexp_extract(m, {_quoted(k.secret)}, 1) AS secret FROM (SELECT doc_id, source, rank, kind, least, i, pieces, matches, matches[i] AS m FROM (SELECT *, unnest(generate_series(1, len(matches))) AS i FROM ({_scan(k, r)})))" for r, k in enumerate(secrets.BASE_KINDS + secrets.EXTRA_KINDS))
+    + r"""),
+f AS (SELECT doc_id, source, rank, kind, secret,
+             CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m) AS n
+      FROM k WHERE length(secret) >= least),
+o AS (SELECT secret, count(DISTINCT source) + max(CAST(source IS NULL AS INTEGER)) >= 3 AS example FROM f GROUP BY 1),
+s AS (SELECT f.*, example, kind || ':' || a || ':' || (a + n) AS span FROM f JOIN o ON o.secret = f.secret WHERE rank < 3 OR NOT example),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+             coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3), '') AS base, string_agg(span, ',' ORDER BY a, rank) AS spans,
+             count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+)
