@@ -19,7 +19,7 @@ from wattweave.operators import joins as J
 from wattweave.operators import resample as R
 from wattweave.operators import reshape as S
 from wattweave.operators import windows as W
-from wattweave.plans import chains, curves, interpret, ranking, segments, selection
+from wattweave.plans import chains, curves, interpret, ranking, regimes, segments, selection
 from wattweave.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -865,3 +865,92 @@ def greedy_select(spark, d):
 def allocate_effort(spark, d):
     out = selection.allocate_effort(_response(spark, d), _GOAL, _RATE, 6.0, 1.0, 5)
     return out.select("uid", "n_enrolled", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 4).alias("effort"))
+
+
+@query()
+def goal_match(spark, d):
+    p, sched = _response(spark, d), selection.square_wave_schedules(spark, [0, 8, 16], 6)
+    chosen = selection.greedy_select(p, sched, _GOAL, _RATE, batch_size=3, max_steps=2)
+    _, goal = selection.tariff_and_goal_tables(spark, _GOAL)
+    out = selection.goal_match(chosen, p, sched, goal, [50.0, 100.0])
+    return out.select("percent", "hour", r6("delta", "delta"), r6("sd", "sd"), "g")
+
+
+@query()
+def budget_sweep(spark, d):
+    out = selection.budget_sweep(_response(spark, d), [2, 6], [0, 8, 16], _GOAL, _RATE, batch_size=3, max_steps=1)
+    return out.select("beta", "step", "uid", "schedule", F.round("cost", 3).alias("cost"))
+
+
+@query()
+def cluster_schedule_apply(spark, d):
+    p = _response(spark, d)
+    members, centres = segments.kerror_cluster(p, 3, 4, "uid", "a", "w")
+    tou, goal = selection.tariff_and_goal_tables(spark, _GOAL)
+    return selection.cluster_schedule_apply(members.select("uid", "cluster"), centres, p, goal, tou, 6.0, 5).select(F.round("cost", 3).alias("cost"), "n_users")
+
+
+@query()
+def segment_profile(spark, d):
+    members, centres = segments.kerror_cluster(_response(spark, d), 3, 4, "uid", "a", "w")
+    out = segments.segment_profile(centres, members)
+    return out.select("cluster", "hour", *[F.round(c, 4).alias(c) for c in ("mu", "low", "high", "percent")])
+
+
+@query("""
+WITH f AS (SELECT CAST(hour(ts) AS INTEGER) AS h, avg(temperature_f) AS g FROM weather GROUP BY 1), x AS (SELECT uid, CAST(ts AS DATE) AS day, sqrt(sum((obs - g) * (obs - g))) AS dist FROM hourly JOIN f ON f.h = hour(ts) GROUP BY 1, 2 HAVING count(*) = 24),
+m AS (SELECT uid, day, row_number() OVER (PARTITION BY uid ORDER BY dist, day) AS r FROM x QUALIFY r <= 3), v AS (SELECT m.uid, m.r, CAST(hour(y.ts) AS INTEGER) AS hour, y.obs FROM m JOIN hourly y ON y.uid = m.uid AND CAST(y.ts AS DATE) = m.day)
+SELECT a.uid AS ui, b.uid AS uj, a.hour, round(avg(a.obs * b.obs), 4) AS m FROM v a JOIN v b ON a.r = b.r AND a.hour = b.hour AND b.uid - a.uid BETWEEN 0 AND 2 GROUP BY 1, 2, 3
+""")
+def response_cross_moment(spark, d):
+    forecast = S.long_to_day_profile(A.hourly_forecast_profile(V.weather(spark, d), "temperature_f").select(F.lit(0).alias("uid"), F.timestamp_seconds(F.col("hour") * 3600).alias("ts"), "temperature_f"), "temperature_f")
+    days = S.long_to_day_profile(V.hourly(spark, d), "obs")
+    matches = W.similar_days(days.crossJoin(F.broadcast(forecast.select(F.col("v").alias("g")))), F.col("g"), 3)
+    users = days.select(F.col("uid").alias("ui")).distinct()
+    near = users.withColumn("uj", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.col("ui") + k)))
+    return selection.response_cross_moment(days, matches, near).withColumn("m", F.round("m", 4))
+
+
+def _fits(spark, d):
+    rows = V.hourly(spark, d).join(V.weather(spark, d), "ts").withColumn("t_d", T.degree_offset(F.col("temperature_f")))
+    return rows, regimes.fit_regimes(rows, ks=[2], maxit=10, restarts=1)
+
+
+@query()
+def fit_regimes(spark, d):
+    return _fits(spark, d)[1].select("uid", "kind", "state", "to_state", *[F.round(c, 4).alias(c) for c in ("a", "b", "sd", "loglik")])
+
+
+@query()
+def decode_states(spark, d):
+    rows, fits = _fits(spark, d)
+    return regimes.decode_states(rows, fits).groupBy("uid", "state").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fit_max"), 4).alias("fit"))
+
+
+@query()
+def map_and_mean_response(spark, d):
+    rows, fits = _fits(spark, d)
+    decoded = regimes.decode_states(rows, fits).join(rows.select("uid", "ts", "t_d"), ["uid", "ts"])
+    out = interpret.map_and_mean_response(decoded, regimes.split_models(fits)["model_response"])
+    return out.select("uid", "ts", F.round("map_response", 4).alias("map_response"), F.round("mean_response", 4).alias("mean_response"))
+
+
+@query()
+def model_scores(spark, d):
+    rows, fits = _fits(spark, d)
+    return regimes.model_scores(fits, rows).select("uid", "k", "df", "nobs", *[F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic")])
+
+
+@query()
+def fit_mixture(spark, d):
+    rows = V.gappy(spark, d).join(V.weather(spark, d), "ts").withColumn("t_d", T.degree_offset(F.col("temperature_f")))
+    return regimes.fit_mixture(rows, 2, iterations=5).select("state", *[F.round(c, 4).alias(c) for c in ("weight", "intercept", "slope", "sd")])
+
+
+@query()
+def compute_profiles(spark, d):
+    _, fits = _fits(spark, d)
+    models = regimes.split_models(fits)
+    models["model_response"] = models["model_response"].withColumn("se_slope", F.col("sd") / 10)
+    forecast = A.hourly_forecast_profile(V.weather(spark, d), "temperature_f").select("hour", T.degree_offset(F.col("temperature_f")).alias("t"))
+    return interpret.compute_profiles(models, forecast).select("uid", "hour", "kind", F.round("mu", 4).alias("mu"), F.round("sd", 4).alias("sd"))
