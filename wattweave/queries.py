@@ -954,3 +954,32 @@ def compute_profiles(spark, d):
     models["model_response"] = models["model_response"].withColumn("se_slope", F.col("sd") / 10)
     forecast = A.hourly_forecast_profile(V.weather(spark, d), "temperature_f").select("hour", T.degree_offset(F.col("temperature_f")).alias("t"))
     return interpret.compute_profiles(models, forecast).select("uid", "hour", "kind", F.round("mu", 4).alias("mu"), F.round("sd", 4).alias("sd"))
+
+
+@query()
+def impute_regression(spark, d):
+    rows = V.gappy(spark, d).withColumns({"hour": F.hour("ts"), "obs": F.when(F.col("obs") <= 400, F.col("obs"))}).join(V.weather(spark, d), "ts")
+    out = C.impute_regression(rows, ["obs", "temperature_f"], ["hour"], rounds=1, trees=2)
+    return out.select("uid", "ts", F.round("obs", 3).alias("obs"))
+
+
+@query()
+def weather_to_grids(spark, d):
+    feed = V.readings(spark, d).select(F.col("circuit").alias("station"), F.date_trunc("minute", "ts").alias("ts"), F.col("kw").alias("temperature"), "seq")
+    out = R.weather_to_grids(feed, ["temperature"], {"temperature": (2, 400)}, order="seq")
+    return out.withColumn("temperature", r6("temperature"))
+
+
+@query()
+def chain_lr(spark, d):
+    counts = chains.transition_counts(V.states(spark, d))
+    return chains.chain_lr(counts, chains.chain_templates(spark, 3)).select("uid", "template", F.round("lr", 4).alias("lr"), "df", F.round("p", 6).alias("p"))
+
+
+@query()
+def drank(spark, d):
+    """Daily peaks as replicated scores of users, against their rank by total load."""
+    daily = V.gappy(spark, d).groupBy(F.to_date("ts").alias("rep"), "uid").agg(F.max("obs").alias("score"))
+    total = V.gappy(spark, d).groupBy("uid").agg(F.sum("obs").alias("x")).withColumn("_all", F.lit(0))
+    truth = W.top_k(total, "x", 1 << 30, "uid", ["_all"]).select("uid", "rank")
+    return ranking.drank(daily, truth, 20).select(r6("distance", "distance"), r6("p", "p"))
