@@ -228,13 +228,8 @@ def near_duplicates(
     named = stored(
         features.where("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node")), "nodes"
     )
-    nodes = stored(
-        features.where("id IS NOT NULL")
-        .join(named, "digest")
-        .where(F.col("id") == F.col("node"))
-        .select("node", "n", F.posexplode("bands").alias("band", "value")),
-        "buckets",
-    )
+    sets = features.where("id IS NOT NULL").join(named, "digest").where(F.col("id") == F.col("node")).select("node", "n", "bands")
+    nodes = stored(sets.select("node", "n", F.posexplode("bands").alias("band", "value")), "buckets")
     shared = stored(
         nodes.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("hub"))
         .where("members > 1")
@@ -264,20 +259,26 @@ def near_duplicates(
     lone = held_in_common(texts.join(left.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "text"), k)
     able = left.join(stored(lone, "own-shingles"), "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
     left = stored(_open_buckets(able.drop("largest").where(100 * F.col("c") >= percent * F.col("n")), "c"), "open")
-    outside = left.where("component <> largest").select(
-        "band", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other")
+    # With its bands at hand, a pair that shares several is made in the first of them alone.
+    signed = left.join(stored(sets.join(left.select("node").distinct(), "node", "left_semi").select("node", "bands"), "bands"), "node")
+    outside = signed.where("component <> largest").select(
+        "band", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), F.col("bands").alias("others")
     )
+    first_shared = F.array_position(F.zip_with("bands", "others", lambda x, y: x == y), True) == F.col("band") + 1
     enough = (100 + percent) * F.least("c", "d") >= percent * (F.col("n") + F.col("m"))
     second = (
-        left.join(outside, ["band", "value"])
-        .where((F.col("component") != F.col("other")) & near_in_size & enough)
+        signed.join(outside, ["band", "value"])
+        .where((F.col("component") != F.col("other")) & near_in_size & enough & first_shared)
         .where((F.col("component") == F.col("largest")) | (F.col("node") < F.col("b")))
         .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         .distinct()
         .join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     more = confirm(stored(second, "pairs"), texts, k, percent)
-    final = stored(connected_components(links.unionByName(more), "a", "b"), "components").select(F.col("id").alias("node"), "component_id")
+    final = held
+    if not more.isEmpty():  # components meet through the new links
+        stars = held.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+        final = connected_components(stars.unionByName(more), "a", "b").select(F.col("id").alias("node"), "component_id")
     component = F.coalesce("component_id", "node", "id")
     return (
         features.select("id", "n", "digest")
