@@ -23,7 +23,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
+    """Of each component of near duplicates (0.80 of the five-word shingles) the document with the smallest id stays."""
     return near_dedup.drop_near_copies(docs)
 
 

@@ -33,6 +33,8 @@ from .components import connected_components
 SHINGLE = 5
 #: A pair with similarity 0.85 shares no band with probability below 1e-6.
 BANDS, ROWS = 27, 5
+#: The stage of a corpus pipeline: similarity 0.80, where 40 bands miss a pair with probability 1.3e-7 (27 would with 2.2e-5).
+STAGE_PERCENT, STAGE_BANDS = 80, 40
 _PIECE = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -293,11 +295,12 @@ def near_duplicates(
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS) -> DataFrame:
     """``docs`` with one document of each group of near copies, that with the smallest doc_id.
 
-    A row that isn't linked stays; so does one with a null id.
+    A row that isn't linked stays; so does one with a null id. A lower
+    ``percent`` wants more ``bands``.
     """
     names = docs.columns
-    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, percent=percent, bands=bands).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
