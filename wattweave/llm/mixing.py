@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-The whole mix is cut into equal blocks of tokens. Highest quotients hand the
-blocks to the sources in proportion to their targets, and each source's blocks
-to its shards in proportion to their tokens; every shard thus gets a whole
-number of blocks. In a shard the documents stand in seeded order as one stream
-of tokens; the quota takes the whole stream as often as it fits and then its
-first blocks.
+Seats are single tokens at every size of input. Highest quotients hand the
+tokens of the whole mix to the sources in proportion to their targets, and each
+source's to its shards in proportion to their tokens; what would go over a
+limit of 3 times the size goes to the others. In a shard the documents stand in
+seeded order as one stream of tokens; the quota takes the whole stream as often
+as it fits and then its first tokens.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from .common import FILE, ROW, WORD, placed, stored
 
 CYCLE = (5, 2, 1)
-#: The mix is cut into about so many blocks, at least one token each.
-BLOCKS = 1 << 22
+TIMES = 3
 SHARDS = 64
 
 
@@ -72,19 +71,31 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     return out
 
 
-def quotas(shards: pd.DataFrame, weights: dict[str | None, float], blocks: int = BLOCKS) -> pd.DataFrame:
+def apportion(votes: np.ndarray, limits: np.ndarray, seats: int) -> np.ndarray:
+    """Seats by :func:`sainte_lague`, at most ``limits``; what a limit cuts off goes to the other rows."""
+    votes, limits = np.asarray(votes, dtype=float), np.asarray(limits, dtype=np.int64)
+    out, capped = np.zeros(len(votes), dtype=np.int64), np.zeros(len(votes), dtype=bool)
+    while True:
+        out[capped] = limits[capped]
+        out[~capped] = sainte_lague(votes[~capped], min(seats, int(limits.sum())) - int(limits[capped].sum()))
+        over = ~capped & (out > limits)
+        if not over.any():
+            return out
+        capped |= over
+
+
+def quotas(shards: pd.DataFrame, weights: dict[str | None, float]) -> pd.DataFrame:
     """source, shard, size -> also source_size, target, quota (tokens)."""
     shards = shards.sort_values(["rank", "shard"]).reset_index(drop=True)
     sources = shards.groupby("rank").agg(source=("source", "first"), source_size=("size", "sum")).reset_index()
     total = int(sources["source_size"].sum())
     by_source = np.array([weights[None if pd.isna(s) else s] for s in sources["source"]])
     sources["target"] = targets(sources["source_size"].to_numpy(float), by_source, float(total))
-    block = max(1, total // blocks)
-    sources["seats"] = sainte_lague(sources["target"].to_numpy(), int(round(sources["target"].sum() / block)))
+    sources["seats"] = apportion(sources["target"].to_numpy(), TIMES * sources["source_size"].to_numpy(), int(round(sources["target"].sum())))
     shards = shards.merge(sources.drop(columns="source"), on="rank")
     shards["quota"] = 0
     for _, own in shards.groupby("rank"):
-        shards.loc[own.index, "quota"] = sainte_lague(own["size"].to_numpy(), int(own["seats"].iloc[0])) * block
+        shards.loc[own.index, "quota"] = apportion(own["size"].to_numpy(), TIMES * own["size"].to_numpy(), int(own["seats"].iloc[0]))
     return shards
 
 
