@@ -17,13 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import col, spare
+
 ORDERS = (2, 3)
 BUCKETS = 1 << 16
 #: Code points hashed at once; longer texts are taken in pieces of this size.
 CHUNK = 1 << 19
 UNKNOWN = "und"
-#: The score is the posterior as if a text held so many n-grams at most.
-EVIDENCE = 200.0
+#: Labels that a model may have; each takes half a megabyte.
+LABELS = 500
 
 
 @lru_cache(1)
@@ -69,9 +71,9 @@ class Model:
     log_prior: np.ndarray
     log_prob: np.ndarray  # labels x BUCKETS
 
-    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probabilities and n-gram counts of each text."""
-        sums, counts = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Summed log-probabilities of each text's n-grams."""
+        sums = np.zeros((len(texts), len(self.labels)))
         at = 0
         while at < len(texts):
             group, size = [], 0
@@ -89,14 +91,12 @@ class Model:
                     if len(filled):
                         for i, row in enumerate(self.log_prob):
                             sums[rows.start + filled, i] += np.add.reduceat(row.take(bucket), cut[filled])
-                        counts[rows] += np.diff(cut)
             at += len(group)
-        return sums, counts
+        return sums
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sums, counts = self.totals(texts)
-        sums *= np.minimum(1.0, EVIDENCE / np.maximum(counts, 1.0))[:, None]
-        sums += self.log_prior
+        """The label of the highest posterior and that posterior."""
+        sums = self.totals(texts) + self.log_prior
         sums -= sums.max(axis=1, keepdims=True)
         p = np.exp(sums)
         p /= p.sum(axis=1, keepdims=True)
@@ -120,30 +120,32 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(
     labelled: DataFrame, text_col: str = "text", label_col: str = "lang", key: Column | None = None,
-    rows_per_label: int = 4000, smoothing: float = 0.5,
+    rows_per_label: int = 4000, smoothing: float = 0.5, max_labels: int = LABELS,
 ) -> Model | None:
     """Fit the model on at most about ``rows_per_label`` rows of each label.
 
     Rows are chosen by a hash of ``key`` (the text where none is given), at a
     rate for each label that makes ``rows_per_label`` the expected count; labels
-    with fewer rows use all of theirs. Rows with a null label, a null text or no
-    letter teach nothing. The driver gets labels x BUCKETS counts at most,
-    whatever the input's size. Without any labelled row there is no model: None.
+    with fewer rows use all of theirs. Priors are the shares of all labelled rows
+    with a text. Rows with a null label or a null text teach nothing, those
+    without a letter only their label's prior. The driver gets labels x BUCKETS
+    counts at most, whatever the input's size; more than ``max_labels`` labels are
+    an error. Without any labelled row there is no model: None.
     """
     rows = labelled.select(
-        F.col(f"`{label_col}`").cast("string").alias("label"),
-        F.col(f"`{text_col}`").alias("text"),
-        (F.xxhash64(F.col(f"`{text_col}`")) if key is None else F.xxhash64(key.cast("string"))).alias("h"),
+        col(label_col).cast("string").alias("label"),
+        col(text_col).alias("text"),
+        (F.xxhash64(col(text_col)) if key is None else F.xxhash64(key.cast("string"))).alias("h"),
     ).where("label IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()}
+    if len(sizes) > max_labels:
+        raise ValueError(f"more than {max_labels} labels: raise max_labels, or clean the labels")
     if not sizes:
         return None
     whole = 1 << 30
-    rate = F.lit(0)
-    for label, n in sizes.items():
-        rate = F.when(F.col("label") == label, int(min(1.0, rows_per_label / n) * whole)).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, int(min(1.0, rows_per_label / n) * whole))])
     counts = (
-        rows.where(F.pmod("h", F.lit(whole)) < rate)
+        rows.where(F.pmod("h", F.lit(whole)) < rates[F.col("label")])
         .select("label", "text")
         .mapInPandas(_count, "label string, bucket int, n long")
         .groupBy("label", "bucket")
@@ -162,8 +164,10 @@ def identify(spark: SparkSession, model: Model | None, text: Column) -> Column:
 
     ``und`` with score 0 where the text is null or has no letter, or where there
     is no model; otherwise the learned label with the highest posterior (the
-    first in code point order on a tie) and that posterior, in 0..1. Only the
-    text decides, all of it; a text's length and place in the table don't matter.
+    first in code point order on a tie) and that posterior, in 0..1: plain naive
+    Bayes over all n-grams of the whole text, whatever its length. As n-grams
+    count as independent, the posterior of a long text is near 1 even where few
+    of them speak for the label.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -191,21 +195,25 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null id is never held out. Repeated rows are predicted each; an empty
     table gives an empty result; other columns aren't read.
     """
-    key = F.col(f"`{id_col}`")
+    key = col(id_col)
     model = train(docs.where(~held_out(key)), text_col, label_col, key)
     return docs.select(
-        key.alias("doc_id"), held_out(key).alias("held_out"), identify(docs.sparkSession, model, F.col(f"`{text_col}`")).alias("guess")
+        key.alias("doc_id"), held_out(key).alias("held_out"), identify(docs.sparkSession, model, col(text_col)).alias("guess")
     ).select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is told with posterior ``least`` or more."""
+    """The rows of ``docs``, with their columns whatever their names, whose language is told with posterior ``least`` or more.
+
+    Rows whose text is null or has no letter go; a null id, label or source
+    doesn't matter; repeated rows stay or go together. Where no row has a label
+    there is no model and no row stays. An empty table stays empty.
+    """
     key = F.col("doc_id")
     model = train(docs.where(~held_out(key)), key=key)
-    names = docs.columns
-    guess = "_guess" + "_" * max(map(len, names))
+    (guess,) = spare(docs, "guess")
     return (
         docs.withColumn(guess, identify(docs.sparkSession, model, F.col("text")))
         .where((F.col(f"{guess}.lang") != UNKNOWN) & (F.col(f"{guess}.score") >= least))
-        .select(*[F.col(f"`{c}`") for c in names])
+        .select(*map(col, docs.columns))
     )
