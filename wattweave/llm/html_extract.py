@@ -104,6 +104,11 @@ class _Layout:
         if not named and rng.random() < 0.5 and tag not in ("form",):
             tag = rng.choice(["div", "div", "section", "ul"] if kind in ("nav", "share") else ["div", "div", "section", "aside"])
         attributes = "" if named else self.attributes(BOILERPLATE[kind])
+        if kind in ("nav", "share", "aside") and rng.random() < 0.2:  # nothing but its links tells what it is
+            tag, attributes = rng.choice(["div", "div", "p", "ul"]), rng.choice(["", "", self.attributes(NEUTRAL_NAMES)])
+            links = [f'<a href="/{i}">{self.words(1, 4)}</a>' for i in range(rng.randint(2, 6))]
+            inside = "".join(f"<li>{x}</li>" for x in links) if tag == "ul" else rng.choice([" | ", " ", "<br>", " · "]).join(links)
+            return f"<{tag}{attributes}>{inside}</{tag}>"
         said = self.words(*rng.choice([(1, 6), (4, 15), (10, 40)]))
         if kind in ("nav", "share") or (kind in ("aside", "footer", "header") and rng.random() < 0.4):
             inside = self.links() if tag == "ul" else f"<ul>{self.links()}</ul>"

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 # Fixed values of HTML: elements without an end tag, with raw text, that break lines, and what closes a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select button object canvas audio video datalist".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button datalist".split())
+TO_THE_END = frozenset("script style textarea title iframe".split())  # without an end tag, all that follows is theirs
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption head".split()
 )
 CLOSES_P = BLOCKS - frozenset("html body dd dt li legend summary td th tr tbody thead tfoot caption figcaption head".split())
+HOLDS_P = ("td", "th", "table", "article", "body")  # an open p outside the uppermost of these stays open
 # An element that starts closes an open one of these, up to the element that holds them.
 SIBLINGS = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"),
@@ -22,11 +27,14 @@ SIBLINGS = {
 }
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
 
+# A quote opens a value only behind "="; one that nothing closes stands for itself.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*'|["'])*)>?""", re.S
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>?""",
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -46,6 +54,7 @@ def parse(source: str) -> Page:
     """Malformed markup is taken as browsers take it, as far as blocks go: nothing fails."""
     page = Page()
     stack: list[int] = []
+    heights: dict[str, list[int]] = defaultdict(list)  # where elements of a tag are open in the stack, lowest first
     text: list[str] = []
     link_from = -1  # height of the stack at which a link opened
 
@@ -62,14 +71,20 @@ def parse(source: str) -> Page:
         page.parents.append(stack[-1] if stack else -1)
         page.chars.append(0)
         page.linked.append(0)
+        heights[tag].append(len(stack))
         stack.append(len(page.tags) - 1)
 
     def close_to(height: int) -> None:
         nonlocal link_from
-        del stack[height:]
+        while len(stack) > height:
+            heights[page.tags[stack.pop()]].pop()
         if link_from > height:
             link_from = -1
 
+    def top(tags: Iterable[str]) -> int:
+        """Height of the uppermost open element of these; -1 where none is open."""
+        return max((heights[t][-1] for t in tags if heights[t]), default=-1)
+
     def add(run: str) -> None:
         if run:
             text.append(run)
@@ -79,6 +94,7 @@ def parse(source: str) -> Page:
                 page.linked[stack[-1]] += n
 
     open_node("root", "")
+    closers: dict[str, re.Pattern | None] = {}
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
@@ -93,17 +109,22 @@ def parse(source: str) -> Page:
         if m[1]:
             if tag == "a":
                 link_from = -1
-            elif tag in BLOCKS:
-                for height in range(len(stack) - 1, 0, -1):
-                    if page.tags[stack[height]] == tag:
-                        flush()
-                        close_to(height)
-                        break
+            elif tag == "br":
+                text.append(" ")
+            elif tag == "p" and not heights[tag]:
+                flush()
+            elif tag in BLOCKS and heights[tag]:
+                flush()
+                close_to(heights[tag][-1])
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                at = close.end() if close else end
+            if tag != "svg" or not m[3].endswith("/"):
+                if tag not in closers:
+                    closers[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+                close = closers[tag].search(source, at) if closers[tag] else None
+                if close is None:
+                    closers[tag] = None  # nor is there one for a later element
+                at = close.end() if close else end if tag in TO_THE_END else at
             text.append(" ")
         elif tag == "br":
             text.append(" ")
@@ -111,20 +132,14 @@ def parse(source: str) -> Page:
             link_from = len(stack)
         elif tag in BLOCKS:
             flush()
-            if tag in CLOSES_P:
-                for height in range(len(stack) - 1, 0, -1):
-                    if page.tags[stack[height]] == "p":
-                        close_to(height)
-                        break
-                    if page.tags[stack[height]] in ("td", "th", "table", "article", "body"):
-                        break
+            if tag in CLOSES_P and top(("p",)) > top(HOLDS_P):
+                close_to(heights["p"][-1])
             if tag in SIBLINGS:
                 shut, holders = SIBLINGS[tag]
-                for height in range(len(stack) - 1, 0, -1):
-                    if page.tags[stack[height]] in holders:
-                        break
-                    if page.tags[stack[height]] in shut:
-                        close_to(height)
+                inside = top(holders)
+                above = [own[bisect_right(own, inside)] for own in (heights[t] for t in shut) if own and own[-1] > inside]
+                if above:
+                    close_to(min(above))
             if tag not in VOID:
                 open_node(tag, m[3])
     flush()
@@ -137,7 +152,7 @@ def names_of(attributes: str) -> list[str]:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "aria-label", "itemprop"):
-            out += _NAME.findall(html.unescape(value).lower())
+            out += _NAME.findall(_HUMP.sub(r"\1 \2", html.unescape(value)).lower())
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display:\s*none", value)):
             out.append("~hidden")
     return out
@@ -148,7 +163,7 @@ def _bucket(n: float, bounds: tuple) -> int:
 
 
 def node_features(page: Page) -> list[list[str]]:
-    """Feature names of each node: its tag, its names, the size of its own text, the share of links below it."""
+    """Feature names of each node: its tag, its names and how they begin and end, the size of its own text, the share of links below it."""
     n = len(page.tags)
     chars, linked = page.chars[:], page.linked[:]
     for i in range(n - 1, 0, -1):
@@ -157,12 +172,15 @@ def node_features(page: Page) -> list[list[str]]:
     out = []
     for i in range(n):
         share = linked[i] / chars[i] if chars[i] else 0.0
+        names = names_of(page.attributes[i])
         out.append(
             [
                 f"tag {page.tags[i]}",
                 f"own {_bucket(page.chars[i], (1, 25, 100, 400))}",
                 f"links {_bucket(share, (0.01, 0.3, 0.7))}",
-                *(f"name {x}" for x in names_of(page.attributes[i])),
+                *(f"name {x}" for x in names),
+                *(f"begins {x[:4]}" for x in names if len(x) > 4),
+                *(f"ends {x[-3:]}" for x in names if len(x) > 3),
             ]
         )
     return out
