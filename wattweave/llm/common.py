@@ -7,7 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -22,18 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine), a temporary folder is
-    made and set, once for each Spark application.
+    Where none is named, a session on one machine (a ``local`` master, as in
+    tests) makes and sets a temporary folder, once for each Spark application; on
+    a cluster that is an error, as executors don't share such a folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wattweave-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, with Spark's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -51,23 +60,55 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-FILE, ROW = "__file__", "__row__"
+class Scratch:
+    """The tables that one run of an operator stores, removed when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        """As :func:`stored`, and remembered."""
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove ``tables``; whatever was computed from them must be stored by now."""
+        for table in tables:
+            remove(self.spark, self.held.pop(id(table))[1])
+
+
+def col(name: str) -> Column:
+    """A column by its plain name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names`` made longer than any column of ``df``, so that none clashes."""
+    tail = "_" * (1 + max(map(len, df.columns), default=0))
+    return [n + tail for n in names]
 
 
-def placed(docs: DataFrame, label: str = "placed") -> DataFrame:
-    """``docs`` with the file and row that each of its rows is stored at.
+def placed(docs: DataFrame, label: str = "placed") -> tuple[DataFrame, str, str]:
+    """``docs`` with the file and row that each of its rows is stored at, and the names of those two columns.
 
     The two name a row for certain, even where ids repeat or are null. A
     DataFrame that isn't read straight from files is written to the shared
     folder first.
     """
-    place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
-    if docs.inputFiles() and "_metadata" not in docs.columns:
+    file, row = spare(docs, "file", "row")
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+    if docs.inputFiles() and "_metadata" not in map(str.lower, docs.columns):
         try:
-            return docs.select("*", *place)
+            return docs.select("*", *place), file, row
         except AnalysisException:  # a plan over files that hides where its rows are stored
             pass
-    return stored(docs.withColumnsRenamed({"_metadata": "_metadata_"}), label).select("*", *place)
+    (other,) = spare(docs, "metadata")
+    clash = [c for c in docs.columns if c.lower() == "_metadata"]
+    at = stored(docs.withColumnsRenamed({c: other for c in clash}), label).select("*", *place)
+    return at.withColumnsRenamed({other: c for c in clash}), file, row
 
 
 @contextmanager

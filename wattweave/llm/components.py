@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -40,18 +40,20 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     rounds keep only links between an id and a smaller one, are written to the
     shared folder, and end when a round changes nothing.
     """
-    edges = stored(
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.store(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct(),
-        "links",
+        "edges",
     )
     seen = _digest(edges)
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        edges = stored(_small_star(_large_star(edges)), "links")
+        before, edges = edges, scratch.store(_small_star(_large_star(edges)), "edges")
         now = _digest(edges)
+        scratch.drop(before)
         if now == seen:
             break
         seen = now

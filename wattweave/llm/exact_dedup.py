@@ -5,7 +5,8 @@
 The stream groups arrivals by digest and keeps one state row for each digest in
 RocksDB, a disk-backed store, with no watermark and so no expiry: the smallest
 identifier, the locator (file and row) of its content and the number of
-arrivals. Later runs on the same checkpoint add to that state. When the stream
+arrivals. Later runs of the stream on the same checkpoint add to that state
+(``update_state``, ``read_state``). When the stream
 has taken what is there, the state is read as a table and joined to the
 arrivals. Where a digest was hit again, the full bytes of the hit are compared
 with the bytes at the stored locator; rows whose bytes differ from them (a
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, WORD_BREAK, placed, scratch_path, settings, stored
+from .common import WORD_BREAK, Scratch, col, placed, remove, scratch_path, settings, stored
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -77,7 +78,6 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256_hex,
-    checkpoint: str | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: which row of its text stays.
 
@@ -88,27 +88,31 @@ def exact_dedup(
     group. Repeated rows are copies like any others. An empty table gives an
     empty result. Other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    at = docs if FILE in docs.columns else placed(docs)
-    source = at.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(FILE).alias("file"), F.col(ROW).alias("row")
-    )
+    return _dedup(*placed(docs), id_col, text_col, digest)
+
+
+def _dedup(at: DataFrame, file: str, row: str, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """:func:`exact_dedup` of rows whose places are in the columns ``file`` and ``row``."""
+    spark = at.sparkSession
+    scratch = Scratch(spark)
+    source = at.select(col(id_col).alias("id"), col(text_col).alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))
     body = normalised(F.col("text"))
     path = scratch_path(spark, "arrivals")
     source.select("id", digest(body).alias("digest"), "file", "row").write.parquet(path)
     arrivals = spark.read.parquet(path)
 
-    checkpoint = checkpoint or scratch_path(spark, "dedup-state")
+    checkpoint = scratch_path(spark, "dedup-state")
     update_state(path, checkpoint, spark)
     state = read_state(checkpoint, spark)
+    remove(spark, checkpoint)
 
     # Full bytes of the hits against the bytes at the stored locator. The hits grow
     # with the input, so they are never broadcast, at any size.
-    repeated = stored(
+    repeated = scratch.store(
         arrivals.join(state.where("arrivals > 1").select("digest", "first"), "digest").select("digest", "first", "file", "row"),
         "hits",
     )
-    texts = stored(
+    texts = scratch.store(
         source.select("file", "row", "text").join(repeated.hint("merge"), ["file", "row"]).select("file", "row", "digest", "first", body.alias("body")),
         "hit-texts",
     )
@@ -119,6 +123,7 @@ def exact_dedup(
         texts.join(keepers.hint("merge"), "digest").where(F.col("body") != F.col("kept_body")).select("file", "row", "digest", "body"),
         "collisions",
     )
+    scratch.drop(repeated, texts)
     regrouped = odd.join(
         odd.join(arrivals.select("id", "file", "row"), ["file", "row"])
         .groupBy("digest", "body")
@@ -148,8 +153,11 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; same columns."""
-    names = docs.columns
-    at = placed(docs)
-    kept = exact_dedup(at, id_col, text_col).where("kept").select(F.col("file").alias(FILE), F.col("row").alias(ROW))
-    return at.join(kept.hint("merge"), [FILE, ROW], "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    """``docs`` without the rows that :func:`exact_dedup` does not keep; same columns, whatever their names.
+
+    Null text is empty text, so one row without text stays; of copies with a
+    null id one row stays, before those with an id. An empty table stays empty.
+    """
+    at, file, row = placed(docs)
+    kept = _dedup(at, file, row, id_col, text_col, sha256_hex).where("kept").select(F.col("file").alias(file), F.col("row").alias(row))
+    return at.join(kept.hint("merge"), [file, row], "left_semi").select(*map(col, docs.columns))

@@ -3,9 +3,11 @@
 Seats are single tokens at every size of input. Highest quotients hand the
 tokens of the whole mix to the sources in proportion to their targets, and each
 source's to its shards in proportion to their tokens; what would go over a
-limit of 3 times the size goes to the others. In a shard the documents stand in
-seeded order as one stream of tokens; the quota takes the whole stream as often
-as it fits and then its first tokens.
+limit of 3 times the size goes to the others. A source has as many shards as its
+tokens need. In a shard the documents stand in the order of a seeded hash as one
+stream, cut into blocks of equal size. The quota takes the whole stream as often
+as it fits; what remains of it goes to blocks in the order of a second seeded
+hash, each whole until the last, of which the first tokens are taken.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, WORD, placed, stored
+from .common import WORD, col, placed, spare, stored
 
 CYCLE = (5, 2, 1)
 TIMES = 3
-SHARDS = 64
+#: Tokens of a block, and of a shard about.
+BLOCK = 2048
+SHARD = 1 << 25
 
 
 def word_count(text: Column) -> Column:
@@ -99,56 +103,88 @@ def quotas(shards: pd.DataFrame, weights: dict[str | None, float]) -> pd.DataFra
     return shards
 
 
+def _hash(seed: int, *parts: Column) -> Column:
+    """The MD5 of the seed and the parts as text, in hexadecimal."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
+
+
+def _number(mark: Column) -> Column:
+    """The first 60 bits of a hexadecimal hash."""
+    return F.conv(F.substring(mark, 1, 15), 16, 10).cast("long")
+
+
+def _blocks(shards: DataFrame, seed: int, block: int) -> DataFrame:
+    """rank, shard, block, got: the tokens that each block of a shard gives to what remains of the shard's quota."""
+    size = F.least(F.lit(block), F.col("shard_size") - F.col("block") * block)
+    before = F.sum("own").over(
+        Window.partitionBy("rank", "shard").orderBy("drawn", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ) - F.col("own")
+    return (
+        shards.where("rest > 0")
+        .select("rank", "shard", "rest", "shard_size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shard_size") - 1) / block))).alias("block"))
+        .select("rank", "shard", "block", "rest", size.alias("own"), _hash(seed, F.col("rank"), F.col("shard"), F.col("block")).alias("drawn"))
+        .select("rank", "shard", "block", F.greatest(F.lit(0), F.least("own", F.col("rest") - before)).alias("got"))
+        .where("got > 0")
+    )
+
+
 def plan_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: dict[str | None, float] | None = None, seed: int = 7, shards: int = SHARDS, keep: tuple[str, ...] = (),
+    weights: dict[str | None, float] | None = None, seed: int = 7, shard: int = SHARD, block: int = BLOCK, keep: dict[str, str] | None = None,
 ) -> DataFrame:
-    """What the mix takes of each row: id, size, source_size, target, taken (words, repeats counted), *keep.
+    """What the mix takes of each row: id, size, source_size, target, taken (words, repeats counted), and ``keep``.
 
     ``weights`` defaults to 5, 2, 1, repeating over the sources by code point,
     null last. A source of null is a source like others; a text that is null or
     has no word has size 0 and gives nothing. No row gives more than 3 times its
-    size. Rows are dealt to shards and ordered by a hash of seed and id (then
-    by size), so reruns agree; repeated rows are rows of their own. Only one
-    row for each source and shard reaches the driver. An empty table gives an
-    empty result. Columns that aren't named aren't read.
+    size. Rows are dealt to shards and ordered by a hash of seed and id (then by
+    size and ``keep``), so reruns agree; repeated rows are rows of their own.
+    One row for each source and each shard (of about ``shard`` words) reaches the
+    driver. An empty table gives an empty result. Columns that aren't named
+    aren't read; ``keep`` names further ones to be handed on, as column -> name.
     """
-    key = F.col(f"`{id_col}`")
-    mark = F.xxhash64(F.lit(seed), key.cast("string"))
+    keep = keep or {}
     sized = stored(
         docs.select(
-            key.alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), mark.alias("mark"),
-            *keep,
-        ).withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int")),
+            col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), _hash(seed, col(id_col)).alias("mark"),
+            F.monotonically_increasing_id().alias("key"), *[col(c).alias(n) for c, n in keep.items()],
+        ),
         "sizes",
     )
-    cells = sized.groupBy("source", "shard").agg(F.sum("size").alias("size")).toPandas()
-    names = [None if pd.isna(s) else s for s in cells["source"].unique()]
-    weights = weights or cycle_weights(names)
-    rank = {n: i for i, n in enumerate(sorted((n for n in names if n is not None)) + [n for n in names if n is None])}
-    cells["rank"] = [rank[None if pd.isna(s) else s] for s in cells["source"]]
-    plan = quotas(cells, weights) if len(cells) else cells.assign(source_size=[], target=[], quota=[])
-    rows = [
-        (None if pd.isna(s) else s, int(h), int(z), int(n), float(t), int(q))
-        for s, h, z, n, t, q in zip(plan["source"], plan["shard"], plan["size"], plan["source_size"], plan["target"], plan["quota"], strict=True)
-    ]
-    fixed = docs.sparkSession.createDataFrame(
-        rows, "p_source string, p_shard int, shard_size long, source_size long, target double, quota long"
+    sources = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    order = sorted((r["source"] for r in sources if r["source"] is not None)) + [None] * any(r["source"] is None for r in sources)
+    shards_of = {r["source"]: max(1, -(-r["size"] // shard)) for r in sources}
+    ranks = docs.sparkSession.createDataFrame(
+        [(s, i, shards_of[s]) for i, s in enumerate(order)], "r_source string, rank int, shards long"
     )
-    before = F.sum("size").over(
-        Window.partitionBy("source", "shard").orderBy("mark", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("size")
-    passes = F.when(F.col("shard_size") > 0, F.least(F.floor(F.col("quota") / F.col("shard_size")), F.lit(3))).otherwise(F.lit(0))
-    rest = F.when(F.col("passes") >= 3, F.lit(0)).otherwise(F.col("quota") - F.col("passes") * F.col("shard_size"))
-    first = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return (
-        sized.withColumn("before", before)
-        .join(fixed, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
-        .withColumn("passes", passes.cast("long"))
-        .select(
-            "id", "size", "source_size", "target", (F.col("passes") * F.col("size") + first).cast("long").alias("taken"), *keep
-        )
+    # A row for each source, as the weights name them.
+    dealt = sized.join(F.broadcast(ranks), F.col("source").cast("string").eqNullSafe(F.col("r_source"))).withColumn("shard", F.pmod(_number(F.col("mark")), F.col("shards")))
+    cells = dealt.groupBy("rank", "shard").agg(F.sum("size").alias("size")).toPandas()
+    cells["source"] = [order[r] for r in cells["rank"]]
+    plan = quotas(cells, weights or cycle_weights(order)) if len(cells) else cells.assign(source_size=[], target=[], quota=[])
+    rows = [tuple(t(x) for t, x in zip((int, int, int, int, float, int), r, strict=True)) for r in plan[["rank", "shard", "size", "source_size", "target", "quota"]].itertuples(index=False)]
+    passes = F.when(F.col("shard_size") > 0, F.least(F.floor(F.col("quota") / F.col("shard_size")), F.lit(TIMES))).otherwise(F.lit(0)).cast("long")
+    fixed = docs.sparkSession.createDataFrame(rows, "rank int, shard long, shard_size long, source_size long, target double, quota long").withColumn("passes", passes)
+    fixed = fixed.withColumn("rest", F.when(F.col("passes") >= TIMES, F.lit(0)).otherwise(F.col("quota") - F.col("passes") * F.col("shard_size")))
+    end = F.sum("size").over(
+        Window.partitionBy("rank", "shard").orderBy("mark", "id", "size", *keep.values()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    stream = stored(
+        dealt.withColumn("end", end).join(fixed, ["rank", "shard"])
+        .select("id", "size", "source_size", "target", "key", "rank", "shard", (F.col("end") - F.col("size")).alias("begin"), "end", "passes", "rest", *keep.values()),
+        "stream",
+    )
+    at = F.col("block") * block
+    drawn = (
+        stream.where("size > 0 AND rest > 0")
+        .select("key", "rank", "shard", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
+        .hint("merge")
+        .join(_blocks(fixed, seed, block), ["rank", "shard", "block"])
+        .groupBy("key")
+        .agg(F.sum(F.greatest(F.lit(0), F.least("end", at + F.col("got")) - F.greatest("begin", at))).alias("drawn"))
     )
+    taken = F.col("passes") * F.col("size") + F.coalesce("drawn", F.lit(0))
+    return stream.hint("merge").join(drawn, "key", "left").select("id", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep.values())
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -158,19 +194,21 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows, with the columns ``doc_id``, ``text``, ``source``, ``n_chars`` and others of ``docs``.
+    """The mixed rows, with the columns of ``docs`` whatever their names.
 
-    A document taken k times in full comes k times; a part of it comes as its
-    first words. ``n_chars``, where there is such a column, follows the text.
+    A document taken k times in full comes k times; of what the drawn blocks take
+    of it beyond that, it gives so many of its first words. ``n_chars``, where
+    there is such a column, follows the text. Rows whose text is null or has no
+    word give nothing; a null id or source is a value like others; an empty
+    table stays empty.
     """
-    names = docs.columns
-    at = placed(docs)
-    plan = plan_mix(at, keep=(FILE, ROW), **options).where("taken > 0").select(FILE, ROW, F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    whole = F.floor(F.col("_taken") / F.col("_size"))
-    part = F.col("_taken") - whole * F.col("_size")
-    drawn = at.join(plan.hint("merge"), [FILE, ROW]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    cut = F.when(F.col("_copy") <= whole, F.col("text")).otherwise(first_words(F.col("text"), part))
-    drawn = drawn.withColumn("text", cut)
-    if "n_chars" in names:
+    at, file, row = placed(docs)
+    size, taken, copy = spare(docs, "size", "taken", "copy")
+    plan = plan_mix(at, keep={file: file, row: row}, **options).where("taken > 0").select(file, row, F.col("size").alias(size), F.col("taken").alias(taken))
+    whole = F.floor(F.col(taken) / F.col(size))
+    part = F.col(taken) - whole * F.col(size)
+    drawn = at.join(plan.hint("merge"), [file, row]).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)))))
+    drawn = drawn.withColumn("text", F.when(F.col(copy) <= whole, F.col("text")).otherwise(first_words(F.col("text"), part)))
+    if "n_chars" in docs.columns:
         drawn = drawn.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return drawn.select(*[F.col(f"`{c}`") for c in names])
+    return drawn.select(*map(col, docs.columns))

@@ -3,7 +3,9 @@
 Two permutations of the 32-bit circle make the whole signature: sigma scatters a
 shingle over the circle, and coordinate k is the least pi(sigma(shingle) + k) over
 the set, the same pi for every k, shifted around the circle. Bands of the
-signature name buckets. Documents with equal shingle sets are one node.
+signature name buckets. A shingle's hash folds the keyed BLAKE2b hashes of its
+words. Documents whose sets of hashes have one digest are one node, once each of
+them has been compared in full with the node's first document.
 
 Candidates are compared in two steps that never list all pairs of a bucket.
 First, every node of a bucket meets the bucket's smallest node; true links are
@@ -12,8 +14,8 @@ the nodes outside the bucket's largest component meet the nodes of other
 components there. Links inside a component change nothing, so no link between
 components is lost. Before that, the shingles that only one of these nodes holds
 are counted: a pair's intersection can't be larger than what either node shares
-with anybody, so a copy with too many edits of its own meets nobody. Every link is confirmed on the full shingle sets of the
-whole texts.
+with anybody, so a copy with too many edits of its own meets nobody. Every link
+is confirmed on the full shingle sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, col, spare
 from .components import connected_components
 
 SHINGLE = 5
@@ -36,7 +38,9 @@ BANDS, ROWS = 27, 5
 #: The stage of a corpus pipeline: similarity 0.80, where 40 bands miss a pair with probability 1.3e-7 (27 would with 2.2e-5).
 STAGE_PERCENT, STAGE_BANDS = 80, 40
 _PIECE = 2048
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes a worker keeps; a fuller table is emptied between texts.
+WORDS_HELD = 500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,41 +65,47 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """base^i and its inverse, grown as texts need it."""
+class Vocabulary(dict):
+    """word -> its number, with the keyed hashes of the words by number. Numbers hold within one text."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.hashes = np.empty(1 << 12, dtype=np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            with np.errstate(over="ignore"):
-                self.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]))
-                self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, inverse)]))
-        return self.up, self.down
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
+        self.hashes[n] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"shingle").digest(), "little")
+        self[word] = n
+        return n
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > WORDS_HELD:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
-def shingle_hashes(text: str | None, powers: Powers, k: int = SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles: those of substrings of the words joined by one space."""
+
+def shingle_hashes(text: str | None, vocabulary: Vocabulary, k: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """How many distinct shingles a text has, counted by their words, and the sorted distinct 64-bit hashes."""
     words = words_of(text)
     if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    ends = starts + sizes
-    if len(words) >= k:
-        starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    up, down = powers.upto(len(joined) + 1)
+        return 0, np.empty(0, dtype=np.uint64)
+    own = vocabulary.numbers(words)
+    width = min(k, len(words))
+    n = len(words) - width + 1
+    each, named, names = vocabulary.hashes[own], own[:n], len(vocabulary)
+    h = np.full(n, width, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)])])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        h = _mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return np.unique(h)
+        for i in range(width):
+            h = (h ^ each[i : i + n]) * _FOLD
+            h ^= h >> np.uint64(32)
+            if i:  # number the runs of i + 1 words, anew where the numbers would grow too large
+                if names * len(vocabulary) >= 1 << 63:
+                    distinct, named = np.unique(named, return_inverse=True)
+                    names = len(distinct)
+                named, names = named * len(vocabulary) + own[i : i + n], names * len(vocabulary)
+        h = _mix64(h)
+    return len(np.unique(named)), np.unique(h)
 
 
 def _pi(x: np.ndarray) -> np.ndarray:
@@ -129,14 +139,14 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _features(k: int, bands: int, rows: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        vocabulary = Vocabulary()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 n, digests, signs = [], [], []
                 for text in part.column(1):
-                    h = shingle_hashes(text.as_py(), powers, k)
-                    n.append(len(h))
+                    own, h = shingle_hashes(text.as_py(), vocabulary, k)
+                    n.append(own)
                     digests.append(hashlib.sha256(h.tobytes()).digest()[:16] if len(h) else None)
                     signs.append(band_hashes(signature(h, bands * rows), bands, rows) if len(h) else None)
                 yield pa.RecordBatch.from_arrays(
@@ -149,11 +159,11 @@ def _features(k: int, bands: int, rows: int):
 
 def _shingle_rows(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        vocabulary = Vocabulary()
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                each = [shingle_hashes(t.as_py(), powers, k) for t in part.column(1)]
+                each = [shingle_hashes(t.as_py(), vocabulary, k)[1] for t in part.column(1)]
                 node = np.repeat(part.column(0).to_numpy(), [len(h) for h in each])
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(each).view(np.int64))], names=["node", "shingle"])
 
@@ -161,23 +171,32 @@ def _shingle_rows(k: int):
 
 
 def held_in_common(texts: DataFrame, k: int) -> DataFrame:
-    """node, own: how many of a node's shingles no other of these nodes has. One exchange on the shingle, folded in each task first."""
+    """node, own: how many of a node's shingles no other of these nodes has. One exchange on the shingle, folded in each task first.
+
+    Ids with several rows have no entry: what is lone in one of their texts says nothing about another.
+    """
     rows = texts.mapInArrow(_shingle_rows(k), "node long, shingle long")
     single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-    return single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    several = texts.groupBy(F.col("id").alias("node")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return single.groupBy("node").agg(F.count(F.lit(1)).alias("own")).join(several, "node", "left_anti")
 
 
 def _similar(k: int, percent: int):
     """Keeps the pairs whose full shingle sets reach the threshold; pairs come sorted by b."""
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, own = None, set()
+        held, words, own = None, [], set()
         for batch in batches:
             keep = np.zeros(len(batch), dtype=bool)
-            for i, (b, text_a, text_b) in enumerate(zip(batch["b"], batch["text_a"], batch["text_b"], strict=True)):
-                if b != held:
-                    held, own = b, shingle_set(words_of(text_b), k)
-                other = shingle_set(words_of(text_a), k)
+            for i, (text_a, text_b) in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
+                if text_b != held:
+                    held, words = text_b, words_of(text_b)
+                    own = shingle_set(words, k)
+                mine = words_of(text_a)
+                if mine == words:
+                    keep[i] = bool(words)
+                    continue
+                other = shingle_set(mine, k)
                 both = len(own & other) if len(own) < len(other) else len(other & own)
                 keep[i] = 100 * both >= percent * (len(own) + len(other) - both)
             yield batch.loc[keep, ["a", "b"]]
@@ -185,7 +204,7 @@ def _similar(k: int, percent: int):
     return similar
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, by the full shingle sets of their texts.
 
     Both joins are on the same key of ``texts``, so its exchange is made once;
@@ -193,20 +212,36 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     with the input and aren't broadcast at any size.
     """
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return stored(pairs.select("a", "b").hint("merge").join(a, "a").hint("merge").join(b, "b").mapInPandas(_similar(k, percent), "a long, b long"), "links")
+    both = pairs.select("a", "b").hint("merge").join(a, "a").hint("merge").join(b, "b")
+    return scratch.store(both.mapInPandas(_similar(k, percent), "a long, b long"), "links")
+
+
+def _buckets(scratch: Scratch, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The band buckets of every node, and of each bucket with several nodes the smallest (hub) and its size."""
+    nodes = scratch.store(sets.select("node", "n", F.posexplode("bands").alias("band", "value")), "buckets")
+    shared = scratch.store(
+        nodes.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("hub"))
+        .where("members > 1")
+        .select("band", "value", "hub.node", "hub.n"),
+        "hubs",
+    )
+    return nodes, shared
 
 
-def _open_buckets(members: DataFrame, *keep: str) -> DataFrame:
+def _open_buckets(scratch: Scratch, members: DataFrame, *keep: str) -> DataFrame:
     """Members of buckets that hold several components, with the bucket's largest component."""
     sizes = members.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = stored(
+    mixed = scratch.store(
         sizes.groupBy("band", "value")
         .agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("size", "component")).alias("largest"))
         .where("components > 1")
         .select("band", "value", "largest"),
         "mixed",
     )
-    return members.join(mixed, ["band", "value"]).select("band", "value", "node", "n", "component", "largest", *keep)
+    held = members.join(mixed, ["band", "value"]).select("band", "value", "node", "n", "component", "largest", *keep)
+    out = scratch.store(held, "open")
+    scratch.drop(mixed)
+    return out
 
 
 def near_duplicates(
@@ -217,74 +252,96 @@ def near_duplicates(
     Linked are texts whose sets of ``k``-word shingles share ``percent`` % of
     their union. A text without words, or null, has an empty set and no link. A
     component's id is the smallest doc_id in it; the row with that id is kept.
-    Rows that share an id are one node; rows with a null id have a null
-    component and aren't kept, and link nothing. Ties and repeated rows are
-    linked like any equal texts. An empty table gives an empty result. Columns
-    that aren't named aren't read.
+    Rows that share an id are one node, with the links of all their texts; rows
+    with a null id have a null component and aren't kept, and link nothing. Ties
+    and repeated rows are linked like any equal texts. An empty table gives an
+    empty result. Columns that aren't named aren't read.
     """
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    features = stored(
+    scratch = Scratch(docs.sparkSession)
+    source = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    features = scratch.store(
         source.mapInArrow(_features(k, bands, rows), "id long, n long, digest binary, bands array<bigint>"), "features"
     )
-    # Equal sets are one node, named by their smallest id.
-    named = stored(
-        features.where("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node")), "nodes"
+    told = features.where("id IS NOT NULL AND digest IS NOT NULL")
+    # Sets with one digest are one node, named by their smallest id.
+    sets = scratch.store(
+        told.groupBy("digest").agg(F.min(F.struct(F.col("id").alias("node"), "n", "bands")).alias("first")).select("digest", "first.*"), "nodes"
     )
-    sets = features.where("id IS NOT NULL").join(named, "digest").where(F.col("id") == F.col("node")).select("node", "n", "bands")
-    nodes = stored(sets.select("node", "n", F.posexplode("bands").alias("band", "value")), "buckets")
-    shared = stored(
-        nodes.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("hub"))
-        .where("members > 1")
-        .select("band", "value", "hub.node", "hub.n"),
-        "hubs",
+    named = sets.select("digest", "node")
+    members = scratch.store(
+        told.select("id", "digest").join(named, "digest").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"), "digest").distinct(),
+        "members",
     )
+    nodes, shared = _buckets(scratch, sets)
+    ids = (
+        nodes.join(shared.select("band", "value"), ["band", "value"], "left_semi").select(F.col("node").alias("id"))
+        .unionByName(members.select(F.col("a").alias("id"))).unionByName(members.select(F.col("b").alias("id")))
+    )
+    texts = scratch.store(source.join(ids.distinct().hint("merge"), "id", "left_semi").distinct(), "texts")
+
+    # Each member against its node in full. What only its digest has in common with the node is a node of its own.
+    same = confirm(scratch, members.select("a", "b").distinct(), texts, k, percent)
+    odd = scratch.store(members.join(same, ["a", "b"], "left_anti"), "odd")
+    place = features.select("id", "n", "digest").join(named, "digest", "left")
+    if not odd.isEmpty():
+        own = odd.select(F.col("a").alias("id"), "digest").distinct()
+        sets = sets.select("node", "n", "bands").unionByName(told.join(own, ["id", "digest"]).select(F.col("id").alias("node"), "n", "bands").distinct())
+        place = place.join(own.withColumn("odd", F.lit(True)), ["id", "digest"], "left").withColumn("node", F.when(F.col("odd"), F.col("id")).otherwise(F.col("node")))
+        nodes, shared = _buckets(scratch, sets)
+    # Nodes of one id, which has several texts, hang together.
+    several = told.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
+    ties = members.join(several.select(F.col("id").alias("a")), "a", "left_semi").join(odd, ["a", "b"], "left_anti").select("a", "b")
+
     near_in_size = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     company = nodes.join(shared.select("band", "value"), ["band", "value"], "left_semi")
-    texts = stored(
-        source.join(company.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), "company-texts"
-    )
-    first = stored(
+    first = scratch.store(
         nodes.join(shared.select("band", "value", F.col("node").alias("b"), F.col("n").alias("m")), ["band", "value"])
         .where((F.col("node") != F.col("b")) & near_in_size)
         .select(F.col("node").alias("a"), "b")
         .distinct(),
         "pairs",
     )
-    links = confirm(first, texts, k, percent)
-    held = connected_components(links, "a", "b").select(F.col("id").alias("node"), "component_id")
-    rest = stored(
+    links = confirm(scratch, first, texts, k, percent)
+    held = connected_components(links.unionByName(ties), "a", "b").select(F.col("id").alias("node"), "component_id")
+    rest = scratch.store(
         company.join(held, "node", "left").select("band", "value", "node", "n", F.coalesce("component_id", "node").alias("component")),
         "members",
     )
-    left = stored(_open_buckets(rest), "open")
+    scratch.drop(links, same, nodes, shared)
+    mixed = _open_buckets(scratch, rest)
+    scratch.drop(rest)
     # A node's intersection with another is at most what it has in common with any.
-    lone = held_in_common(texts.join(left.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "text"), k)
-    able = left.join(stored(lone, "own-shingles"), "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
-    left = stored(_open_buckets(able.drop("largest").where(100 * F.col("c") >= percent * F.col("n")), "c"), "open")
+    lone = held_in_common(texts.join(mixed.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "text"), k)
+    able = mixed.join(scratch.store(lone, "own-shingles"), "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
+    left = _open_buckets(scratch, able.drop("largest").where(100 * F.col("c") >= percent * F.col("n")), "c")
+    scratch.drop(mixed)
     # With its bands at hand, a pair that shares several is made in the first of them alone.
-    signed = left.join(stored(sets.join(left.select("node").distinct(), "node", "left_semi").select("node", "bands"), "bands"), "node")
+    own_bands = scratch.store(sets.join(left.select("node").distinct(), "node", "left_semi").select("node", "bands").distinct(), "bands")
+    signed = left.join(own_bands, "node")
     outside = signed.where("component <> largest").select(
         "band", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), F.col("bands").alias("others")
     )
     first_shared = F.array_position(F.zip_with("bands", "others", lambda x, y: x == y), True) == F.col("band") + 1
     enough = (100 + percent) * F.least("c", "d") >= percent * (F.col("n") + F.col("m"))
-    second = (
+    second = scratch.store(
         signed.join(outside, ["band", "value"])
         .where((F.col("component") != F.col("other")) & near_in_size & enough & first_shared)
         .where((F.col("component") == F.col("largest")) | (F.col("node") < F.col("b")))
         .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         .distinct()
-        .join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        .join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"),
+        "pairs",
     )
-    more = confirm(stored(second, "pairs"), texts, k, percent)
+    scratch.drop(left, own_bands, first)
+    more = confirm(scratch, second, texts, k, percent)
+    scratch.drop(second, texts)
     final = held
     if not more.isEmpty():  # components meet through the new links
         stars = held.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
         final = connected_components(stars.unionByName(more), "a", "b").select(F.col("id").alias("node"), "component_id")
-    component = F.coalesce("component_id", "node", "id")
+    component = F.coalesce("component_id", "node")
     return (
-        features.select("id", "n", "digest")
-        .join(named, "digest", "left")
+        place.withColumn("node", F.coalesce("node", "id"))
         .join(final, "node", "left")
         .select(
             F.col("id").alias("doc_id"),
@@ -296,11 +353,13 @@ def near_duplicates(
 
 
 def drop_near_copies(docs: DataFrame, percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that with the smallest doc_id.
+    """``docs``, with its columns whatever their names, less all but one document of each group of near copies.
 
-    A row that isn't linked stays; so does one with a null id. A lower
-    ``percent`` wants more ``bands``.
+    That with the smallest doc_id stays. A row that isn't linked stays, so do
+    rows with a null id, a null text or no words; rows that share the id that
+    stays all do. An empty table stays empty. A lower ``percent`` wants more
+    ``bands``.
     """
-    names = docs.columns
-    gone = near_duplicates(docs, percent=percent, bands=bands).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    (gone_id,) = spare(docs, "gone")
+    gone = near_duplicates(docs, percent=percent, bands=bands).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti").select(*map(col, docs.columns))

@@ -113,6 +113,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM p GROUP BY conv_id
 """
 
+# Quotients are handed out one by one; blocks and shards as in mixing.BLOCK and mixing.SHARD.
+ORACLES["op8_source_mixing"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][rank % 3 + 1] AS DOUBLE) AS weight, 3.0 * source_size / [5, 2, 1][rank % 3 + 1] AS fills FROM s),
+-- sources are full in the order of what their limit is to their weight, until the share of the next is below its limit
+l AS (SELECT *, coalesce(sum(3 * source_size) OVER before, 0) AS full_before, sum(weight) OVER rest AS weight_left, sum(source_size) OVER () AS total FROM w
+      WINDOW before AS (ORDER BY fills, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (ORDER BY fills, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT arg_min(full_before, (fills, rank)) AS full_before, arg_min(weight_left, (fills, rank)) AS weight_left, min((fills, rank)) AS first
+      FROM l WHERE (CAST(total AS DOUBLE) - full_before) / weight_left <= fills),
+t AS (SELECT source, l.rank, source_size, CASE WHEN first IS NULL OR (fills, l.rank) < first THEN 3.0 * source_size ELSE (CAST(total AS DOUBLE) - f.full_before) * weight / f.weight_left END AS target FROM l, f),
+q AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank) AS place FROM (SELECT rank, target, unnest(generate_series(0, 3 * source_size - 1)) AS k FROM t WHERE target > 0)),
+z AS (SELECT rank, count(*) AS seats FROM q WHERE place <= (SELECT round_even(sum(target), 0) FROM t) GROUP BY rank),
+e AS (SELECT d.*, rank, source_size, target, coalesce(seats, 0) AS seats, CAST('0x' || substr(mark, 1, 15) AS BIGINT) % greatest(1, CAST(ceil(source_size / 33554432) AS BIGINT)) AS shard
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN z USING (rank)),
+c AS (SELECT rank, shard, any_value(seats) AS seats, CAST(sum(size) AS BIGINT) AS shard_size FROM e GROUP BY rank, shard),
+u AS (SELECT rank, shard, seats, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2 * k + 1) DESC, shard) AS place
+      FROM (SELECT *, unnest(generate_series(0, 3 * shard_size - 1)) AS k FROM c WHERE shard_size > 0)),
+v AS (SELECT c.rank, c.shard, shard_size, (count(place) FILTER (place <= u.seats)) // greatest(shard_size, 1) AS passes, (count(place) FILTER (place <= u.seats)) % greatest(shard_size, 1) AS rest
+      FROM c LEFT JOIN u ON u.rank = c.rank AND u.shard = c.shard GROUP BY c.rank, c.shard, shard_size),
+b AS (SELECT rank, shard, rest, block, least(2048, shard_size - block * 2048) AS own, md5('7:' || rank || ':' || shard || ':' || block) AS drawn
+      FROM (SELECT *, unnest(generate_series(0, (shard_size - 1) // 2048)) AS block FROM v WHERE rest > 0)),
+g AS (SELECT rank, shard, block * 2048 AS start, greatest(0, least(own, rest - (sum(own) OVER (PARTITION BY rank, shard ORDER BY drawn, block) - own))) AS got FROM b),
+p AS (SELECT e.*, passes, sum(size) OVER (PARTITION BY e.rank, e.shard ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM e JOIN v ON v.rank = e.rank AND v.shard = e.shard),
+x AS (SELECT p.doc_id, sum(greatest(0, least(upto, start + got) - greatest(upto - size, start))) AS drawn
+      FROM p JOIN g ON g.rank = p.rank AND g.shard = p.shard AND start < upto AND start + got > upto - size GROUP BY 1)
+SELECT p.doc_id, size, source_size, target, CAST(passes * size + coalesce(drawn, 0) AS BIGINT) AS taken FROM p LEFT JOIN x ON x.doc_id = p.doc_id
+"""
+
 ORACLES["op9_warc"] = r"""
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS m FROM p)
