@@ -5,6 +5,7 @@ import hashlib
 import io
 import zlib
 
+import pytest
 from compare import connection, difference
 
 from wattweave.llm import warc
@@ -52,3 +53,24 @@ def test_streams_of_several_members_and_small_reads():
     records = [warc.record(i, "u", bytes([i]) * i * 1000, "00" * 20, i * 1000, None, False) for i in range(1, 30)]
     for data in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
         assert list(warc._records(warc._Inflated(io.BytesIO(data)))) == records
+
+
+def test_cut_streams_and_short_records_are_errors():
+    records = [warc.record(i, "u", bytes([i]) * 5000, "00" * 20, 5000, None, False) for i in range(6)]
+    whole = gzip.compress(b"".join(records), mtime=0)
+    assert list(warc._records(warc._Inflated(io.BytesIO(whole + b"\0" * 70_000)))) == records
+    assert list(warc._records(warc._Inflated(io.BytesIO(gzip.compress(b"".join(records)[:-4]))))) == records  # the last line ends are put back
+    for data in (whole[: len(whole) // 2], whole[:-9], whole[:3], b"", whole + gzip.compress(b"x" * 99)[:12]):
+        with pytest.raises(EOFError):
+            list(warc._records(warc._Inflated(io.BytesIO(data))))
+    for data in (b"".join(records)[:-100], records[0] + b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", records[0] + b"WARC/1.1\r\nContent-Length: 5"):
+        with pytest.raises(ValueError, match="record"):
+            list(warc._records(warc._Inflated(io.BytesIO(gzip.compress(data)))))
+
+
+def test_tasks_begin_new_archives_by_size(spark):
+    df = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 300) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(df, scratch_path(spark, "warc"), archive_bytes=10_000)
+    told = archives.collect()
+    assert len(told) >= 8 and sum(r["records"] for r in told) == 30
+    assert sorted(r["page_id"] for r in warc.read_archives(warc.normalise_archives(archives)).collect()) == list(range(30))

@@ -6,9 +6,12 @@ stream once, writes every record again as a gzip member of its own, and beside
 the archive a tab-separated index of the members: offset, length, record id,
 type. ``read_archives`` reads records back by that index.
 
-A task writes one file under a name of its own attempt and then renames it, so
+A task writes its files under names of its own attempt and then renames them, so
 that a lost executor or a second attempt leaves no half file behind. Files go
-through pyarrow's file systems to the shared folder; memory holds one record.
+through pyarrow's file systems to the shared folder. Memory holds an Arrow batch
+of payloads (``BATCH`` rows) when writing, one record when normalising. A stream
+that ends before its gzip trailer, or a record shorter than its Content-Length,
+is an error.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import scratch_path, settings, stored
 
 HEAD = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 EPOCH = "1970-01-01T00:00:00Z"
 BLOCK = 1 << 16
+#: Bytes of records after which a task begins a new archive, and rows of an Arrow batch of whole payloads.
+ARCHIVE, BATCH = 1 << 28, 500
 
 
 def _files(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -83,22 +88,23 @@ def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, payload, size, digest, refers_to of each page.
 
     Pages with equal payloads of ``least`` bytes or more refer to the largest
-    page_id among them; null where the page is that one, or is alone.
+    page_id among them; null where the page is that one, or is alone. Payloads
+    are equal when their sizes, SHA-1 and SHA-256 are.
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     full = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("payload")).select(
-        "page_id", "url", "payload", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest")
+        "page_id", "url", "payload", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"), F.unhex(F.sha2("payload", 256)).alias("content")
     )
     shared = stored(
         full.where(F.col("size") >= least)
-        .groupBy("digest", "size")
+        .groupBy("digest", "size", "content")
         .agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n"),
         "payloads",
     )
     other = ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
-    return full.join(shared.hint("merge"), ["digest", "size"], "left").select(
+    return full.join(shared.hint("merge"), ["digest", "size", "content"], "left").select(
         "page_id", "url", "payload", "size", "digest", F.when(other, F.col("first_id")).alias("refers_to")
     )
 
@@ -115,39 +121,47 @@ class _Named:
         self.fs.move(self.draft, self.path)
 
 
-def _write(root: str):
+def _write(root: str, archive_bytes: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _files(root)
         file = packer = None
-        n = 0
+        n = size = 0
+
+        def close() -> pd.DataFrame:
+            file.out.write(packer.flush())
+            file.close()
+            return pd.DataFrame({"archive": [f"{root}/{name}"], "records": [n]})
+
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if file is None:
                     fs.create_dir(base, recursive=True)
                     name = f"pages-{uuid.uuid4().hex}.warc.gz"
-                    file, packer = _Named(fs, f"{base}/{name}"), zlib.compressobj(6, zlib.DEFLATED, 31)
+                    file, packer, n, size = _Named(fs, f"{base}/{name}"), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
                 ref = None if pd.isna(row.refers_to) else row.refers_to
                 page = None if pd.isna(row.page_id) else row.page_id
                 raw = record(page, row.url, row.payload, row.digest, row.size, ref, ref is not None)
                 file.out.write(packer.compress(raw))
-                n += 1
+                n, size = n + 1, size + len(raw)
+                if size >= archive_bytes:
+                    yield close()
+                    file = None
         if file is not None:
-            file.out.write(packer.flush())
-            file.close()
-            yield pd.DataFrame({"archive": [f"{root}/{name}"], "records": [n]})
+            yield close()
 
     return write
 
 
-def write_archives(pages: DataFrame, root: str) -> DataFrame:
-    """One monolithic archive for each partition below ``root``: archive, records.
+def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE) -> DataFrame:
+    """Monolithic archives of about ``archive_bytes`` of records at most, one at least for each partition, below ``root``: archive, records.
 
     Names are random, and only archives in the returned table count, so a
     second attempt of a task does no harm.
     """
-    return stored(
-        decide(pages).mapInPandas(_write(root), "archive string, records long"), "archives"
-    )
+    with settings(pages.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}):
+        return stored(
+            decide(pages).drop("content").mapInPandas(_write(root, archive_bytes), "archive string, records long"), "archives"
+        )
 
 
 def _records(raw: io.BufferedIOBase) -> Iterator[bytes]:
@@ -159,15 +173,20 @@ def _records(raw: io.BufferedIOBase) -> Iterator[bytes]:
             held, done = held + more, not more
         if not held.strip():
             return
-        head, _, rest = held.partition(b"\r\n\r\n")
-        size = int(re.search(rb"(?im)^content-length: *(\d+)", head)[1])
+        head, mark, rest = held.partition(b"\r\n\r\n")
+        length = re.search(rb"(?im)^content-length: *(\d+)", head)
+        if not mark or length is None:
+            raise ValueError("a record without a whole head")
+        size = int(length[1])
         parts, got = [rest], len(rest)
         while got < size + 4 and not done:
             more = raw.read(max(BLOCK, size + 4 - got))
             parts.append(more)
             got, done = got + len(more), not more
         rest = b"".join(parts)
-        yield head + b"\r\n\r\n" + rest[: size + 4]
+        if len(rest) < size:
+            raise ValueError(f"a record of {size} bytes ends after {len(rest)}")
+        yield head + b"\r\n\r\n" + rest[:size] + b"\r\n\r\n"
         held = rest[size + 4 :]
 
 
@@ -175,17 +194,28 @@ class _Inflated(io.RawIOBase):
     """A whole-file gzip stream, inflated as it is read."""
 
     def __init__(self, source):
-        self.source, self.inflate, self.pending = source, zlib.decompressobj(31), b""
+        self.source, self.inflate, self.pending, self.inside = source, zlib.decompressobj(31), b"", True
 
     def read(self, n: int = BLOCK) -> bytes:
         while True:
             self.pending = self.pending or self.source.read(BLOCK)
+            if not self.inside:
+                self.pending = self.pending.lstrip(b"\0")  # padding between members
+                if self.pending:
+                    self.inside = True
+                    continue
             if not self.pending:
+                more = self.source.read(BLOCK)
+                if more:
+                    self.pending = more
+                    continue
+                if self.inside:
+                    raise EOFError("a gzip stream ends before its trailer")
                 return b""
             out = self.inflate.decompress(self.pending, n)
             if self.inflate.eof:  # a further member may follow
                 self.pending = self.inflate.unused_data
-                self.inflate = zlib.decompressobj(31)
+                self.inflate, self.inside = zlib.decompressobj(31), False
             else:
                 self.pending = self.inflate.unconsumed_tail
             if out:
@@ -213,11 +243,14 @@ def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"members": [f"{head}{members.path}"], "index": [f"{head}{index.path}"], "records": [n]})
 
 
-def normalise_archives(archives: DataFrame, parts: int = 64) -> DataFrame:
-    """members, index, records for each archive; one task inflates one archive at a time."""
-    return stored(
-        archives.select("archive").repartition(parts, "archive").mapInPandas(_normalise, "members string, index string, records long"), "members"
-    )
+def _one_each(files: DataFrame, name: str) -> DataFrame:
+    """As many partitions as ``files`` has rows: a task opens a file or two."""
+    return files.repartitionByRange(max(1, files.count()), name)
+
+
+def normalise_archives(archives: DataFrame) -> DataFrame:
+    """members, index, records for each archive; a task inflates one archive at a time."""
+    return stored(_one_each(archives.select("archive"), "archive").mapInPandas(_normalise, "members string, index string, records long"), "members")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,9 +289,9 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(members: DataFrame, parts: int = 64) -> DataFrame:
+def read_archives(members: DataFrame) -> DataFrame:
     """Every record of the normalised archives, found by the index; digests of responses are computed anew."""
-    return members.repartition(parts, "members").mapInPandas(_read, RECORDS)
+    return _one_each(members, "members").mapInPandas(_read, RECORDS)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
