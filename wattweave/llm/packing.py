@@ -3,11 +3,12 @@
 Documents are tokenised once; those longer than a sequence are cut into whole
 sequences and a rest. Packing is decided on the histogram of piece lengths,
 which has no more rows than a sequence has tokens, however many documents there
-are. The longest piece left opens a sequence; its gap is looked up among the
-single lengths, the sums of pairs and the sums of triples that are still to be
-had, and as many sequences as the counts allow are filled exactly in one step.
-Where nothing fits exactly, the longest piece that fits goes in (best fit) and
-the smaller gap is looked up again.
+are. Hash tables keyed by sum hold the single lengths, the pairs and the triples
+that make up each sum. The longest piece left opens a sequence; its gap is looked
+up there, singles first, then pairs, then triples. The first combination that the
+counts of pieces left still allow is consumed, in as many sequences as they
+allow. Where nothing fills the gap exactly, the longest piece that fits goes in
+(best fit) and the smaller gap is looked up again.
 
 The plan, rows of (length, range of ranks, sequence, offset), is joined to the
 pieces, which Spark ranks within their length in salted parts.
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settings, stored
+from .common import col, settings, stored
 from .tokenise import words
 
 CAPACITY = 2048
 #: Bytes of text that are tokenised at once (a longer text on its own).
 SLICE = 3 << 20
-SALTS = 64
+#: Pieces of a length that are ranked in one task, about.
+RANKED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -69,49 +71,75 @@ def token_pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row; a null text is empty: one piece, the end id."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(
         _cut(tokenizer, capacity, end_id), PIECES
     )
 
 
-class _Stock:
-    """Counts of the pieces left, by length, and the exact complements among them."""
+class Sums:
+    """Sum -> combinations of one, two and three of the given lengths, longest first length first.
 
-    def __init__(self, counts: np.ndarray):
-        self.left = counts.astype(np.int64)
-        self.capacity = len(counts) - 1
+    A triple is held as its longest length and the sum of the pair that the rest
+    makes up. There are at most capacity^2 / 2 entries, whatever the counts.
+    """
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        lengths = np.sort(lengths[lengths > 0])[::-1]
+        self.single = set(lengths.tolist())
+        self.pair = self._by_sum(lengths, lengths, capacity, lambda a, b: a >= b)
+        rests = np.array(sorted(self.pair), dtype=np.int64)
+        self.triple = self._by_sum(lengths, rests, capacity, lambda a, rest: rest <= 2 * a)
+
+    @staticmethod
+    def _by_sum(first: np.ndarray, second: np.ndarray, capacity: int, allowed) -> dict[int, list[int]]:
+        """sum -> the values of ``first``, descending, that a value of ``second`` completes."""
+        out: dict[int, list[int]] = {}
+        for a in first.tolist():
+            for total in (a + second[allowed(a, second) & (second <= capacity - a)]).tolist():
+                out.setdefault(total, []).append(a)
+        return out
+
+
+class Stock:
+    """Counts of the pieces left, by length, and the exact complements among them.
+
+    Counts only fall, so a combination that can't be had once never can be again:
+    it is taken off its table when it is met.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            self.left[length] = n
+        self.sums = Sums(np.array(list(counts), dtype=np.int64), capacity)
 
     def longest(self, limit: int) -> int:
-        at = np.flatnonzero(self.left[: limit + 1])
-        return int(at[-1]) if len(at) and at[-1] > 0 else 0
+        at = np.flatnonzero(self.left[1 : limit + 1])
+        return int(at[-1]) + 1 if len(at) else 0
 
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        """The pair a >= b with a + b = gap and the longest a."""
-        a = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
-        b = gap - a
-        ok = (self.left[a] > 0) & (self.left[b] > 0) & ((a != b) | (self.left[a] > 1))
-        at = np.flatnonzero(ok)
-        return (int(a[at[0]]), int(b[at[0]])) if len(at) else None
+    def has(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, gap: int, beside: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """The pair of this sum with the longest first length that can be had, beside further pieces."""
+        held = self.sums.pair.get(gap, [])
+        held[:] = [a for a in held if self.has(a, gap - a)] if not beside else held
+        return next(((a, gap - a) for a in held if self.has(a, gap - a, *beside) and (not beside or a <= beside[0])), None)
 
     def triple(self, gap: int) -> tuple[int, int, int] | None:
-        """The triple with the longest first length whose rest is the sum of a pair not longer than it."""
-        for a in np.flatnonzero(self.left[: gap - 1])[::-1]:
-            a = int(a)
-            if a * 3 < gap or a == 0:
-                break
-            self.left[a] -= 1
-            rest = self.pair(gap - a)
-            self.left[a] += 1
-            if rest and rest[0] <= a:
-                return a, *rest
+        """The triple of this sum with the longest first length that can be had."""
+        held = self.sums.triple.get(gap, [])
+        while held:
+            rest = self.pair(gap - held[0], (held[0],)) if self.left[held[0]] else None
+            if rest:
+                return held[0], *rest
+            held.pop(0)
         return None
 
     def complement(self, gap: int) -> tuple[int, ...] | None:
-        if gap <= 0:
-            return None
-        if self.left[gap] > 0:
+        if gap in self.sums.single and self.left[gap] > 0:
             return (gap,)
-        return (self.pair(gap) if gap > 1 else None) or (self.triple(gap) if gap > 2 else None)
+        return self.pair(gap) or self.triple(gap)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -119,10 +147,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
     Rank r of the range goes to sequence ``first sequence + r - first rank``.
     """
-    dense = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        dense[length] = n
-    stock, taken = _Stock(dense), np.zeros(capacity + 1, dtype=np.int64)
+    stock, taken = Stock(counts, capacity), np.zeros(capacity + 1, dtype=np.int64)
     rows, sequence = [], 0
     while longest := stock.longest(capacity):
         inside = [longest]
@@ -149,9 +174,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``pieces`` with a rank from 0 within their length, numbered in ``salts`` parts of each length."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+def ranked(pieces: DataFrame, counts: dict[int, int], each: int = RANKED) -> DataFrame:
+    """``pieces`` with a rank from 0 within their length, numbered in parts of about ``each`` pieces of a length."""
+    parts = pieces.sparkSession.createDataFrame([(x, max(1, -(-n // each))) for x, n in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
     sizes = stored(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "salts")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
@@ -184,7 +210,7 @@ def pack(
         & (F.col("rank") < F.col("s_rank") + F.col("s_times"))
     )
     return (
-        ranked(pieces)
+        ranked(pieces, counts)
         .join(F.broadcast(slots), here)  # a plan has a few rows for each length that occurs
         .select(
             "doc_id", "piece", "start", "length", "ids_crc32",
