@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import col, stored
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ EXTRA_KINDS = (
 
 
 def spans(text: Column, kind: Kind, rank: int) -> Column:
-    """array<struct<start, rank, kind, end, secret>> of the matches of one kind.
+    """array<struct<start, rank, kind, end, secret>> of the matches of one kind; the secret as its SHA-256, never in clear.
 
     ``split`` and ``regexp_extract_all`` walk the same matches, so piece i ends
     where match i begins; ``length`` counts code points. Text without a match
@@ -66,7 +66,7 @@ def spans(text: Column, kind: Kind, rank: int) -> Column:
         begin = acc["at"] + F.length(pair["piece"])
         end = begin + F.length(pair["match"])
         secret = F.regexp_extract(pair["match"], kind.secret, 1) if kind.secret != r"^(.*)$" else pair["match"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), secret.alias("secret"))
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), F.sha2(secret.cast("binary"), 256).alias("secret"))
         part = F.when(F.length(secret) >= kind.least, F.concat(acc["part"], F.array(span))).otherwise(acc["part"])
         return F.struct(
             end.alias("at"),
@@ -82,9 +82,9 @@ def spans(text: Column, kind: Kind, rank: int) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repository: str, owner: str, kinds: tuple[Kind, ...]) -> DataFrame:
-    """(row_key, id, repository, owner, spans): every row, its spans by start and kind."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    cols = [F.col(f"`{c}`").alias(a) for c, a in ((id_col, "id"), (repository, "repository"), (owner, "owner"))]
+    """(id, repository, owner, spans): every row, its spans by start and kind."""
+    text = F.coalesce(col(text_col), F.lit(""))
+    cols = [col(c).alias(a) for c, a in ((id_col, "id"), (repository, "repository"), (owner, "owner"))]
     found = F.array_sort(F.concat(*[spans(F.col("body"), k, i) for i, k in enumerate(kinds)]))
     return docs.select(*cols, text.alias("body")).select("id", "repository", "owner", found.alias("spans"))
 
@@ -97,7 +97,7 @@ def ownership(found: DataFrame) -> DataFrame:
     repositories and owners count as one each.
     """
     each = found.select("repository", "owner", F.explode("spans").alias("s")).select(
-        "repository", "owner", F.sha2(F.col("s.secret").cast("binary"), 256).alias("secret_hash")
+        "repository", "owner", F.col("s.secret").alias("secret_hash")
     )
     held = each.groupBy("secret_hash", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
     null = F.lit("\u0000null")
@@ -134,7 +134,7 @@ def scan_secrets(
     owned = stored(ownership(found).select("secret_hash", wide.alias("example")), "ownership")
     judged = (
         found.select("row_key", F.explode("spans").alias("s"))
-        .withColumn("secret_hash", F.sha2(F.col("s.secret").cast("binary"), 256))
+        .withColumn("secret_hash", F.col("s.secret"))
         .join(owned, "secret_hash")
         .where((F.col("s.rank") < len(BASE_KINDS)) | ~F.col("example"))
         .groupBy("row_key")
