@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import col
+
 OPEN, CLOSE = "<s>", "</s>"
 ASSISTANT = "assistant"
 _CONTROL = re.compile(r"(\\*)(</?s>)")
@@ -116,10 +118,10 @@ def format_conversations(
     empty = F.lit("")
     return (
         turns.select(
-            F.col(f"`{conv_col}`").cast("long").alias("conv_id"),
-            F.col(f"`{turn_col}`").alias("turn"),
-            F.coalesce(F.col(f"`{role_col}`"), empty).alias("role"),
-            F.coalesce(F.col(f"`{text_col}`"), empty).alias("text"),
+            col(conv_col).cast("long").alias("conv_id"),
+            col(turn_col).alias("turn"),
+            F.coalesce(col(role_col), empty).alias("role"),
+            F.coalesce(col(text_col), empty).alias("text"),
         )
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -129,7 +131,7 @@ def format_conversations(
 
 def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     current: object = ()
-    last, chars, loss_chars, loss = "", 0, 0, hashlib.sha256()
+    last, chars, loss_chars, loss, expected = "", 0, 0, hashlib.sha256(), 0
     rows: list[tuple] = []
 
     def done() -> tuple:
@@ -138,12 +140,15 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return current, len(told), turns.hexdigest(), loss_chars, loss.hexdigest(), chars
 
     for batch in batches:
-        for conv, formatted, start, end in zip(batch["conv_id"], batch["formatted"], batch["loss_start"], batch["loss_end"], strict=True):
+        for conv, example, formatted, start, end in zip(batch["conv_id"], batch["example"], batch["formatted"], batch["loss_start"], batch["loss_end"], strict=True):
             conv = None if pd.isna(conv) else int(conv)
             if conv != current:
                 if current != ():
                     rows.append(done())
-                current, chars, loss_chars, loss = conv, 0, 0, hashlib.sha256()
+                current, chars, loss_chars, loss, expected = conv, 0, 0, hashlib.sha256(), 0
+            if example != expected:
+                raise ValueError(f"conversation {conv}: record {example} comes where {expected} should")
+            expected += 1
             last = formatted
             chars += len(formatted)
             if not pd.isna(start):
@@ -165,5 +170,11 @@ def _digests(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_back(records: DataFrame) -> DataFrame:
-    """Per conversation what its records hold, read from the formatted strings and loss marks alone."""
+    """Per conversation what its records hold, read from the formatted strings and loss marks alone.
+
+    The records of a conversation must stand together and in order, as
+    ``format_conversations`` leaves them; stored and read again they need
+    ``repartition("conv_id").sortWithinPartitions("conv_id", "example")`` first.
+    Records that come otherwise are an error.
+    """
     return records.mapInPandas(_read_back, DIGESTS)

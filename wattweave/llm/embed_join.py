@@ -13,13 +13,14 @@ candidates is verified on the whole vectors in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, col
 from .components import connected_components
 
 BLOCK = 8
@@ -28,6 +29,7 @@ SIDE = 3.0
 COORDS = [f"c{i}" for i in range(BLOCK)]
 
 
+@lru_cache(8)
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -130,28 +132,29 @@ def near_duplicate_vectors(
     null component, aren't kept, and link nothing. An empty table gives an
     empty result. Columns that aren't named aren't read.
     """
+    scratch = Scratch(vectors.sparkSession)
     source = vectors.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vec")
+        col(id_col).cast("long").alias("id"), col(label_col).cast("long").alias("label"), col(vector_col).cast("array<double>").alias("vec")
     )
     finite = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False))
-    nodes = stored(
+    nodes = scratch.store(
         source.where(usable).groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors"
     )
     budget = 2.0 - 2.0 * threshold
     schema = "key long, node long, home boolean, reach float, " + ", ".join(f"{c} float" for c in COORDS)
-    cells = stored(nodes.select("node", "label", "vec").mapInArrow(_cells(budget), schema), "cells")
+    cells = scratch.store(nodes.select("node", "label", "vec").mapInArrow(_cells(budget), schema), "cells")
     mine = cells.where("home").select("key", "node", "reach", *COORDS)
     theirs = cells.select("key", F.col("node").alias("other"), "home", *[F.col(c).alias(f"o{c}") for c in COORDS])
     apart = sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in COORDS), F.lit(0.0))
     found = mine.join(theirs, "key").where(
         (F.col("node") != F.col("other")) & (~F.col("home") | (F.col("node") < F.col("other"))) & (apart <= F.col("reach"))
     )
-    pairs = stored(found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
+    pairs = scratch.store(found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
     left = nodes.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("vec").alias("va"))
     right = nodes.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("vec").alias("vb"))
-    links = stored(
+    links = scratch.store(
         pairs.join(left, "a").join(right, "b").where("la = lb AND size(va) = size(vb)").select("a", "b", "va", "vb").mapInArrow(_cosine(threshold), "a long, b long"),
         "links",
     )
@@ -159,12 +162,13 @@ def near_duplicate_vectors(
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counted = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
     component = connected_components(links, "a", "b").select(F.col("id").alias("node"), "component_id")
-    known = stored(
+    known = scratch.store(
         copies.join(counted.withColumnRenamed("a", "node"), "node", "left")
         .join(component, "node", "left")
         .select("node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id")),
         "known",
     )
+    scratch.drop(cells, pairs, links)
     named = nodes.select("label", "vec", "node").join(known, "node")
     out = source.withColumn("usable", usable)
     linked = out.where("usable").join(named, ["label", "vec"]).select("id", "n_links", "component_id")
