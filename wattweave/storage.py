@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in ``spark.checkpoint.dir``; a temporary folder is set only where the cluster names none."""
+    """``checkpoint()`` in ``spark.checkpoint.dir``; a temporary folder is set only where none is named and the master is local."""
     spark = df.sparkSession
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not root and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="wattweave-"))
     return df.checkpoint()
