@@ -121,16 +121,17 @@ def rename_covariates(df: DataFrame, mapping: Mapping[str, str], keys: Sequence[
 def gap_fill(df: DataFrame, value: str, max_gap: int = 12, key: str = "uid", ts: str = "ts") -> DataFrame:
     """Linear values in gaps of up to ``max_gap`` rows between known ones; then rows still null go.
 
-    Rows are taken as evenly spaced. Longer gaps, and gaps at either end, stay
+    Rows are taken as evenly spaced. The next known value is the last one of the
+    descending order, so that both windows grow row by row. Longer gaps, and gaps at either end, stay
     null. (The line stands in for a cubic spline.)
     """
-    w = Window.partitionBy(key).orderBy(ts)
+    w, back = Window.partitionBy(key).orderBy(ts), Window.partitionBy(key).orderBy(F.col(ts).desc())
     numbered = df.withColumn("_i", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
     spanned = numbered.withColumns(
         {
             "_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+            "_b": F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
     gap = F.col("_b.i") - F.col("_a.i") - 1
@@ -150,12 +151,12 @@ def interpolate_to_grid(df: DataFrame, cols: Sequence[str], step_seconds: int, k
     )
     grid = span.select(key, F.explode(F.sequence("a", "b", F.lit(step_seconds).cast("long"))).alias("_s")).withColumn("_g", F.lit(True))
     both = grid.unionByName(sec.withColumn("_g", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_s", "_g")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(key).orderBy("_s", "_g").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(F.col("_s").desc(), F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for c in cols:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("_s").alias("s"), F.col(c).cast("double").alias("v")))
-        a, b = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+        a, b = F.last(known, ignorenulls=True).over(back), F.last(known, ignorenulls=True).over(ahead)
         line = a["v"] + (b["v"] - a["v"]) * (F.col("_s") - a["s"]) / F.greatest(b["s"] - a["s"], F.lit(1))
         out[c] = F.coalesce(line, a["v"], b["v"])
     return both.withColumns(out).where("_g").select(key, F.timestamp_seconds("_s").alias(ts), *cols)
@@ -176,12 +177,13 @@ def impute_regression(
     from pyspark.ml.regression import GBTRegressor
 
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
+    gaps = null_shares(df, cols)
     filled = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in cols}).withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in cols}
     )
     for _ in range(rounds):
         for c in cols:
-            if means[c] is None:
+            if means[c] is None or not gaps[c]:  # nothing to learn from, or nothing to fill
                 continue
             inputs = [x for x in [*cols, *predictors] if x != c and means.get(x, 0) is not None]
             data = VectorAssembler(inputCols=inputs, outputCol="_x").transform(filled)

@@ -119,11 +119,53 @@ def detection_sweep(hours: DataFrame, thetas_m: Sequence[float], thetas_t: Seque
     return confusion_metrics(told, "_m", "_t", [key, "theta_m", "theta_t"]).select(key, "theta_m", "theta_t", "balanced_accuracy")
 
 
+def detection_tables(hours: DataFrame, thetas_m: Sequence[float], thetas_t: Sequence[float], uses: Sequence[tuple[str, str]], key: str = "uid") -> DataFrame:
+    """theta_m, theta_t, first, second, model, truth, match: joint tables of two detections, as means over users.
+
+    ``uses`` names (model ratio, true kWh) of each of the two. In a cell
+    (first on, second on) ``model`` is the share of a user's hours that the model
+    puts there, ``truth`` that of the true states, ``match`` the share of the
+    latter that the model puts there too (users without such hours aside). The
+    thresholds are exploded onto each row.
+    """
+    probs = F.array(*[F.lit(float(t)) for t in thetas_t])
+    bounds = hours.groupBy(key).agg(*[F.percentile(t, probs).alias(f"_q{i}") for i, (_, t) in enumerate(uses)])
+    cells = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(t)).alias("t"), F.lit(i).alias("i")) for m in thetas_m for i, t in enumerate(thetas_t)])
+    rows = hours.join(bounds, key).withColumn("c", F.explode(cells))
+    on = {f"m{i}": F.col(m) > F.col("c.m") for i, (m, _) in enumerate(uses)} | {f"t{i}": F.col(t) > F.element_at(f"_q{i}", F.col("c.i") + 1) for i, (_, t) in enumerate(uses)}
+    told = rows.select(key, F.col("c.m").alias("theta_m"), F.col("c.t").alias("theta_t"), *[c.alias(n) for n, c in on.items()])
+    share = lambda c: F.avg(c.cast("double"))
+    out = []
+    for a in (False, True):
+        for b in (False, True):
+            model, truth = (F.col("m0") == a) & (F.col("m1") == b), (F.col("t0") == a) & (F.col("t1") == b)
+            out.append(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), share(model).alias("model"), share(truth).alias("truth"), F.avg(F.when(truth, model.cast("double"))).alias("match")))
+    users = told.groupBy(key, "theta_m", "theta_t").agg(F.array(*out).alias("_c")).select("theta_m", "theta_t", F.explode("_c").alias("c")).select("theta_m", "theta_t", "c.*")
+    return users.groupBy("theta_m", "theta_t", "first", "second").agg(*[F.avg(c).alias(c) for c in ("model", "truth", "match")])
+
+
+def sweep_pivot(sweep: DataFrame, thetas_m: Sequence[float], value: str = "balanced_accuracy") -> DataFrame:
+    """theta_t and a column for each theta_m (``m_<value>``): the mean over users of a :func:`detection_sweep`."""
+    wide = sweep.groupBy("theta_t").pivot("theta_m", [float(m) for m in thetas_m]).agg(F.avg(value))
+    return wide.withColumnsRenamed({str(float(m)): f"m_{m:g}".replace(".", "_") for m in thetas_m})
+
+
 def distribution_summary(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """n, mean, sd and exact quantiles (array ``q``) by group."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q")
-    )
+    """n, mean, sd and exact (interpolated) quantiles (array ``q``) by group.
+
+    Groups may hold most of the table, so values aren't gathered by group: they
+    are ranked by ranges of (group, value), and only the two neighbours of each
+    quantile are kept.
+    """
+    from wattweave.spread import ordered_rank
+
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    ranked = ordered_rank(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), [F.col("_v")], "_i", by)
+    at = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    near = [F.max(F.when(F.col("_i") == F.floor(at(p)) + 1, F.col("_v"))).alias(f"a{j}") for j, p in enumerate(probs)] + [F.max(F.when(F.col("_i") == F.ceil(at(p)) + 1, F.col("_v"))).alias(f"b{j}") for j, p in enumerate(probs)]
+    kept = ranked.join(sums.select(*by, "n"), list(by)).groupBy(*by).agg(F.max("n").alias("n"), *near)
+    q = F.array(*[F.col(f"a{j}") + (F.col(f"b{j}") - F.col(f"a{j}")) * (at(p) - F.floor(at(p))) for j, p in enumerate(probs)])
+    return sums.join(kept.select(*by, q.alias("q")), list(by), "left")
 
 
 def shannon_entropy(df: DataFrame, key: str, symbol: str) -> DataFrame:

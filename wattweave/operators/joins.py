@@ -47,3 +47,10 @@ def join_on_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], suffixes: tupl
     """Inner join on several keys; columns that both have get suffixes."""
     both = [c for c in a.columns if c in b.columns and c not in keys]
     return a.withColumnsRenamed({c: c + suffixes[0] for c in both}).join(b.withColumnsRenamed({c: c + suffixes[1] for c in both}), list(keys))
+
+
+def regions_with_values(regions: DataFrame, values: DataFrame, key: str, order: str) -> DataFrame:
+    """Every row of a region (the points of its outline, say) with its values, by id and then ``order``, with its ``place`` in that order."""
+    from wattweave.spread import ordered_rank
+
+    return ordered_rank(regions.join(values, key), [F.col(key), F.col(order)], "place").orderBy("place")

@@ -51,7 +51,11 @@ def top_k(df: DataFrame, by: str, k: int, tie: str = "uid", partition: Sequence[
 
 
 def cumulative_contribution(df: DataFrame, model: str, truth: str, by: Sequence[str] = (), tie: str = "uid") -> DataFrame:
-    """by, n, cum_model, cum_truth, rel_err: absolute true response of the first n under the model's order and under its own."""
+    """by, n, cum_model, cum_truth, rel_err: absolute true response of the first n under the model's order and under its own.
+
+    A group of ``by`` is ordered in one task; without ``by`` the whole table is
+    one group, which suits tables of a row for each household.
+    """
     part = [F.col(c) for c in by] or [F.lit(0)]
 
     def run(order: str, name: str) -> DataFrame:
@@ -68,7 +72,7 @@ def temperature_gradient(df: DataFrame, value: str, grid: str = "grid", key: str
     w = Window.partitionBy(key).orderBy(grid)
     diff = df.withColumn("_d", F.col(value) - F.lag(value).over(w))
     back = F.last("_d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_d", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("_d", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.col(grid).desc()).rowsBetween(Window.unboundedPreceding, 0))
     return diff.withColumn("slope", F.coalesce(back, ahead)).drop("_d")
 
 
@@ -79,16 +83,23 @@ def similar_days(profiles: DataFrame, forecast: Column, d: int, key: str = "uid"
 
 
 def acf(df: DataFrame, value: str, max_lag: int, z: float = 1.96, key: str = "uid", ts: str = "ts") -> DataFrame:
-    """uid, lag, acf (denominator n), significant (|acf| > z / sqrt n). Each row meets its max_lag predecessors by an equi-join."""
+    """uid, lag, acf (denominator n), significant (|acf| > z / sqrt n). All lags come from one ordered window and one aggregation."""
     w = Window.partitionBy(key)
-    centred = df.where(F.col(value).isNotNull()).select(
-        key, F.row_number().over(w.orderBy(ts)).alias("i"), (F.col(value) - F.avg(value).over(w)).alias("x")
+    centred = df.where(F.col(value).isNotNull()).select(key, ts, (F.col(value) - F.avg(value).over(w)).alias("x"))
+    lagged = centred.select(key, "x", *[F.lag("x", k).over(w.orderBy(ts)).alias(f"x{k}") for k in range(1, max_lag + 1)])
+    sums = lagged.groupBy(key).agg(
+        F.sum(F.col("x") * F.col("x")).alias("c0"), F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(F.col("x") * F.col(f"x{k}")) for k in range(1, max_lag + 1)]).alias("c"),
     )
-    total = centred.groupBy(key).agg(F.sum(F.col("x") * F.col("x")).alias("c0"), F.count(F.lit(1)).alias("n"))
-    lags = centred.select(key, F.col("x").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"), "i").withColumn("i", F.col("i") + F.col("lag"))
-    sums = centred.join(lags, [key, "i"]).groupBy(key, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
-    r = F.when(F.col("c0") > 0, F.col("c") / F.col("c0"))
-    return sums.join(total, key).select(key, "lag", r.alias("acf"), (F.abs(r) > z / F.sqrt("n")).alias("significant"))
+    told = sums.select(key, "c0", "n", F.posexplode("c").alias("lag", "s")).where("s IS NOT NULL")
+    r = F.when(F.col("c0") > 0, F.col("s") / F.col("c0"))
+    return told.select(key, (F.col("lag") + 1).alias("lag"), r.alias("acf"), (F.abs(r) > z / F.sqrt("n")).alias("significant"))
+
+
+def acf_against_model(df: DataFrame, value: str, model: str, max_lag: int, key: str = "uid", ts: str = "ts") -> DataFrame:
+    """uid, lag, acf of the value and acf_model of the model's fit, joined on the lag, and whether the first is significant."""
+    own = acf(df, value, max_lag, key=key, ts=ts)
+    return own.join(acf(df, model, max_lag, key=key, ts=ts).select(key, "lag", F.col("acf").alias("acf_model")), [key, "lag"])
 
 
 def pacf(acf_table: DataFrame, key: str = "uid") -> DataFrame:
@@ -114,6 +125,13 @@ def pacf(acf_table: DataFrame, key: str = "uid") -> DataFrame:
     return done.select(key, F.posexplode("p").alias("lag", "pacf")).select(key, (F.col("lag") + 1).alias("lag"), "pacf")
 
 
+def sort_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """All rows in the order of the keys, with their ``place`` in it from 1."""
+    from wattweave.spread import ordered_rank
+
+    return ordered_rank(df, [F.col(k) for k in keys], "place").orderBy("place")
+
+
 def first_last_observation(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return df.groupBy(key).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 

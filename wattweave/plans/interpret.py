@@ -1,12 +1,16 @@
-"""What fitted regimes mean: transitions, stationary shares, durations, labels, profiles. DataFrame expressions only."""
+"""What fitted regimes mean: transitions, stationary shares, durations, labels, profiles. DataFrame expressions, but for matrix powers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattweave.spread import small
+
 # Left-closed slope intervals of the thermal labels.
 SLOPES = (-2.0, -0.025, 0.025, 2.0)
 THERMAL = ("H.Hi", "H.Lo", "N", "C.Lo", "C.Hi")
@@ -14,7 +18,7 @@ THERMAL = ("H.Hi", "H.Lo", "N", "C.Lo", "C.Hi")
 
 def transition_matrix_at(tran: DataFrame, grid: DataFrame, t: str = "t") -> DataFrame:
     """uid, t, from, to, p: softmax over ``to`` of b0 + b1 t, for each temperature of the (small) grid."""
-    score = tran.crossJoin(F.broadcast(grid.select(t))).withColumn("_z", F.col("b0") + F.col("b1") * F.col(t))
+    score = tran.crossJoin(small(grid.select(t))).withColumn("_z", F.col("b0") + F.col("b1") * F.col(t))
     w = Window.partitionBy("uid", "from", t)
     e = F.exp(F.col("_z") - F.max("_z").over(w))
     return score.withColumn("_e", e).select("uid", t, "from", "to", (F.col("_e") / F.sum("_e").over(w)).alias("p"))
@@ -35,22 +39,48 @@ def row_times(v: Column, m: Column) -> Column:
     )
 
 
+def _limits(batches: Iterator[pa.RecordBatch], squarings: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            k = round(float(size) ** 0.5)
+            if k * k != size or not k:
+                raise ValueError(f"a matrix of {size} probabilities is not square")
+            m = (flat[starts[rows][:, None] + np.arange(size)].reshape(-1, k, k) + np.eye(k)) / 2
+            for _ in range(squarings):
+                m = m @ m
+            pi = m.mean(axis=1)
+            pi /= pi.sum(axis=1, keepdims=True)  # squaring lets the scale drift a little
+            at = pa.array(np.repeat(rows, k))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(rows))), pa.array(pi.ravel())],
+                names=[*batch.schema.names[:2], "state", "pi"],
+            )
+
+
 def stationary_distribution(p: DataFrame, t: str = "t", squarings: int = 30) -> DataFrame:
-    """uid, t, state, pi: the limit of the lazy chain (I + P) / 2, by repeated squaring of its matrix in each row.
+    """uid, t, state, pi: the limit of the lazy chain (I + P) / 2, by repeated squaring of all matrices of an Arrow batch at once.
 
     The lazy chain has the same stationary distribution and always converges,
     also where P alternates; with several closed classes the result starts from
-    the uniform distribution.
+    the uniform distribution. ``p`` holds all K x K moves of each uid and t.
     """
-    mats = _matrix(p, ["uid", t])
-    lazy = F.transform("m", lambda row, i: F.transform(row, lambda x, j: (x + F.when(i == j, 1.0).otherwise(0.0)) / 2))
-    square = lambda m, _: F.transform(m, lambda row: row_times(row, m))
-    power = F.aggregate(F.sequence(F.lit(1), F.lit(squarings)), lazy, square)
-    k = F.size("m")
-    uniform = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(1.0) / k)
-    pi = mats.withColumn("_p", power).select("uid", t, row_times(uniform, F.col("_p")).alias("_pi"))
-    total = F.aggregate("_pi", F.lit(0.0), lambda a, x: a + x)  # squaring lets the scale drift a little
-    return pi.select("uid", t, F.posexplode(F.transform("_pi", lambda x: x / total)).alias("_s", "pi")).select("uid", t, (F.col("_s") + 1).alias("state"), "pi")
+    cells = F.array_sort(F.collect_list(F.struct("from", "to", "p")))
+    mats = p.groupBy("uid", t).agg(F.transform(cells, lambda s: s["p"].cast("double")).alias("m"))
+    kinds = dict(p.dtypes)
+    return mats.mapInArrow(lambda batches: _limits(batches, squarings), f"uid {kinds['uid']}, {t} {kinds[t]}, state int, pi double")
+
+
+def response_by_degree(stationary: DataFrame, resp: DataFrame, t: str = "t", value: str = "slope", spread: str = "se_slope") -> DataFrame:
+    """uid, t, mean_response, mean_se, map_response, map_se: response and its error weighted by the stationary shares of a degree, and those of its likeliest state."""
+    rows = stationary.join(resp.select("uid", "state", F.col(value).alias("_v"), F.col(spread).alias("_s")), ["uid", "state"])
+    likeliest = F.max_by(F.struct("_v", "_s"), F.struct(F.round("pi", 9), -F.col("state")))
+    return rows.groupBy("uid", t).agg(
+        F.sum(F.col("pi") * F.col("_v")).alias("mean_response"), F.sum(F.col("pi") * F.col("_s")).alias("mean_se"), likeliest.alias("_m")
+    ).select("uid", t, "mean_response", "mean_se", F.col("_m._v").alias("map_response"), F.col("_m._s").alias("map_se"))
 
 
 def expected_duration(p: DataFrame, t: str = "t") -> DataFrame:
@@ -128,14 +158,35 @@ def profile_covariance(dist: DataFrame, p: DataFrame, resp: DataFrame, step: str
     return out.select("uid", "h1", "o.h2", (F.col("o.c") * (0.5 if compat else 1.0)).alias("cov"))
 
 
+def propagated(models: dict[str, DataFrame], forecast: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step matrices of a forecast of (hour, t), and the shares of states that follow from them."""
+    p = transition_matrix_at(models["model_transition"], forecast.select("t").distinct()).join(small(forecast), "t")
+    return p, propagate_state_distribution(models["model_init"], p)
+
+
 def compute_profiles(models: dict[str, DataFrame], forecast: DataFrame) -> DataFrame:
-    """uid, hour, kind (slope, baseload), mu, sd of every user over a forecast of (hour, t)."""
-    p = transition_matrix_at(models["model_transition"], forecast).join(F.broadcast(forecast), "t")
-    dist = propagate_state_distribution(models["model_init"], p)
-    resp = models["model_response"]
-    slope = profile_moments(dist, resp).withColumn("kind", F.lit("slope"))
-    base = profile_moments(dist, resp, value="intercept", spread="sd").withColumn("kind", F.lit("baseload"))
-    return slope.unionByName(base)
+    """uid, hour, kind (slope, baseload, volatility), mu, sd of every user over a forecast of (hour, t).
+
+    ``model_response`` holds intercept, slope, sd and the standard errors
+    se_intercept and se_slope. Volatility has mean 0 and the spread of the
+    states' residuals.
+    """
+    _, dist = propagated(models, forecast)
+    resp = models["model_response"].withColumn("_zero", F.lit(0.0))
+    kinds = {"slope": ("slope", "se_slope"), "baseload": ("intercept", "se_intercept"), "volatility": ("_zero", "sd")}
+    parts = [profile_moments(dist, resp, value=v, spread=e).withColumn("kind", F.lit(k)) for k, (v, e) in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def compute_profile_covariances(models: dict[str, DataFrame], forecast: DataFrame, compat: bool = False) -> DataFrame:
+    """uid, kind (slope, baseload), h1, h2, cov for all hours h1 <= h2 of a forecast; on the diagonal the variance of :func:`compute_profiles`."""
+    p, dist = propagated(models, forecast)
+    resp, out = models["model_response"], None
+    for kind, value, spread in (("slope", "slope", "se_slope"), ("baseload", "intercept", "se_intercept")):
+        own = profile_moments(dist, resp, value=value, spread=spread).select("uid", F.col("hour").cast("long").alias("h1"), F.col("hour").cast("long").alias("h2"), (F.col("sd") * F.col("sd")).alias("cov"))
+        one = profile_covariance(dist, p, resp, value=value, compat=compat).unionByName(own).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def detect_state_labels(decoded: DataFrame, theta_m: float, theta_t: float) -> DataFrame:
@@ -179,12 +230,12 @@ def temperature_state_profile(states: DataFrame, value: str = "temperature_f", l
     return n.select("uid", "grid", "state", (F.col("n") / F.sum("n").over(Window.partitionBy("uid", "grid"))).alias("share"))
 
 
-def residual_summary(decoded: DataFrame, obs: str = "obs", fit: str = "fit", key: str = "uid") -> DataFrame:
-    """uid, mape (over the fit), r2, rmse, and the Jarque-Bera statistic of the residuals."""
+def residual_summary(decoded: DataFrame, obs: str = "obs", fit: str = "fit", keys: Sequence[str] = ("uid",)) -> DataFrame:
+    """keys (user, or user and state), n, mape (over the fit), r2, rmse, and the Jarque-Bera statistic of the residuals."""
     r = F.col(obs) - F.col(fit)
-    out = decoded.where(r.isNotNull()).withColumn("_r", r).groupBy(key).agg(
+    out = decoded.where(r.isNotNull()).withColumn("_r", r).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(fit) != 0, F.abs(r / F.col(fit)))).alias("mape"), F.sum(r * r).alias("_sse"),
         (F.var_pop(obs) * F.count(obs)).alias("_sst"), F.skewness("_r").alias("_g"), F.kurtosis("_r").alias("_k"),
     )
     jb = F.col("n") / 6 * (F.col("_g") * F.col("_g") + F.col("_k") * F.col("_k") / 4)
-    return out.select(key, "n", "mape", F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")).alias("r2"), F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"), jb.alias("jarque_bera"))
+    return out.select(*keys, "n", "mape", F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")).alias("r2"), F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"), jb.alias("jarque_bera"))

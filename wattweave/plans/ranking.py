@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def normal_tail(z: Column) -> Column:
-    """Two-sided tail of the standard normal, by a fixed rational approximation of erfc (error below 2e-7)."""
+    """Two-sided tail of the standard normal."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
+    return erfc(x)
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, by a fixed rational approximation (error below 2e-7)."""
     t = 1 / (1 + 0.5 * x)
     # The coefficients of the approximation, constant term first.
     c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -48,32 +55,63 @@ def response_tiers(df: DataFrame, col: str = "tau", bounds: tuple[float, float]
     return df.withColumn("tier", F.when(F.col(col) < bounds[0], "low").when(F.col(col) < bounds[1], "medium").when(F.col(col).isNotNull(), "high"))
 
 
-def normalise_rows(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Adds ``relative``: the value over the largest of its row group."""
-    top = F.max(F.abs(F.col(value))).over(Window.partitionBy(*by))
-    return df.withColumn("relative", F.when(top > 0, F.col(value) / top))
+def normalise_rows(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``relative``: the absolute value's share of the largest of its row group, or of the whole table."""
+    if not by:
+        top = df.agg(F.max(F.abs(F.col(value))).alias("_top"))  # one row
+        joined = df.crossJoin(F.broadcast(top))
+    else:
+        joined = df.join(df.groupBy(*by).agg(F.max(F.abs(F.col(value))).alias("_top")), list(by))
+    return joined.withColumn("relative", F.when(F.col("_top") > 0, F.col(value) / F.col("_top"))).select(*df.columns, "relative")
+
+
+def _distances(means: np.ndarray, covariance: np.ndarray, orders: np.ndarray, n: int, sweeps: int = 3000) -> np.ndarray:
+    """The distance of each order (rows of item places) to scores with these means and this covariance.
+
+    With m the differences of neighbours in the order and S their covariance,
+    the least n (x - m)' S^-1 (x - m) over x >= 0, as n z' S z with z >= 0,
+    S z + m >= 0 and the two complementary; solved for all orders together by
+    coordinate steps.
+    """
+    a, b = orders[:, :-1], orders[:, 1:]
+    m = means[a] - means[b]
+    c = lambda x, y: covariance[x[:, :, None], y[:, None, :]]
+    s = c(a, a) - c(a, b) - c(b, a) + c(b, b) + 1e-5 * np.eye(a.shape[1])
+    z = np.zeros_like(m)
+    for _ in range(sweeps):
+        moved = 0.0
+        for i in range(m.shape[1]):
+            new = np.maximum(0.0, z[:, i] - (m[:, i] + np.einsum("bj,bj->b", s[:, i], z)) / s[:, i, i])
+            moved = max(moved, np.abs(new - z[:, i]).max())
+            z[:, i] = new
+        if moved <= 1e-10 * (1 + np.abs(z).max()):
+            break
+    return np.sqrt(np.maximum(n * np.einsum("bi,bij,bj->b", z, s, z), 0.0))
 
 
-def drank(scores: DataFrame, truth: DataFrame, replicates: int = 200, seed: int = 1, key: str = "uid") -> DataFrame:
-    """distance, p of replicated scores against a true ranking.
+def drank(scores: DataFrame, truth: DataFrame, ks: Sequence[int], replicates: int = 200, seed: int = 1, key: str = "uid") -> DataFrame:
+    """k, distance, p of the true ranking's first k items against replicated scores.
 
-    ``scores(rep, uid, score)``, ``truth(uid, rank)``. Distance is the mean
-    share of pairs that the mean score puts in the wrong order; p the share of
-    bootstrap resamples of the replicates whose distance is no smaller than
-    that of the whole. Resamples are Poisson weights drawn by a hash, so they
-    cost one aggregation.
+    ``scores(rep, uid, score)`` with a score of every item in every replicate,
+    ``truth(uid, rank)``. Distance is that of the mean differences between
+    neighbours of the ranking, scaled by their covariance over the replicates,
+    to the nearest means that the ranking would hold for; p the share of
+    bootstrap resamples of the replicates whose own ranking is no nearer.
+    One group for each k, of max(ks) items at most.
     """
-    ranked = scores.join(truth, key)
-    draws = ranked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "rep"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    # Poisson(1) by its distribution function.
-    weight = F.when(F.col("b") == 0, 1).when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).otherwise(4)
-    means = draws.withColumn("w", weight).groupBy("b", key, "rank").agg(F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum("w").cast("double")).alias("m")).where("m IS NOT NULL")
-    w = Window.partitionBy("b").orderBy(F.col("m").desc(), key)
-    placed = means.withColumn("place", F.row_number().over(w))
-    n = F.count(F.lit(1))
-    foot = placed.groupBy("b").agg((F.sum(F.abs(F.col("place") - F.col("rank"))) / (n * n / 2)).alias("d"))
-    whole = F.max(F.when(F.col("b") == 0, F.col("d")))
-    return foot.agg(whole.alias("distance"), F.collect_list(F.when(F.col("b") > 0, F.col("d"))).alias("_d")).select(
-        "distance", (F.size(F.filter("_d", lambda x: x >= F.col("distance"))) / F.size("_d")).alias("p")
-    )
+    items = truth.where(F.col("rank") <= max(ks)).select(F.col(key).cast("string").alias("_item"), "rank")
+    rows = scores.select(F.col(key).cast("string").alias("_item"), F.col("rep").cast("string").alias("_rep"), "score").join(items, "_item")
+    rows = rows.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).where(F.col("rank") <= F.col("k"))
+
+    def distance(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot_table(index="_rep", columns="rank", values="score").dropna().to_numpy(float)  # places in true order
+        n, items = x.shape
+        if n < 2 or items < 2:
+            return pd.DataFrame({"k": [group[0]], "distance": [None], "p": [None]}).astype({"distance": float, "p": float})
+        rng = np.random.default_rng([seed, int(group[0])])
+        drawn = x[rng.integers(0, n, (replicates, n))].mean(axis=1)
+        orders = np.concatenate([np.arange(items)[None], np.argsort(-drawn, axis=1, kind="stable")])
+        d = _distances(x.mean(axis=0), np.cov(x, rowvar=False).reshape(items, items), orders, n)
+        return pd.DataFrame({"k": [group[0]], "distance": [d[0]], "p": [(d[1:] >= d[0]).mean()]})
+
+    return rows.groupBy("k").applyInPandas(distance, "k int, distance double, p double")

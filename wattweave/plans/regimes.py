@@ -14,42 +14,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattweave.plans.chains import chi2_tail
+from wattweave.storage import cut_lineage
+
 FITTED = "uid {uid}, k int, kind string, state int, to_state int, a double, b double, sd double, loglik double, iterations int"
 DECODED = "uid {uid}, ts timestamp, state int, delta array<double>, gamma array<double>, fit_max double, fit_avg double, loglik double"
 
 
 def _log_density(y: np.ndarray, x: np.ndarray, beta: np.ndarray, sd: np.ndarray) -> np.ndarray:
-    """T x K log densities; a missing observation has density 1."""
-    mean = beta[:, 0] + np.outer(x, beta[:, 1])
-    out = -0.5 * ((y[:, None] - mean) / sd) ** 2 - np.log(sd) - 0.5 * np.log(2 * np.pi)
+    """... x T x K log densities; a missing observation has density 1."""
+    beta, sd = beta[..., None, :, :], sd[..., None, :]
+    out = -0.5 * ((y[:, None] - beta[..., 0] - x[:, None] * beta[..., 1]) / sd) ** 2 - np.log(sd) - 0.5 * np.log(2 * np.pi)
     return np.where(np.isnan(y)[:, None], 0.0, out)
 
 
 def _transitions(x: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """T-1 x K x K: the move from t to t + 1 has the covariate of t."""
-    z = b0 + b1 * x[:-1, None, None]
-    z = np.exp(z - z.max(axis=2, keepdims=True))
-    return z / z.sum(axis=2, keepdims=True)
+    """... x T-1 x K x K: the move from t to t + 1 has the covariate of t."""
+    z = b0[..., None, :, :] + b1[..., None, :, :] * x[:-1, None, None]
+    z = np.exp(z - z.max(axis=-1, keepdims=True))
+    return z / z.sum(axis=-1, keepdims=True)
 
 
-def forward_backward(log_b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """gamma (T x K), xi (T-1 x K x K) and the log-likelihood, scaled at each step."""
-    top = log_b.max(axis=1, keepdims=True)
+def forward_backward(log_b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gamma (... x T x K), xi (... x T-1 x K x K) and the log-likelihood, scaled at each step; further runs in leading dimensions."""
+    top = log_b.max(axis=-1, keepdims=True)
     b = np.exp(log_b - top)
-    n, k = b.shape
-    alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
-    row = pi * b[0]
+    n = b.shape[-2]
+    alpha, beta, scale = np.empty_like(b), np.ones_like(b), np.empty(b.shape[:-1])
+    row = pi * b[..., 0, :]
     for t in range(n):
         if t:
-            row = (alpha[t - 1] @ a[t - 1]) * b[t]
-        scale[t] = max(row.sum(), 1e-300)
-        alpha[t] = row / scale[t]
+            row = (alpha[..., t - 1, :, None] * a[..., t - 1, :, :]).sum(axis=-2) * b[..., t, :]
+        scale[..., t] = np.maximum(row.sum(axis=-1), 1e-300)
+        alpha[..., t, :] = row / scale[..., t, None]
     for t in range(n - 2, -1, -1):
-        beta[t] = a[t] @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+        beta[..., t, :] = (a[..., t, :, :] * (b[..., t + 1, :] * beta[..., t + 1, :] / scale[..., t + 1, None])[..., None, :]).sum(axis=-1)
     gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    xi = alpha[:-1, :, None] * a * (b[1:] * beta[1:] / scale[1:, None])[:, None, :]
-    return gamma, xi, float(np.log(scale).sum() + top.sum())
+    gamma /= gamma.sum(axis=-1, keepdims=True)
+    xi = alpha[..., :-1, :, None] * a * (b[..., 1:, :] * beta[..., 1:, :] / scale[..., 1:, None])[..., None, :]
+    return gamma, xi, np.log(scale).sum(axis=-1) + top.sum(axis=(-2, -1))
 
 
 def viterbi(log_b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,66 +74,57 @@ def viterbi(log_b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarra
     return path, delta
 
 
-def _logit_step(xi: np.ndarray, x: np.ndarray, b0: np.ndarray, b1: np.ndarray, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Newton steps of the weighted multinomial logit of each source state; the first target is the base."""
-    b0, b1 = b0.copy(), b1.copy()
-    k = len(b0)
-    for i in range(k):
-        w, target = xi[:, i, :].sum(axis=1), xi[:, i, :]
-        for _ in range(steps):
-            p = _transitions(np.append(x, 0.0), b0[i : i + 1], b1[i : i + 1])[:, 0, :]
-            r = target - w[:, None] * p
-            g = np.concatenate([r[:, 1:].sum(axis=0), (r[:, 1:] * x[:, None]).sum(axis=0)])
-            h = np.zeros((2 * (k - 1),) * 2)
-            for u in range(1, k):
-                for v in range(1, k):
-                    c = w * p[:, u] * ((u == v) - p[:, v])
-                    for bu, xu in ((0, 1.0), (k - 1, x)):
-                        for bv, xv in ((0, 1.0), (k - 1, x)):
-                            h[bu + u - 1, bv + v - 1] = (c * xu * xv).sum()
-            move = np.linalg.solve(h + 1e-3 * np.eye(len(h)), g - 1e-3 * np.concatenate([b0[i, 1:], b1[i, 1:]]))
-            move = np.clip(move, -2, 2)
-            b0[i, 1:] += move[: k - 1]
-            b1[i, 1:] += move[k - 1 :]
-            if np.abs(move).max() < 1e-6:
-                break
+def _logit_step(xi: np.ndarray, x: np.ndarray, b0: np.ndarray, b1: np.ndarray, steps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Newton steps of the weighted multinomial logits of all runs and source states; the first target is the base."""
+    k, powers = b0.shape[-1], np.stack([np.ones_like(x), x, x * x], axis=1)
+    w = xi.sum(axis=-1)
+    for _ in range(steps):
+        p = _transitions(np.append(x, 0.0), b0, b1)
+        g = np.einsum("tm,rtku->rkmu", powers[:, :2], (xi - w[..., None] * p)[..., 1:]).reshape(*b0.shape[:2], -1)
+        c = w[..., None, None] * p[..., 1:, None] * (np.eye(k - 1) - p[..., None, 1:])
+        h = np.einsum("tm,rtkuv->rkmuv", powers, c)
+        rows = np.concatenate([np.concatenate([h[:, :, a + b] for b in (0, 1)], axis=-1) for a in (0, 1)], axis=-2)
+        held = np.concatenate([b0[..., 1:], b1[..., 1:]], axis=-1)
+        move = np.clip(np.linalg.solve(rows + 1e-3 * np.eye(2 * (k - 1)), (g - 1e-3 * held)[..., None])[..., 0], -2, 2)
+        held = held + move
+        zero = np.zeros_like(b0[..., :1])
+        b0, b1 = np.concatenate([zero, held[..., : k - 1]], axis=-1), np.concatenate([zero, held[..., k - 1 :]], axis=-1)
     return b0, b1
 
 
 def fit_series(y: np.ndarray, x: np.ndarray, k: int, seed: int, maxit: int = 60, tol: float = 1e-6, restarts: int = 3) -> dict:
-    """EM from several random starts; the best likelihood wins. States are sorted by slope, then intercept."""
+    """EM from several random starts side by side; the best likelihood wins. States are sorted by slope, then intercept."""
     scale = max(float(np.nanstd(x)), 1e-9)
     z = (x - np.nanmean(x)) / scale  # the logit sees a standardised covariate
-    ok = ~np.isnan(y)
+    ok, runs = ~np.isnan(y), 1 if k == 1 else restarts
     design = np.stack([np.ones_like(x), x], axis=1)
-    best: dict = {"loglik": -np.inf}
-    for start in range(1 if k == 1 else restarts):
-        rng = np.random.default_rng([seed, start])
-        gamma = rng.dirichlet(np.ones(k), len(y)) if k > 1 else np.ones((len(y), 1))
-        if k > 1:  # cut by level, with noise, so that states start apart
+    gamma = np.ones((runs, len(y), k))
+    if k > 1:
+        for run in range(runs):  # cut by level, with noise, so that states start apart
+            rng = np.random.default_rng([seed, run])
+            mixed = rng.dirichlet(np.ones(k), len(y))
             level = np.argsort(np.argsort(np.where(ok, y, np.nanmean(y)) + rng.normal(0, 0.3 * np.nanstd(y), len(y)))) * k // len(y)
-            gamma = 0.2 * gamma + 0.8 * np.eye(k)[level]
-        b0, b1, pi = np.zeros((k, k)), np.zeros((k, k)), np.full(k, 1 / k)
-        beta, sd, last, trace = np.zeros((k, 2)), np.ones(k), -np.inf, 0
-        for trace in range(maxit):
-            for j in range(k):
-                w = gamma[ok, j]
-                gram = (design[ok] * w[:, None]).T @ design[ok] + 1e-9 * np.eye(2)
-                beta[j] = np.linalg.solve(gram, (design[ok] * w[:, None]).T @ y[ok])
-                sd[j] = np.sqrt(max((w * (y[ok] - design[ok] @ beta[j]) ** 2).sum() / max(w.sum(), 1e-9), 1e-8))
-            gamma, xi, loglik = forward_backward(_log_density(y, x, beta, sd), _transitions(z, b0, b1), pi)
-            if loglik - last < tol * abs(loglik):
-                break
-            last = loglik
-            pi = gamma[0]
-            if k > 1:
-                b0, b1 = _logit_step(xi, z[:-1], b0, b1)
-        if loglik > best["loglik"]:
-            best = {"loglik": loglik, "beta": beta.copy(), "sd": sd.copy(), "pi": pi.copy(), "b0": b0, "b1": b1, "iterations": trace + 1}
-    order = np.lexsort((best["beta"][:, 0], best["beta"][:, 1]))
-    raw1 = best["b1"] / scale
-    raw0 = best["b0"] - raw1 * np.nanmean(x)
-    return best | {"beta": best["beta"][order], "sd": best["sd"][order], "pi": best["pi"][order], "b0": raw0[np.ix_(order, order)], "b1": raw1[np.ix_(order, order)]}
+            gamma[run] = 0.2 * mixed + 0.8 * np.eye(k)[level]
+    b0, b1, pi, last = np.zeros((runs, k, k)), np.zeros((runs, k, k)), np.full((runs, k), 1 / k), np.full(runs, -np.inf)
+    d, seen = design[ok], y[ok]
+    for trace in range(maxit):
+        w = gamma[:, ok]
+        gram = np.einsum("rtk,ti,tj->rkij", w, d, d) + 1e-9 * np.eye(2)
+        beta = np.linalg.solve(gram, np.einsum("rtk,ti,t->rki", w, d, seen)[..., None])[..., 0]
+        off = seen[None, :, None] - np.einsum("ti,rki->rtk", d, beta)
+        sd = np.sqrt(np.maximum((w * off**2).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-9), 1e-8))
+        gamma, xi, loglik = forward_backward(_log_density(y, x, beta, sd), _transitions(z, b0, b1), pi)
+        if trace == maxit - 1 or (loglik - last < tol * np.abs(loglik)).all():
+            break
+        last, pi = loglik, gamma[:, 0]
+        if k > 1:
+            b0, b1 = _logit_step(xi, z[:-1], b0, b1)
+    i = int(loglik.argmax())
+    order = np.lexsort((beta[i, :, 0], beta[i, :, 1]))
+    pick = np.ix_(order, order)
+    raw1 = b1[i] / scale
+    raw0 = b0[i] - raw1 * np.nanmean(x)
+    return {"loglik": float(loglik[i]), "iterations": trace + 1, "beta": beta[i][order], "sd": sd[i][order], "pi": pi[i][order], "b0": raw0[pick], "b1": raw1[pick]}
 
 
 def _rows(uid, k: int, m: dict) -> list[tuple]:
@@ -150,6 +144,12 @@ def fit_regimes(
     in with density 1. Series with fewer than 10 k observations are skipped. The
     seed depends on the series' name, so results repeat.
     """
+    pairs = df.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    return _fit_groups(pairs, obs, t, key, ts, maxit, restarts, seed)
+
+
+def _fit_groups(df: DataFrame, obs: str, t: str, key: str, ts: str, maxit: int = 60, restarts: int = 3, seed: int = 1) -> DataFrame:
+    """A fit of each user and size ``k`` of the rows."""
     kind = dict(df.dtypes)[key]
     names = ["uid", "k", "kind", "state", "to_state", "a", "b", "sd", "loglik", "iterations"]
 
@@ -162,8 +162,7 @@ def fit_regimes(
         own = zlib.crc32(f"{seed}/{uid}/{k}".encode())
         return pd.DataFrame(_rows(uid, k, fit_series(y, x, k, own, maxit, restarts=restarts)), columns=names)
 
-    pairs = df.select(F.col(key).alias("uid"), F.col(ts).alias(ts), obs, t).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return pairs.groupBy("uid", "k").applyInPandas(fit, FITTED.format(uid=kind))
+    return df.select(F.col(key).alias("uid"), F.col(ts).alias(ts), obs, t, "k").groupBy("uid", "k").applyInPandas(fit, FITTED.format(uid=kind))
 
 
 def split_models(fits: DataFrame, k: int | None = None) -> dict[str, DataFrame]:
@@ -221,26 +220,17 @@ def model_scores(fits: DataFrame, df: DataFrame, obs: str = "obs", key: str = "u
     )
 
 
-def _chi2_tail(x: float, df: int) -> float:
-    """P(chi-square with df degrees > x), by the recursion over degrees from 1 or 2."""
-    import math
-
-    if x <= 0 or df <= 0:
-        return 1.0
-    q = math.erfc(math.sqrt(x / 2)) if df % 2 else math.exp(-x / 2)
-    term = math.sqrt(2 * x / math.pi) * math.exp(-x / 2) if df % 2 else math.exp(-x / 2) * x / 2
-    for d in range(3 if df % 2 else 4, df + 1, 2):
-        q += term
-        term *= x / d
-    return min(1.0, q)
-
+def smooth_states(df: DataFrame, fits: DataFrame, obs: str = "obs", t: str = "t_d", key: str = "uid", ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """The forward-backward pass as tables: (uid, ts, state, gamma) of every row and state, and (uid, loglik)."""
+    told = decode_states(df, fits, obs, t, key, ts)
+    shares = told.select("uid", "ts", F.posexplode("gamma").alias("_s", "gamma")).select("uid", "ts", (F.col("_s") + 1).alias("state"), "gamma")
+    return shares, told.groupBy("uid").agg(F.max("loglik").alias("loglik"))
 
-def chi2_tail(x: F.Column, df: F.Column) -> F.Column:
-    @F.pandas_udf("double")
-    def tail(xs: pd.Series, dfs: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(d) else _chi2_tail(a, int(d)) for a, d in zip(xs, dfs, strict=True)], dtype=float)
 
-    return tail(x, df)
+def refit_chosen(df: DataFrame, chosen: DataFrame, obs: str = "obs", t: str = "t_d", **options) -> DataFrame:
+    """The fits on all rows of the sizes that :func:`select_model_size` chose, a size for each user."""
+    sized = df.join(chosen.where("chosen").select("uid", F.col("k").alias("_k")), "uid")
+    return _fit_groups(sized.withColumnRenamed("_k", "k"), obs, t, "uid", "ts", **options)
 
 
 def likelihood_ratio(scores: DataFrame, small: int, large: int) -> DataFrame:
@@ -253,12 +243,13 @@ def likelihood_ratio(scores: DataFrame, small: int, large: int) -> DataFrame:
 def select_model_size(df: DataFrame, k_min: int = 1, k_max: int = 3, thr_r2: float = 0.85, thr_mape: float = 0.10, obs: str = "obs", t: str = "t_d") -> DataFrame:
     """uid, k, r2, mape, chosen: fit on odd rows, score on even rows; the first k over a threshold, else the best R2.
 
-    All sizes are fitted at once, as groups of their own.
+    All sizes are fitted at once, as groups of their own; :func:`refit_chosen`
+    then fits the chosen size on all rows.
     """
     from wattweave.operators.windows import odd_even_split
 
     rows = odd_even_split(df.where(F.col(t).isNotNull()))
-    fits = fit_regimes(rows.where("fold = 1"), list(range(k_min, k_max + 1)), obs, t)
+    fits = cut_lineage(fit_regimes(rows.where("fold = 1"), list(range(k_min, k_max + 1)), obs, t))
     even = rows.where("fold = 0")
     scored = None
     for k in range(k_min, k_max + 1):
@@ -279,12 +270,12 @@ def fit_mixture(df: DataFrame, k: int, y: str = "obs", x: str = "t_d", iteration
 
     Distributed EM: responsibilities are columns, the M-step is one aggregation
     of weighted sums. Families: gaussian (with the regression), poisson and
-    binomial (0/1) with a mean only. Starts from equal quantile slices of y.
+    binomial (0/1) with a mean only. Starts from equal slices of y by approximate quantiles.
     """
     import math
 
     spark, rows = df.sparkSession, df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
-    cuts = rows.agg(F.percentile("y", F.array(*[F.lit((j + 0.5) / k) for j in range(k)])).alias("q"), F.stddev_pop("y").alias("s")).first()
+    cuts = rows.agg(F.percentile_approx("y", [(j + 0.5) / k for j in range(k)]).alias("q"), F.stddev_pop("y").alias("s")).first()
     if cuts["q"] is None:
         return spark.createDataFrame([], "state int, weight double, intercept double, slope double, sd double")
     par = [(1 / k, float(m), 0.0, max(float(cuts["s"] or 0) / k, 1e-6)) for m in cuts["q"]]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattweave.functions.vectors import square_distance
+from wattweave.spread import small
+from wattweave.storage import cut_lineage
 
 CENTRES = "cluster int, mu array<double>, se array<double>"
 
@@ -26,6 +30,19 @@ def kmeans_sweep(df: DataFrame, ks: Sequence[int], vector: str = "v", seed: int
     return df.sparkSession.createDataFrame(rows, "k int, within_ss double, explained double")
 
 
+def kmeans_labels(df: DataFrame, k: int, key: str = "id", vector: str = "v", seed: int = 1, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster) of every row with a vector, and (cluster, mu, n): labels and centres of one k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    data = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector)).alias("_v"))
+    model = KMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed, maxIter=iterations).fit(data)
+    labels = model.transform(data).select(key, "cluster")
+    centres = [(i, list(map(float, c))) for i, c in enumerate(model.clusterCenters())]
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return labels, df.sparkSession.createDataFrame(centres, "cluster int, mu array<double>").join(sizes, "cluster", "left")
+
+
 def elbow_table(costs: DataFrame, cost: str = "within_ss") -> DataFrame:
     """Adds ``change``: the relative fall from the k before. The table has a row for each k."""
     before = F.lag(cost).over(Window.partitionBy(F.lit(0)).orderBy("k"))
@@ -33,7 +50,7 @@ def elbow_table(costs: DataFrame, cost: str = "within_ss") -> DataFrame:
 
 
 def _start(df: DataFrame, k: int, key: str, vector: str) -> list[list[float]]:
-    """k spread rows: the one nearest the start of each of k slices of a hash order (a top-k, not a sort)."""
+    """The first k rows in the order of a hash of their keys (a top-k, not a sort)."""
     rows = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(key).cast("string")), key).select(vector).limit(k).collect()
     return [list(map(float, r[0])) for r in rows]
 
@@ -45,7 +62,8 @@ def _centres(spark: SparkSession, centres: list[list[float]]) -> DataFrame:
 def fuzzy_cmeans(df: DataFrame, k: int, m: float = 2.0, iterations: int = 15, key: str = "id", vector: str = "v") -> tuple[DataFrame, DataFrame]:
     """(id, cluster, membership) and (cluster, mu): soft memberships and centres. k centres are broadcast each round."""
     spark = df.sparkSession
-    points = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("x")).persist()
+    points = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("x"))
+    points = cut_lineage(points)
     centres = _start(points, k, key, "x")
 
     def memberships() -> DataFrame:
@@ -64,46 +82,84 @@ def fuzzy_cmeans(df: DataFrame, k: int, m: float = 2.0, iterations: int = 15, ke
     return out, spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cluster int, mu array<double>")
 
 
+def _assign(model: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """id, cluster, distance of points with a full covariance (rows of it, one after the other): the least (x - c)' S^-1 (x - c)."""
+    for batch in batches:
+        if len(batch):
+            x = np.stack(batch["x"].to_numpy()).astype(float)
+            s = np.stack(batch["s"].to_numpy()).astype(float).reshape(len(x), x.shape[1], x.shape[1])
+            gaps = x[:, None, :] - np.array(model)[None]
+            d = np.einsum("nkp,npk->nk", gaps, np.linalg.solve(s, gaps.transpose(0, 2, 1)))
+            best = d.argmin(axis=1)
+            yield pd.DataFrame({batch.columns[0]: batch.iloc[:, 0], "cluster": best.astype("int32"), "distance": d[np.arange(len(x)), best]})
+
+
+def _information(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """cluster, i, j, v: sums over a task of S^-1 (j from 0) and S^-1 x (j = -1) of the points of each cluster."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cluster, own in batch.groupby("cluster"):
+            x = np.stack(own["x"].to_numpy()).astype(float)
+            p = x.shape[1]
+            inverse = np.linalg.inv(np.stack(own["s"].to_numpy()).astype(float).reshape(-1, p, p))
+            told = np.concatenate([np.einsum("npq,nq->p", inverse, x)[:, None], inverse.sum(axis=0)], axis=1)
+            sums[int(cluster)] = sums.get(int(cluster), 0.0) + told
+    for cluster, m in sums.items():
+        i, j = np.indices(m.shape)
+        yield pd.DataFrame({"cluster": cluster, "i": i.ravel(), "j": j.ravel() - 1, "v": m.ravel()})
+
+
 def kerror_cluster(
-    df: DataFrame, k: int, iterations: int = 20, key: str = "id", vector: str = "v", error: str = "s"
+    df: DataFrame, k: int, iterations: int = 20, key: str = "id", vector: str = "v", error: str = "s", full: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(id, cluster, distance) and (cluster, mu, se): k-means where each point has a variance for each dimension.
-
-    Points go to the centre at the least error-scaled squared distance; centres
-    are inverse-variance weighted means, with standard errors. Stops when under
-    1 % of points move or the objective falls by under 0.5 %. A centre that
-    loses its points stays where it was.
+    """(id, cluster, distance) and (cluster, mu, se): k-means where each point has its own measurement error.
+
+    ``error`` holds a variance for each dimension, or with ``full`` the rows of a
+    covariance matrix one after the other. Points go to the centre at the least
+    error-scaled squared distance; centres are inverse-covariance weighted
+    means, with standard errors. Stops when under 1 % of points move or the
+    objective falls by under 0.5 %. A centre that loses its points stays where it
+    was. Of the points only sums for each cluster reach the driver.
     """
-    spark = df.sparkSession
-    points = df.where(F.col(vector).isNotNull() & F.col(error).isNotNull()).select(
-        key, F.col(vector).cast("array<double>").alias("x"), F.transform(error, lambda e: F.greatest(e.cast("double"), F.lit(1e-12))).alias("s")
-    ).persist()
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    floor = (lambda e: e.cast("double")) if full else (lambda e: F.greatest(e.cast("double"), F.lit(1e-12)))
+    points = cut_lineage(
+        df.where(F.col(vector).isNotNull() & F.col(error).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("x"), F.transform(error, floor).alias("s"))
+    )
     centres = _start(points, k, key, "x")
     errors = [[0.0] * len(c) for c in centres]
 
     def assigned() -> DataFrame:
+        if full:
+            model = [c[:] for c in centres]
+            return points.mapInPandas(lambda batches: _assign(model, batches), f"{key} {kind}, cluster int, distance double")
         d = points.crossJoin(_centres(spark, centres)).withColumn("_d", square_distance(F.col("x"), F.col("c"), F.col("s")))
         best = d.groupBy(key).agg(F.min(F.struct("_d", "cluster")).alias("_b"))
         return best.select(key, F.col("_b.cluster").alias("cluster"), F.col("_b._d").alias("distance"))
 
-    objective, before = None, None
-    for _ in range(iterations):
-        now = assigned().persist()
-        sums = (
-            now.join(points, key)
-            .select("cluster", F.posexplode(F.arrays_zip("x", "s")).alias("dim", "p"))
-            .groupBy("cluster", "dim")
-            .agg(F.sum(F.col("p.x") / F.col("p.s")).alias("a"), F.sum(1 / F.col("p.s")).alias("b"))
-            .collect()
-        )
-        for r in sums:
+    def move(now: DataFrame) -> None:
+        rows = now.join(points, key)
+        if full:
+            sums = rows.select("cluster", "x", "s").mapInPandas(_information, "cluster int, i int, j int, v double").groupBy("cluster", "i", "j").agg(F.sum("v").alias("v")).collect()
+            for c in {r["cluster"] for r in sums}:
+                own = {(r["i"], r["j"]): r["v"] for r in sums if r["cluster"] == c}
+                p = len(centres[c])
+                inverse = np.linalg.inv([[own[i, j] for j in range(p)] for i in range(p)])
+                centres[c] = (inverse @ [own[i, -1] for i in range(p)]).tolist()
+                errors[c] = np.sqrt(np.diag(inverse)).tolist()
+            return
+        each = rows.select("cluster", F.posexplode(F.arrays_zip("x", "s")).alias("dim", "p")).groupBy("cluster", "dim")
+        for r in each.agg(F.sum(F.col("p.x") / F.col("p.s")).alias("a"), F.sum(1 / F.col("p.s")).alias("b")).collect():
             centres[r["cluster"]][r["dim"]] = r["a"] / r["b"]
             errors[r["cluster"]][r["dim"]] = (1 / r["b"]) ** 0.5
+
+    objective, before = None, None
+    for _ in range(iterations):
+        now = cut_lineage(assigned())
+        move(now)
         total = now.agg(F.sum("distance"), F.count(F.lit(1))).first()
-        moved = total[1] if before is None else now.join(before.withColumnRenamed("cluster", "_was"), key).where("cluster <> _was").count()
+        moved = total[1] if before is None else now.join(before.select(key, F.col("cluster").alias("_was")), key).where("cluster <> _was").count()
         fall = None if objective is None or not objective else (objective - (total[0] or 0.0)) / objective
-        if before is not None:
-            before.unpersist()
         before, objective = now, total[0]
         if not total[1] or moved <= 0.01 * total[1] or (fall is not None and 0 <= fall < 0.005):
             break
@@ -121,4 +177,4 @@ def segment_profile(centres: DataFrame, members: DataFrame) -> DataFrame:
 def pairwise_distance(x: DataFrame, centres: DataFrame, key: str = "id", vector: str = "v", error: str = "s") -> DataFrame:
     """id, cluster, distance: the error-scaled squared distance of every point to every (broadcast) centre."""
     d = square_distance(F.col(vector), F.col("mu"), F.col(error))
-    return x.crossJoin(F.broadcast(centres.select("cluster", "mu"))).select(key, "cluster", d.alias("distance"))
+    return x.crossJoin(small(centres.select("cluster", "mu"))).select(key, "cluster", d.alias("distance"))

@@ -19,8 +19,11 @@ from wattweave.operators import joins as J
 from wattweave.operators import resample as R
 from wattweave.operators import reshape as S
 from wattweave.operators import windows as W
-from wattweave.plans import chains, curves, interpret, ranking, regimes, segments, selection
-from wattweave.sources import ingest
+from wattweave.plans import chains, curves, families, interpret, ranking, regimes, segments, selection
+from wattweave.sources import ingest, sinks
+from wattweave.spread import ordered_rank
+from wattweave.storage import shared_path
+from wattweave.streaming import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +36,9 @@ def query(sql: str | None = None, base: bool = True):
         QUERIES[f.__name__] = f
         if sql is not None:
             text = sql.strip()
-            if base:
+            if base and text.startswith("WITH RECURSIVE "):
+                text = V.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + text[15:]
+            elif base:
                 text = V.SQL + (", " + text[5:] if text[:5].upper() == "WITH " else text)
             ORACLES[f.__name__] = text
         return f
@@ -106,16 +111,16 @@ def date_calendar(spark, d):
 
 
 @query(r"""
-WITH p AS (SELECT page_id, regexp_extract(html, '<html lang="(\w+)"', 1) AS station, regexp_extract_all(html, '<a href="/([^"]+)"', 1) AS links, try_cast(nullif(regexp_extract(html, 'track\((\d+)\)', 1), '') AS DOUBLE) AS lat FROM pages),
-u AS (SELECT page_id, station, lat, unnest(links) AS nearby, generate_subscripts(links, 1) AS i FROM p), f AS (SELECT page_id, station, lat, nearby, min(i) AS i FROM u GROUP BY ALL)
-SELECT page_id, nullif(station, '') AS station, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, nearby, lat FROM f
-UNION ALL SELECT page_id, nullif(station, ''), NULL, NULL, lat FROM p WHERE len(links) = 0
+WITH p AS (SELECT page_id, regexp_extract(html, '<html lang="(\w+)"', 1) AS station, regexp_extract_all(html, '<a href="/([^"]+)"', 1) AS links, try_cast(nullif(regexp_extract(html, 'track\((\d+)\)', 1), '') AS DOUBLE) AS lat,
+             try_cast(nullif(regexp_extract(html, '<!-- ad (\d+) -->', 1), '') AS DOUBLE) AS lon, try_cast(nullif(regexp_extract(html, 'charset="utf-(\d+)"', 1), '') AS DOUBLE) AS elev FROM pages),
+u AS (SELECT page_id, station, lat, lon, elev, unnest(links) AS nearby, generate_subscripts(links, 1) AS i FROM p), f AS (SELECT page_id, station, lat, lon, elev, nearby, min(i) AS i FROM u GROUP BY ALL)
+SELECT page_id, nullif(station, '') AS station, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, nearby, lat, lon, elev FROM f
+UNION ALL SELECT page_id, nullif(station, ''), NULL, NULL, lat, lon, elev FROM p WHERE len(links) = 0
 """, base=False)
 def station_pages_extract(spark, d):
-    out = ingest.station_pages_extract(
-        spark.read.parquet(f"{d}/pages.parquet"), r'<html lang="(\w+)"', r'<a href="/([^"]+)"', r"track\((\d+)\)", r"track\((\d+)\)", r"track\((\d+)\)"
+    return ingest.station_pages_extract(
+        spark.read.parquet(f"{d}/pages.parquet"), r'<html lang="(\w+)"', r'<a href="/([^"]+)"', r"track\((\d+)\)", r"<!-- ad (\d+) -->", r'charset="utf-(\d+)"'
     )
-    return out.select("page_id", "station", "pos", "nearby", "lat")
 
 
 @query(r"""
@@ -228,11 +233,11 @@ def gap_fill(spark, d):
 @query("""
 WITH o AS (SELECT circuit AS station, date_trunc('hour', ts) AS ts, avg(kw) AS v FROM readings GROUP BY 1, 2), n AS (SELECT *, lead(ts) OVER (PARTITION BY station ORDER BY ts) AS nt, lead(v) OVER (PARTITION BY station ORDER BY ts) AS nv FROM o),
 g AS (SELECT station, v, nv, ts AS t0, nt, unnest(generate_series(ts, coalesce(nt - INTERVAL 1 SECOND, ts), INTERVAL 15 MINUTE)) AS ts FROM n)
-SELECT station, ts, round(CASE WHEN ts = t0 THEN v ELSE v + (nv - v) * (epoch(ts) - epoch(t0)) / (epoch(nt) - epoch(t0)) END, 6) AS v FROM g
+SELECT station, ts, round(CASE WHEN ts = t0 THEN v ELSE v + (nv - v) * (epoch(ts) - epoch(t0)) / (epoch(nt) - epoch(t0)) END + 1e-9, 6) AS v FROM g
 """)
 def interpolate_to_grid(spark, d):
     rows = V.readings(spark, d).groupBy(F.col("circuit").alias("station"), F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("kw").alias("v"))
-    return C.interpolate_to_grid(rows, ["v"], 900).withColumn("v", r6("v"))
+    return C.interpolate_to_grid(rows, ["v"], 900).withColumn("v", r6(F.col("v") + 1e-9))  # off the ties of rounding
 
 
 @query("SELECT uid, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, count(*) FILTER (kw > 100) AS nulls_kw, round(count(*) FILTER (kw > 100) / count(*), 6) AS null_share FROM readings GROUP BY 1")
@@ -311,22 +316,22 @@ def rollup_mean_of_means(spark, d):
 
 def _channels(spark, d):
     ch = F.when(F.col("circuit") == "click", 1).when(F.col("circuit") == "view", 2).otherwise(3)
-    return V.readings(spark, d).select((F.col("uid") % 7).alias("house"), ch.alias("ch"), F.unix_timestamp("ts").alias("utc"), (F.col("kw") * 100).alias("watt"))
+    return V.readings(spark, d).select((F.col("uid") % 7).alias("house"), ch.alias("ch"), F.unix_timestamp("ts").alias("utc"), (F.col("kw") * 100).cast("decimal(18,4)").alias("watt"))  # decimals add up alike in any order
 
 
-_CHANNELS = "WITH channel AS (SELECT uid % 7 AS house, CASE circuit WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS ch, CAST(floor(epoch(ts)) AS BIGINT) AS utc, ts, kw * 100 AS watt FROM readings), kwh AS (SELECT house, ch, date_trunc('hour', ts) AS hour, sum(watt) / 3.6e6 AS kwh FROM channel GROUP BY 1, 2, 3) "
+_CHANNELS = "WITH channel AS (SELECT uid % 7 AS house, CASE circuit WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS ch, CAST(floor(epoch(ts)) AS BIGINT) AS utc, ts, CAST(kw * 100 AS DECIMAL(18, 4)) AS watt FROM readings), kwh AS (SELECT house, ch, date_trunc('hour', ts) AS hour, CAST(sum(watt) AS DOUBLE) / 3.6e6 AS kwh FROM channel GROUP BY 1, 2, 3) "
 
 
-@query(_CHANNELS + "SELECT house, ch, hour, round(kwh, 6) AS kwh FROM kwh")
+@query(_CHANNELS + "SELECT house, ch, hour, round(kwh + 1e-10, 6) AS kwh FROM kwh")
 def watts_to_kwh(spark, d):
-    return R.watts_to_kwh(_channels(spark, d)).withColumn("kwh", r6("kwh"))
+    return R.watts_to_kwh(_channels(spark, d)).withColumn("kwh", r6(F.col("kwh") + 1e-10))  # off the ties of rounding
 
 
 @query(_CHANNELS + """, n AS (SELECT house, count(DISTINCT ch) AS n FROM kwh GROUP BY 1)
-SELECT k.house, hour, round(sum(kwh) FILTER (ch = 1), 6) AS ch_1, round(sum(kwh) FILTER (ch = 2), 6) AS ch_2, round(sum(kwh) FILTER (ch = 3), 6) AS ch_3 FROM kwh k JOIN n USING (house) GROUP BY k.house, hour, n.n HAVING count(DISTINCT ch) = n.n""")
+SELECT k.house, hour, round(sum(kwh) FILTER (ch = 1) + 1e-10, 6) AS ch_1, round(sum(kwh) FILTER (ch = 2) + 1e-10, 6) AS ch_2, round(sum(kwh) FILTER (ch = 3) + 1e-10, 6) AS ch_3 FROM kwh k JOIN n USING (house) GROUP BY k.house, hour, n.n HAVING count(DISTINCT ch) = n.n""")
 def align_devices(spark, d):
     out = R.align_devices(R.watts_to_kwh(_channels(spark, d)), [1, 2, 3])
-    return out.select("house", "hour", *[r6(f"ch_{c}", f"ch_{c}") for c in (1, 2, 3)])
+    return out.select("house", "hour", *[r6(F.col(f"ch_{c}") + 1e-10, f"ch_{c}") for c in (1, 2, 3)])
 
 
 @query("SELECT date_trunc('hour', ts) AS ts, round(avg(kw), 6) AS temperature, round(avg(uid), 6) AS pressure FROM readings WHERE kw <= 100 GROUP BY 1")
@@ -409,10 +414,10 @@ def membership(spark, d):
     return n("left_semi", "semi").crossJoin(n("left_anti", "anti"))
 
 
-@query("SELECT y.uid, y.ts, c.c_nationkey AS zip, w.temperature_f FROM gappy y JOIN customer c ON c.c_custkey = y.uid JOIN weather w ON w.ts = y.ts WHERE c.c_nationkey < 12")
+@query("SELECT y.uid, y.ts, c.c_nationkey AS zip, w.temperature_f FROM gappy y JOIN customer c ON c.c_custkey = y.uid JOIN weather w ON w.ts = y.ts")
 def lookup_zip_weather(spark, d):
     zips = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("zip"))
-    places = zips.where("zip < 12").select("zip").distinct()
+    places = zips.select("zip").distinct()
     return J.lookup_zip_weather(V.gappy(spark, d).select("uid", "ts"), zips, V.weather(spark, d).crossJoin(places)).select("uid", "ts", "zip", "temperature_f")
 
 
@@ -508,10 +513,10 @@ def _params(spark, d):
     return rows, interpret.state_standard_errors(rows, "t_d", "obs")
 
 
-@query(_PARAMS + "SELECT uid, CAST(state AS INTEGER) AS state, n, round(intercept, 6) AS intercept, round(slope, 6) AS slope, round(sqrt(v * (1 / n + mx * mx / sxx)), 5) AS se_intercept, round(sqrt(v / sxx), 5) AS se_slope, round(sqrt(v), 5) AS sigma FROM par")
+@query(_PARAMS + "SELECT uid, CAST(state AS INTEGER) AS state, n, round(intercept + 1e-9, 6) AS intercept, round(slope + 1e-9, 6) AS slope, round(sqrt(v * (1 / n + mx * mx / sxx)), 5) AS se_intercept, round(sqrt(v / sxx), 5) AS se_slope, round(sqrt(v), 5) AS sigma FROM par")
 def state_standard_errors(spark, d):
     out = _params(spark, d)[1]
-    return out.select("uid", "state", "n", r6("intercept", "intercept"), r6("slope", "slope"), *[F.round(c, 5).alias(c) for c in ("se_intercept", "se_slope", "sigma")])
+    return out.select("uid", "state", "n", *[r6(F.col(c) + 1e-9, c) for c in ("intercept", "slope")], *[F.round(c, 5).alias(c) for c in ("se_intercept", "se_slope", "sigma")])
 
 
 @query(_PARAMS + "SELECT s.uid, CASE WHEN month(ts) BETWEEN 5 AND 9 THEN 'Summer' ELSE 'Winter' END AS season, CAST(hour(ts) AS INTEGER) AS hour, v.covariate, round(avg(v.x), 5) AS contribution FROM states s JOIN par p USING (uid, state), LATERAL (VALUES ('intercept', p.intercept), ('t_d', p.slope * (s.temperature_f - 65))) v(covariate, x) WHERE p.slope IS NOT NULL GROUP BY ALL")
@@ -551,14 +556,27 @@ def detection_sweep(spark, d):
     return A.detection_sweep(rows, [0.5, 1.0, 2.0], [0.25, 0.5, 0.9]).withColumn("balanced_accuracy", r6("balanced_accuracy"))
 
 
-@query("""
-WITH f AS (SELECT uid, obs, temperature_f AS fit FROM states), s AS (SELECT *, obs - fit AS r FROM f),
-m AS (SELECT uid, count(*) AS n, avg(abs(r / fit)) AS mape, sum(r * r) AS sse, var_pop(obs) * count(obs) AS sst, avg(r) AS mr, var_pop(r) AS vr FROM s GROUP BY 1)
-SELECT uid, n, round(mape, 6) AS mape, round(1 - sse / sst, 5) AS r2, round(sqrt(sse / n), 6) AS rmse FROM m
-""")
+_RESIDUALS = """
+WITH s AS (SELECT {keys}, obs, temperature_f AS fit, obs - temperature_f AS r FROM states), c AS (SELECT *, r - avg(r) OVER (PARTITION BY {keys}) AS d, obs - avg(obs) OVER (PARTITION BY {keys}) AS o FROM s),
+m AS (SELECT {keys}, count(*) AS n, avg(abs(r / fit)) AS mape, sum(r * r) AS sse, sum(o * o) AS sst, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4 FROM c GROUP BY ALL)
+SELECT {told}, n, round(mape, 6) AS mape, CASE WHEN sst > 1e-9 THEN round(1 - sse / sst, 3) END AS r2, round(sqrt(sse / n), 6) AS rmse,
+       CASE WHEN m2 > 1e-9 THEN round(n / 6.0 * (m3 * m3 / (m2 * m2 * m2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 3) END AS jarque_bera FROM m
+"""
+
+
+def _residuals(spark, d, keys):
+    out = interpret.residual_summary(V.states(spark, d).withColumn("fit", F.col("temperature_f")), keys=keys)
+    return out.select(*keys, "n", r6("mape", "mape"), F.round("r2", 3).alias("r2"), r6("rmse", "rmse"), F.round("jarque_bera", 3).alias("jarque_bera"))
+
+
+@query(_RESIDUALS.format(keys="uid", told="uid"))
 def residual_summary(spark, d):
-    out = interpret.residual_summary(V.states(spark, d).withColumn("fit", F.col("temperature_f")))
-    return out.select("uid", "n", r6("mape", "mape"), F.round("r2", 5).alias("r2"), r6("rmse", "rmse"))
+    return _residuals(spark, d, ["uid"])
+
+
+@query(_RESIDUALS.format(keys="uid, state", told="uid, CAST(state AS INTEGER) AS state"))
+def residual_summary_by_state(spark, d):
+    return _residuals(spark, d, ["uid", "state"])
 
 
 @query("SELECT circuit, count(kw) AS n, round(avg(kw), 6) AS mean, round(stddev_samp(kw), 6) AS sd, round(quantile_cont(kw, 0.05), 6) AS q05, round(quantile_cont(kw, 0.5), 6) AS q50 FROM readings GROUP BY 1")
@@ -573,7 +591,14 @@ def entropies(spark, d):
     return A.shannon_entropy(rows, "uid", "circuit").join(A.random_entropy(rows, "uid", "circuit"), "uid").select("uid", r6("entropy", "entropy"), r6("random_entropy", "random_entropy"))
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT uid, circuit, count(*) AS n FROM readings GROUP BY 1, 2), p AS (SELECT uid, n / sum(n) OVER (PARTITION BY uid) AS p FROM n),
+e AS (SELECT uid, -sum(p * log2(p)) AS e, count(*) AS n FROM p GROUP BY 1),
+b AS (SELECT uid, e, n, 1.0 / n AS lo, CAST(1.0 AS DOUBLE) AS hi, 0 AS i FROM e WHERE n > 1
+      UNION ALL SELECT uid, e, n, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END, i + 1 FROM (
+        SELECT *, -(mid * log2(mid) + CASE WHEN mid < 1 THEN (1 - mid) * log2(1 - mid) ELSE 0 END) + (1 - mid) * log2(n - 1) > e AS over FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE i < 60)))
+SELECT uid, round((lo + hi) / 2, 6) AS bound FROM b WHERE i = 60 UNION ALL SELECT uid, 1.0 FROM e WHERE n < 2
+""")
 def predictability_bound(spark, d):
     rows = V.readings(spark, d)
     n = rows.groupBy("uid").agg(F.countDistinct("circuit").alias("n"))
@@ -668,7 +693,15 @@ def acf(spark, d):
     return W.acf(V.hourly(spark, d), "obs", 6).withColumn("acf", r6("acf"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY ts) AS i, obs - avg(obs) OVER (PARTITION BY uid) AS x FROM hourly), t AS (SELECT uid, sum(x * x) AS c0 FROM c GROUP BY 1), l AS (SELECT unnest(generate_series(1, 6)) AS lag),
+a AS (SELECT a.uid, lag, sum(a.x * b.x) / any_value(c0) AS r FROM c a CROSS JOIN l JOIN c b ON b.uid = a.uid AND b.i = a.i - lag JOIN t ON t.uid = a.uid GROUP BY 1, 2),
+r AS (SELECT uid, list(r ORDER BY lag) AS r FROM a GROUP BY 1),
+d AS (SELECT uid, r, 1 AS k, [r[1]] AS phi, r[1] AS p FROM r
+      UNION ALL SELECT uid, r, k + 1, list_append(list_transform(generate_series(1, k), lambda i: phi[i] - new * phi[k + 1 - i]), new), new FROM (
+        SELECT *, (r[k + 1] - list_dot_product(phi, list_reverse(r[1:k]))) / (1 - list_dot_product(phi, r[1:k])) AS new FROM d WHERE k < 6))
+SELECT uid, CAST(k AS INTEGER) AS lag, round(p, 6) AS pacf FROM d
+""")
 def pacf(spark, d):
     return W.pacf(W.acf(V.hourly(spark, d), "obs", 6)).withColumn("pacf", r6("pacf"))
 
@@ -692,17 +725,22 @@ def set_operations(spark, d):
 
 # ---- interpretation, curves, chains ---------------------------------------------------------------------------------
 
-_TRAN = """WITH par AS (SELECT uid, s.i AS "from", s.j AS "to", 0.1 * (uid % 5) + CASE WHEN s.i = s.j THEN 1 ELSE 0 END AS b0, 0.01 * (s.j - 2) AS b1 FROM (SELECT DISTINCT uid FROM readings) CROSS JOIN (SELECT i, j FROM (VALUES (1), (2), (3)) a(i) CROSS JOIN (VALUES (1), (2), (3)) b(j)) s),
-g AS (SELECT DISTINCT temperature_f - 65 AS t FROM weather), z AS (SELECT uid, t, "from", "to", exp(b0 + b1 * t) AS e FROM par CROSS JOIN g), p AS (SELECT uid, t, "from", "to", e / sum(e) OVER (PARTITION BY uid, t, "from") AS p FROM z) """
+_MOVES = """moves AS (SELECT uid, lag(state) OVER (PARTITION BY uid ORDER BY ts) AS i, state AS j FROM states), cnt AS (SELECT uid, i, j, count(*) AS n FROM moves WHERE i IS NOT NULL GROUP BY ALL), three AS (SELECT unnest([1, 2, 3]) AS s),
+everyone AS (SELECT DISTINCT uid FROM states), tran AS (SELECT u.uid, x.s AS "from", y.s AS "to", ln(coalesce(n, 0) + 1) AS b0, 0.01 * (y.s - 2) AS b1 FROM everyone u CROSS JOIN three x CROSS JOIN three y LEFT JOIN cnt ON cnt.uid = u.uid AND cnt.i = x.s AND cnt.j = y.s) """
+_TRAN = "WITH " + _MOVES + """, g AS (SELECT DISTINCT temperature_f - 65 AS t FROM weather), z AS (SELECT uid, t, "from", "to", exp(b0 + b1 * t) AS e FROM tran CROSS JOIN g), p AS (SELECT uid, t, "from", "to", e / sum(e) OVER (PARTITION BY uid, t, "from") AS p FROM z) """
 
 
-def _transition(spark, d):
+def _moves(spark, d):
+    """uid, from, to, b0, b1 of three states: logits of counted moves, plus one, and a fixed slope on temperature."""
     one = F.explode(F.array(*[F.struct(F.lit(i).alias("from"), F.lit(j).alias("to")) for i in (1, 2, 3) for j in (1, 2, 3)]))
-    tran = V.readings(spark, d).select("uid").distinct().select("uid", one.alias("m")).select(
-        "uid", "m.from", "m.to", (0.1 * (F.col("uid") % 5) + F.when(F.col("m.from") == F.col("m.to"), 1.0).otherwise(0.0)).alias("b0"), (0.01 * (F.col("m.to") - 2)).alias("b1")
-    )
+    every = V.readings(spark, d).select("uid").distinct().select("uid", one.alias("m")).select("uid", "m.*")
+    counts = chains.transition_counts(V.states(spark, d))
+    return every.join(counts, ["uid", "from", "to"], "left").select("uid", "from", "to", F.log(F.coalesce("n", F.lit(0)) + 1.0).alias("b0"), (0.01 * (F.col("to") - 2)).alias("b1"))
+
+
+def _transition(spark, d):
     grid = V.weather(spark, d).select((F.col("temperature_f") - 65).alias("t")).distinct()
-    return interpret.transition_matrix_at(tran, grid)
+    return interpret.transition_matrix_at(_moves(spark, d), grid)
 
 
 @query(_TRAN + 'SELECT uid, t, CAST("from" AS INTEGER) AS "from", CAST("to" AS INTEGER) AS "to", round(p, 6) AS p FROM p')
@@ -722,12 +760,10 @@ def stationary_distribution(spark, d):
     return interpret.stationary_distribution(_transition(spark, d)).withColumn("pi", r6("pi"))
 
 
-@query(_PARAMS + "SELECT uid, CAST(state AS INTEGER) AS state, CASE WHEN slope >= 2 THEN 'C.Hi' WHEN slope >= 0.025 THEN 'C.Lo' WHEN slope >= -0.025 THEN 'N' WHEN slope >= -2 THEN 'H.Lo' ELSE 'H.Hi' END AS thermal, CASE WHEN sqrt(v) / nullif(intercept, 0) > 0.5 THEN 'High' ELSE 'Low' END AS activity FROM par WHERE v IS NOT NULL AND abs(abs(slope) - 2) > 1e-6 AND abs(abs(slope) - 0.025) > 1e-6 AND abs(slope) > 1e-6")
+@query(_PARAMS + ", q AS (SELECT uid, state, round(slope, 9) AS slope, round(intercept, 9) AS intercept, round(sqrt(v), 9) AS sd FROM par WHERE v IS NOT NULL) SELECT uid, CAST(state AS INTEGER) AS state, CASE WHEN slope >= 2 THEN 'C.Hi' WHEN slope >= 0.025 THEN 'C.Lo' WHEN slope >= -0.025 THEN 'N' WHEN slope >= -2 THEN 'H.Lo' ELSE 'H.Hi' END AS thermal, CASE WHEN sd / nullif(intercept, 0) > 0.5 THEN 'High' ELSE 'Low' END AS activity FROM q")
 def regime_labels(spark, d):
-    par = _params(spark, d)[1].where("sigma IS NOT NULL").withColumn("sd", F.col("sigma"))
-    s = F.abs("slope")
-    par = par.where((F.abs(s - 2) > 1e-6) & (F.abs(s - 0.025) > 1e-6) & (s > 1e-6))
-    return interpret.regime_labels(par)
+    par = _params(spark, d)[1].where("sigma IS NOT NULL")  # rounded to nine places on both sides, so that bounds mean the same
+    return interpret.regime_labels(par.select("uid", "state", *[F.round(c, 9).alias(n) for c, n in (("slope", "slope"), ("intercept", "intercept"), ("sigma", "sd"))]))
 
 
 @query("""
@@ -740,10 +776,16 @@ def truth_response_curve(spark, d):
     return out.select("uid", "grid", F.round("fit", 5).alias("fit"), F.round("slope", 5).alias("slope"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT unnest([50, 55, 60, 65, 70, 75, 80, 85, 90]) AS c), r AS (SELECT uid, c, obs AS y, least(temperature_f - c, 0.0) AS u, greatest(temperature_f - c, 0.0) AS v FROM states CROSS JOIN c),
+s AS (SELECT uid, c, count(*) AS n, regr_sxx(y, u) / count(*) AS uu, regr_sxx(y, v) / count(*) AS vv, -avg(u) * avg(v) AS uv, covar_pop(y, u) AS uy, covar_pop(y, v) AS vy, var_pop(y) AS yy FROM r GROUP BY 1, 2),
+k AS (SELECT *, (vv * uy - uv * vy) / (uu * vv - uv * uv) AS b, (uu * vy - uv * uy) / (uu * vv - uv * uv) AS d FROM s WHERE uu * vv - uv * uv > 1e-9),
+e AS (SELECT *, n * (yy - b * uy - d * vy) AS sse, row_number() OVER (PARTITION BY uid ORDER BY n * (yy - b * uy - d * vy), c) AS i FROM k)
+SELECT u.uid, CAST(c AS DOUBLE) AS break_at, round(coalesce(b, 0.0), 4) AS slope_below, round(coalesce(d, 0.0), 4) AS slope_above, round(sse, 2) AS sse FROM (SELECT DISTINCT uid FROM states) u LEFT JOIN e ON e.uid = u.uid AND i = 1
+""")
 def breakpoint_response(spark, d):
     out = curves.breakpoint_response(V.states(spark, d), "obs", "temperature_f", [50, 55, 60, 65, 70, 75, 80, 85, 90])
-    return out.select("uid", "break_at", *[F.round(c, 4).alias(c) for c in ("slope_below", "slope_above", "sse")])
+    return out.select("uid", "break_at", *[F.round(c, n).alias(c) for c, n in (("slope_below", 4), ("slope_above", 4), ("sse", 2))])
 
 
 @query("WITH m AS (SELECT uid, lag(state) OVER (PARTITION BY uid ORDER BY ts) AS \"from\", state AS \"to\" FROM states) SELECT uid, CAST(\"from\" AS INTEGER) AS \"from\", CAST(\"to\" AS INTEGER) AS \"to\", count(*) AS n FROM m WHERE \"from\" IS NOT NULL GROUP BY 1, 2, 3")
@@ -751,12 +793,36 @@ def transition_counts(spark, d):
     return chains.transition_counts(V.states(spark, d))
 
 
-@query()
+# The five structures of three states, each row alike over its moves, under the six numberings of the states.
+_CHAINS = """WITH m AS (SELECT uid, lag(state) OVER (PARTITION BY uid ORDER BY ts) AS i, state AS j FROM states), o AS (SELECT uid, i, j, count(*) AS n FROM m WHERE i IS NOT NULL GROUP BY ALL), t AS (SELECT uid, i, sum(n) AS total FROM o GROUP BY 1, 2),
+a AS (SELECT * FROM (VALUES ('identity', 1, [1, 0, 0]), ('identity', 2, [0, 1, 0]), ('identity', 3, [0, 0, 1]), ('complete', 1, [1, 1, 1]), ('complete', 2, [1, 1, 1]), ('complete', 3, [1, 1, 1]),
+  ('telescope', 1, [1, 1, 0]), ('telescope', 2, [1, 1, 1]), ('telescope', 3, [1, 0, 1]), ('fwdjump', 1, [1, 1, 1]), ('fwdjump', 2, [0, 1, 1]), ('fwdjump', 3, [1, 0, 1]), ('outlier', 1, [1, 1, 1]), ('outlier', 2, [1, 1, 1]), ('outlier', 3, [1, 1, 1])) v(template, i, w)),
+q AS (SELECT * FROM (VALUES ([1, 2, 3]), ([1, 3, 2]), ([2, 1, 3]), ([2, 3, 1]), ([3, 1, 2]), ([3, 2, 1])) v(perm)),
+e AS (SELECT template, array_to_string(perm, ' ') AS perm, perm[a.i] AS i, perm[j] AS j, greatest(w[j] / list_sum(w), 1e-6) AS p FROM a CROSS JOIN q CROSS JOIN (SELECT unnest([1, 2, 3]) AS j)),
+c AS (SELECT t.uid, template, perm, coalesce(o.n, 0) AS n, total * p AS x FROM t JOIN e ON e.i = t.i LEFT JOIN o ON o.uid = t.uid AND o.i = e.i AND o.j = e.j),
+s AS (SELECT uid, template, perm, sum((n - x) * (n - x) / x) AS chi2, sum(CASE WHEN n > 0 THEN 2 * n * ln(n / x) ELSE 0 END) AS lr FROM c GROUP BY 1, 2, 3),
+b AS (SELECT uid, template, arg_min(perm, (round({stat}, 4), perm)) AS perm, arg_min({stat}, (round({stat}, 4), perm)) AS stat FROM s GROUP BY 1, 2) """
+_CHI2_6 = "CASE WHEN stat <= 0 THEN 0.0 ELSE 1 - exp(-stat / 2) * (1 + stat / 2 + stat * stat / 8) END"
+
+
+@query(_CHAINS.format(stat="chi2") + ", g AS (SELECT uid, arg_min(template, (round(stat, 4), template)) AS template FROM b GROUP BY 1) SELECT * FROM g")
 def chain_type(spark, d):
     counts = chains.transition_counts(V.states(spark, d))
     return chains.chain_type(chains.chain_chi2(counts, chains.chain_templates(spark, 3)))
 
 
+@query(_CHAINS.format(stat="chi2") + f"SELECT uid, template, perm, round(stat, 4) AS chi2, 6 AS df, round({_CHI2_6}, 6) AS p FROM b")
+def chain_chi2(spark, d):
+    counts = chains.transition_counts(V.states(spark, d))
+    return chains.chain_chi2(counts, chains.chain_templates(spark, 3)).withColumns({"chi2": F.round("chi2", 4), "p": r6("p")})
+
+
+@query(_CHAINS.format(stat="lr") + f"SELECT uid, template, perm, round(stat, 4) AS lr, 6 AS df, round({_CHI2_6}, 6) AS p FROM b")
+def chain_lr(spark, d):
+    counts = chains.transition_counts(V.states(spark, d))
+    return chains.chain_lr(counts, chains.chain_templates(spark, 3)).withColumns({"lr": F.round("lr", 4), "p": r6("p")})
+
+
 @query("""
 WITH q AS (SELECT uid, quantile_cont(obs, 0.5) AS q FROM states GROUP BY 1), l AS (SELECT uid, ts, obs, state, CAST(state AS DOUBLE) AS sd, temperature_f FROM states)
 SELECT l.uid, l.ts, sd > 2 * min(sd) OVER (PARTITION BY l.uid) AS home, abs(temperature_f) > 2 * min(abs(temperature_f)) OVER (PARTITION BY l.uid) AS hvac_on, obs > q AS home_true, obs > q AS hvac_true FROM l JOIN q USING (uid)
@@ -770,15 +836,16 @@ def detect_state_labels(spark, d):
 
 
 def _profiles(spark, d):
-    """id, label, v[24], s[24] of the embeddings."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("label IS NOT NULL AND size(embedding) >= 48")
-    v = F.transform(F.slice("embedding", 1, 24), lambda x: x.cast("double"))
-    s = F.transform(F.slice("embedding", 25, 24), lambda x: 0.01 + F.abs(x.cast("double")))
-    return e.select(F.col("vec_id").alias("id"), "label", v.alias("v"), s.alias("s"))
+    """id, label, v, s of the embeddings: the first half of each vector, and errors from the second half."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    v = F.transform(F.slice("embedding", F.lit(1), half), lambda x: x.cast("double"))
+    s = F.transform(F.slice("embedding", half + 1, half), lambda x: 0.01 + F.abs(x.cast("double")))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", v.alias("v"), s.alias("s"))
 
 
 @query("""
-WITH v AS (SELECT vec_id, label, unnest(embedding[1:24]) AS x, unnest(embedding[25:48]) AS e, generate_subscripts(embedding[1:24], 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS mu FROM v GROUP BY 1, 2)
+WITH h AS (SELECT *, len(embedding) // 2 AS h FROM embeddings), v AS (SELECT vec_id, label, unnest(embedding[1:h]) AS x, unnest(embedding[h + 1:2 * h]) AS e, generate_subscripts(embedding[1:h], 1) AS i FROM h),
+c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS mu FROM v GROUP BY 1, 2)
 SELECT vec_id AS id, c.label AS cluster, round(sum((x - mu) * (x - mu) / (0.01 + abs(CAST(e AS DOUBLE)))), 5) AS distance FROM v JOIN c USING (i) GROUP BY 1, 2
 """, base=False)
 def pairwise_distance(spark, d):
@@ -790,13 +857,36 @@ def pairwise_distance(spark, d):
 
 @query()
 def kerror_cluster(spark, d):
-    members, centres = segments.kerror_cluster(_profiles(spark, d), 4, 8)
+    members, centres = segments.kerror_cluster(_profiles(spark, d), 4)
     return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 2).alias("objective"))
 
 
+def _day_covariances(spark, d):
+    """uid, h1, h2, w: covariance over days between the hours of a user's load."""
+    days = S.long_to_day_profile(V.hourly(spark, d), "obs")
+    each = days.select("uid", "day", "v", F.posexplode("v").alias("h1", "x1")).select("uid", "h1", "x1", F.posexplode("v").alias("h2", "x2"))
+    return each.groupBy("uid", "h1", "h2").agg((F.covar_pop("x1", "x2") / 1e5).alias("w"))
+
+
+@query()
+def kerror_cluster_full(spark, d):
+    """Mean day profiles with the covariance between their hours (and a little on its diagonal)."""
+    rows = _day_covariances(spark, d).withColumn("w", F.col("w") + F.when(F.col("h1") == F.col("h2"), 0.05).otherwise(0.0))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("h1", "h2", "w"))), lambda c: c["w"])
+    points = _response(spark, d).select("uid", "a").join(rows.groupBy("uid").agg(cells.alias("s")), "uid")
+    members, _ = segments.kerror_cluster(points, 3, key="uid", vector="a", error="s", full=True)
+    return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 3).alias("objective"))
+
+
+@query()
+def kmeans_labels(spark, d):
+    labels, centres = segments.kmeans_labels(_profiles(spark, d), 4)
+    return labels.join(centres.select("cluster", "n"), "cluster")
+
+
 @query()
 def fuzzy_cmeans(spark, d):
-    return segments.fuzzy_cmeans(_profiles(spark, d), 3, 2.0, 5)[0].withColumn("membership", F.round("membership", 4))
+    return segments.fuzzy_cmeans(_profiles(spark, d), 3)[0].withColumn("membership", F.round("membership", 4))
 
 
 @query()
@@ -804,21 +894,33 @@ def kmeans_elbow(spark, d):
     return segments.elbow_table(segments.kmeans_sweep(_profiles(spark, d), [1, 2, 4, 8])).select("k", *[F.round(c, 3).alias(c) for c in ("within_ss", "explained", "change")])
 
 
-@query("""
-WITH u AS (SELECT CAST(ts AS DATE) AS day, uid, max(obs) AS m, sum(obs) AS t FROM gappy GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY m DESC, uid) AS r FROM u),
-k AS (SELECT unnest([10, 20]) AS k), p AS (SELECT a.day, k, sum(sign(b.m - a.m) * sign(b.t - a.t)) AS s FROM r a JOIN k ON a.r <= k JOIN r b ON b.day = a.day AND b.r > a.r AND b.r <= k GROUP BY 1, 2),
-n AS (SELECT day, k, least(k, count(*)) AS n FROM r CROSS JOIN k GROUP BY 1, 2)
-SELECT day, CAST(k AS INTEGER) AS k, n, round(s / (n * (n - 1) / 2.0), 6) AS tau FROM p JOIN n USING (day, k)
-""")
+_TAU = """
+r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY abs(m) DESC, uid) AS r FROM u), k AS (SELECT unnest([10, 20]) AS k), p AS (SELECT a.{by}, k, sum(sign(b.m - a.m) * sign(b.t - a.t)) AS s FROM r a JOIN k ON a.r <= k JOIN r b ON b.{by} = a.{by} AND b.r > a.r AND b.r <= k GROUP BY 1, 2),
+n AS (SELECT {by}, k, least(k, count(*)) AS n FROM r CROSS JOIN k GROUP BY 1, 2), w AS (SELECT n.{by}, n.k, n, CASE WHEN n > 1 THEN s / (n * (n - 1) / 2.0) END AS tau FROM n LEFT JOIN p ON p.{by} = n.{by} AND p.k = n.k),
+x AS (SELECT *, abs(3 * tau * sqrt(n * (n - 1)) / sqrt(2.0 * (2 * n + 5))) / sqrt(2.0) AS x FROM w), y AS (SELECT *, 1 / (1 + 0.5 * x) AS y FROM x),
+z AS (SELECT *, y * exp(-x * x - 1.26551223 + y * (1.00002368 + y * (0.37409196 + y * (0.09678418 + y * (-0.18628806 + y * (0.27886807 + y * (-1.13520398 + y * (1.48851587 + y * (-0.82215223 + y * 0.17087277))))))))) AS p FROM y)
+SELECT {told}, CAST(k AS INTEGER) AS k, n, round(CASE WHEN p <= 0.05 THEN tau WHEN tau IS NOT NULL THEN 0.0 END, 6) AS tau, round(p, 6) AS p FROM z
+"""
+
+
+@query("WITH u AS (SELECT CAST(ts AS DATE) AS day, uid, max(obs) AS m, sum(obs) AS t FROM gappy GROUP BY 1, 2)," + _TAU.format(by="day", told="day"))
 def kendall_tau_at_k(spark, d):
     rows = V.gappy(spark, d).groupBy(F.to_date("ts").alias("day"), "uid").agg(F.max("obs").alias("model"), F.sum("obs").alias("truth"))
-    return ranking.kendall_tau_at_k(rows, [10, 20], by=["day"], alpha=1.1).select("day", "k", "n", r6("tau", "tau"))
+    return ranking.kendall_tau_at_k(rows, [10, 20], by=["day"]).select("day", "k", "n", r6("tau", "tau"), r6("p", "p"))
+
+
+@query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts) % 2 AS fold FROM states), u AS (SELECT CAST(temperature_f AS INTEGER) AS grid, uid, round(avg(obs) FILTER (fold = 1), 6) AS m, round(avg(obs) FILTER (fold = 0), 6) AS t FROM f GROUP BY 1, 2 HAVING m IS NOT NULL AND t IS NOT NULL)," + _TAU.format(by="grid", told="grid"))
+def kendall_temperature_sweep(spark, d):
+    """At each temperature, the ranking by response on odd rows against that on even rows."""
+    fold = lambda k: r6(F.avg(F.when(F.col("fold") == k, F.col("obs"))))
+    rows = W.odd_even_split(V.states(spark, d)).groupBy(F.col("temperature_f").cast("int").alias("grid"), "uid").agg(fold(1).alias("model"), fold(0).alias("truth"))
+    return ranking.kendall_tau_at_k(rows.where("model IS NOT NULL AND truth IS NOT NULL"), [10, 20], by=["grid"]).select("grid", "k", "n", r6("tau", "tau"), r6("p", "p"))
 
 
 @query("SELECT uid, CASE WHEN m < 0.33 THEN 'low' WHEN m < 0.6 THEN 'medium' ELSE 'high' END AS tier, round(m, 6) AS relative FROM (SELECT uid, sum(obs) / max(sum(obs)) OVER () AS m FROM gappy GROUP BY 1)")
 def response_tiers(spark, d):
-    rows = V.gappy(spark, d).groupBy("uid").agg(F.sum("obs").alias("x")).withColumn("_all", F.lit(0))
-    return ranking.response_tiers(ranking.normalise_rows(rows, "x", ["_all"]), "relative").select("uid", "tier", r6("relative", "relative"))
+    rows = V.gappy(spark, d).groupBy("uid").agg(F.sum("obs").alias("x"))
+    return ranking.response_tiers(ranking.normalise_rows(rows, "x"), "relative").select("uid", "tier", r6("relative", "relative"))
 
 
 def _response(spark, d):
@@ -855,44 +957,67 @@ def candidate_gains(spark, d):
     return selection.candidate_gains(rows, [0.0] * 24, _GOAL, _RATE).select("uid", "schedule", F.round("gain", 5).alias("gain"))
 
 
+@query(_RESPONSE + """, days AS (SELECT uid, CAST(ts AS DATE) AS day, hour(ts) AS h, obs FROM hourly WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM hours GROUP BY 1 HAVING count(*) = 24)),
+cov AS (SELECT a.uid, a.h AS h1, b.h AS h2, covar_pop(a.obs, b.obs) / 1e5 AS w FROM days a JOIN days b ON b.uid = a.uid AND b.day = a.day GROUP BY 1, 2, 3)
+SELECT CAST(h1 AS INTEGER) AS h1, CAST(h2 AS INTEGER) AS h2, round(sum(x.u * y.u * w), 4) AS var FROM cov JOIN sched x ON x.h = h1 AND x.s = 1 JOIN sched y ON y.h = h2 AND y.s = 1 GROUP BY 1, 2""")
+def reduction_covariance(spark, d):
+    sched = selection.square_wave_schedules(spark, [0, 8, 21], 6).where("schedule = 1")
+    u = V.readings(spark, d).select("uid").distinct().crossJoin(F.broadcast(sched)).select("uid", "u")
+    return selection.reduction_covariance(_day_covariances(spark, d), u).withColumn("var", F.round("var", 4))
+
+
 @query()
 def greedy_select(spark, d):
-    out = selection.greedy_select(_response(spark, d), selection.square_wave_schedules(spark, [0, 8, 16], 6), _GOAL, _RATE, batch_size=2, max_steps=4)
-    return out.select("step", "uid", "schedule", F.round("gain", 3).alias("gain"), F.round("cost", 3).alias("cost"))
+    out = selection.greedy_select(_response(spark, d), selection.square_wave_schedules(spark, [0, 8, 16], 6), _GOAL, _RATE)
+    return out.select("step", "uid", "schedule", F.round("gain", 3).alias("gain"), F.round("cost", 3).alias("cost"), "added", "kept")
 
 
 @query()
 def allocate_effort(spark, d):
-    out = selection.allocate_effort(_response(spark, d), _GOAL, _RATE, 6.0, 1.0, 5)
+    out = selection.allocate_effort(_response(spark, d), _GOAL, _RATE, 6.0)
     return out.select("uid", "n_enrolled", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 4).alias("effort"))
 
 
-@query()
+@query(_RESPONSE + """, gain AS (SELECT uid, s, round(-sum(q * (u * u * (w + a * a) - 2 * g * u * a)), 6) AS gain FROM resp JOIN sched USING (h) JOIN tou USING (h) GROUP BY 1, 2),
+best AS (SELECT uid, arg_min(s, (-gain, s)) AS s, max(gain) AS gain FROM gain GROUP BY 1), place AS (SELECT uid, s, row_number() OVER (ORDER BY -gain, uid) AS place, count(*) OVER () AS n FROM best),
+pc AS (SELECT unnest([25.0, 50.0, 100.0]) AS percent)
+SELECT CAST(percent AS DOUBLE) AS percent, CAST(h AS INTEGER) AS hour, round(sum(a * u), 6) AS delta, round(sqrt(sum(w * u * u)), 6) AS sd, any_value(g) AS g
+FROM place JOIN pc ON 100.0 * place / n <= percent JOIN resp USING (uid) JOIN sched USING (s, h) JOIN tou USING (h) GROUP BY 1, 2""")
 def goal_match(spark, d):
-    p, sched = _response(spark, d), selection.square_wave_schedules(spark, [0, 8, 16], 6)
-    chosen = selection.greedy_select(p, sched, _GOAL, _RATE, batch_size=3, max_steps=2)
+    """Users enrolled in the order of the gain of their best single schedule."""
+    p, sched = _response(spark, d), selection.square_wave_schedules(spark, [0, 8, 21], 6)
+    gains = selection.candidate_gains(p.crossJoin(F.broadcast(sched)), [0.0] * 24, _GOAL, _RATE).withColumn("gain", r6("gain"))
+    best = gains.groupBy("uid").agg(F.min(F.struct(-F.col("gain"), F.col("schedule"))).alias("b")).select("uid", F.col("b.schedule").alias("schedule"), F.col("b").getField("col1").alias("step"))
     _, goal = selection.tariff_and_goal_tables(spark, _GOAL)
-    out = selection.goal_match(chosen, p, sched, goal, [50.0, 100.0])
+    out = selection.goal_match(best, p, sched, goal, [25.0, 50.0, 100.0])
     return out.select("percent", "hour", r6("delta", "delta"), r6("sd", "sd"), "g")
 
 
 @query()
 def budget_sweep(spark, d):
-    out = selection.budget_sweep(_response(spark, d), [2, 6], [0, 8, 16], _GOAL, _RATE, batch_size=3, max_steps=1)
-    return out.select("beta", "step", "uid", "schedule", F.round("cost", 3).alias("cost"))
+    """All lengths of effort from one hour to twenty."""
+    out = selection.budget_sweep(_response(spark, d), list(range(1, 21)), [0, 8, 16], _GOAL, _RATE)
+    return out.select("beta", "step", "uid", "schedule", F.round("cost", 3).alias("cost"), "added", "kept")
+
+
+@query()
+def schedule_counts(spark, d):
+    """How many of those that the selection for six hours chooses are asked for effort in each hour."""
+    sched = selection.square_wave_schedules(spark, [0, 8, 16], 6)
+    return selection.schedule_counts(selection.greedy_select(_response(spark, d), sched, _GOAL, _RATE), sched)
 
 
 @query()
 def cluster_schedule_apply(spark, d):
     p = _response(spark, d)
-    members, centres = segments.kerror_cluster(p, 3, 4, "uid", "a", "w")
+    members, centres = segments.kerror_cluster(p, 3, key="uid", vector="a", error="w")
     tou, goal = selection.tariff_and_goal_tables(spark, _GOAL)
-    return selection.cluster_schedule_apply(members.select("uid", "cluster"), centres, p, goal, tou, 6.0, 5).select(F.round("cost", 3).alias("cost"), "n_users")
+    return selection.cluster_schedule_apply(members.select("uid", "cluster"), centres, p, goal, tou, 6.0).select(F.round("cost", 3).alias("cost"), "n_users")
 
 
 @query()
 def segment_profile(spark, d):
-    members, centres = segments.kerror_cluster(_response(spark, d), 3, 4, "uid", "a", "w")
+    members, centres = segments.kerror_cluster(_response(spark, d), 3, key="uid", vector="a", error="w")
     out = segments.segment_profile(centres, members)
     return out.select("cluster", "hour", *[F.round(c, 4).alias(c) for c in ("mu", "low", "high", "percent")])
 
@@ -900,86 +1025,372 @@ def segment_profile(spark, d):
 @query("""
 WITH f AS (SELECT CAST(hour(ts) AS INTEGER) AS h, avg(temperature_f) AS g FROM weather GROUP BY 1), x AS (SELECT uid, CAST(ts AS DATE) AS day, sqrt(sum((obs - g) * (obs - g))) AS dist FROM hourly JOIN f ON f.h = hour(ts) GROUP BY 1, 2 HAVING count(*) = 24),
 m AS (SELECT uid, day, row_number() OVER (PARTITION BY uid ORDER BY dist, day) AS r FROM x QUALIFY r <= 3), v AS (SELECT m.uid, m.r, CAST(hour(y.ts) AS INTEGER) AS hour, y.obs FROM m JOIN hourly y ON y.uid = m.uid AND CAST(y.ts AS DATE) = m.day)
-SELECT a.uid AS ui, b.uid AS uj, a.hour, round(avg(a.obs * b.obs), 4) AS m FROM v a JOIN v b ON a.r = b.r AND a.hour = b.hour AND b.uid - a.uid BETWEEN 0 AND 2 GROUP BY 1, 2, 3
+SELECT a.uid AS ui, b.uid AS uj, a.hour, round(avg(a.obs * b.obs), 4) AS m FROM v a JOIN v b ON a.r = b.r AND a.hour = b.hour AND a.uid <= b.uid AND (a.uid % 20 = 0 OR b.uid % 20 = 0) GROUP BY 1, 2, 3
 """)
 def response_cross_moment(spark, d):
     forecast = S.long_to_day_profile(A.hourly_forecast_profile(V.weather(spark, d), "temperature_f").select(F.lit(0).alias("uid"), F.timestamp_seconds(F.col("hour") * 3600).alias("ts"), "temperature_f"), "temperature_f")
     days = S.long_to_day_profile(V.hourly(spark, d), "obs")
     matches = W.similar_days(days.crossJoin(F.broadcast(forecast.select(F.col("v").alias("g")))), F.col("g"), 3)
-    users = days.select(F.col("uid").alias("ui")).distinct()
-    near = users.withColumn("uj", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.col("ui") + k)))
-    return selection.response_cross_moment(days, matches, near).withColumn("m", F.round("m", 4))
+    users = days.select("uid").distinct()  # the query set: users whose id is divisible by 20, against all users
+    asked = users.where("uid % 20 = 0").select(F.col("uid").alias("q"))
+    pairs = asked.crossJoin(users).select(F.least("q", "uid").alias("ui"), F.greatest("q", "uid").alias("uj")).distinct()
+    return selection.response_cross_moment(days, matches, pairs).withColumn("m", F.round("m", 4))
 
 
-def _fits(spark, d):
-    rows = V.hourly(spark, d).join(V.weather(spark, d), "ts").withColumn("t_d", T.degree_offset(F.col("temperature_f")))
-    return rows, regimes.fit_regimes(rows, ks=[2], maxit=10, restarts=1)
+def _heated(spark, d):
+    return V.hourly(spark, d).join(V.weather(spark, d), "ts").withColumn("t_d", T.degree_offset(F.col("temperature_f")))
 
 
 @query()
 def fit_regimes(spark, d):
-    return _fits(spark, d)[1].select("uid", "kind", "state", "to_state", *[F.round(c, 4).alias(c) for c in ("a", "b", "sd", "loglik")])
+    fits = regimes.fit_regimes(_heated(spark, d))
+    return fits.select("uid", "kind", "state", "to_state", *[F.round(c, 4).alias(c) for c in ("a", "b", "sd", "loglik")], "iterations")
+
+
+_ONE = "one AS (SELECT uid, count(*) AS n, regr_intercept(obs, temperature_f - 65) AS a, regr_slope(obs, temperature_f - 65) AS b, sqrt((regr_syy(obs, temperature_f - 65) - regr_sxy(obs, temperature_f - 65) * regr_sxy(obs, temperature_f - 65) / regr_sxx(obs, temperature_f - 65)) / count(*)) AS sd FROM states GROUP BY 1)"
+
+
+@query("WITH " + _ONE + " SELECT uid, round(a, 4) AS a, round(b, 4) AS b, round(sd, 4) AS sd, round(-n / 2.0 * ln(2 * pi() * sd * sd) - n / 2.0, 3) AS loglik FROM one")
+def fit_one_regime(spark, d):
+    fits = regimes.fit_regimes(_heated(spark, d), ks=[1]).where("kind = 'response'")
+    return fits.select("uid", *[F.round(c, 4).alias(c) for c in ("a", "b", "sd")], F.round("loglik", 3).alias("loglik"))
 
 
 @query()
+def select_model_size(spark, d):
+    """Sizes 1 to 3 by even rows, and the likelihood of the chosen size, fitted again on all rows."""
+    rows = _heated(spark, d)
+    sizes = regimes.cut_lineage(regimes.select_model_size(rows))
+    again = regimes.refit_chosen(rows, sizes).where("kind = 'init' AND state = 1").select("uid", "k", F.round("loglik", 3).alias("loglik"), "iterations")
+    return sizes.select("uid", "k", F.round("r2", 4).alias("r2"), F.round("mape", 4).alias("mape"), "chosen").join(again, ["uid", "k"], "left")
+
+
+# Parameters that SQL has too: lines of the level states, their moves, alike starts. Then the passes over time, step by step.
+_TABLES = _PARAMS + ", " + _MOVES + """, resp AS (SELECT u.uid, s AS state, coalesce(p.intercept, 0) AS a, coalesce(p.slope, 0) AS b, greatest(coalesce(sqrt(p.v), 1), 1) AS sd, coalesce(sqrt(p.v * (1 / p.n + mx * mx / sxx)), 0) AS se_a, coalesce(sqrt(p.v / sxx), 0) AS se_b FROM everyone u CROSS JOIN three LEFT JOIN par p ON p.uid = u.uid AND p.state = s AND p.slope IS NOT NULL) """
+_PASSES = _TABLES.replace("WITH est AS", "WITH RECURSIVE est AS", 1) + """,
+r AS MATERIALIZED (SELECT uid, ts, obs, temperature_f - 65 AS t, row_number() OVER (PARTITION BY uid ORDER BY ts) AS n FROM states),
+e AS (SELECT r.uid, n, ts, state, -0.5 * pow((obs - a - b * t) / sd, 2) - ln(sd) - 0.5 * ln(2 * pi()) AS l FROM r JOIN resp ON resp.uid = r.uid),
+ew AS (SELECT uid, n, ts, max(l) AS top, max(l) FILTER (state = 1) AS l1, max(l) FILTER (state = 2) AS l2, max(l) FILTER (state = 3) AS l3 FROM e GROUP BY 1, 2, 3),
+z AS (SELECT r.uid, n, "from" AS i, "to" AS j, exp(b0 + b1 * t) AS q FROM r JOIN tran ON tran.uid = r.uid), zs AS (SELECT uid, n, i, sum(q) AS s FROM z GROUP BY 1, 2, 3),
+zw AS (SELECT z.uid, z.n, """ + ", ".join(f"max(q / s) FILTER (z.i = {i} AND j = {j}) AS p{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)) + """ FROM z JOIN zs ON zs.uid = z.uid AND zs.n = z.n AND zs.i = z.i GROUP BY 1, 2),
+w AS MATERIALIZED (SELECT ew.*, exp(l1 - top) AS e1, exp(l2 - top) AS e2, exp(l3 - top) AS e3, """ + ", ".join(f"p{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)) + """ FROM ew LEFT JOIN zw ON zw.uid = ew.uid AND zw.n = ew.n - 1),
+last AS (SELECT uid, max(n) AS n FROM w GROUP BY 1)"""
+_FORWARD = """,
+f AS (SELECT uid, n, x1 / (x1 + x2 + x3) AS a1, x2 / (x1 + x2 + x3) AS a2, x3 / (x1 + x2 + x3) AS a3, x1 + x2 + x3 AS c FROM (SELECT uid, n, e1 / 3 AS x1, e2 / 3 AS x2, e3 / 3 AS x3 FROM w WHERE n = 1)
+  UNION ALL SELECT uid, n, x1 / (x1 + x2 + x3), x2 / (x1 + x2 + x3), x3 / (x1 + x2 + x3), x1 + x2 + x3 FROM (
+    SELECT w.uid, w.n, (a1 * p11 + a2 * p21 + a3 * p31) * e1 AS x1, (a1 * p12 + a2 * p22 + a3 * p32) * e2 AS x2, (a1 * p13 + a2 * p23 + a3 * p33) * e3 AS x3 FROM f JOIN w ON w.uid = f.uid AND w.n = f.n + 1)),
+ll AS (SELECT f.uid, sum(ln(c)) + sum(top) AS loglik, count(*) AS nobs FROM f JOIN w ON w.uid = f.uid AND w.n = f.n GROUP BY 1)"""
+_BACKWARD = """,
+wf AS MATERIALIZED (SELECT w.*, f.c, a1, a2, a3 FROM w JOIN f ON f.uid = w.uid AND f.n = w.n),
+k AS (SELECT uid, n, CAST(1 AS DOUBLE) AS b1, CAST(1 AS DOUBLE) AS b2, CAST(1 AS DOUBLE) AS b3 FROM last
+  UNION ALL SELECT k.uid, k.n - 1, (p11 * e1 * b1 + p12 * e2 * b2 + p13 * e3 * b3) / c, (p21 * e1 * b1 + p22 * e2 * b2 + p23 * e3 * b3) / c, (p31 * e1 * b1 + p32 * e2 * b2 + p33 * e3 * b3) / c
+    FROM k JOIN wf ON wf.uid = k.uid AND wf.n = k.n WHERE k.n > 1)"""
+_VITERBI = """,
+y AS (SELECT uid, n, l1 - top AS s1, l2 - top AS s2, l3 - top AS s3, 0 AS k1, 0 AS k2, 0 AS k3 FROM w WHERE n = 1
+  UNION ALL SELECT uid, n, m1 + l1 - h, m2 + l2 - h, m3 + l3 - h, k1, k2, k3 FROM (SELECT *, greatest(m1 + l1, m2 + l2, m3 + l3) AS h FROM (
+    SELECT w.uid, w.n, l1, l2, l3, """ + ", ".join(f"greatest(s1 + ln(p1{j}), s2 + ln(p2{j}), s3 + ln(p3{j})) AS m{j}, CASE WHEN s1 + ln(p1{j}) >= greatest(s2 + ln(p2{j}), s3 + ln(p3{j})) THEN 1 WHEN s2 + ln(p2{j}) >= s3 + ln(p3{j}) THEN 2 ELSE 3 END AS k{j}" for j in (1, 2, 3)) + """ FROM y JOIN w ON w.uid = y.uid AND w.n = y.n + 1))),
+ym AS MATERIALIZED (SELECT * FROM y),
+g AS (SELECT l.uid, l.n, CASE WHEN s1 >= greatest(s2, s3) THEN 1 WHEN s2 >= s3 THEN 2 ELSE 3 END AS state FROM last l JOIN ym ON ym.uid = l.uid AND ym.n = l.n
+  UNION ALL SELECT g.uid, g.n - 1, CASE g.state WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END FROM g JOIN ym ON ym.uid = g.uid AND ym.n = g.n WHERE g.n > 1)"""
+
+
+def _table_models(spark, d):
+    """Models as tables: of each state its line and residual spread (1 at least) with standard errors, of each move its logit, starts alike."""
+    par = _params(spark, d)[1].where("slope IS NOT NULL")
+    every = V.readings(spark, d).select("uid").distinct().withColumn("state", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    resp = every.join(par, ["uid", "state"], "left").select("uid", "state", zero("intercept"), zero("slope"), F.greatest(F.coalesce("sigma", F.lit(1.0)), F.lit(1.0)).alias("sd"), zero("se_intercept"), zero("se_slope"))
+    return {"model_response": resp, "model_transition": _moves(spark, d), "model_init": every.withColumn("pi", F.lit(1 / 3))}
+
+
+def _table_fits(models):
+    """The tables as one long table of fits, three states for each user."""
+    row = lambda df, kind, state, to, a, b, sd: df.select(
+        "uid", F.lit(3).alias("k"), F.lit(kind).alias("kind"), F.col(state).alias("state"), to.alias("to_state"), a.alias("a"), b.alias("b"), sd.alias("sd"), F.lit(None).cast("double").alias("loglik"), F.lit(0).alias("iterations")
+    )
+    none, c = F.lit(0.0), F.col
+    return (
+        row(models["model_response"], "response", "state", F.lit(0), c("intercept"), c("slope"), c("sd"))
+        .unionByName(row(models["model_init"], "init", "state", F.lit(0), c("pi"), none, none))
+        .unionByName(row(models["model_transition"], "transition", "from", c("to"), c("b0"), c("b1"), none))
+    )
+
+
+@query(_PASSES + _VITERBI + " SELECT g.uid, CAST(g.state AS INTEGER) AS state, count(*) AS n, round(avg(a + b * t), 4) AS fit FROM g JOIN r ON r.uid = g.uid AND r.n = g.n JOIN resp ON resp.uid = g.uid AND resp.state = g.state GROUP BY 1, 2")
 def decode_states(spark, d):
-    rows, fits = _fits(spark, d)
-    return regimes.decode_states(rows, fits).groupBy("uid", "state").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fit_max"), 4).alias("fit"))
+    decoded = regimes.decode_states(_heated(spark, d), _table_fits(_table_models(spark, d)))
+    return decoded.groupBy("uid", "state").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fit_max"), 4).alias("fit"))
 
 
-@query()
+@query(_PASSES + _FORWARD + _BACKWARD + """, h AS (SELECT wf.uid, ts, a1 * b1 AS g1, a2 * b2 AS g2, a3 * b3 AS g3 FROM wf JOIN k ON k.uid = wf.uid AND k.n = wf.n)
+SELECT uid, ts, CAST(s AS INTEGER) AS state, round(CASE s WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE g3 END / (g1 + g2 + g3), 5) AS gamma FROM h CROSS JOIN three""")
+def smooth_states(spark, d):
+    shares, _ = regimes.smooth_states(_heated(spark, d), _table_fits(_table_models(spark, d)))
+    return shares.withColumn("gamma", F.round("gamma", 5))
+
+
+@query(_PASSES + _VITERBI + """, v AS (SELECT y.uid, y.n, ts, t, exp(s1) AS d1, exp(s2) AS d2, exp(s3) AS d3, g.state FROM ym y JOIN r ON r.uid = y.uid AND r.n = y.n JOIN g ON g.uid = y.uid AND g.n = y.n),
+o AS (SELECT uid, max(a) FILTER (state = 1) AS a1, max(a) FILTER (state = 2) AS a2, max(a) FILTER (state = 3) AS a3, max(b) FILTER (state = 1) AS b1, max(b) FILTER (state = 2) AS b2, max(b) FILTER (state = 3) AS b3 FROM resp GROUP BY 1)
+SELECT v.uid, ts, round(CASE state WHEN 1 THEN a1 + b1 * t WHEN 2 THEN a2 + b2 * t ELSE a3 + b3 * t END, 4) AS map_response, round((d1 * (a1 + b1 * t) + d2 * (a2 + b2 * t) + d3 * (a3 + b3 * t)) / (d1 + d2 + d3), 4) AS mean_response FROM v JOIN o ON o.uid = v.uid""")
 def map_and_mean_response(spark, d):
-    rows, fits = _fits(spark, d)
-    decoded = regimes.decode_states(rows, fits).join(rows.select("uid", "ts", "t_d"), ["uid", "ts"])
-    out = interpret.map_and_mean_response(decoded, regimes.split_models(fits)["model_response"])
+    models, rows = _table_models(spark, d), _heated(spark, d)
+    decoded = regimes.decode_states(rows, _table_fits(models)).join(rows.select("uid", "ts", "t_d"), ["uid", "ts"])
+    out = interpret.map_and_mean_response(decoded, models["model_response"].select("uid", "state", "intercept", "slope"))
     return out.select("uid", "ts", F.round("map_response", 4).alias("map_response"), F.round("mean_response", 4).alias("mean_response"))
 
 
-@query()
+def _scored(spark, d, rows):
+    """The table models with the likelihood that the forward pass gives them."""
+    fits = _table_fits(_table_models(spark, d))
+    _, told = regimes.smooth_states(rows, fits)
+    return regimes.model_scores(fits.drop("loglik").join(told, "uid"), rows)
+
+
+@query(_PASSES + _FORWARD + " SELECT uid, 3 AS k, 23 AS df, nobs, round(loglik, 2) AS loglik, round(-2 * loglik + 46, 2) AS aic, round(-2 * loglik + ln(nobs) * 23, 2) AS bic FROM ll")
 def model_scores(spark, d):
-    rows, fits = _fits(spark, d)
-    return regimes.model_scores(fits, rows).select("uid", "k", "df", "nobs", *[F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic")])
+    return _scored(spark, d, _heated(spark, d)).select("uid", "k", "df", "nobs", *[F.round(c, 2).alias(c) for c in ("loglik", "aic", "bic")])
+
+
+@query(_PASSES + _FORWARD + ", " + _ONE + """, q AS (SELECT ll.uid, 2 * (loglik - (-n / 2.0 * ln(2 * pi() * sd * sd) - n / 2.0)) AS x FROM ll JOIN one ON one.uid = ll.uid)
+SELECT uid, round(x, 2) AS statistic, 20 AS df, round(CASE WHEN x <= 0 THEN 1.0 WHEN x > 1400 THEN 0.0 ELSE exp(-x / 2) * list_sum([pow(x / 2, i) / factorial(CAST(i AS INTEGER)) for i in generate_series(0, 9)]) END, 6) AS p FROM q""")
+def likelihood_ratio(spark, d):
+    rows = _heated(spark, d)
+    one = regimes.model_scores(regimes.fit_regimes(rows, ks=[1]), rows)
+    out = regimes.likelihood_ratio(one.unionByName(_scored(spark, d, rows)), 1, 3)
+    return out.select("uid", F.round("statistic", 2).alias("statistic"), "df", r6("p", "p"))
+
+
+_PROPAGATED = _TABLES.replace("WITH est AS", "WITH RECURSIVE est AS", 1) + """, fc AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, avg(temperature_f) - 65 AS t FROM weather GROUP BY 1),
+z AS (SELECT uid, hour, "from" AS i, "to" AS j, exp(b0 + b1 * t) AS q FROM tran CROSS JOIN fc), zs AS (SELECT uid, hour, i, sum(q) AS s FROM z GROUP BY 1, 2, 3),
+zw AS MATERIALIZED (SELECT z.uid, z.hour, """ + ", ".join(f"max(q / s) FILTER (z.i = {i} AND j = {j}) AS p{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)) + """ FROM z JOIN zs ON zs.uid = z.uid AND zs.hour = z.hour AND zs.i = z.i GROUP BY 1, 2),
+dist AS (SELECT uid, -1 AS hour, 1 / 3.0::DOUBLE AS d1, 1 / 3.0::DOUBLE AS d2, 1 / 3.0::DOUBLE AS d3 FROM everyone
+  UNION ALL SELECT zw.uid, zw.hour, d1 * p11 + d2 * p21 + d3 * p31, d1 * p12 + d2 * p22 + d3 * p32, d1 * p13 + d2 * p23 + d3 * p33 FROM dist JOIN zw ON zw.uid = dist.uid AND zw.hour = dist.hour + 1),
+o AS (SELECT uid""" + "".join(f", max({c}) FILTER (state = {i}) AS {n}{i}" for n, c in (("a", "a"), ("b", "b"), ("y", "sd"), ("ea", "se_a"), ("eb", "se_b")) for i in (1, 2, 3)) + " FROM resp GROUP BY 1)"
+
+
+def _forecast(spark, d):
+    return A.hourly_forecast_profile(V.weather(spark, d), "temperature_f").select("hour", T.degree_offset(F.col("temperature_f")).alias("t"))
+
+
+@query(_PROPAGATED + " SELECT uid, hour, round(d1, 6) AS d1, round(d2, 6) AS d2, round(d3, 6) AS d3 FROM dist WHERE hour >= 0")
+def propagate_state_distribution(spark, d):
+    _, dist = interpret.propagated(_table_models(spark, d), _forecast(spark, d))
+    return dist.select("uid", "hour", *[r6(F.element_at("dist", i), f"d{i}") for i in (1, 2, 3)])
+
+
+def _moments(kind: str, m: str, e: str) -> str:
+    mu = " + ".join(f"d{i} * {m.format(i=i)}" for i in (1, 2, 3))
+    second = " + ".join(f"d{i} * ({m.format(i=i)} * {m.format(i=i)} + {e}{i} * {e}{i})" for i in (1, 2, 3))
+    return f"SELECT dist.uid, hour, '{kind}' AS kind, round({mu}, 4) AS mu, round(sqrt(greatest({second} - ({mu}) * ({mu}), 0)), 3) AS sd FROM dist JOIN o ON o.uid = dist.uid WHERE hour >= 0"
+
+
+@query(_PROPAGATED + " " + " UNION ALL ".join(_moments(*x) for x in (("slope", "b{i}", "eb"), ("baseload", "a{i}", "ea"), ("volatility", "(0 * a{i})", "y"))))
+def compute_profiles(spark, d):
+    out = interpret.compute_profiles(_table_models(spark, d), _forecast(spark, d))
+    return out.select("uid", "hour", "kind", F.round("mu", 4).alias("mu"), F.round("sd", 3).alias("sd"))
+
+
+def _spans(name: str, m: str) -> str:
+    """Recursion of mean-weighted and plain state shares from each hour on."""
+    step = lambda v: ", ".join(f"{v}1 * p1{j} + {v}2 * p2{j} + {v}3 * p3{j}" for j in (1, 2, 3))
+    return f""", {name} AS (SELECT dist.uid, hour AS h1, hour AS h2, d1 * {m}1 AS v1, d2 * {m}2 AS v2, d3 * {m}3 AS v3, d1, d2, d3, d1 * {m}1 + d2 * {m}2 + d3 * {m}3 AS mu FROM dist JOIN o ON o.uid = dist.uid WHERE hour >= 0
+  UNION ALL SELECT s.uid, h1, h2 + 1, {step("v")}, {step("d")}, mu FROM {name} s JOIN zw ON zw.uid = s.uid AND zw.hour = h2 + 1)"""
+
+
+def _spread(kind: str, name: str, m: str, e: str) -> str:
+    later = f"(v1 * {m}1 + v2 * {m}2 + v3 * {m}3) - mu * (d1 * {m}1 + d2 * {m}2 + d3 * {m}3)"
+    own = " + ".join(f"d{i} * ({m}{i} * {m}{i} + {e}{i} * {e}{i})" for i in (1, 2, 3))
+    return f"SELECT s.uid, '{kind}' AS kind, CAST(h1 AS BIGINT) AS h1, CAST(h2 AS BIGINT) AS h2, round(CASE WHEN h1 < h2 THEN {later} ELSE greatest({own} - mu * mu, 0) END, 3) AS cov FROM {name} s JOIN o ON o.uid = s.uid"
+
+
+@query(_PROPAGATED + _spans("sb", "b") + _spans("sa", "a") + " " + _spread("slope", "sb", "b", "eb") + " UNION ALL " + _spread("baseload", "sa", "a", "ea"))
+def profile_covariances(spark, d):
+    out = interpret.compute_profile_covariances(_table_models(spark, d), _forecast(spark, d))
+    return out.select("uid", "kind", "h1", "h2", F.round("cov", 3).alias("cov"))
+
+
+@query(_TABLES + """, gr AS (SELECT DISTINCT temperature_f - 65 AS t FROM weather), z AS (SELECT uid, t, "from", "to", exp(b0 + b1 * t) AS e FROM tran CROSS JOIN gr), p AS (SELECT uid, t, "from", "to", e / sum(e) OVER (PARTITION BY uid, t, "from") AS p FROM z),
+w AS (SELECT uid, t, max(p) FILTER ("from" = 1 AND "to" = 2) b, max(p) FILTER ("from" = 1 AND "to" = 3) c, max(p) FILTER ("from" = 2 AND "to" = 1) d, max(p) FILTER ("from" = 2 AND "to" = 3) f, max(p) FILTER ("from" = 3 AND "to" = 1) g, max(p) FILTER ("from" = 3 AND "to" = 2) h FROM p GROUP BY 1, 2),
+m AS (SELECT uid, t, d * g + d * h + f * g AS x, b * g + b * h + c * h AS y, b * f + c * d + c * f AS z FROM w),
+pi AS (SELECT uid, t, s AS state, CASE s WHEN 1 THEN x WHEN 2 THEN y ELSE z END / (x + y + z) AS pi FROM m CROSS JOIN three)
+SELECT pi.uid, t, round(sum(pi * b), 5) AS mean_response, round(sum(pi * se_b), 5) AS mean_se, round(arg_min(b, (-round(pi, 9), pi.state)), 5) AS map_response, round(arg_min(se_b, (-round(pi, 9), pi.state)), 5) AS map_se FROM pi JOIN resp ON resp.uid = pi.uid AND resp.state = pi.state GROUP BY 1, 2""")
+def response_by_degree(spark, d):
+    out = interpret.response_by_degree(interpret.stationary_distribution(_transition(spark, d)), _table_models(spark, d)["model_response"])
+    return out.select("uid", "t", *[F.round(c, 5).alias(c) for c in ("mean_response", "mean_se", "map_response", "map_se")])
+
+
+@query()
+def fitted_profiles(spark, d):
+    """Profiles of fitted regimes: fit, decode, standard errors of the decoded states, propagate over the mean day."""
+    rows = _heated(spark, d)
+    fits = regimes.cut_lineage(regimes.fit_regimes(rows))
+    models = regimes.split_models(fits)
+    decoded = regimes.decode_states(rows, fits).select("uid", "ts", "state").join(rows, ["uid", "ts"])
+    errors = interpret.state_standard_errors(decoded, "t_d", "obs").select("uid", "state", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("se_intercept", "se_slope")])
+    full = models["model_response"].join(errors, ["uid", "state"], "left").fillna(0.0, ["se_intercept", "se_slope"])
+    out = interpret.compute_profiles(models | {"model_response": full}, _forecast(spark, d))
+    return out.select("uid", "hour", "kind", F.round("mu", 3).alias("mu"), F.round("sd", 3).alias("sd"))
 
 
 @query()
 def fit_mixture(spark, d):
     rows = V.gappy(spark, d).join(V.weather(spark, d), "ts").withColumn("t_d", T.degree_offset(F.col("temperature_f")))
-    return regimes.fit_mixture(rows, 2, iterations=5).select("state", *[F.round(c, 4).alias(c) for c in ("weight", "intercept", "slope", "sd")])
+    return regimes.fit_mixture(rows, 2).select("state", *[F.round(c, 4).alias(c) for c in ("weight", "intercept", "slope", "sd")])
 
 
 @query()
-def compute_profiles(spark, d):
-    _, fits = _fits(spark, d)
-    models = regimes.split_models(fits)
-    models["model_response"] = models["model_response"].withColumn("se_slope", F.col("sd") / 10)
-    forecast = A.hourly_forecast_profile(V.weather(spark, d), "temperature_f").select("hour", T.degree_offset(F.col("temperature_f")).alias("t"))
-    return interpret.compute_profiles(models, forecast).select("uid", "hour", "kind", F.round("mu", 4).alias("mu"), F.round("sd", 4).alias("sd"))
+def fit_families(spark, d):
+    """Two classes of readings by several responses at once: size (gamma), circuit (multinomial), a large one or not (binomial), hour and log size (jointly normal), day number (Poisson)."""
+    rows = V.readings(spark, d).select("kw", "circuit", (F.col("kw") > 250).cast("double").alias("large"), F.hour("ts").cast("double").alias("hour"), F.log("kw").alias("log_kw"), F.dayofmonth("ts").cast("double").alias("day"))
+    responses = [families.Gamma("kw"), families.Multinomial("circuit", ["click", "error", "purchase", "signup", "view"]), families.Binomial("large"), families.Normal("hour", "log_kw"), families.Poisson("day")]
+    return families.fit_families(rows, 2, responses).withColumn("value", F.round("value", 4))
 
 
 @query()
 def impute_regression(spark, d):
     rows = V.gappy(spark, d).withColumns({"hour": F.hour("ts"), "obs": F.when(F.col("obs") <= 400, F.col("obs"))}).join(V.weather(spark, d), "ts")
-    out = C.impute_regression(rows, ["obs", "temperature_f"], ["hour"], rounds=1, trees=2)
-    return out.select("uid", "ts", F.round("obs", 3).alias("obs"))
+    return C.impute_regression(rows, ["obs", "temperature_f"], ["hour"]).select("uid", "ts", F.round("obs", 3).alias("obs"))
 
 
-@query()
+@query("""
+WITH f AS (SELECT circuit AS station, date_trunc('minute', ts) AS ts, CASE WHEN kw BETWEEN 2 AND 400 THEN kw END AS v, row_number() OVER (PARTITION BY circuit, date_trunc('minute', ts) ORDER BY seq) AS n FROM readings),
+o AS (SELECT station, ts, v FROM f WHERE n = 1), k AS (SELECT * FROM o WHERE v IS NOT NULL),
+g AS (SELECT station, unnest(generate_series(min(ts), max(ts), INTERVAL 1 MINUTE)) AS ts FROM o GROUP BY 1),
+b AS (SELECT g.station, g.ts, k.ts AS t0, k.v AS v0 FROM g ASOF LEFT JOIN k ON k.station = g.station AND g.ts >= k.ts),
+a AS (SELECT b.*, k.ts AS t1, k.v AS v1 FROM b ASOF LEFT JOIN k ON k.station = b.station AND b.ts <= k.ts),
+m AS (SELECT station, ts, coalesce(v0 + (v1 - v0) * (epoch(ts) - epoch(t0)) / greatest(epoch(t1) - epoch(t0), 1), v0, v1) AS v FROM a)
+SELECT station, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, '15min' AS grain, round(avg(v) + 1e-9, 6) AS temperature FROM m GROUP BY 1, 2 UNION ALL SELECT station, date_trunc('hour', ts), 'hour', round(avg(v) + 1e-9, 6) FROM m GROUP BY 1, 2
+""")
 def weather_to_grids(spark, d):
     feed = V.readings(spark, d).select(F.col("circuit").alias("station"), F.date_trunc("minute", "ts").alias("ts"), F.col("kw").alias("temperature"), "seq")
     out = R.weather_to_grids(feed, ["temperature"], {"temperature": (2, 400)}, order="seq")
-    return out.withColumn("temperature", r6("temperature"))
+    return out.withColumn("temperature", r6(F.col("temperature") + 1e-9))  # off the ties of rounding
 
 
 @query()
-def chain_lr(spark, d):
-    counts = chains.transition_counts(V.states(spark, d))
-    return chains.chain_lr(counts, chains.chain_templates(spark, 3)).select("uid", "template", F.round("lr", 4).alias("lr"), "df", F.round("p", 6).alias("p"))
+def drank(spark, d):
+    """Daily peaks as replicated scores, against the ranking by total load: its first 5, 10, 25 and 50 users."""
+    daily = V.hourly(spark, d).groupBy(F.to_date("ts").alias("rep"), "uid").agg(F.max("obs").alias("score"))
+    total = V.gappy(spark, d).groupBy("uid").agg(F.sum("obs").alias("x"))
+    truth = ordered_rank(total, [F.col("x").desc(), F.col("uid")]).select("uid", "rank")
+    return ranking.drank(daily, truth, [5, 10, 25, 50]).select("k", r6("distance", "distance"), r6("p", "p"))
 
 
-@query()
-def drank(spark, d):
-    """Daily peaks as replicated scores of users, against their rank by total load."""
-    daily = V.gappy(spark, d).groupBy(F.to_date("ts").alias("rep"), "uid").agg(F.max("obs").alias("score"))
-    total = V.gappy(spark, d).groupBy("uid").agg(F.sum("obs").alias("x")).withColumn("_all", F.lit(0))
-    truth = W.top_k(total, "x", 1 << 30, "uid", ["_all"]).select("uid", "rank")
-    return ranking.drank(daily, truth, 20).select(r6("distance", "distance"), r6("p", "p"))
+# ---- detections, autocorrelation of models, orders ------------------------------------------------------------------
+
+
+@query("""
+WITH q AS (SELECT uid, quantile_cont(obs, [0.25, 0.5]) AS q, quantile_cont(temperature_f, [0.25, 0.5]) AS p FROM states GROUP BY 1), g AS (SELECT m, t FROM (VALUES (1.0), (2.0)) x(m) CROSS JOIN (VALUES (1), (2)) y(t)),
+s AS (SELECT s.uid, CAST(m AS DOUBLE) AS m, CASE t WHEN 1 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS t, obs / 100 > m AS m0, temperature_f / 40 > m AS m1, obs > q[t] AS t0, temperature_f > p[t] AS t1 FROM states s JOIN q USING (uid) CROSS JOIN g),
+c AS (SELECT * FROM (VALUES (false), (true)) x(first) CROSS JOIN (VALUES (false), (true)) y(second)),
+u AS (SELECT uid, m, t, first, second, count(*) FILTER (m0 = first AND m1 = second) / count(*) AS model, count(*) FILTER (t0 = first AND t1 = second) / count(*) AS truth,
+             count(*) FILTER (m0 = first AND m1 = second AND t0 = first AND t1 = second) / nullif(count(*) FILTER (t0 = first AND t1 = second), 0) AS match FROM s CROSS JOIN c GROUP BY 1, 2, 3, 4, 5)
+SELECT m AS theta_m, t AS theta_t, first, second, round(avg(model), 6) AS model, round(avg(truth), 6) AS truth, round(avg(match), 6) AS match FROM u GROUP BY 1, 2, 3, 4
+""")
+def detection_tables(spark, d):
+    rows = V.states(spark, d).select("uid", (F.col("obs") / 100).alias("load"), "obs", (F.col("temperature_f") / 40).alias("heat"), "temperature_f")
+    out = A.detection_tables(rows, [1.0, 2.0], [0.25, 0.5], [("load", "obs"), ("heat", "temperature_f")])
+    return out.select("theta_m", "theta_t", "first", "second", *[r6(c, c) for c in ("model", "truth", "match")])
+
+
+@query("""
+WITH q AS (SELECT uid, quantile_cont(obs, [0.25, 0.5, 0.9]) AS q FROM gappy GROUP BY 1), g AS (SELECT m, t FROM (VALUES (1), (2)) x(m) CROSS JOIN (VALUES (1), (2), (3)) y(t)),
+s AS (SELECT y.uid, m, t, y.obs / 100 > m AS a, y.obs > q[t] AS b FROM gappy y JOIN q USING (uid) CROSS JOIN g),
+u AS (SELECT uid, m, t, (count(*) FILTER (a AND b) / nullif(count(*) FILTER (b), 0) + count(*) FILTER (NOT a AND NOT b) / nullif(count(*) FILTER (NOT b), 0)) / 2 AS x FROM s GROUP BY 1, 2, 3)
+SELECT CAST([0.25, 0.5, 0.9][t] AS DOUBLE) AS theta_t, round(avg(x) FILTER (m = 1), 6) AS m_1, round(avg(x) FILTER (m = 2), 6) AS m_2 FROM u GROUP BY 1
+""")
+def detection_pivot(spark, d):
+    rows = V.gappy(spark, d).select("uid", (F.col("obs") / 100).alias("ratio"), F.col("obs").alias("kwh"))
+    out = A.sweep_pivot(A.detection_sweep(rows, [1.0, 2.0], [0.25, 0.5, 0.9]), [1.0, 2.0])
+    return out.select("theta_t", r6("m_1", "m_1"), r6("m_2", "m_2"))
+
+
+@query("""
+WITH v AS (SELECT uid, ts, 'own' AS kind, obs AS x FROM states UNION ALL SELECT uid, ts, 'model', temperature_f FROM states), c AS (SELECT uid, kind, row_number() OVER (PARTITION BY uid, kind ORDER BY ts) AS i, x - avg(x) OVER (PARTITION BY uid, kind) AS x FROM v),
+t AS (SELECT uid, kind, sum(x * x) AS c0, count(*) AS n FROM c GROUP BY 1, 2), l AS (SELECT unnest(generate_series(1, 6)) AS lag),
+a AS (SELECT a.uid, a.kind, lag, sum(a.x * b.x) / any_value(c0) AS acf, any_value(n) AS n FROM c a CROSS JOIN l JOIN c b ON b.uid = a.uid AND b.kind = a.kind AND b.i = a.i - lag JOIN t ON t.uid = a.uid AND t.kind = a.kind GROUP BY 1, 2, 3)
+SELECT o.uid, CAST(o.lag AS INTEGER) AS lag, round(o.acf, 6) AS acf, round(m.acf, 6) AS acf_model, abs(o.acf) > 1.96 / sqrt(o.n) AS significant FROM a o JOIN a m ON m.uid = o.uid AND m.lag = o.lag WHERE o.kind = 'own' AND m.kind = 'model'
+""")
+def acf_against_model(spark, d):
+    out = W.acf_against_model(V.states(spark, d), "obs", "temperature_f", 6)
+    return out.select("uid", "lag", r6("acf", "acf"), r6("acf_model", "acf_model"), "significant")
+
+
+@query("SELECT uid, ts, seq, row_number() OVER (ORDER BY uid, ts, seq) AS place FROM readings")
+def sort_rows(spark, d):
+    return W.sort_rows(V.readings(spark, d).select("uid", "ts", "seq"), "uid", "ts", "seq")
+
+
+@query("WITH v AS (SELECT c_nationkey AS region, avg(c_acctbal) AS value FROM customer GROUP BY 1) SELECT s_nationkey AS region, s_suppkey, round(value, 6) AS value, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS place FROM supplier JOIN v ON region = s_nationkey", base=False)
+def regions_with_values(spark, d):
+    values = A.mean_by_group_id(spark.read.parquet(f"{d}/customer.parquet"), "c_nationkey", ["c_acctbal"]).select(F.col("c_nationkey").alias("region"), F.col("c_acctbal").alias("value"))
+    points = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("region"), "s_suppkey")
+    return J.regions_with_values(points, values, "region", "s_suppkey").withColumn("value", r6("value"))
+
+
+# ---- files: written below the shared folder and read again ----------------------------------------------------------
+
+
+@query("SELECT uid, CAST(year(ts) AS INTEGER) AS year, count(*) AS n, round(sum(CAST(kw AS DECIMAL(18, 4))), 4) AS kw FROM readings GROUP BY 1, 2")
+def read_meter_tree(spark, d):
+    """The readings as a tree of CSV files, <year>/<uid>.csv folders, and that tree read as one table."""
+    path = shared_path(spark, "meters")
+    rows = V.readings(spark, d).select(F.year("ts").alias("_year"), F.concat("uid", F.lit(".csv")).alias("_file"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("localminute"), "kw")
+    rows.repartition("_file").write.option("header", True).partitionBy("_year", "_file").csv(path)
+    tree = ingest.read_meter_tree(spark, path, "localminute timestamp, kw double", r"_year=(\d{4})/_file=([^/]+)\.csv/[^/]+$")
+    return tree.groupBy(F.col("uid").cast("long").alias("uid"), "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("kw").cast("decimal(18,4)")), 4).cast("double").alias("kw"))
+
+
+@query("SELECT 'hour' AS grain, CAST(year(ts) AS INTEGER) AS year, uid, date_trunc('hour', ts) AS ts, round(avg(kw), 6) AS kw FROM readings GROUP BY uid, date_trunc('hour', ts), year(ts)")
+def write_usage(spark, d):
+    """Hourly means, written by grain and year twice over (the second write replaces its partition alone), and read again."""
+    path = shared_path(spark, "usage")
+    rows = R.to_hourly(V.readings(spark, d), ["kw"]).select(F.lit("hour").alias("grain"), F.year("ts").alias("year"), "uid", "ts", r6("kw", "kw"))
+    sinks.write_usage(rows.unionByName(rows.withColumn("year", F.col("year") - 1).withColumn("kw", F.lit(0.0))), path)
+    sinks.write_usage(rows, path)
+    back = spark.read.schema(rows.schema).parquet(path)
+    return back.join(rows.select("year").distinct(), "year", "left_semi").select("grain", "year", "uid", "ts", "kw")
+
+
+@query("SELECT circuit, count(*) AS n FROM readings GROUP BY 1")
+def write_new_tables_only(spark, d):
+    """Circuits a to p first, then all: the second write appends those that are new."""
+    path, rows = shared_path(spark, "circuits"), V.readings(spark, d)
+    sinks.write_new_tables_only(rows.where("circuit < 'q'"), path, "circuit")
+    sinks.write_new_tables_only(rows, path, "circuit")
+    return spark.read.schema(rows.schema).parquet(path).groupBy("circuit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s.uid, state, round(slope, 6) AS slope FROM (" + "SELECT uid, state FROM (SELECT DISTINCT uid FROM states) CROSS JOIN (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS state)" + ") s LEFT JOIN (SELECT uid, state AS st, regr_slope(obs, temperature_f - 65) AS slope FROM states GROUP BY 1, 2 HAVING regr_sxx(obs, temperature_f - 65) > 0) p ON p.uid = s.uid AND p.st = s.state")
+def save_models(spark, d):
+    """Tables of models saved and loaded; states without a line have none."""
+    path = shared_path(spark, "models")
+    par = _params(spark, d)[1].select("uid", F.col("state").cast("int").alias("state"), "slope")
+    every = V.readings(spark, d).select("uid").distinct().withColumn("state", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    sinks.save_models({"model_response": every.join(par, ["uid", "state"], "left")}, path)
+    return sinks.load_models(spark, path, ["model_response"])["model_response"].select("uid", "state", r6("slope", "slope"))
+
+
+@query(_CHANNELS + """SELECT CAST(house AS VARCHAR) AS house, CAST(ch AS INTEGER) AS ch, CASE ch WHEN 1 THEN 'mains' WHEN 2 THEN 'ac' ELSE 'light' END AS label, count(*) AS n, CAST(sum(watt) AS DOUBLE) AS watt FROM channel WHERE ch < 3 AND house IN (SELECT house FROM channel WHERE ch = 2) GROUP BY 1, 2, 3""")
+def redd_channels(spark, d):
+    """The readings as folders of device channels with their labels, and those of one device and the mains read again."""
+    path, rows = shared_path(spark, "channels"), _channels(spark, d)
+    labels = rows.select("house", "ch").distinct().select(F.col("house").cast("string"), F.concat_ws(" ", "ch", F.when(F.col("ch") == 1, "mains").when(F.col("ch") == 2, "ac").otherwise("light")).alias("value"), F.lit("labels.dat").alias("file"))
+    data = rows.select(F.col("house").cast("string"), F.concat_ws(" ", "utc", F.col("watt").cast("string")).alias("value"), F.format_string("channel_%d.dat", F.col("ch").cast("int")).alias("file"))
+    labels.unionByName(data).repartition("house", "file").write.partitionBy("house", "file").text(path)
+    out = ingest.redd_channels(spark, path, ["ac"], file=r"house=([^/]+)/file=([^/]+)/[^/]+$")
+    return out.groupBy("house", "ch", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("watt").cast("decimal(18,4)")).cast("double").alias("watt"))
+
+
+@query("""
+WITH e AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM readings) SELECT uid, date_trunc('hour', ts) AS ts, round(sum(kw), 6) AS obs, count(*) AS n FROM readings GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', mark) FROM e)
+""")
+def hourly_stream(spark, d):
+    """The readings as a stream, until nothing is left: the hours that the watermark has passed."""
+    source, out = shared_path(spark, "arriving"), shared_path(spark, "hours")
+    rows = V.readings(spark, d).select("uid", F.col("ts").cast("timestamp").alias("ts"), "kw")
+    rows.write.parquet(source)
+    stream = rollup.hourly_stream(spark.readStream.schema(rows.schema).parquet(source))
+    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).withColumn("obs", r6("obs"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattweave.storage import cut_lineage
+
 MODEL_TABLES = ("model_response", "model_transition", "model_init", "model_perf", "decoded")
 
 
@@ -16,16 +18,14 @@ def write_usage(df: DataFrame, path: str, by: Sequence[str] = ("grain", "year"))
 
 
 def write_new_tables_only(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows of keys that the table at ``path`` lacks, and returns those keys."""
+    """Appends the rows of keys that the table at ``path`` lacks, and returns those keys, as stored before the write."""
     spark = df.sparkSession
-    try:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = df
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         have = spark.read.parquet(path).select(F.col(key).cast(dict(df.dtypes)[key]).alias(key)).distinct()
         fresh = df.join(have, key, "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = df
-    keys = spark.createDataFrame(fresh.select(key).distinct().collect(), df.select(key).schema)
+    keys = cut_lineage(fresh.select(key).distinct())
     fresh.write.mode("append").partitionBy(key).parquet(path)
     return keys
 

@@ -1,19 +1,29 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""The folder that the cluster shares: cutting lineage there, and places for tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in ``spark.checkpoint.dir``; a temporary folder is set only where none is named and the master is local."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder is set only where none is named and the master is local."""
+    context, root = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if not root and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="wattweave-"))
+    return (root or context.getCheckpointDir()).rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

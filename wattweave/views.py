@@ -30,7 +30,9 @@ def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, ts of every hour of every user."""
-    return readings(spark, sf_dir).select("uid").distinct().crossJoin(F.broadcast(hours(spark, sf_dir)))
+    span = readings(spark, sf_dir).agg(F.date_trunc("hour", F.min("ts")).alias("a"), F.date_trunc("hour", F.max("ts")).alias("b"))  # one row
+    users = readings(spark, sf_dir).select("uid").distinct().crossJoin(F.broadcast(span))
+    return users.select("uid", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("ts"))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
