@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, spare
+from .common import Scratch, col, settings, spare
 from .components import connected_components
 
 SHINGLE = 5
@@ -39,8 +39,10 @@ BANDS, ROWS = 27, 5
 STAGE_PERCENT, STAGE_BANDS = 80, 40
 _PIECE = 2048
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of an Arrow batch, which hold whole texts or pairs of them.
+BATCH = "1000"
 #: Words whose hashes a worker keeps; a fuller table is emptied between texts.
-WORDS_HELD = 500_000
+WORDS_HELD = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -213,7 +215,8 @@ def confirm(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, percen
     """
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").hint("merge").join(a, "a").hint("merge").join(b, "b")
-    return scratch.store(both.mapInPandas(_similar(k, percent), "a long, b long"), "links")
+    with settings(scratch.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH}):
+        return scratch.store(both.mapInPandas(_similar(k, percent), "a long, b long"), "links")
 
 
 def _buckets(scratch: Scratch, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,9 +262,10 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    features = scratch.store(
-        source.mapInArrow(_features(k, bands, rows), "id long, n long, digest binary, bands array<bigint>"), "features"
-    )
+    with settings(scratch.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH}):
+        features = scratch.store(
+            source.mapInArrow(_features(k, bands, rows), "id long, n long, digest binary, bands array<bigint>"), "features"
+        )
     told = features.where("id IS NOT NULL AND digest IS NOT NULL")
     # Sets with one digest are one node, named by their smallest id.
     sets = scratch.store(
@@ -312,7 +316,9 @@ def near_duplicates(
     scratch.drop(rest)
     # A node's intersection with another is at most what it has in common with any.
     lone = held_in_common(texts.join(mixed.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "text"), k)
-    able = mixed.join(scratch.store(lone, "own-shingles"), "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
+    with settings(scratch.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH}):
+        lone = scratch.store(lone, "own-shingles")
+    able = mixed.join(lone, "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
     left = _open_buckets(scratch, able.drop("largest").where(100 * F.col("c") >= percent * F.col("n")), "c")
     scratch.drop(mixed)
     # With its bands at hand, a pair that shares several is made in the first of them alone.
