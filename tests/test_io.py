@@ -77,8 +77,21 @@ def test_profiles_of_models(spark):
     models = {
         "model_transition": spark.createDataFrame(k, "uid int, from int, to int, b0 double, b1 double"),
         "model_init": spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5)], "uid int, state int, pi double"),
-        "model_response": spark.createDataFrame([(1, 1, 1.0, 2.0, 0.1, 0.2), (1, 2, 3.0, 4.0, 0.1, 0.2)], "uid int, state int, intercept double, slope double, sd double, se_slope double"),
+        "model_response": spark.createDataFrame([(1, 1, 1.0, 2.0, 0.1, 0.2), (1, 2, 3.0, 4.0, 0.1, 0.2)], "uid int, state int, intercept double, slope double, sd double, se_slope double").withColumn("se_intercept", F.lit(0.3)),
     }
     forecast = spark.createDataFrame([(h, 10.0 + h) for h in range(3)], "hour int, t double")
     got = {(r["kind"], r["hour"]): r["mu"] for r in interpret.compute_profiles(models, forecast).collect()}
-    assert len(got) == 6 and abs(got["slope", 0] - 3.0) < 1e-9 and abs(got["baseload", 2] - 2.0) < 1e-9
+    assert len(got) == 9 and got["volatility", 1] == 0.0 and abs(got["slope", 0] - 3.0) < 1e-9 and abs(got["baseload", 2] - 2.0) < 1e-9
+
+
+def test_jdbc_slices_and_weather_tables(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/meters;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(i, float(i), i % 3) for i in range(9)], "id int, kw double, part int")
+    df.write.jdbc(url, "readings", properties={"driver": driver})
+    rows = ingest.read_jdbc_slice(spark, url, "readings", ['"part" = 0', '"part" = 1'], ['"id"', '"kw"', '"part"'], driver=driver)
+    assert rows.rdd.getNumPartitions() == 2 and sorted(r["id"] for r in rows.collect()) == [0, 1, 3, 4, 6, 7]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS place LOCATION '{tmp_path}/place'")
+    sinks.write_weather_table(df.withColumnRenamed("part", "zip"), "place.weather")
+    sinks.write_weather_table(df.where("part = 1").withColumnRenamed("part", "zip"), "place.weather")
+    assert {r["zip"] for r in spark.table("place.weather").collect()} == {1}
+    spark.sql("DROP DATABASE place CASCADE")

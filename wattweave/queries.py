@@ -968,7 +968,7 @@ def reduction_covariance(spark, d):
 
 @query()
 def greedy_select(spark, d):
-    out = selection.greedy_select(_response(spark, d), selection.square_wave_schedules(spark, [0, 8, 16], 6), _GOAL, _RATE)
+    out = selection.greedy_select(_response(spark, d), selection.square_wave_schedules(spark, [0, 8, 16], 6), _GOAL, _RATE, batch_size=50)
     return out.select("step", "uid", "schedule", F.round("gain", 3).alias("gain"), F.round("cost", 3).alias("cost"), "added", "kept")
 
 
@@ -996,7 +996,7 @@ def goal_match(spark, d):
 @query()
 def budget_sweep(spark, d):
     """All lengths of effort from one hour to twenty."""
-    out = selection.budget_sweep(_response(spark, d), list(range(1, 21)), [0, 8, 16], _GOAL, _RATE)
+    out = selection.budget_sweep(_response(spark, d), list(range(1, 21)), [0, 8, 16], _GOAL, _RATE, batch_size=50)
     return out.select("beta", "step", "uid", "schedule", F.round("cost", 3).alias("cost"), "added", "kept")
 
 
@@ -1004,7 +1004,7 @@ def budget_sweep(spark, d):
 def schedule_counts(spark, d):
     """How many of those that the selection for six hours chooses are asked for effort in each hour."""
     sched = selection.square_wave_schedules(spark, [0, 8, 16], 6)
-    return selection.schedule_counts(selection.greedy_select(_response(spark, d), sched, _GOAL, _RATE), sched)
+    return selection.schedule_counts(selection.greedy_select(_response(spark, d), sched, _GOAL, _RATE, batch_size=50), sched)
 
 
 @query()
