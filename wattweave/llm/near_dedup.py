@@ -9,8 +9,9 @@ them has been compared in full with the node's first document.
 
 Candidates are compared in two steps that never list all pairs of a bucket.
 First, every node of a bucket meets the bucket's smallest node; true links are
-contracted to components. Second, in buckets that still hold several components,
-the nodes outside the bucket's largest component meet the nodes of other
+contracted to components, and what is outside a bucket's largest component meets
+one member of that, drawn by a hash in each bucket. Second, in buckets that still
+hold several components, the nodes outside the bucket's largest component meet the nodes of other
 components there. Links inside a component change nothing, so no link between
 components is lost. Before that, the shingles that only one of these nodes holds
 are counted: a pair's intersection can't be larger than what either node shares
@@ -312,8 +313,23 @@ def near_duplicates(
         "members",
     )
     scratch.drop(links, same, nodes, shared)
+    # What is outside a bucket's largest component meets one member of it, another in each bucket, and joins where it can.
     mixed = _open_buckets(scratch, rest)
-    scratch.drop(rest)
+    drawn = F.struct(F.xxhash64("node", "band", "value").alias("h"), "node", "n")
+    hubs = mixed.where("component = largest").groupBy("band", "value").agg(F.min(drawn).alias("hub")).select("band", "value", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"))
+    again = scratch.store(
+        mixed.where("component <> largest").join(hubs, ["band", "value"]).where(near_in_size).select(F.col("node").alias("a"), "b").distinct()
+        .join(first, ["a", "b"], "left_anti"),
+        "pairs",
+    )
+    joined = confirm(scratch, again, texts, k, percent)
+    stars = held.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    held = connected_components(stars.unionByName(joined), "a", "b").select(F.col("id").alias("node"), "component_id")
+    known = rest.drop("component").join(held, "node", "left").select("band", "value", "node", "n", F.coalesce("component_id", "node").alias("component"))
+    settled = scratch.store(known, "members")
+    scratch.drop(mixed, joined, rest)
+    mixed = _open_buckets(scratch, settled)
+    scratch.drop(settled)
     # A node's intersection with another is at most what it has in common with any.
     lone = held_in_common(texts.join(mixed.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "text"), k)
     with settings(scratch.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH}):
@@ -335,10 +351,10 @@ def near_duplicates(
         .where((F.col("component") == F.col("largest")) | (F.col("node") < F.col("b")))
         .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         .distinct()
-        .join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"),
+        .join(first.unionByName(again).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"),
         "pairs",
     )
-    scratch.drop(left, own_bands, first)
+    scratch.drop(left, own_bands, first, again)
     more = confirm(scratch, second, texts, k, percent)
     scratch.drop(second, texts)
     final = held
