@@ -14,8 +14,11 @@ the nodes outside the bucket's largest component meet the nodes of other
 components there. Links inside a component change nothing, so no link between
 components is lost. Before that, the shingles that only one of these nodes holds
 are counted: a pair's intersection can't be larger than what either node shares
-with anybody, so a copy with too many edits of its own meets nobody. Every link
-is confirmed on the full shingle sets of the whole texts.
+with anybody, so a copy with too many edits of its own meets nobody. Then the
+hashes are dealt over 2,048 parts: each part that one node fills and the other
+doesn't holds a shingle that they don't share, so pairs whose parts differ too
+much are passed over before their texts are fetched. Both are bounds, which lose
+no link. Every link is confirmed on the full shingle sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, col, settings, spare
@@ -41,6 +44,8 @@ _PIECE = 2048
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of an Arrow batch, which hold whole texts or pairs of them.
 BATCH = "1000"
+#: Parts that a node's shingle hashes are dealt over, a bit for each.
+PARTS = 2048
 #: Words whose hashes a worker keeps; a fuller table is emptied between texts.
 WORDS_HELD = 100_000
 
@@ -183,6 +188,33 @@ def held_in_common(texts: DataFrame, k: int) -> DataFrame:
     return single.groupBy("node").agg(F.count(F.lit(1)).alias("own")).join(several, "node", "left_anti")
 
 
+def _part_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
+        for batch in batches:
+            filled = np.zeros((batch.num_rows, PARTS), dtype=bool)
+            for i, text in enumerate(batch.column(1)):
+                filled[i, shingle_hashes(text.as_py(), vocabulary, k)[1] % np.uint64(PARTS)] = True
+            words = pa.array(np.packbits(filled, axis=1).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.FixedSizeListArray.from_arrays(words, PARTS // 64).cast(pa.list_(pa.int64()))], names=["node", "parts"]
+            )
+
+    return rows
+
+
+def filled_parts(texts: DataFrame, k: int) -> DataFrame:
+    """node, parts: the parts that a node's shingles fall into, as bits. Ids with several rows have no entry, as in :func:`held_in_common`."""
+    single = texts.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows = 1")
+    return texts.join(single, "id", "left_semi").select("id", "text").mapInArrow(_part_rows(k), "node long, parts array<bigint>")
+
+
+def unshared(mine: str, other: str) -> Column:
+    """How many parts ``mine`` fills and ``other`` doesn't: as many shingles at least aren't shared. 0 where either isn't known."""
+    alone = F.zip_with(mine, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.coalesce(F.aggregate(alone, F.lit(0), lambda total, x: total + x), F.lit(0))
+
+
 def _similar(k: int, percent: int):
     """Keeps the pairs whose full shingle sets reach the threshold; pairs come sorted by b."""
 
@@ -323,22 +355,25 @@ def near_duplicates(
     scratch.drop(mixed)
     # With its bands at hand, a pair that shares several is made in the first of them alone.
     own_bands = scratch.store(sets.join(left.select("node").distinct(), "node", "left_semi").select("node", "bands").distinct(), "bands")
-    signed = left.join(own_bands, "node")
+    with settings(scratch.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH}):
+        parts = scratch.store(filled_parts(texts.join(left.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), k), "parts")
+    signed = left.join(own_bands, "node").join(parts, "node", "left")
     outside = signed.where("component <> largest").select(
-        "band", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), F.col("bands").alias("others")
+        "band", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), F.col("bands").alias("others"), F.col("parts").alias("other_parts"),
     )
     first_shared = F.array_position(F.zip_with("bands", "others", lambda x, y: x == y), True) == F.col("band") + 1
-    enough = (100 + percent) * F.least("c", "d") >= percent * (F.col("n") + F.col("m"))
+    shared_at_most = F.least("c", "d", F.col("n") - unshared("parts", "other_parts"), F.col("m") - unshared("other_parts", "parts"))
+    enough, close = ((100 + percent) * most >= percent * (F.col("n") + F.col("m")) for most in (F.least("c", "d"), shared_at_most))
     second = scratch.store(
         signed.join(outside, ["band", "value"])
-        .where((F.col("component") != F.col("other")) & near_in_size & enough & first_shared)
+        .where((F.col("component") != F.col("other")) & near_in_size & enough & first_shared & close)
         .where((F.col("component") == F.col("largest")) | (F.col("node") < F.col("b")))
         .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         .distinct()
         .join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"),
         "pairs",
     )
-    scratch.drop(left, own_bands, first)
+    scratch.drop(left, own_bands, parts, first)
     more = confirm(scratch, second, texts, k, percent)
     scratch.drop(second, texts)
     final = held
