@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_join, exact_dedup, html_extract, langid, mixing, near_dedup, packing, secrets, warc
+from . import chat, embed_join, exact_dedup, html_extract, langid, license_rules, licenses, mixing, near_dedup, packing, secrets, warc
 from .common import table
 
 
@@ -74,11 +74,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    base = F.transform("base", lambda b: b["label"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.aggregate("base", F.lit(0).cast("long"), lambda n, b: n + b["n"]).alias("n_base"),
+        F.array_min(F.transform("base", lambda b: b["first"])).alias("first_word"),
+        F.array_max(F.transform("base", lambda b: b["last"])).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.transform("detections", lambda d: d["label"]))).alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_html_extraction, op3_minhash_near_dedup, op4_exact_dedup, op5_best_fit_packing,
-        op6_embedding_near_dedup, op7_chat_formatting, op8_source_mixing, op9_warc, op10_secret_scan,
+        op6_embedding_near_dedup, op7_chat_formatting, op8_source_mixing, op9_warc, op10_secret_scan, op13_license_scan,
     )
 }
 
@@ -215,3 +231,30 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 )
+
+_PADDED = "regexp_replace(' ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')"
+_PHRASES = ", ".join(f"('{label}', ' {phrase.replace(' ', '  ')} ', {len(phrase.split())})" for phrase, label in licenses.PHRASES)
+_RULES = ", ".join(f"({k}, {r.priority}, '{r.label}', '{r.keyword}', '{r.pattern}')" for k, r in enumerate(license_rules.rules()))
+
+# Words of a stretch of padded words: half its blanks. Containment is tested pair by pair.
+ORACLES["op13_license_scan"] = f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, {_PADDED} AS s FROM documents),
+n AS (SELECT k, doc_id, s, (length(s) - length(replace(s, ' ', ''))) // 2 - 1 AS n_words FROM t),
+p AS (SELECT k, n_words, label, words, string_split(s, phrase) AS pieces FROM n JOIN (VALUES {_PHRASES}) AS q(label, phrase, words) ON contains(s, phrase)),
+b AS (SELECT k, CAST(sum(len(pieces) - 1) AS BIGINT) AS n_base, min((length(pieces[1]) - length(replace(pieces[1], ' ', ''))) // 2) AS first_word,
+             max(n_words - words - (length(pieces[-1]) - length(replace(pieces[-1], ' ', ''))) // 2) AS last_word, list(label) AS labels FROM p GROUP BY k),
+m AS (SELECT k, rank, priority, label, string_split_regex(s, pattern) AS pieces, regexp_extract_all(s, pattern) AS matches
+      FROM n JOIN (VALUES {_RULES}) AS r(rank, priority, label, keyword, pattern) ON contains(s, keyword)),
+w AS (SELECT k, rank, priority, label, list_transform(pieces, lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS gaps,
+             list_transform(matches, lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS sizes FROM m),
+d AS (SELECT k, rank, priority, label, list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS a, list_sum(gaps[1:i]) + list_sum(sizes[1:i]) AS e
+      FROM (SELECT *, unnest(generate_series(1, len(sizes))) AS i FROM w)),
+f AS (SELECT k, list(label) AS labels, max([{', '.join(map(str, license_rules.TRUST))}][priority + 1]) AS trust FROM d
+      WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.k = d.k AND o.a <= d.a AND o.e >= d.e AND (o.priority < d.priority OR o.priority = d.priority AND (o.e - o.a > d.e - d.a OR o.e - o.a = d.e - d.a AND o.rank < d.rank)))
+      GROUP BY k)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(list_distinct(b.labels)), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, f.labels))), ','), '') AS labels,
+       CAST(greatest(coalesce(trust, 0), CASE WHEN n_base > 0 THEN {license_rules.TRUST[-1]} ELSE 0 END) AS DOUBLE) AS score
+FROM n LEFT JOIN b ON b.k = n.k LEFT JOIN f ON f.k = n.k
+"""
