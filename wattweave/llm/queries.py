@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_join, exact_dedup, html_extract, langid, license_rules, licenses, mixing, near_dedup, packing, secrets, warc
+from . import chat, embed_join, exact_dedup, html_extract, langid, license_rules, licenses, mixing, near_dedup, packing, secrets, warc, whitening
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -94,7 +98,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_html_extraction, op3_minhash_near_dedup, op4_exact_dedup, op5_best_fit_packing,
-        op6_embedding_near_dedup, op7_chat_formatting, op8_source_mixing, op9_warc, op10_secret_scan, op13_license_scan,
+        op6_embedding_near_dedup, op7_chat_formatting, op8_source_mixing, op9_warc, op10_secret_scan,
+        op12_embedding_whitening, op13_license_scan,
     )
 }
 
