@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_join, exact_dedup, html_extract, langid, license_rules, licenses, mixing, near_dedup, packing, secrets, warc, whitening
+from . import chat, embed_join, exact_dedup, html_extract, langid, license_rules, licenses, mixing, near_dedup, packing, prefix_trie, secrets, warc, whitening
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), rebuild=prefix_trie.regraft)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -99,7 +103,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_html_extraction, op3_minhash_near_dedup, op4_exact_dedup, op5_best_fit_packing,
         op6_embedding_near_dedup, op7_chat_formatting, op8_source_mixing, op9_warc, op10_secret_scan,
-        op12_embedding_whitening, op13_license_scan,
+        op11_conversation_trie, op12_embedding_whitening, op13_license_scan,
     )
 }
 
@@ -263,3 +267,20 @@ SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        CAST(greatest(coalesce(trust, 0), CASE WHEN n_base > 0 THEN {license_rules.TRUST[-1]} ELSE 0 END) AS DOUBLE) AS score
 FROM n LEFT JOIN b ON b.k = n.k LEFT JOIN f ON f.k = n.k
 """
+
+# A step of the CRC for each bit; -1 stands for a shift.
+ORACLES["op11_conversation_trie"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS l, CAST(conv_id AS VARCHAR) AS c FROM t GROUP BY conv_id),
+k AS (SELECT conv_id, l, xor(list_reduce(list_concat([4294967295], flatten(list_transform(generate_series(1, length(c)), lambda i: [CAST(ascii(substr(c, CAST(i AS INTEGER), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM s),
+b AS (SELECT k.conv_id, list_concat(coalesce(o.l[1:h], []), k.l[h + 1:]) AS l FROM k LEFT JOIN s o ON o.conv_id = k.conv_id - k.conv_id % 20),
+p AS (SELECT conv_id, len(l) AS n, d, l[1:d] AS path FROM (SELECT *, unnest(generate_series(0, len(l))) AS d FROM b)),
+g AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY path, d),
+c AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+e AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(g.path[d].text, '[^\x20\x09-\x0D]+')) END AS words FROM g LEFT JOIN c ON c.path = g.path),
+u AS (SELECT path[1:a] AS path, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+      FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM e) GROUP BY 1)
+SELECT e.conv_id, e.d AS depth, o.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends_sha256
+FROM e JOIN u ON u.path = e.path LEFT JOIN g o ON e.d > 0 AND o.d = e.d - 1 AND o.path = e.path[1:e.d - 1]
+"""
