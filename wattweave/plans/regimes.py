@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattweave.plans import passes
 from wattweave.plans.chains import chi2_tail
 from wattweave.storage import cut_lineage
 
 FITTED = "uid {uid}, k int, kind string, state int, to_state int, a double, b double, sd double, loglik double, iterations int"
-DECODED = "uid {uid}, ts timestamp, state int, delta array<double>, gamma array<double>, fit_max double, fit_avg double, loglik double"
 
 
 def _log_density(y: np.ndarray, x: np.ndarray, beta: np.ndarray, sd: np.ndarray) -> np.ndarray:
@@ -181,32 +181,10 @@ def decode_states(df: DataFrame, fits: DataFrame, obs: str = "obs", t: str = "t_
     """uid, ts, state, delta, gamma, fit_max, fit_avg, loglik: the likeliest path and the smoothed shares of every row.
 
     The transition at a row is that of its own covariate, new data or old.
-    ``fits`` holds one model for each user; users without one are left out.
+    ``fits`` holds one model for each user; users without one are left out, and
+    so are rows without a covariate. A series of any length is spread over tasks (:mod:`passes`).
     """
-    kind = dict(df.dtypes)[key]
-
-    def decode(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["uid", "ts", "state", "delta", "gamma", "fit_max", "fit_avg", "loglik"])
-        left = left.dropna(subset=[t]).sort_values(ts)
-        y, x = left[obs].to_numpy(float), left[t].to_numpy(float)
-        resp, init, tran = (right[right["kind"] == s].sort_values(["state", "to_state"]) for s in ("response", "init", "transition"))
-        k = len(resp)
-        beta, sd = resp[["a", "b"]].to_numpy(), resp["sd"].to_numpy()
-        a = _transitions(x, tran["a"].to_numpy().reshape(k, k), tran["b"].to_numpy().reshape(k, k))
-        log_b = _log_density(y, x, beta, sd)
-        path, delta = viterbi(log_b, a, init["a"].to_numpy())
-        gamma, _, loglik = forward_backward(log_b, a, init["a"].to_numpy())
-        mean = beta[:, 0] + np.outer(x, beta[:, 1])
-        return pd.DataFrame(
-            {
-                "uid": left["uid"], "ts": left[ts], "state": path + 1, "delta": delta.tolist(), "gamma": gamma.tolist(),
-                "fit_max": mean[np.arange(len(path)), path], "fit_avg": (delta * mean).sum(axis=1), "loglik": loglik,
-            }
-        )
-
-    rows = df.select(F.col(key).alias("uid"), ts, obs, t)
-    return rows.groupBy("uid").cogroup(fits.groupBy("uid")).applyInPandas(decode, DECODED.format(uid=kind))
+    return passes.decode(df, fits, obs, t, key, ts)
 
 
 def model_scores(fits: DataFrame, df: DataFrame, obs: str = "obs", key: str = "uid") -> DataFrame:
