@@ -6,6 +6,7 @@ few states. Tables in, tables out; everything that follows a fit is DataFrame co
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Sequence
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wattweave.plans import passes
 from wattweave.plans.chains import chi2_tail
+from wattweave.plans.families import Regression, fit_families
 from wattweave.storage import cut_lineage
 
 FITTED = "uid {uid}, k int, kind string, state int, to_state int, a double, b double, sd double, loglik double, iterations int"
@@ -243,20 +245,30 @@ def select_model_size(df: DataFrame, k_min: int = 1, k_max: int = 3, thr_r2: flo
     return scored.withColumn("chosen", F.col("k") == F.coalesce(first, best))
 
 
-def fit_mixture(df: DataFrame, k: int, y: str = "obs", x: str = "t_d", iterations: int = 20, family: str = "gaussian", hard: bool = False) -> DataFrame:
+def fit_mixture(
+    df: DataFrame, k: int, y: str = "obs", x: str = "t_d", iterations: int = 20, family: str = "gaussian", hard: bool = False, tol: float = 1e-8, slopes: bool = False
+) -> DataFrame:
     """state, weight, intercept, slope, sd of a mixture of regressions without time order, over all rows.
 
     Distributed EM: responsibilities are columns, the M-step is one aggregation
-    of weighted sums. Families: gaussian (with the regression), poisson and
-    binomial (0/1) with a mean only. Starts from equal slices of y by approximate quantiles.
+    of weighted sums. It ends when the log-likelihood rises by less than a share of
+    ``tol``, or after ``iterations`` rounds. Families: gaussian (with the regression), poisson and
+    binomial (0/1) with a mean only; with ``slopes`` these two, and gamma, are
+    regressions too, intercept and slope on the scale of their link, sd null.
+    Starts from equal slices of y by approximate quantiles.
     """
-    import math
+    if slopes and family != "gaussian":
+        rows = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
+        told = fit_families(rows, k, [Regression("y", ["x"], family)], iterations, tol)
+        pick = lambda name: F.max(F.when(F.col("parameter") == name, F.col("value")))
+        return told.groupBy("state", "weight").agg(pick("(intercept)").alias("intercept"), pick("x").alias("slope"), F.lit(None).cast("double").alias("sd"))
 
     spark, rows = df.sparkSession, df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
     cuts = rows.agg(F.percentile_approx("y", [(j + 0.5) / k for j in range(k)]).alias("q"), F.stddev_pop("y").alias("s")).first()
     if cuts["q"] is None:
         return spark.createDataFrame([], "state int, weight double, intercept double, slope double, sd double")
     par = [(1 / k, float(m), 0.0, max(float(cuts["s"] or 0) / k, 1e-6)) for m in cuts["q"]]
+    last = -math.inf
     for _ in range(iterations):
         logs = []
         for w, a, b, s in par:
@@ -270,12 +282,15 @@ def fit_mixture(df: DataFrame, k: int, y: str = "obs", x: str = "t_d", iteration
                 d = F.col("y") * math.log(p) + (1 - F.col("y")) * math.log(1 - p)
             logs.append(d + math.log(max(w, 1e-300)))
         top = F.greatest(*logs) if k > 1 else logs[0]
-        dense = rows.select("y", "x", *[F.exp(d - top).alias(f"e{j}") for j, d in enumerate(logs)])
+        dense = rows.select("y", "x", top.alias("top"), *[F.exp(d - top).alias(f"e{j}") for j, d in enumerate(logs)])
         total = sum((F.col(f"e{j}") for j in range(1, k)), F.col("e0"))
         share = [F.when(F.col(f"e{j}") == F.lit(1.0), 1.0).otherwise(0.0) if hard else F.col(f"e{j}") / total for j in range(k)]
-        dense = dense.select("y", "x", *[c.alias(f"w{j}") for j, c in enumerate(share)])
-        sums = dense.agg(*[F.sum(F.col(f"w{j}") * e).alias(f"{n}{j}") for j in range(k) for n, e in (
+        dense = dense.select("y", "x", (F.col("top") + F.log(total)).alias("gained"), *[c.alias(f"w{j}") for j, c in enumerate(share)])
+        sums = dense.agg(F.sum("gained").alias("loglik"), *[F.sum(F.col(f"w{j}") * e).alias(f"{n}{j}") for j in range(k) for n, e in (
             ("n", F.lit(1.0)), ("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") * F.col("y")))]).first()
+        if sums["loglik"] - last <= tol * abs(sums["loglik"]):
+            break
+        last = sums["loglik"]
         n_all, par = sum(sums[f"n{j}"] for j in range(k)), []
         for j in range(k):
             n, sx, sy, sxx, sxy, syy = (sums[f"{v}{j}"] for v in ("n", "sx", "sy", "sxx", "sxy", "syy"))

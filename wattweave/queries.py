@@ -1246,6 +1246,32 @@ def fit_families(spark, d):
     return families.fit_families(rows, 2, responses).withColumn("value", F.round("value", 4))
 
 
+def _irls(name: str, table: str, start: str, mean: str, weight: str, rounds: int = 12) -> str:
+    """CTEs of reweighted least squares, round by round, on (x, y, m rows)."""
+    out, at = [], f"(SELECT *, {start} AS eta FROM {table})"
+    for i in range(rounds):
+        out.append(f"""{name}{i} AS (SELECT (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) AS a, (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) AS b FROM (
+  SELECT sum(m * w) AS s0, sum(m * w * x) AS s1, sum(m * w * x * x) AS s2, sum(m * w * (eta + (y - mu) / w)) AS t0, sum(m * w * x * (eta + (y - mu) / w)) AS t1 FROM (SELECT *, {weight} AS w FROM (SELECT *, {mean} AS mu FROM {at}))))""")
+        at = f"(SELECT t.*, a + b * x AS eta FROM {table} t CROSS JOIN {name}{i})"
+    return ", ".join(out)
+
+
+@query(f"""
+WITH c AS (SELECT (temperature_f - 65) / 10 AS x, CAST(n AS DOUBLE) AS y, count(*) AS m FROM (SELECT date_trunc('hour', ts) AS ts, count(*) AS n FROM readings GROUP BY 1) JOIN weather USING (ts) GROUP BY 1, 2),
+o AS (SELECT (temperature_f - 65) / 10 AS x, CAST(obs > 0 AS DOUBLE) AS y, count(*) AS m FROM states GROUP BY 1, 2),
+{_irls("p", "c", "ln(y + 0.1)", "exp(eta)", "mu")}, {_irls("l", "o", "ln((y + 0.5) / (1.5 - y))", "1 / (1 + exp(-eta))", "mu * (1 - mu)")}
+SELECT 'readings' AS response, round(a, 5) AS intercept, round(b, 5) AS slope FROM p11 UNION ALL SELECT 'on', round(a, 5), round(b, 5) FROM l11
+""")
+def fit_regressions(spark, d):
+    """Counts of readings an hour, and whether a household uses any load, on temperature: Poisson and binomial regressions."""
+    x = ((F.col("temperature_f") - 65) / 10).alias("x")
+    counts = V.readings(spark, d).groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.count(F.lit(1)).alias("readings")).join(V.weather(spark, d), "ts").select(x, "readings")
+    used = V.states(spark, d).select(x, (F.col("obs") > 0).cast("double").alias("on"))
+    fits = [families.fit_families(rows, 1, [families.Regression(y, ["x"], kind)], iterations=50, tol=1e-15) for rows, y, kind in ((counts, "readings", "poisson"), (used, "on", "binomial"))]
+    pick = lambda name: F.round(F.max(F.when(F.col("parameter") == name, F.col("value"))), 5)
+    return fits[0].unionByName(fits[1]).groupBy("response").agg(pick("(intercept)").alias("intercept"), pick("x").alias("slope"))
+
+
 @query()
 def impute_regression(spark, d):
     rows = V.gappy(spark, d).withColumns({"hour": F.hour("ts"), "obs": F.when(F.col("obs") <= 400, F.col("obs"))}).join(V.weather(spark, d), "ts")
