@@ -776,6 +776,41 @@ def truth_response_curve(spark, d):
     return out.select("uid", "grid", F.round("fit", 5).alias("fit"), F.round("slope", 5).alias("slope"))
 
 
+def _lowess(rounds: int) -> str:
+    """CTEs of robust local regression: sums by temperature, the nearest two thirds, bisquare weights by the median residual; the last fit is f{rounds}."""
+    out = [
+        "r0 AS (SELECT uid, round(temperature_f) AS x, obs AS y, 1.0 AS r FROM states)",
+        "m0 AS (SELECT uid, x, count(*) AS n FROM r0 GROUP BY 1, 2)",
+        "u0 AS (SELECT uid, greatest(least(floor(sum(n) * (2.0 / 3) + 1e-7), sum(n)), 2) AS k, 0.001 * (max(x) - min(x)) AS least FROM m0 GROUP BY 1)",
+        "h0 AS (SELECT uid, x, min(d) AS h FROM (SELECT a.uid, a.x, abs(b.x - a.x) AS d, sum(b.n) OVER (PARTITION BY a.uid, a.x ORDER BY abs(b.x - a.x)) AS upto FROM m0 a JOIN m0 b ON b.uid = a.uid) JOIN u0 USING (uid) WHERE upto >= k GROUP BY 1, 2)",
+    ]
+    for i in range(rounds + 1):
+        out += [
+            f"c{i} AS (SELECT uid, x, sum(r) AS w, sum(r * y) AS wy FROM r{i} GROUP BY 1, 2)",
+            f"k{i} AS (SELECT h0.uid, h0.x, c.x - h0.x AS z, w, wy, CASE WHEN abs(c.x - h0.x) <= 0.001 * h THEN 1.0 WHEN abs(c.x - h0.x) <= 0.999 * h THEN pow(1 - pow(abs(c.x - h0.x) / h, 3), 3) ELSE 0.0 END AS q FROM h0 JOIN c{i} c ON c.uid = h0.uid)",
+            f"s{i} AS (SELECT uid, x, sum(q * w) AS s0, sum(q * w * z) / sum(q * w) AS m, sum(q * w * z * z) / sum(q * w) AS v, sum(q * wy) / sum(q * w) AS y, sum(q * wy * z) / sum(q * w) AS t FROM k{i} GROUP BY 1, 2)",
+            f"f{i} AS MATERIALIZED (SELECT uid, x, CASE WHEN sqrt(greatest(v - m * m, 0)) > least THEN y - m / (v - m * m) * (t - m * y) ELSE y END AS fit FROM s{i} JOIN u0 USING (uid))",
+        ]
+        if i < rounds:
+            out += [
+                f"e{i} AS (SELECT r.uid, r.x, y, r, abs(y - fit) AS e FROM r{i} r JOIN f{i} f ON f.uid = r.uid AND f.x = r.x)",
+                f"a{i} AS (SELECT uid, 6 * median(e) AS six, avg(e) AS mean FROM e{i} GROUP BY 1)",
+                f"r{i + 1} AS MATERIALIZED (SELECT uid, x, y, CASE WHEN six < 1e-7 * mean THEN r WHEN e <= 0.001 * six THEN 1.0 WHEN e <= 0.999 * six THEN pow(1 - pow(e / six, 2), 2) ELSE 0.0 END AS r FROM e{i} JOIN a{i} USING (uid))",
+            ]
+    return ", ".join(out)
+
+
+@query(f"""
+WITH {_lowess(3)}, b AS (SELECT uid, min(x) AS lo, max(x) AS hi FROM f3 GROUP BY 1), g AS (SELECT b.uid, lo, hi, CAST(g AS INTEGER) AS grid, greatest(least(g, hi), lo) AS here, greatest(least(g, hi), lo + 1) AS up FROM b CROSS JOIN (SELECT unnest(generate_series(1, 120)) AS g)),
+z AS (SELECT uid, x, fit, lead(x) OVER w AS x2, lead(fit) OVER w AS fit2 FROM f3 WINDOW w AS (PARTITION BY uid ORDER BY x)),
+p AS (SELECT q.uid, d, z.fit + CASE WHEN z.x < d THEN (fit2 - fit) * (d - z.x) / (x2 - z.x) ELSE 0 END AS fit FROM (SELECT DISTINCT uid, unnest([here, up, up - 1]) AS d FROM g) q ASOF JOIN z ON z.uid = q.uid AND q.d >= z.x)
+SELECT g.uid, grid, round(i.fit, 4) AS fit, round(j.fit - k.fit, 4) AS slope FROM g JOIN p i ON i.uid = g.uid AND i.d = here LEFT JOIN p j ON j.uid = g.uid AND j.d = up AND up <= hi LEFT JOIN p k ON k.uid = g.uid AND k.d = up - 1
+""")
+def robust_response_curve(spark, d):
+    out = curves.robust_response_curve(V.states(spark, d), "obs", "temperature_f", 1, 120)
+    return out.select("uid", "grid", F.round("fit", 4).alias("fit"), F.round("slope", 4).alias("slope"))
+
+
 @query("""
 WITH c AS (SELECT unnest([50, 55, 60, 65, 70, 75, 80, 85, 90]) AS c), r AS (SELECT uid, c, obs AS y, least(temperature_f - c, 0.0) AS u, greatest(temperature_f - c, 0.0) AS v FROM states CROSS JOIN c),
 s AS (SELECT uid, c, count(*) AS n, regr_sxx(y, u) / count(*) AS uu, regr_sxx(y, v) / count(*) AS vv, -avg(u) * avg(v) AS uv, covar_pop(y, u) AS uy, covar_pop(y, v) AS vy, var_pop(y) AS yy FROM r GROUP BY 1, 2),
