@@ -95,3 +95,44 @@ def test_jdbc_slices_and_weather_tables(spark, tmp_path):
     sinks.write_weather_table(df.where("part = 1").withColumnRenamed("part", "zip"), "place.weather")
     assert {r["zip"] for r in spark.table("place.weather").collect()} == {1}
     spark.sql("DROP DATABASE place CASCADE")
+
+
+def test_pushed_filter_and_kept_partitions(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/orders;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(i, float(i), i % 3) for i in range(9)], "id int, kw double, part int")
+    df.write.jdbc(url, "readings", properties={"driver": driver})
+    rows = ingest.read_jdbc_slice(spark, url, "readings", ['"id" < 5', '"id" >= 5'], ['"id"', '"kw"'], driver=driver).where("kw > 3")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(kw), *GreaterThan(kw,3.0)]" in plan and "part" not in plan
+    assert sorted(r["id"] for r in rows.collect()) == [4, 5, 6, 7, 8]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS kept LOCATION '{tmp_path}/kept'")
+    table = df.withColumnRenamed("part", "zip")
+    files = lambda z: sorted(p.name for p in (tmp_path / "kept" / "weather" / f"zip={z}").glob("*.parquet"))
+    sinks.write_weather_table(table, "kept.weather", replace="partitions")
+    before = {z: files(z) for z in range(3)}
+    sinks.write_weather_table(table.where("zip = 1").withColumn("kw", F.col("kw") + 100), "kept.weather", replace="partitions")
+    assert files(0) == before[0] and files(2) == before[2] and files(1) != before[1]
+    assert {(r["zip"], r["kw"] >= 100) for r in spark.table("kept.weather").collect()} == {(0, False), (1, True), (2, False)}
+    spark.sql("DROP DATABASE kept CASCADE")
+
+
+def test_consumers_keep_all_their_rows(spark):
+    info = spark.createDataFrame([(1, "a", 10), (1, "a", 11), (2, "b", 10), (1, "b", 12), (None, "a", 13)], "per int, sp string, zip int")
+    ids = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "a")], "per int, sp string")
+    kept = ingest.consumer_key_table(ids, info, ["per", "sp"])
+    assert sorted(r["zip"] for r in kept.collect()) == [10, 10, 11] and sorted(r["zip"] for r in ingest.consumer_places(kept).collect()) == [10, 11]
+
+
+def test_holidays(spark):
+    from wattweave.functions import calendar as T
+
+    years = spark.createDataFrame([(y,) for y in (1997, 2000, 2021, 2022, 2024, 2025, None, 2024)], "year int")
+    got = {(r["name"], r["day"].year): str(r["day"]) for r in T.holidays(years).collect()}
+    want = {
+        ("good_friday", 2000): "2000-04-21", ("good_friday", 2024): "2024-03-29", ("good_friday", 2025): "2025-04-18", ("good_friday", 2021): "2021-04-02",
+        ("memorial", 2024): "2024-05-27", ("thanksgiving", 2024): "2024-11-28", ("labor", 2025): "2025-09-01", ("presidents", 2022): "2022-02-21", ("king", 2000): "2000-01-17",
+        ("independence", 2021): "2021-07-05", ("christmas", 2021): "2021-12-24", ("christmas", 2022): "2022-12-26", ("juneteenth", 2022): "2022-06-20", ("new_year", 2000): None,
+        ("king", 1997): None, ("juneteenth", 2021): None,
+    }
+    for key, day in want.items():
+        assert got.get(key) == day, key

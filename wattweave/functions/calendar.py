@@ -22,6 +22,48 @@ SUMMER = {
 }
 
 
+def easter(year: Column) -> Column:
+    """Easter Sunday of a Gregorian year, by the computus."""
+    div = lambda a, n: F.floor(a / n)
+    a, b, c = year % 19, div(year, 100), year % 100
+    h = (19 * a + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15) % 30
+    w = (32 + 2 * (b % 4) + 2 * div(c, 4) - h - c % 4) % 7
+    n = h + w - 7 * div(a + 11 * h + 22 * w, 451) + 114
+    return F.make_date(year, div(n, 31).cast("int"), (n % 31 + 1).cast("int"))
+
+
+def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
+    """The nth ``weekday`` (1 Sunday .. 7 Saturday) of a month; the last for n = -1."""
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    if n > 0:
+        return F.date_add(first, F.pmod(weekday - F.dayofweek(first), F.lit(7)) + 7 * (n - 1))
+    last = F.last_day(first)
+    return F.date_sub(last, F.pmod(F.dayofweek(last) - weekday, F.lit(7)))
+
+
+def observed(day: Column, saturdays: bool = True) -> Column:
+    """A day that falls on a Sunday is kept on the Monday after, one on a Saturday on the Friday before (or, without ``saturdays``, not at all: null)."""
+    moved = F.date_sub(day, 1) if saturdays else F.lit(None).cast("date")
+    return F.when(F.dayofweek(day) == 1, F.date_add(day, 1)).when(F.dayofweek(day) == 7, moved).otherwise(day)
+
+
+def holidays(years: DataFrame, year: str = "year") -> DataFrame:
+    """day, name of the exchange holidays of each distinct year: moved fixed dates, nth weekdays, and the Friday before Easter.
+
+    Rules hold from the years they were kept: the third Monday of January from 1998, 19 June from 2022.
+    """
+    y = F.col("y")
+    fixed = lambda month, day, **k: observed(F.make_date(y, F.lit(month), F.lit(day)), **k)
+    rules = {
+        "new_year": fixed(1, 1, saturdays=False), "king": F.when(y >= 1998, nth_weekday(y, 1, 2, 3)), "presidents": nth_weekday(y, 2, 2, 3), "good_friday": F.date_sub(easter(y), 2),
+        "memorial": nth_weekday(y, 5, 2, -1), "juneteenth": F.when(y >= 2022, fixed(6, 19)), "independence": fixed(7, 4), "labor": nth_weekday(y, 9, 2, 1),
+        "thanksgiving": nth_weekday(y, 11, 5, 4), "christmas": fixed(12, 25),
+    }
+    each = F.array(*[F.struct(day.alias("day"), F.lit(name).alias("name")) for name, day in rules.items()])
+    days = years.select(F.col(year).cast("int").alias("y")).where("y IS NOT NULL").distinct()
+    return days.select(F.explode(each).alias("h")).select("h.day", "h.name").where("day IS NOT NULL")
+
+
 def calendar_features(df: DataFrame, ts: str = "ts", holidays: DataFrame | None = None) -> DataFrame:
     """Adds day_of_week (three letters), month0 (from 0), hour, and is_holiday: a weekend, or a day of ``holidays(day)``.
 

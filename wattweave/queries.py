@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from wattweave.operators import windows as W
 from wattweave.plans import chains, curves, families, interpret, ranking, regimes, segments, selection
 from wattweave.sources import ingest, sinks
 from wattweave.spread import ordered_rank
-from wattweave.storage import shared_path
+from wattweave.storage import cut_lineage, shared_path
 from wattweave.streaming import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,13 +98,49 @@ def assign_display_names(spark, d):
     return ingest.assign_display_names(V.readings(spark, d), names)
 
 
-@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", base=False)
+@query("SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", base=False)
 def consumer_key_table(spark, d):
-    info = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey")
+    """Orders of customers with a balance: an info table with several rows for a key."""
+    info = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"))
     ids = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     return ingest.consumer_key_table(ids, info, ["o_custkey"])
 
 
+@query("SELECT DISTINCT c_nationkey AS zip FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", base=False)
+def consumer_places(spark, d):
+    info = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("zip"))
+    ids = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return ingest.consumer_places(ingest.consumer_key_table(ids, info, ["c_custkey"]))
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 50000 GROUP BY 1", base=False)
+def read_jdbc_slice(spark, d):
+    """Orders stored in an embedded database (of this JVM: a local master) and read in four slices of their keys; filter and columns go to the database."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    orders.coalesce(1).write.jdbc(url, "orders", properties={"driver": driver})
+    lo, hi = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    cuts = [lo + (hi + 1 - lo) * i // 4 for i in range(5)] if lo is not None else [0, 1]
+    slices = [f'"o_orderkey" >= {a} AND "o_orderkey" < {b}' for a, b in zip(cuts, cuts[1:], strict=False)]
+    rows = ingest.read_jdbc_slice(spark, url, "orders", slices, ['"o_orderkey"', '"o_custkey"', '"o_totalprice"'], driver=driver)
+    return rows.where("o_totalprice > 50000").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT CAST(day(ts) % 5 AS INTEGER) AS zip, count(*) AS n, round(sum(temperature_f + CASE WHEN day(ts) % 5 = 2 THEN 1 ELSE 0 END), 3) AS total FROM weather GROUP BY 1")
+def write_weather_table(spark, d):
+    """Weather as a catalog table by place; then one place is written anew, and all are read back by name."""
+    name = f"wattweave_{uuid.uuid4().hex}"
+    rows = V.weather(spark, d).withColumn("zip", F.dayofmonth("ts") % 5)
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_path(spark, 'weather')}'")
+    try:
+        sinks.write_weather_table(rows, f"{name}.weather", replace="partitions")
+        sinks.write_weather_table(rows.where("zip = 2").withColumn("temperature_f", F.col("temperature_f") + 1), f"{name}.weather", replace="partitions")
+        back = cut_lineage(spark.table(f"{name}.weather"))
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    return back.groupBy("zip").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("temperature_f"), 3).alias("total"))
+
+
 @query("SELECT DISTINCT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM readings), (SELECT max(CAST(ts AS DATE)) FROM readings), INTERVAL 1 DAY)) AS DATE) AS day")
 def date_calendar(spark, d):
     a, b = V.readings(spark, d).agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
@@ -267,6 +304,36 @@ def calendar_features(spark, d):
     return T.calendar_features(V.readings(spark, d)).select("seq", "day_of_week", "month0", "hour", "is_holiday")
 
 
+def _sql_nth(month: int, weekday: int, n: int) -> str:
+    """The nth weekday (0 Sunday .. 6) of a month of year y in DuckDB; the last for n = -1."""
+    if n > 0:
+        return f"make_date(y, {month}, 1) + CAST(({weekday} - dayofweek(make_date(y, {month}, 1)) + 7) % 7 + {7 * (n - 1)} AS INTEGER)"
+    return f"last_day(make_date(y, {month}, 1)) - CAST((dayofweek(last_day(make_date(y, {month}, 1))) - {weekday} + 7) % 7 AS INTEGER)"
+
+
+def _sql_observed(month: int, day: int, saturday: str = "make_date(y, {m}, {d}) - 1") -> str:
+    date = f"make_date(y, {month}, {day})"
+    return f"CASE dayofweek({date}) WHEN 0 THEN {date} + 1 WHEN 6 THEN {saturday.format(m=month, d=day)} ELSE {date} END"
+
+
+@query(f"""
+WITH y AS (SELECT DISTINCT CAST(year(ts) AS INTEGER) + s AS y FROM readings, (SELECT unnest(generate_series(-30, 30)) AS s)),
+c AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM c),
+l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h), e AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM l),
+d AS (SELECT {_sql_observed(1, 1, "NULL")} AS day FROM y UNION ALL SELECT {_sql_nth(1, 1, 3)} FROM y WHERE y >= 1998 UNION ALL SELECT {_sql_nth(2, 1, 3)} FROM y UNION ALL SELECT make_date(y, n // 31, n % 31 + 1) - 2 FROM e
+  UNION ALL SELECT {_sql_nth(5, 1, -1)} FROM y UNION ALL SELECT {_sql_observed(6, 19)} FROM y WHERE y >= 2022 UNION ALL SELECT {_sql_observed(7, 4)} FROM y UNION ALL SELECT {_sql_nth(9, 1, 1)} FROM y
+  UNION ALL SELECT {_sql_nth(11, 4, 4)} FROM y UNION ALL SELECT {_sql_observed(12, 25)} FROM y)
+SELECT seq, s AS shift, dayofweek(t) IN (0, 6) OR CAST(t AS DATE) IN (SELECT day FROM d WHERE day IS NOT NULL) AS is_holiday
+FROM (SELECT seq, s * 6 AS s, ts + to_years(CAST(s * 6 AS INTEGER)) + to_days(CAST(s * 37 AS INTEGER)) AS t FROM readings, (SELECT unnest(generate_series(-4, 4)) AS s))
+""")
+def holiday_features(spark, d):
+    """Weekends and exchange holidays of all readings, as they are and moved through the seasons of sixty years."""
+    rows = V.readings(spark, d).select("seq", "ts", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("s"))
+    rows = rows.withColumns({"shift": F.col("s") * 6, "ts": F.col("ts") + F.make_interval(years=F.col("s") * 6) + F.make_interval(days=F.col("s") * 37)})
+    years = rows.select(F.year("ts").alias("year")).distinct()
+    return T.calendar_features(rows, holidays=T.holidays(years)).select("seq", F.col("shift").cast("long").alias("shift"), "is_holiday")
+
+
 @query("""
 SELECT seq, CASE WHEN hour(ts) BETWEEN 6 AND 10 THEN 'Morning' WHEN hour(ts) BETWEEN 11 AND 18 THEN 'Afternoon' WHEN hour(ts) BETWEEN 19 AND 22 THEN 'Evening' ELSE 'Night' END AS long_night,
        CASE WHEN month(ts) BETWEEN 3 AND 11 THEN 'Summer' ELSE 'Winter' END AS season FROM readings

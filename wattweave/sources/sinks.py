@@ -30,8 +30,22 @@ def write_new_tables_only(df: DataFrame, path: str, key: str) -> DataFrame:
     return keys
 
 
-def write_weather_table(df: DataFrame, table: str, key: str = "zip") -> None:
-    df.write.mode("overwrite").partitionBy(key).saveAsTable(table)
+def write_weather_table(df: DataFrame, table: str, key: str = "zip", replace: str = "table") -> None:
+    """A catalog table partitioned by ``key``. ``replace="partitions"`` replaces those in ``df`` alone; others keep their files."""
+    if replace not in ("table", "partitions"):
+        raise ValueError(f"replace must be table or partitions, not {replace}")
+    spark = df.sparkSession
+    if replace == "table" or not spark.catalog.tableExists(table):
+        df.repartition(key).write.mode("overwrite").partitionBy(key).saveAsTable(table)
+        return
+    rows = df.select(*spark.table(table).columns).repartition(key)
+    mode = "spark.sql.sources.partitionOverwriteMode"  # an insert into a catalog table reads it from the session alone
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
 
 
 def save_models(models: Mapping[str, DataFrame], path: str) -> None:
