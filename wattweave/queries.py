@@ -1380,6 +1380,16 @@ def impute_regression(spark, d):
     return C.impute_regression(rows, ["obs", "temperature_f"], ["hour"]).select("uid", "ts", F.round("obs", 3).alias("obs"))
 
 
+@query("""
+WITH r AS (SELECT uid, ts, CASE WHEN obs <= 400 THEN obs END AS y, temperature_f AS t, CAST(hour(ts) AS DOUBLE) AS h FROM gappy JOIN weather USING (ts)),
+m AS (SELECT avg(y) AS y, avg(t) AS t, avg(h) AS h, var_pop(t) AS tt, var_pop(h) AS hh, covar_pop(t, h) AS th, covar_pop(t, y) AS ty, covar_pop(h, y) AS hy FROM r WHERE y IS NOT NULL),
+c AS (SELECT *, (hh * ty - th * hy) / (tt * hh - th * th) AS b, (tt * hy - th * ty) / (tt * hh - th * th) AS d FROM m)
+SELECT uid, ts, round(coalesce(r.y, c.y + b * (r.t - c.t) + d * (r.h - c.h)), 4) AS obs FROM r CROSS JOIN c""")
+def impute_linear(spark, d):
+    rows = V.gappy(spark, d).withColumns({"hour": F.hour("ts"), "obs": F.when(F.col("obs") <= 400, F.col("obs"))}).join(V.weather(spark, d), "ts")
+    return C.impute_regression(rows, ["obs"], ["temperature_f", "hour"], method="regression").select("uid", "ts", F.round("obs", 4).alias("obs"))
+
+
 @query("""
 WITH f AS (SELECT circuit AS station, date_trunc('minute', ts) AS ts, CASE WHEN kw BETWEEN 2 AND 400 THEN kw END AS v, row_number() OVER (PARTITION BY circuit, date_trunc('minute', ts) ORDER BY seq) AS n FROM readings),
 o AS (SELECT station, ts, v FROM f WHERE n = 1), k AS (SELECT * FROM o WHERE v IS NOT NULL),
