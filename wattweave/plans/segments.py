@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattweave.functions.vectors import square_distance
+from wattweave.functions.vectors import square_distance, vector_sum
 from wattweave.spread import small
 from wattweave.storage import cut_lineage
 
@@ -55,21 +55,31 @@ def _start(df: DataFrame, k: int, key: str, vector: str) -> list[list[float]]:
     return [list(map(float, r[0])) for r in rows]
 
 
-def _centres(spark: SparkSession, centres: list[list[float]]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cluster int, c array<double>"))
+def _with_models(points: DataFrame, models: list[list[list[float]]]) -> DataFrame:
+    """``points`` with ``_m``, the centres of each model in one array: one row is broadcast, and no row is multiplied."""
+    return points.crossJoin(F.broadcast(points.sparkSession.createDataFrame([(models,)], "_m array<array<array<double>>>")))
 
 
-def fuzzy_cmeans(df: DataFrame, k: int, m: float = 2.0, iterations: int = 15, key: str = "id", vector: str = "v") -> tuple[DataFrame, DataFrame]:
-    """(id, cluster, membership) and (cluster, mu): soft memberships and centres. k centres are broadcast each round."""
+def _nearest(model: Column, x: Column, scale: Column | None = None) -> Column:
+    """struct<d, cluster> of the nearest centre, the first of equals."""
+    return F.array_min(F.transform(model, lambda c, i: F.struct(square_distance(x, c, scale).alias("d"), i.cast("int").alias("cluster"))))
+
+
+def fuzzy_cmeans(df: DataFrame, k: int, m: float = 2.0, iterations: int = 100, key: str = "id", vector: str = "v", tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster, membership) and (cluster, mu): soft memberships and centres.
+
+    Ends when no centre moves by more than ``tol`` of the spread that they began with, or
+    after ``iterations`` rounds. A round is one aggregation; k centres are broadcast.
+    """
     spark = df.sparkSession
-    points = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("x"))
-    points = cut_lineage(points)
+    points = cut_lineage(df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("x")))
     centres = _start(points, k, key, "x")
+    spread = max(float(np.ptp(np.array(centres), axis=0).max()), 1e-12) if centres else 0.0
 
     def memberships() -> DataFrame:
-        d = points.crossJoin(_centres(spark, centres)).withColumn("_d", F.greatest(square_distance(F.col("x"), F.col("c")), F.lit(1e-12)))
-        inverse = F.pow(F.col("_d"), F.lit(-1.0 / (m - 1)))
-        return d.withColumn("_i", inverse).withColumn("membership", F.col("_i") / F.sum("_i").over(Window.partitionBy(key)))
+        inverse = F.transform(F.get("_m", F.lit(0)), lambda c: F.pow(F.greatest(square_distance(F.col("x"), c), F.lit(1e-12)), F.lit(-1.0 / (m - 1))))
+        shared = _with_models(points, [centres]).withColumn("_i", inverse).withColumn("_t", vector_sum(F.col("_i")))
+        return shared.select(key, "x", F.posexplode(F.transform("_i", lambda i: i / F.col("_t"))).alias("cluster", "membership"))
 
     for _ in range(iterations):
         u = F.pow("membership", F.lit(m))
@@ -77,13 +87,17 @@ def fuzzy_cmeans(df: DataFrame, k: int, m: float = 2.0, iterations: int = 15, ke
         moved: dict[int, dict[int, float]] = {}
         for r in sums.collect():  # k x dimensions numbers
             moved.setdefault(r["cluster"], {})[r["dim"]] = r["mu"]
-        centres = [[moved[i][d] for d in sorted(moved[i])] for i in sorted(moved)]
-    out = memberships().select(key, "cluster", "membership")
+        now = [[moved[i][d] for d in sorted(moved[i])] for i in sorted(moved)]
+        still = bool(now) and float(np.abs(np.array(now) - np.array(centres)).max()) <= tol * spread
+        centres = now
+        if still or not now:
+            break
+    out = memberships().select(key, "cluster", "membership") if centres else points.select(key, F.lit(0).alias("cluster"), F.lit(1.0).alias("membership"))
     return out, spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cluster int, mu array<double>")
 
 
 def _assign(model: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """id, cluster, distance of points with a full covariance (rows of it, one after the other): the least (x - c)' S^-1 (x - c)."""
+    """id, cluster, distance, x, s of points with a full covariance (rows of it, one after the other): the least (x - c)' S^-1 (x - c)."""
     for batch in batches:
         if len(batch):
             x = np.stack(batch["x"].to_numpy()).astype(float)
@@ -91,7 +105,7 @@ def _assign(model: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
             gaps = x[:, None, :] - np.array(model)[None]
             d = np.einsum("nkp,npk->nk", gaps, np.linalg.solve(s, gaps.transpose(0, 2, 1)))
             best = d.argmin(axis=1)
-            yield pd.DataFrame({batch.columns[0]: batch.iloc[:, 0], "cluster": best.astype("int32"), "distance": d[np.arange(len(x)), best]})
+            yield pd.DataFrame({batch.columns[0]: batch.iloc[:, 0], "cluster": best.astype("int32"), "distance": d[np.arange(len(x)), best], "x": batch["x"], "s": batch["s"]})
 
 
 def _information(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,13 +146,11 @@ def kerror_cluster(
     def assigned() -> DataFrame:
         if full:
             model = [c[:] for c in centres]
-            return points.mapInPandas(lambda batches: _assign(model, batches), f"{key} {kind}, cluster int, distance double")
-        d = points.crossJoin(_centres(spark, centres)).withColumn("_d", square_distance(F.col("x"), F.col("c"), F.col("s")))
-        best = d.groupBy(key).agg(F.min(F.struct("_d", "cluster")).alias("_b"))
-        return best.select(key, F.col("_b.cluster").alias("cluster"), F.col("_b._d").alias("distance"))
+            return points.mapInPandas(lambda batches: _assign(model, batches), f"{key} {kind}, cluster int, distance double, x array<double>, s array<double>")
+        best = _with_models(points, [centres]).withColumn("_b", _nearest(F.get("_m", F.lit(0)), F.col("x"), F.col("s")))
+        return best.select(key, F.col("_b.cluster").alias("cluster"), F.col("_b.d").alias("distance"), "x", "s")
 
-    def move(now: DataFrame) -> None:
-        rows = now.join(points, key)
+    def move(rows: DataFrame) -> None:
         if full:
             sums = rows.select("cluster", "x", "s").mapInPandas(_information, "cluster int, i int, j int, v double").groupBy("cluster", "i", "j").agg(F.sum("v").alias("v")).collect()
             for c in {r["cluster"] for r in sums}:
@@ -163,7 +175,37 @@ def kerror_cluster(
         before, objective = now, total[0]
         if not total[1] or moved <= 0.01 * total[1] or (fall is not None and 0 <= fall < 0.005):
             break
-    return assigned(), spark.createDataFrame([(i, c, e) for i, (c, e) in enumerate(zip(centres, errors, strict=True))], CENTRES)
+    return assigned().select(key, "cluster", "distance"), spark.createDataFrame([(i, c, e) for i, (c, e) in enumerate(zip(centres, errors, strict=True))], CENTRES)
+
+
+def kerror_sweep(df: DataFrame, ks: Sequence[int], iterations: int = 20, key: str = "id", vector: str = "v", error: str = "s") -> DataFrame:
+    """k, objective: the least error-scaled objective of each size, for :func:`elbow_table`.
+
+    All sizes advance together, a job for each round; a size stops when its objective falls by under
+    0.5 %. Starts are nested: a larger size begins with the points of a smaller one, and more.
+    """
+    spark = df.sparkSession
+    scale = F.transform(error, lambda e: F.greatest(e.cast("double"), F.lit(1e-12)))
+    points = cut_lineage(df.where(F.col(vector).isNotNull() & F.col(error).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"), scale.alias("s"), F.col(key).alias("_key")))
+    first = _start(points, max(ks, default=0), "_key", "x")
+    models, objective = {k: [list(c) for c in first[:k]] for k in ks if first}, {}
+    open_ = list(models)
+    for _ in range(iterations):
+        if not open_:
+            break
+        each = _with_models(points, [models[k] for k in open_]).select("x", "s", F.posexplode(F.transform("_m", lambda m: _nearest(m, F.col("x"), F.col("s")))).alias("size", "b"))
+        told = each.select("size", "b.cluster", "b.d", F.posexplode(F.arrays_zip("x", "s")).alias("dim", "p"))
+        sums = told.groupBy("size", "cluster", "dim").agg(F.sum(F.col("p.x") / F.col("p.s")).alias("a"), F.sum(1 / F.col("p.s")).alias("w"), F.sum(F.when(F.col("dim") == 0, F.col("d")).otherwise(0.0)).alias("d")).collect()
+        total = dict.fromkeys(open_, 0.0)
+        for r in sums:  # sizes x centres x dimensions
+            models[open_[r["size"]]][r["cluster"]][r["dim"]] = r["a"] / r["w"]
+            total[open_[r["size"]]] += r["d"]
+        for k in list(open_):
+            before = objective.get(k)
+            objective[k] = min(total[k], before if before is not None else total[k])
+            if before is not None and before - total[k] < 0.005 * before:
+                open_.remove(k)
+    return spark.createDataFrame([(k, objective[k]) for k in ks if k in objective], "k int, objective double")
 
 
 def segment_profile(centres: DataFrame, members: DataFrame) -> DataFrame:

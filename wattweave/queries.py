@@ -996,6 +996,29 @@ def kmeans_elbow(spark, d):
     return segments.elbow_table(segments.kmeans_sweep(_profiles(spark, d), [1, 2, 4, 8])).select("k", *[F.round(c, 3).alias(c) for c in ("within_ss", "explained", "change")])
 
 
+@query()
+def kerror_elbow(spark, d):
+    """The error-aware objective of 2, 4 .. 40 clusters of mean day profiles."""
+    told = segments.kerror_sweep(_response(spark, d), list(range(2, 41, 2)), key="uid", vector="a", error="w")
+    return segments.elbow_table(told, "objective").select("k", F.round("objective", 3).alias("objective"), F.round("change", 4).alias("change"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT 'kmeans' AS method, n, 0 AS wrong FROM n UNION ALL SELECT 'fuzzy', n, 0 FROM n UNION ALL SELECT 'kerror', n, 0 FROM n", base=False)
+def segments_hold(spark, d):
+    """What clusters must meet: no other centre is nearer than a point's own, memberships add up to one. Counts of points and of those that don't."""
+    p = _profiles(spark, d)
+    one = p.select("id", "v", F.transform("v", lambda _: F.lit(1.0)).alias("s"))
+    told = []
+    for name, (labels, centres), points in (("kmeans", segments.kmeans_labels(p, 4), one), ("kerror", segments.kerror_cluster(p, 4), p)):
+        every = segments.pairwise_distance(points, centres).groupBy("id").agg(F.min("distance").alias("least"), F.collect_list(F.struct("cluster", "distance")).alias("all"))
+        own = F.filter("all", lambda c: c["cluster"] == F.col("mine"))[0]["distance"]
+        wrong = every.join(labels.select("id", F.col("cluster").alias("mine")), "id", "left").select((own <= F.col("least") * (1 + 1e-9)).alias("good"))
+        told.append(wrong.agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("good"), 0).otherwise(1)).alias("wrong")))
+    shares = segments.fuzzy_cmeans(p, 3)[0].groupBy("id").agg((F.abs(F.sum("membership") - 1) < 1e-9).alias("good"))
+    told.append(shares.agg(F.lit("fuzzy").alias("method"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("good"), 0).otherwise(1)).alias("wrong")))
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 _TAU = """
 r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY abs(m) DESC, uid) AS r FROM u), k AS (SELECT unnest([10, 20]) AS k), p AS (SELECT a.{by}, k, sum(sign(b.m - a.m) * sign(b.t - a.t)) AS s FROM r a JOIN k ON a.r <= k JOIN r b ON b.{by} = a.{by} AND b.r > a.r AND b.r <= k GROUP BY 1, 2),
 n AS (SELECT {by}, k, least(k, count(*)) AS n FROM r CROSS JOIN k GROUP BY 1, 2), w AS (SELECT n.{by}, n.k, n, CASE WHEN n > 1 THEN s / (n * (n - 1) / 2.0) END AS tau FROM n LEFT JOIN p ON p.{by} = n.{by} AND p.k = n.k),
