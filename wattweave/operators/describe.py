@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -168,6 +169,59 @@ def distribution_summary(df: DataFrame, by: Sequence[str], value: str, probs: Se
     return sums.join(kept.select(*by, q.alias("q")), list(by), "left")
 
 
+def densities(df: DataFrame, by: Sequence[str], value: str, low: float, high: float, bins: int = 64, bandwidth: float | None = None) -> DataFrame:
+    """by, bin, x, n, density: counts in equal bins of [low, high) and their smooth density at the bins' middles.
+
+    The kernel is Gaussian, of ``bandwidth`` (two bins if none is given); values
+    outside count in the first and last bin. Rows are counted by (group, bin) first, so the kernel
+    sees ``bins`` numbers a group. Nulls and NaNs are left out.
+    """
+    width = (high - low) / bins
+    h = 2 * width if bandwidth is None else bandwidth
+    v = F.col(value).cast("double")
+    at = F.greatest(F.least(F.floor((v - low) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
+    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, at.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    groups = counts.groupBy(*by).agg(F.collect_list(F.struct("_b", "_n")).alias("_c"), F.sum("_n").alias("_all"))
+    rows = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    kernel = lambda c: c["_n"] * F.exp(-0.5 * F.pow((F.col("bin") - c["_b"]) * width / h, 2))
+    total = F.aggregate("_c", F.lit(0.0), lambda a, c: a + kernel(c))
+    own = F.aggregate("_c", F.lit(0).cast("long"), lambda a, c: a + F.when(c["_b"] == F.col("bin"), c["_n"]).otherwise(0))
+    x = low + (F.col("bin") + 0.5) * width
+    return rows.select(*by, "bin", x.alias("x"), own.alias("n"), (total / (F.col("_all") * h * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def summary_parts(df: DataFrame, by: Sequence[str], value: str, size: int = 200) -> DataFrame:
+    """by, n, mean, m2, least, most, sketch: mergeable summaries, to be kept by day or file and merged by :func:`merge_summaries`.
+
+    ``m2`` is the sum of squares about the mean. The sketch is a KLL sketch: a quantile of
+    it is off by about 2.3 / size^0.9 of the ranks or less (2 % at 200), whatever the rows.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("least"), F.max(v).alias("most"),
+        F.kll_sketch_agg_double(v, F.lit(size)).alias("sketch"),
+    )
+
+
+def merge_summaries(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The summaries of coarser groups from those of finer ones: counts add, moments shift to the common mean, sketches merge."""
+    total = parts.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("_s"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch").alias("sketch")
+    ).withColumn("mean", F.col("_s") / F.col("n")).drop("_s")
+    about = parts.select(*by, "n", F.col("mean").alias("_own"), "m2").join(total.select(*by, F.col("mean").alias("_mean")), list(by)) if by else parts.select("n", F.col("mean").alias("_own"), "m2").crossJoin(F.broadcast(total.select(F.col("mean").alias("_mean"))))
+    gap = F.col("_own") - F.col("_mean")
+    spread = about.groupBy(*by).agg(F.sum(F.col("m2") + F.col("n") * gap * gap).alias("m2"))
+    joined = total.join(spread, list(by)) if by else total.crossJoin(spread)
+    return joined.select(*by, "n", "mean", "m2", "least", "most", "sketch")
+
+
+def read_summaries(summaries: DataFrame, by: Sequence[str], probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """by, n, mean, sd, q: as :func:`distribution_summary`, quantiles from the sketch."""
+    q = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for p in probs])
+    return summaries.select(*by, "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("sd"), q.alias("q"))
+
+
 def shannon_entropy(df: DataFrame, key: str, symbol: str) -> DataFrame:
     """key, entropy in bits of its symbols."""
     n = df.groupBy(key, symbol).agg(F.count(F.lit(1)).alias("n"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattweave.spread import ordered_rank
+from wattweave.storage import cut_lineage
+
 
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the standard normal."""
@@ -97,21 +100,46 @@ def drank(scores: DataFrame, truth: DataFrame, ks: Sequence[int], replicates: in
     neighbours of the ranking, scaled by their covariance over the replicates,
     to the nearest means that the ranking would hold for; p the share of
     bootstrap resamples of the replicates whose own ranking is no nearer.
-    One group for each k, of max(ks) items at most.
+    Replicates and resamples are rows: a resample draws replicates by a hash, its means are an
+    aggregation, and a row holds one order of max(ks) items at most. Means and covariance of each k reach the driver.
     """
+    spark = scores.sparkSession
     items = truth.where(F.col("rank") <= max(ks)).select(F.col(key).cast("string").alias("_item"), "rank")
     rows = scores.select(F.col(key).cast("string").alias("_item"), F.col("rep").cast("string").alias("_rep"), "score").join(items, "_item")
-    rows = rows.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).where(F.col("rank") <= F.col("k"))
-
-    def distance(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot_table(index="_rep", columns="rank", values="score").dropna().to_numpy(float)  # places in true order
-        n, items = x.shape
-        if n < 2 or items < 2:
-            return pd.DataFrame({"k": [group[0]], "distance": [None], "p": [None]}).astype({"distance": float, "p": float})
-        rng = np.random.default_rng([seed, int(group[0])])
-        drawn = x[rng.integers(0, n, (replicates, n))].mean(axis=1)
-        orders = np.concatenate([np.arange(items)[None], np.argsort(-drawn, axis=1, kind="stable")])
-        d = _distances(x.mean(axis=0), np.cov(x, rowvar=False).reshape(items, items), orders, n)
-        return pd.DataFrame({"k": [group[0]], "distance": [d[0]], "p": [(d[1:] >= d[0]).mean()]})
-
-    return rows.groupBy("k").applyInPandas(distance, "k int, distance double, p double")
+    rows = rows.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).where((F.col("rank") <= F.col("k")) & F.col("_rep").isNotNull())
+    # the mean of repeated scores; replicates that lack an item are left out
+    once = cut_lineage(rows.groupBy("k", "_rep", "rank").agg(F.avg("score").alias("score")).where("score IS NOT NULL AND NOT isnan(score)"))
+    wanted = once.groupBy("k").agg(F.countDistinct("rank").alias("_items"))
+    whole = once.groupBy("k", "_rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda p: p["score"].cast("double")).alias("x")).join(wanted, "k").where(F.size("x") == F.col("_items"))
+    placed = cut_lineage(ordered_rank(whole.select("k", "_rep", "x"), [F.col("_rep")], "_at", by=["k"]))
+    sizes = {r["k"]: (r["n"], r["m"]) for r in placed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("m")).collect()}
+    good = [k for k, (n, m) in sizes.items() if n >= 2 and m >= 2]
+    rest = spark.createDataFrame([(int(k), None, None) for k in {r["k"] for r in wanted.collect()} if k not in good], "k int, distance double, p double")
+    if not good:
+        return rest
+    kept = placed.where(F.col("k").isin(good))
+    each = kept.select("k", "x", F.posexplode("x").alias("i", "xi"))
+    means = {k: np.zeros(sizes[k][1]) for k in good}
+    for r in each.groupBy("k", "i").agg(F.avg("xi").alias("m")).collect():
+        means[r["k"]][r["i"]] = r["m"]
+    covariance = {k: np.zeros((sizes[k][1], sizes[k][1])) for k in good}
+    pairs = each.select("k", "i", "xi", F.posexplode("x").alias("j", "xj")).where("j <= i")
+    for r in pairs.groupBy("k", "i", "j").agg(F.covar_samp("xi", "xj").alias("c")).collect():  # k x k numbers
+        covariance[r["k"]][r["i"], r["j"]] = covariance[r["k"]][r["j"], r["i"]] = r["c"]
+    each_size = spark.createDataFrame([(int(k), sizes[k][0]) for k in good], "k int, n long")
+    draws = each_size.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    drawn = draws.withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "k", "b", "j"), F.col("n")) + 1).groupBy("k", "b", "_at").agg(F.count(F.lit(1)).alias("c"))
+    mean = drawn.join(kept.select("k", "_at", "x"), ["k", "_at"]).select("k", "b", "c", F.posexplode("x").alias("i", "v")).groupBy("k", "b", "i").agg(F.sum(F.col("c") * F.col("v")).alias("s"))
+    ordered = mean.groupBy("k", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "i"))), lambda p: p["i"]).alias("order"))
+    true = spark.createDataFrame([(int(k), 0, list(range(sizes[k][1]))) for k in good], "k int, b int, order array<int>")
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, own in pdf.groupby("k"):
+                d = _distances(means[k], covariance[k], np.stack(own["order"].to_numpy()), sizes[k][0])
+                yield pd.DataFrame({"k": own["k"], "b": own["b"], "d": d})
+
+    told = cut_lineage(true.unionByName(ordered).mapInPandas(distances, "k int, b int, d double"))
+    own = told.where("b = 0").select("k", F.col("d").alias("distance"))
+    out = told.where("b > 0").join(F.broadcast(own), "k").groupBy("k", "distance").agg(F.avg((F.col("d") >= F.col("distance")).cast("double")).alias("p"))
+    return out.select("k", "distance", "p").unionByName(rest)

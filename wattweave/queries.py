@@ -652,6 +652,25 @@ def distribution_summary(spark, d):
     return out.select("circuit", "n", r6("mean", "mean"), r6("sd", "sd"), r6(F.col("q")[0], "q05"), r6(F.col("q")[2], "q50"))
 
 
+@query("""
+WITH b AS (SELECT circuit, CAST(greatest(least(floor(kw / 10), 49), 0) AS INTEGER) AS b, count(*) AS n FROM readings WHERE kw IS NOT NULL GROUP BY 1, 2), t AS (SELECT circuit, sum(n) AS total FROM b GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(0, 49)) AS INTEGER) AS bin)
+SELECT t.circuit, bin, CAST(coalesce(sum(n) FILTER (b = bin), 0) AS BIGINT) AS n, round(sum(n * exp(-0.5 * pow((bin - b) * 10 / 20.0, 2))) / (any_value(total) * 20 * sqrt(2 * pi())), 9) AS density FROM t CROSS JOIN g JOIN b ON b.circuit = t.circuit GROUP BY 1, 2""")
+def densities(spark, d):
+    out = A.densities(V.readings(spark, d), ["circuit"], "kw", 0.0, 500.0, 50)
+    return out.select("circuit", "bin", "n", F.round("density", 9).alias("density"))
+
+
+@query("SELECT circuit, count(kw) AS n, round(avg(kw), 6) AS mean, round(stddev_samp(kw), 6) AS sd, true AS within FROM readings WHERE kw IS NOT NULL GROUP BY 1")
+def merged_summaries(spark, d):
+    """Summaries by circuit and day, merged to circuits; whether the sketch's median and outer quantiles are within 3 % of the ranks."""
+    rows = V.readings(spark, d).where("kw IS NOT NULL")
+    told = A.read_summaries(A.merge_summaries(A.summary_parts(rows.withColumn("day", F.to_date("ts")), ["circuit", "day"], "kw"), ["circuit"]), ["circuit"], [0.05, 0.5, 0.95])
+    share = lambda i: F.avg((F.col("kw") <= F.col("q")[i]).cast("double"))
+    near = rows.join(F.broadcast(told.select("circuit", "q")), "circuit").groupBy("circuit").agg(*[share(i).alias(f"r{i}") for i in range(3)])
+    off = [F.abs(F.col(f"r{i}") - p) <= 0.03 + 1 / F.col("n") for i, p in enumerate((0.05, 0.5, 0.95))]
+    return told.join(near, "circuit").select("circuit", "n", r6("mean", "mean"), r6("sd", "sd"), (off[0] & off[1] & off[2]).alias("within"))
+
+
 @query("WITH n AS (SELECT uid, circuit, count(*) AS n FROM readings GROUP BY 1, 2), p AS (SELECT uid, n / sum(n) OVER (PARTITION BY uid) AS p FROM n) SELECT uid, round(-sum(p * log2(p)), 6) AS entropy, round(log2(count(*)), 6) AS random_entropy FROM p GROUP BY 1")
 def entropies(spark, d):
     rows = V.readings(spark, d)

@@ -15,6 +15,12 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names`` made longer than any column of ``df``, so that none clashes."""
+    tail = "_" * (1 + max(map(len, df.columns), default=0))
+    return [n + tail for n in names]
+
+
 def ordered_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """Adds ``name``: each row's place from 1 in the order, within its group of ``by`` where given.
 
@@ -23,16 +29,17 @@ def ordered_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", by:
     for each partition reaches the driver. The order should tell rows apart.
     """
     keys = [*(F.col(c) for c in by), *order]
-    dealt = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    at, first_at = spare(df, "at", "first")
+    dealt = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    part, own = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
     before, total = [], 0
     for r in sorted(dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
         before += [F.lit(r["p"]), F.lit(total)]
         total += r["n"]
     if not total:
-        return dealt.withColumn(name, F.lit(0).cast("long")).drop("_at")
-    placed = dealt.withColumn(name, F.create_map(*before)[part] + own + 1).drop("_at")
+        return dealt.withColumn(name, F.lit(0).cast("long")).drop(at)
+    placed = dealt.withColumn(name, F.create_map(*before)[part] + own + 1).drop(at)
     if not by:
         return placed
-    first = placed.groupBy(*by).agg(F.min(name).alias("_first"))
-    return placed.join(first, list(by)).withColumn(name, F.col(name) - F.col("_first") + 1).select(*df.columns, name)
+    first = placed.groupBy(*by).agg(F.min(name).alias(first_at))
+    return placed.join(first, list(by)).withColumn(name, F.col(name) - F.col(first_at) + 1).select(*df.columns, name)
