@@ -1076,6 +1076,14 @@ def _response(spark, d):
 
 _GOAL = [float(5 + h) for h in range(24)]
 _RATE = [rate for rate, n in selection.TOU for _ in range(n)]
+
+
+def _goal_within_reach(p, share=0.05):
+    """A share of what all households together use in each hour: 24 sums."""
+    told = dict(p.select(F.posexplode("a").alias("h", "a")).groupBy("h").agg(F.sum("a").alias("a")).collect())
+    return [share * told.get(h, 0.0) for h in range(24)]
+
+
 _RESPONSE = "WITH resp AS (SELECT uid, hour(ts) AS h, avg(obs) / 100 AS a, var_pop(obs) / 1e5 AS w FROM hourly GROUP BY 1, 2), tou AS (SELECT h, CASE WHEN h < 10 THEN 0.10074 WHEN h < 21 THEN 0.28719 ELSE 0.17528 END AS q, CAST(5 + h AS DOUBLE) AS g FROM (SELECT unnest(generate_series(0, 23)) AS h)), sched AS (SELECT s, h, CASE WHEN (h - e + 24) % 24 < 6 THEN 1.0 ELSE 0.0 END AS u FROM (VALUES (0, 0), (1, 8), (2, 21)) x(s, e) CROSS JOIN (SELECT h FROM tou)) "
 
 
@@ -1112,7 +1120,8 @@ def reduction_covariance(spark, d):
 
 @query()
 def greedy_select(spark, d):
-    out = selection.greedy_select(_response(spark, d), selection.square_wave_schedules(spark, [0, 8, 16], 6), _GOAL, _RATE, batch_size=50)
+    p = cut_lineage(_response(spark, d))
+    out = selection.greedy_select(p, selection.square_wave_schedules(spark, [0, 8, 16], 6), _goal_within_reach(p), _RATE)
     return out.select("step", "uid", "schedule", F.round("gain", 3).alias("gain"), F.round("cost", 3).alias("cost"), "added", "kept")
 
 
@@ -1140,7 +1149,8 @@ def goal_match(spark, d):
 @query()
 def budget_sweep(spark, d):
     """All lengths of effort from one hour to twenty."""
-    out = selection.budget_sweep(_response(spark, d), list(range(1, 21)), [0, 8, 16], _GOAL, _RATE, batch_size=50)
+    p = cut_lineage(_response(spark, d))
+    out = selection.budget_sweep(p, list(range(1, 21)), [0, 8, 16], _goal_within_reach(p), _RATE)
     return out.select("beta", "step", "uid", "schedule", F.round("cost", 3).alias("cost"), "added", "kept")
 
 
@@ -1148,7 +1158,8 @@ def budget_sweep(spark, d):
 def schedule_counts(spark, d):
     """How many of those that the selection for six hours chooses are asked for effort in each hour."""
     sched = selection.square_wave_schedules(spark, [0, 8, 16], 6)
-    return selection.schedule_counts(selection.greedy_select(_response(spark, d), sched, _GOAL, _RATE, batch_size=50), sched)
+    p = cut_lineage(_response(spark, d))
+    return selection.schedule_counts(selection.greedy_select(p, sched, _goal_within_reach(p), _RATE), sched)
 
 
 @query()
