@@ -221,7 +221,7 @@ def likelihood_ratio(scores: DataFrame, small: int, large: int) -> DataFrame:
 
 
 def select_model_size(df: DataFrame, k_min: int = 1, k_max: int = 3, thr_r2: float = 0.85, thr_mape: float = 0.10, obs: str = "obs", t: str = "t_d") -> DataFrame:
-    """uid, k, r2, mape, chosen: fit on odd rows, score on even rows; the first k over a threshold, else the best R2.
+    """uid, k, r2, mape, bic, chosen: fit on odd rows (``bic`` is theirs), score on even rows; the first k over a threshold, else the best R2.
 
     All sizes are fitted at once, as groups of their own; :func:`refit_chosen`
     then fits the chosen size on all rows.
@@ -242,6 +242,7 @@ def select_model_size(df: DataFrame, k_min: int = 1, k_max: int = 3, thr_r2: flo
     good = (F.col("r2") > thr_r2) | (F.col("mape") < thr_mape)
     w = Window.partitionBy("uid")
     first, best = F.min(F.when(good, F.col("k"))).over(w), F.max_by("k", "r2").over(w)
+    scored = scored.join(model_scores(fits, rows.where("fold = 1"), obs).select("uid", "k", "bic"), ["uid", "k"], "left")
     return scored.withColumn("chosen", F.col("k") == F.coalesce(first, best))
 
 
