@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wattweave.operators import windows as W
 from wattweave.plans import chains, curves, families, interpret, ranking, regimes, segments, selection
-from wattweave.spread import ordered_rank
+from wattweave.spread import ordered_rank, running_sum
 
 
 def series(n=400, seed=4, users=(1, 2)):
@@ -196,6 +196,21 @@ def test_ranks_by_ranges(spark):
     assert ordered_rank(df.where("false"), [F.col("x")]).count() == 0
 
 
+def test_running_sums_by_blocks(spark):
+    rng = np.random.default_rng(10)
+    rows = [(int(rng.integers(0, 3)), float(rng.integers(0, 20)), float(rng.normal()) if rng.random() > 0.1 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, x double, v double, piece int").repartition(5)
+    for by in ([], ["g"]):
+        placed = ordered_rank(df, [F.col("x"), F.col("piece")], "n", by)
+        for block in (1, 7, 1000):
+            got = {r["piece"]: r["s"] for r in running_sum(placed, "n", F.col("v"), "s", by, block).collect()}
+            for g in range(3) if by else [None]:
+                own = sorted((r for r in rows if g is None or r[0] == g), key=lambda r: (r[1], r[3]))
+                for want, r in zip(np.cumsum([r[2] or 0.0 for r in own]), own, strict=True):
+                    assert abs(got[r[3]] - want) < 1e-9
+    assert running_sum(ordered_rank(df.where("false"), [F.col("x")], "n"), "n", F.col("v"), "s").count() == 0
+
+
 def test_families_are_recovered(spark):
     """Two classes of draws from every family at once."""
     rng = np.random.default_rng(8)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattweave.functions.vectors import square_distance
+from wattweave.spread import ordered_rank, running_sum
 
 
 def train_test_split_by_time(df: DataFrame, frac: float, key: str = "uid", ts: str = "ts") -> DataFrame:
@@ -53,14 +55,15 @@ def top_k(df: DataFrame, by: str, k: int, tie: str = "uid", partition: Sequence[
 def cumulative_contribution(df: DataFrame, model: str, truth: str, by: Sequence[str] = (), tie: str = "uid") -> DataFrame:
     """by, n, cum_model, cum_truth, rel_err: absolute true response of the first n under the model's order and under its own.
 
-    A group of ``by`` is ordered in one task; without ``by`` the whole table is
-    one group, which suits tables of a row for each household.
+    Rows are numbered by ranges of the order and summed in blocks, so a group, or the
+    table as a whole, may be of any size. Rows whose ``by`` is null are left out.
     """
-    part = [F.col(c) for c in by] or [F.lit(0)]
+    rows = df.where(F.lit(True) if not by else reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
 
     def run(order: str, name: str) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(F.abs(F.col(order)).desc(), F.col(tie))
-        return df.select(*by, F.row_number().over(w).alias("n"), F.sum(F.abs(F.col(truth))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+        told = rows.select(*by, F.abs(F.col(order)).alias("_order"), F.col(tie).alias("_tie"), F.abs(F.col(truth)).cast("double").alias("_truth"))
+        placed = ordered_rank(told, [F.col("_order").desc(), F.col("_tie")], "n", by)
+        return running_sum(placed, "n", F.col("_truth"), name, by).select(*by, "n", name)
 
     both = run(model, "cum_model").join(run(truth, "cum_truth"), [*by, "n"])
     gap = F.col("cum_truth") - F.col("cum_model")
@@ -127,8 +130,6 @@ def pacf(acf_table: DataFrame, key: str = "uid") -> DataFrame:
 
 def sort_rows(df: DataFrame, *keys: str) -> DataFrame:
     """All rows in the order of the keys, with their ``place`` in it from 1."""
-    from wattweave.spread import ordered_rank
-
     return ordered_rank(df, [F.col(k) for k in keys], "place").orderBy("place")
 
 

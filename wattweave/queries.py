@@ -749,7 +749,7 @@ SELECT day, CAST(n AS INTEGER) AS n, round(cm, 5) AS cum_model, round(ct, 5) AS
 def cumulative_contribution(spark, d):
     rows = V.gappy(spark, d).groupBy("uid", F.to_date("ts").alias("day")).agg(F.sum("obs").alias("truth"), F.max("obs").alias("model"))
     out = W.cumulative_contribution(rows, "model", "truth", ["day"])
-    return out.select("day", "n", F.round("cum_model", 5).alias("cum_model"), F.round("cum_truth", 5).alias("cum_truth"), r6("rel_err", "rel_err"))
+    return out.select("day", F.col("n").cast("int").alias("n"), F.round("cum_model", 5).alias("cum_model"), F.round("cum_truth", 5).alias("cum_truth"), r6("rel_err", "rel_err"))
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattweave.storage import cut_lineage
@@ -43,3 +43,19 @@ def ordered_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", by:
         return placed
     first = placed.groupBy(*by).agg(F.min(name).alias(first_at))
     return placed.join(first, list(by)).withColumn(name, F.col(name) - F.col(first_at) + 1).select(*df.columns, name)
+
+
+def running_sum(df: DataFrame, place: str, value: Column, name: str, by: Sequence[str] = (), block: int = 1 << 16) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over a row's group of ``by`` up to its ``place``, as :func:`ordered_rank` numbers them.
+
+    Places are cut into blocks; a block is summed within a task and gets what stands
+    before it, one row for each block, so no task sees a whole group.
+    """
+    piece, own, before, summed = spare(df, "piece", "own", "before", "summed")
+    rows = df.withColumns({piece: F.floor((F.col(place) - 1) / block), own: value})
+    blocks = rows.groupBy(*by, piece).agg(F.sum(own).alias(summed))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*by, piece, F.coalesce(F.sum(summed).over(earlier), F.lit(0.0)).alias(before))
+    within = Window.partitionBy(*by, piece).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(blocks, [*by, piece])
+    return joined.withColumn(name, F.col(before) + F.coalesce(F.sum(own).over(within), F.lit(0.0))).select(*df.columns, name)
