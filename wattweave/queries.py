@@ -1078,7 +1078,7 @@ _GOAL = [float(5 + h) for h in range(24)]
 _RATE = [rate for rate, n in selection.TOU for _ in range(n)]
 
 
-def _goal_within_reach(p, share=0.05):
+def _goal_within_reach(p, share=0.1):
     """A share of what all households together use in each hour: 24 sums."""
     told = dict(p.select(F.posexplode("a").alias("h", "a")).groupBy("h").agg(F.sum("a").alias("a")).collect())
     return [share * told.get(h, 0.0) for h in range(24)]
