@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -646,10 +647,10 @@ def residual_summary_by_state(spark, d):
     return _residuals(spark, d, ["uid", "state"])
 
 
-@query("SELECT circuit, count(kw) AS n, round(avg(kw), 6) AS mean, round(stddev_samp(kw), 6) AS sd, round(quantile_cont(kw, 0.05), 6) AS q05, round(quantile_cont(kw, 0.5), 6) AS q50 FROM readings GROUP BY 1")
+@query("SELECT circuit, count(kw) AS n, round(avg(kw), 6) AS mean, round(stddev_samp(kw), 6) AS sd, round(quantile_cont(kw, 0.05), 6) AS q05, round(quantile_cont(kw, 0.25), 6) AS q25, round(quantile_cont(kw, 0.5), 6) AS q50, round(quantile_cont(kw, 0.75), 6) AS q75, round(quantile_cont(kw, 0.95), 6) AS q95 FROM readings GROUP BY 1")
 def distribution_summary(spark, d):
     out = A.distribution_summary(V.readings(spark, d), ["circuit"], "kw")
-    return out.select("circuit", "n", r6("mean", "mean"), r6("sd", "sd"), r6(F.col("q")[0], "q05"), r6(F.col("q")[2], "q50"))
+    return out.select("circuit", "n", r6("mean", "mean"), r6("sd", "sd"), *[r6(F.col("q")[i], n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))])
 
 
 @query("""
@@ -1039,7 +1040,7 @@ def segments_hold(spark, d):
 
 
 _TAU = """
-r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY abs(m) DESC, uid) AS r FROM u), k AS (SELECT unnest([10, 20]) AS k), p AS (SELECT a.{by}, k, sum(sign(b.m - a.m) * sign(b.t - a.t)) AS s FROM r a JOIN k ON a.r <= k JOIN r b ON b.{by} = a.{by} AND b.r > a.r AND b.r <= k GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY abs(m) DESC, uid) AS r FROM u), k AS (SELECT unnest([5, 10, 20, 50, 100]) AS k), p AS (SELECT a.{by}, k, sum(sign(b.m - a.m) * sign(b.t - a.t)) AS s FROM r a JOIN k ON a.r <= k JOIN r b ON b.{by} = a.{by} AND b.r > a.r AND b.r <= k GROUP BY 1, 2),
 n AS (SELECT {by}, k, least(k, count(*)) AS n FROM r CROSS JOIN k GROUP BY 1, 2), w AS (SELECT n.{by}, n.k, n, CASE WHEN n > 1 THEN s / (n * (n - 1) / 2.0) END AS tau FROM n LEFT JOIN p ON p.{by} = n.{by} AND p.k = n.k),
 x AS (SELECT *, abs(3 * tau * sqrt(n * (n - 1)) / sqrt(2.0 * (2 * n + 5))) / sqrt(2.0) AS x FROM w), y AS (SELECT *, 1 / (1 + 0.5 * x) AS y FROM x),
 z AS (SELECT *, y * exp(-x * x - 1.26551223 + y * (1.00002368 + y * (0.37409196 + y * (0.09678418 + y * (-0.18628806 + y * (0.27886807 + y * (-1.13520398 + y * (1.48851587 + y * (-0.82215223 + y * 0.17087277))))))))) AS p FROM y)
@@ -1050,7 +1051,7 @@ SELECT {told}, CAST(k AS INTEGER) AS k, n, round(CASE WHEN p <= 0.05 THEN tau WH
 @query("WITH u AS (SELECT CAST(ts AS DATE) AS day, uid, max(obs) AS m, sum(obs) AS t FROM gappy GROUP BY 1, 2)," + _TAU.format(by="day", told="day"))
 def kendall_tau_at_k(spark, d):
     rows = V.gappy(spark, d).groupBy(F.to_date("ts").alias("day"), "uid").agg(F.max("obs").alias("model"), F.sum("obs").alias("truth"))
-    return ranking.kendall_tau_at_k(rows, [10, 20], by=["day"]).select("day", "k", "n", r6("tau", "tau"), r6("p", "p"))
+    return ranking.kendall_tau_at_k(rows, [5, 10, 20, 50, 100], by=["day"]).select("day", "k", "n", r6("tau", "tau"), r6("p", "p"))
 
 
 @query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts) % 2 AS fold FROM states), u AS (SELECT CAST(temperature_f AS INTEGER) AS grid, uid, round(avg(obs) FILTER (fold = 1), 6) AS m, round(avg(obs) FILTER (fold = 0), 6) AS t FROM f GROUP BY 1, 2 HAVING m IS NOT NULL AND t IS NOT NULL)," + _TAU.format(by="grid", told="grid"))
@@ -1058,7 +1059,7 @@ def kendall_temperature_sweep(spark, d):
     """At each temperature, the ranking by response on odd rows against that on even rows."""
     fold = lambda k: r6(F.avg(F.when(F.col("fold") == k, F.col("obs"))))
     rows = W.odd_even_split(V.states(spark, d)).groupBy(F.col("temperature_f").cast("int").alias("grid"), "uid").agg(fold(1).alias("model"), fold(0).alias("truth"))
-    return ranking.kendall_tau_at_k(rows.where("model IS NOT NULL AND truth IS NOT NULL"), [10, 20], by=["grid"]).select("grid", "k", "n", r6("tau", "tau"), r6("p", "p"))
+    return ranking.kendall_tau_at_k(rows.where("model IS NOT NULL AND truth IS NOT NULL"), [5, 10, 20, 50, 100], by=["grid"]).select("grid", "k", "n", r6("tau", "tau"), r6("p", "p"))
 
 
 @query("SELECT uid, CASE WHEN m < 0.33 THEN 'low' WHEN m < 0.6 THEN 'medium' ELSE 'high' END AS tier, round(m, 6) AS relative FROM (SELECT uid, sum(obs) / max(sum(obs)) OVER () AS m FROM gappy GROUP BY 1)")
@@ -1562,6 +1563,27 @@ def save_models(spark, d):
     return sinks.load_models(spark, path, ["model_response"])["model_response"].select("uid", "state", r6("slope", "slope"))
 
 
+@query(_TABLES + """
+SELECT 'model_response' AS part, count(*) AS n, round(sum(CASE WHEN isfinite(slope) THEN slope ELSE 0 END), 4) AS total FROM (SELECT u.uid, s, coalesce(p.slope, 0) AS slope FROM everyone u CROSS JOIN three LEFT JOIN (SELECT * FROM par WHERE slope IS NOT NULL) p ON p.uid = u.uid AND p.state = s)
+UNION ALL SELECT 'model_transition', count(*), round(sum(b0), 4) FROM tran UNION ALL SELECT 'model_init', count(*), round(sum(1 / 3.0), 4) FROM everyone CROSS JOIN three
+UNION ALL SELECT 'model_perf', count(*), round(sum(CAST(n AS DOUBLE)), 4) FROM (SELECT uid, count(*) AS n FROM states GROUP BY 1) UNION ALL SELECT 'decoded', count(*), round(sum(CAST(state AS DOUBLE)), 4) FROM states
+UNION ALL SELECT 'contributions', count(*), round(sum(share), 4) FROM (SELECT uid, state, CAST(count(*) AS DOUBLE) / any_value(n) AS share FROM states JOIN (SELECT uid, count(*) AS n FROM states GROUP BY 1) USING (uid) GROUP BY 1, 2)""")
+def model_tables(spark, d):
+    """Six model tables saved and loaded by name, states without a line filled with zeros: rows and a sum of each."""
+    path, models, rows = shared_path(spark, "models"), _table_models(spark, d), V.states(spark, d)
+    lines = _params(spark, d)[1].where("slope IS NOT NULL").select("uid", F.col("state").cast("int").alias("state"), "slope")
+    empty = models["model_init"].select("uid", "state").join(lines, ["uid", "state"], "left")
+    sizes = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    shares = rows.groupBy("uid", "state").agg(F.count(F.lit(1)).alias("_c")).join(sizes, "uid").select("uid", "state", (F.col("_c") / F.col("n")).alias("share"))
+    tables = {"model_response": empty, "model_transition": models["model_transition"], "model_init": models["model_init"], "model_perf": sizes, "decoded": rows.select("uid", "ts", "state"), "contributions": shares}
+    sinks.save_models(tables, path)
+    back = sinks.load_models(spark, path, list(tables))
+    back["model_response"] = sinks.fill_states(back["model_response"], 3, ["slope"])
+    summed = {"model_response": "slope", "model_transition": "b0", "model_init": "pi", "model_perf": "n", "decoded": "state", "contributions": "share"}
+    parts = [back[name].agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col(c).cast("double")), 4).alias("total")) for name, c in summed.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query(_CHANNELS + """SELECT CAST(house AS VARCHAR) AS house, CAST(ch AS INTEGER) AS ch, CASE ch WHEN 1 THEN 'mains' WHEN 2 THEN 'ac' ELSE 'light' END AS label, count(*) AS n, CAST(sum(watt) AS DOUBLE) AS watt FROM channel WHERE ch < 3 AND house IN (SELECT house FROM channel WHERE ch = 2) GROUP BY 1, 2, 3""")
 def redd_channels(spark, d):
     """The readings as folders of device channels with their labels, and those of one device and the mains read again."""
