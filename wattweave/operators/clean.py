@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattweave.functions.calendar import season
+from wattweave.spread import ordered_rank, spare
+from wattweave.storage import cut_lineage
 
 # Plausible ranges of weather covariates, by rule set.
 RANGES = {
@@ -33,11 +36,10 @@ def null_out_of_range(df: DataFrame, rules: Mapping[str, tuple[float | None, flo
 
 def trim_quantiles(df: DataFrame, cols: Sequence[str], by: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Values outside a key's exact (interpolated) quantiles become null."""
-    bounds = df.groupBy(by).agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"_q_{c}") for c in cols])
+    q = dict(zip(cols, spare(df, *cols), strict=True))
+    bounds = df.groupBy(by).agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(q[c]) for c in cols])
     joined = df.join(bounds, by)
-    return joined.withColumns({c: F.when(F.col(c).between(F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]), F.col(c)) for c in cols}).drop(
-        *[f"_q_{c}" for c in cols]
-    )
+    return joined.withColumns({c: F.when(F.col(c).between(F.col(q[c])[0], F.col(q[c])[1]), F.col(c)) for c in cols}).drop(*q.values())
 
 
 def cap_to_null(df: DataFrame, cols: Sequence[str], cap: float = 100.0) -> DataFrame:
@@ -119,25 +121,74 @@ def rename_covariates(df: DataFrame, mapping: Mapping[str, str], keys: Sequence[
     return df.select(*keys, *[F.col(a).alias(b) for a, b in mapping.items()])
 
 
-def gap_fill(df: DataFrame, value: str, max_gap: int = 12, key: str = "uid", ts: str = "ts") -> DataFrame:
-    """Linear values in gaps of up to ``max_gap`` rows between known ones; then rows still null go.
+def _bends(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of the cubic spline through them, zero at both ends: elimination, then back substitution."""
+    n = len(x)
+    m = np.zeros(n)
+    if n < 3:
+        return m
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    upper, right = np.zeros(n), np.zeros(n)
+    for i in range(1, n - 1):
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * upper[i - 1]
+        upper[i] = h[i] / pivot
+        right[i] = (6 * (slope[i] - slope[i - 1]) - h[i - 1] * right[i - 1]) / pivot
+    for i in range(n - 2, 0, -1):
+        m[i] = right[i] - upper[i] * m[i + 1]
+    return m
+
+
+def spline_bends(knots: DataFrame, key: str, x: str, y: str, block: int = 512, margin: int = 64) -> DataFrame:
+    """key, x, bend: the second derivatives of each series' natural cubic spline at its knots, a series of any length in blocks.
+
+    What a knot does to the bend of another falls by half or more with each knot between, so a block
+    solved with ``margin`` knots on either side has its own to double precision.
+    """
+    placed = ordered_rank(knots.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), [F.col("x")], "n", by=["key"])
+    at = lambda shift: F.greatest(F.floor((F.col("n") + shift) / block), F.lit(0))
+    spread = placed.withColumn("block", F.explode(F.sequence(at(-margin), at(margin))))
+
+    def solve(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        pdf = pdf.assign(bend=_bends(pdf["x"].to_numpy(), pdf["y"].to_numpy()))
+        return pdf[pdf["n"] // block == group[1]][["key", "x", "bend"]]
+
+    return spread.groupBy("key", "block").applyInPandas(solve, f"key {dict(knots.dtypes)[key]}, x double, bend double")
+
+
+def gap_fill(df: DataFrame, value: str, max_gap: int = 12, key: str = "uid", ts: str = "ts", method: str = "line") -> DataFrame:
+    """Values in gaps of up to ``max_gap`` rows between known ones, on a ``line`` or a cubic ``spline``; then rows still null go.
 
     Rows are taken as evenly spaced. The next known value is the last one of the
     descending order, so that both windows grow row by row. Longer gaps, and gaps at either end, stay
-    null. (The line stands in for a cubic spline.)
+    null. The spline runs through all known values of a series and is straight at its ends.
     """
+    if method not in ("line", "spline"):
+        raise ValueError(f"no method {method}")
+    i, a, b, bend = spare(df, "i", "a", "b", "bend")
     w, back = Window.partitionBy(key).orderBy(ts), Window.partitionBy(key).orderBy(F.col(ts).desc())
-    numbered = df.withColumn("_i", F.row_number().over(w))
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
+    numbered = df.withColumn(i, F.row_number().over(w))
+    if method == "spline":
+        numbered = cut_lineage(numbered)
+        bends = spline_bends(numbered.where(F.col(value).isNotNull() & F.col(key).isNotNull()), key, i, value)
+        told = bends.select(F.col("key").alias(key), F.col("x").cast("int").alias(i), F.col("bend").alias(bend))
+        numbered = numbered.join(told, [key, i], "left")
+    held = [F.col(i).alias("i"), F.col(value).alias("v")] + [F.coalesce(bend, F.lit(0.0)).alias("m")] * (method == "spline")
+    known = F.when(F.col(value).isNotNull(), F.struct(*held))
     spanned = numbered.withColumns(
         {
-            "_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_b": F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
+            a: F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            b: F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
-    gap = F.col("_b.i") - F.col("_a.i") - 1
-    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
-    filled = F.coalesce(F.col(value), F.when(gap <= max_gap, line))
+    left, right = F.col(a), F.col(b)
+    width = right["i"] - left["i"]
+    share = (F.col(i) - left["i"]) / width
+    between = left["v"] + (right["v"] - left["v"]) * (F.col(i) - left["i"]) / width
+    if method == "spline":
+        cube = lambda s: s * s * s - s
+        between = between + (cube(1 - share) * left["m"] + cube(share) * right["m"]) * width * width / 6
+    filled = F.coalesce(F.col(value), F.when(width - 1 <= max_gap, between))
     return spanned.withColumn(value, filled).where(F.col(value).isNotNull()).select(*df.columns)
 
 

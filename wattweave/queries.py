@@ -268,6 +268,27 @@ def gap_fill(spark, d):
     return C.gap_fill(rows, "obs").select("uid", "ts", r6("obs", "obs"))
 
 
+@query("""
+WITH RECURSIVE s AS MATERIALIZED (SELECT g.uid, g.ts, y.obs, row_number() OVER (PARTITION BY g.uid ORDER BY g.ts) AS i FROM grid g LEFT JOIN gappy y ON y.uid = g.uid AND y.ts = g.ts),
+k AS MATERIALIZED (SELECT uid, i, obs, row_number() OVER w AS n, count(*) OVER (PARTITION BY uid) AS total, i - lag(i) OVER w AS h0, lead(i) OVER w - i AS h1, (obs - lag(obs) OVER w) / (i - lag(i) OVER w) AS s0, (lead(obs) OVER w - obs) / (lead(i) OVER w - i) AS s1
+      FROM s WHERE obs IS NOT NULL WINDOW w AS (PARTITION BY uid ORDER BY i)),
+fw AS (SELECT uid, n, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS rt FROM k WHERE n = 1
+  UNION ALL SELECT k.uid, k.n, h1 / (2 * (h0 + h1) - h0 * up), (6 * (s1 - s0) - h0 * rt) / (2 * (h0 + h1) - h0 * up) FROM fw JOIN k ON k.uid = fw.uid AND k.n = fw.n + 1 WHERE k.n < total),
+fm AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT uid, n, CAST(0 AS DOUBLE) AS m FROM k WHERE n = total UNION ALL SELECT fm.uid, fm.n, rt - up * m FROM bw JOIN fm ON fm.uid = bw.uid AND fm.n = bw.n - 1),
+b AS (SELECT k.uid, k.i, m FROM k JOIN bw ON bw.uid = k.uid AND bw.n = k.n),
+j AS (SELECT s.*, m FROM s LEFT JOIN b ON b.uid = s.uid AND b.i = s.i),
+v AS (SELECT *, last_value(CASE WHEN obs IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ia, last_value(obs IGNORE NULLS) OVER a AS va, last_value(m IGNORE NULLS) OVER a AS ma,
+      first_value(CASE WHEN obs IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ib, first_value(obs IGNORE NULLS) OVER f AS vb, first_value(m IGNORE NULLS) OVER f AS mb FROM j
+      WINDOW a AS (PARTITION BY uid ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY uid ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c AS (SELECT *, (i - ia) / (ib - ia) AS t FROM v)
+SELECT uid, ts, round(coalesce(obs, va + (vb - va) * t + ((pow(1 - t, 3) - (1 - t)) * ma + (pow(t, 3) - t) * mb) * pow(ib - ia, 2) / 6), 4) AS obs FROM c WHERE obs IS NOT NULL OR ib - ia - 1 <= 12
+""")
+def gap_fill_spline(spark, d):
+    rows = V.grid(spark, d).join(V.gappy(spark, d), ["uid", "ts"], "left")
+    return C.gap_fill(rows, "obs", method="spline").select("uid", "ts", F.round("obs", 4).alias("obs"))
+
+
 @query("""
 WITH o AS (SELECT circuit AS station, date_trunc('hour', ts) AS ts, avg(kw) AS v FROM readings GROUP BY 1, 2), n AS (SELECT *, lead(ts) OVER (PARTITION BY station ORDER BY ts) AS nt, lead(v) OVER (PARTITION BY station ORDER BY ts) AS nv FROM o),
 g AS (SELECT station, v, nv, ts AS t0, nt, unnest(generate_series(ts, coalesce(nt - INTERVAL 1 SECOND, ts), INTERVAL 15 MINUTE)) AS ts FROM n)
