@@ -30,7 +30,7 @@ def test_summaries_merge_in_any_order(spark):
         for p, q in zip((0.05, 0.25, 0.5, 0.75, 0.95), merged[g]["q"], strict=True):
             below, upto = (vs < q).mean(), (vs <= q).mean()
             worst = max(worst, max(0.0, below - p, p - upto)) if len(vs) > 100 else worst
-    assert worst < 0.02  # of the ranks, at 200: measured 0.006 or less here
+    assert worst < 0.02  # of the ranks
     whole = describe.merge_summaries(parts, []).collect()
     assert len(whole) == 1 and whole[0]["n"] == sum(map(len, values.values()))
     assert describe.merge_summaries(parts.where("false"), ["g"]).count() == 0

