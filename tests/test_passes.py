@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattweave.plans import passes, regimes
+import paths
+from wattweave.plans import fitting, passes, regimes
 
 FITS = "uid string, k int, kind string, state int, to_state int, a double, b double, sd double, loglik double, iterations int"
 
@@ -25,10 +26,10 @@ def in_memory(rows, fits, k):
     pick = lambda kind: sorted(f[3:8] for f in fits if f[2] == kind)
     resp, tran = np.array([f[2:] for f in pick("response")]), np.array([f[2:4] for f in pick("transition")]).reshape(k, k, 2)
     pi = np.array([f[2] for f in pick("init")])
-    log_b = regimes._log_density(y, x, resp[:, :2], resp[:, 2])
-    a = regimes._transitions(x, tran[..., 0], tran[..., 1])
-    path, delta = regimes.viterbi(log_b, a, pi)
-    gamma, _, loglik = regimes.forward_backward(log_b, a, pi)
+    log_b = fitting.log_density(y, x, resp[:, :2], resp[:, 2])
+    a = fitting.moves(x[:-1], tran[..., 0], tran[..., 1])
+    path, delta = paths.viterbi(log_b, a, pi)
+    gamma, _, loglik = paths.forward_backward(log_b, a, pi)
     mean = resp[:, 0] + np.outer(x, resp[:, 1])
     return path + 1, delta, gamma, float(loglik), mean[np.arange(len(path)), path], (delta * mean).sum(axis=1)
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import paths
 from wattweave.operators import windows as W
 from wattweave.plans import chains, curves, families, interpret, ranking, regimes, segments, selection
 from wattweave.spread import ordered_rank, running_sum
@@ -65,12 +66,12 @@ def test_viterbi_beats_every_path():
     rng = np.random.default_rng(0)
     for _ in range(5):
         log_b, a, pi = rng.normal(size=(5, 2)), rng.dirichlet([1, 1], size=(4, 2)), rng.dirichlet([1, 1])
-        path, delta = regimes.viterbi(log_b, a, pi)
+        path, delta = paths.viterbi(log_b, a, pi)
         score = lambda p: math.log(pi[p[0]]) + sum(log_b[t][s] for t, s in enumerate(p)) + sum(math.log(a[t][p[t]][p[t + 1]]) for t in range(4))  # noqa: B023, E731
         best = max(itertools.product((0, 1), repeat=5), key=score)
         assert abs(score(tuple(path)) - score(best)) < 1e-9 and np.allclose(delta.sum(axis=1), 1)
         total = sum(math.exp(score(p)) for p in itertools.product((0, 1), repeat=5))
-        assert abs(regimes.forward_backward(log_b, a, pi)[2] - math.log(total)) < 1e-9
+        assert abs(paths.forward_backward(log_b, a, pi)[2] - math.log(total)) < 1e-9
 
 
 def test_mixture_finds_two_levels(spark, hours):

@@ -73,19 +73,26 @@ def model_rows(fits: DataFrame) -> DataFrame:
     return flat.select("uid", "resp", "init", F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.slice("flat", i * k + 1, k)).alias("tran"))
 
 
-def chunked(df: DataFrame, models: DataFrame, obs: str, t: str, key: str, ts: str) -> DataFrame:
-    """(uid, chunk, rows, resp, tran): the rows of a series with a covariate, in order of time, CHUNK at a time.
-
-    ``rows`` is array<struct<place, ts, y, x, last>>. Chunks are dealt evenly, those of one series too.
-    """
+def pieces(df: DataFrame, obs: str, t: str, key: str, ts: str, size: int) -> DataFrame:
+    """(uid, chunk, rows): the rows of a series with a covariate, in order of time, ``size`` at a time; ``rows`` is array<struct<place, ts, y, x, last>>."""
     rows = df.where(F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))).select(F.col(key).alias("uid"), F.col(ts).alias("ts"), F.col(obs).cast("double").alias("y"), F.col(t).cast("double").alias("x"))
     placed = ordered_rank(rows.where(F.col("uid").isNotNull()), [F.col("ts"), F.col("x"), F.col("y")], "place", by=["uid"])
     ends = placed.groupBy("uid").agg(F.max("place").alias("n"))
     row = F.struct("place", "ts", "y", "x", (F.col("place") == F.col("n")).alias("last"))
-    chunk = F.floor((F.col("place") - 1) / CHUNK).alias("chunk")
-    grouped = placed.join(ends, "uid").groupBy("uid", chunk).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, placed.count() // (64 * CHUNK))
-    return cut_lineage(grouped.join(models.select("uid", "resp", "tran"), "uid").repartition(tasks))
+    chunk = F.floor((F.col("place") - 1) / size).alias("chunk")
+    return placed.join(ends, "uid").groupBy("uid", chunk).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+
+def dealt(chunks: DataFrame) -> DataFrame:
+    """``chunks`` stored, 64 a task or fewer, those of one series too."""
+    stored = cut_lineage(chunks)
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, stored.count() // 64)
+    return cut_lineage(stored.repartition(tasks))
+
+
+def chunked(df: DataFrame, models: DataFrame, obs: str, t: str, key: str, ts: str) -> DataFrame:
+    """(uid, chunk, rows, resp, tran): the :func:`pieces` of a series, with its model; chunks are dealt evenly, those of one series too."""
+    return dealt(pieces(df, obs, t, key, ts, CHUNK).join(models.select("uid", "resp", "tran"), "uid"))
 
 
 def _steps() -> Column:

@@ -1,21 +1,18 @@
 """Regime models for every household: hidden Markov regressions on temperature.
 
-Each series is one group of a grouped map: numpy holds a household's hours and a
-few states. Tables in, tables out; everything that follows a fit is DataFrame code.
+Tables in, tables out: fits come from distributed rounds of EM (:mod:`fitting`), paths
+and shares from passes over chunks (:mod:`passes`).
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattweave.plans import passes
+from wattweave.plans import fitting, passes
 from wattweave.plans.chains import chi2_tail
 from wattweave.plans.families import Regression, fit_families
 from wattweave.storage import cut_lineage
@@ -23,148 +20,20 @@ from wattweave.storage import cut_lineage
 FITTED = "uid {uid}, k int, kind string, state int, to_state int, a double, b double, sd double, loglik double, iterations int"
 
 
-def _log_density(y: np.ndarray, x: np.ndarray, beta: np.ndarray, sd: np.ndarray) -> np.ndarray:
-    """... x T x K log densities; a missing observation has density 1."""
-    beta, sd = beta[..., None, :, :], sd[..., None, :]
-    out = -0.5 * ((y[:, None] - beta[..., 0] - x[:, None] * beta[..., 1]) / sd) ** 2 - np.log(sd) - 0.5 * np.log(2 * np.pi)
-    return np.where(np.isnan(y)[:, None], 0.0, out)
-
-
-def _transitions(x: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """... x T-1 x K x K: the move from t to t + 1 has the covariate of t."""
-    z = b0[..., None, :, :] + b1[..., None, :, :] * x[:-1, None, None]
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    return z / z.sum(axis=-1, keepdims=True)
-
-
-def forward_backward(log_b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """gamma (... x T x K), xi (... x T-1 x K x K) and the log-likelihood, scaled at each step; further runs in leading dimensions."""
-    top = log_b.max(axis=-1, keepdims=True)
-    b = np.exp(log_b - top)
-    n = b.shape[-2]
-    alpha, beta, scale = np.empty_like(b), np.ones_like(b), np.empty(b.shape[:-1])
-    row = pi * b[..., 0, :]
-    for t in range(n):
-        if t:
-            row = (alpha[..., t - 1, :, None] * a[..., t - 1, :, :]).sum(axis=-2) * b[..., t, :]
-        scale[..., t] = np.maximum(row.sum(axis=-1), 1e-300)
-        alpha[..., t, :] = row / scale[..., t, None]
-    for t in range(n - 2, -1, -1):
-        beta[..., t, :] = (a[..., t, :, :] * (b[..., t + 1, :] * beta[..., t + 1, :] / scale[..., t + 1, None])[..., None, :]).sum(axis=-1)
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=-1, keepdims=True)
-    xi = alpha[..., :-1, :, None] * a * (b[..., 1:, :] * beta[..., 1:, :] / scale[..., 1:, None])[..., None, :]
-    return gamma, xi, np.log(scale).sum(axis=-1) + top.sum(axis=(-2, -1))
-
-
-def viterbi(log_b: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The likeliest path (from 0) and the normalised scores delta of each time."""
-    n, k = log_b.shape
-    score, back = np.log(np.maximum(pi, 1e-300)) + log_b[0], np.zeros((n, k), dtype=int)
-    delta = np.empty((n, k))
-    for t in range(n):
-        if t:
-            step = score[:, None] + np.log(np.maximum(a[t - 1], 1e-300))
-            back[t] = step.argmax(axis=0)
-            score = step.max(axis=0) + log_b[t]
-        score = score - score.max()
-        delta[t] = np.exp(score) / np.exp(score).sum()
-    path = np.empty(n, dtype=int)
-    path[-1] = delta[-1].argmax()
-    for t in range(n - 2, -1, -1):
-        path[t] = back[t + 1, path[t + 1]]
-    return path, delta
-
-
-def _logit_step(xi: np.ndarray, x: np.ndarray, b0: np.ndarray, b1: np.ndarray, steps: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Newton steps of the weighted multinomial logits of all runs and source states; the first target is the base."""
-    k, powers = b0.shape[-1], np.stack([np.ones_like(x), x, x * x], axis=1)
-    w = xi.sum(axis=-1)
-    for _ in range(steps):
-        p = _transitions(np.append(x, 0.0), b0, b1)
-        g = np.einsum("tm,rtku->rkmu", powers[:, :2], (xi - w[..., None] * p)[..., 1:]).reshape(*b0.shape[:2], -1)
-        c = w[..., None, None] * p[..., 1:, None] * (np.eye(k - 1) - p[..., None, 1:])
-        h = np.einsum("tm,rtkuv->rkmuv", powers, c)
-        rows = np.concatenate([np.concatenate([h[:, :, a + b] for b in (0, 1)], axis=-1) for a in (0, 1)], axis=-2)
-        held = np.concatenate([b0[..., 1:], b1[..., 1:]], axis=-1)
-        move = np.clip(np.linalg.solve(rows + 1e-3 * np.eye(2 * (k - 1)), (g - 1e-3 * held)[..., None])[..., 0], -2, 2)
-        held = held + move
-        zero = np.zeros_like(b0[..., :1])
-        b0, b1 = np.concatenate([zero, held[..., : k - 1]], axis=-1), np.concatenate([zero, held[..., k - 1 :]], axis=-1)
-    return b0, b1
-
-
-def fit_series(y: np.ndarray, x: np.ndarray, k: int, seed: int, maxit: int = 60, tol: float = 1e-6, restarts: int = 3) -> dict:
-    """EM from several random starts side by side; the best likelihood wins. States are sorted by slope, then intercept."""
-    scale = max(float(np.nanstd(x)), 1e-9)
-    z = (x - np.nanmean(x)) / scale  # the logit sees a standardised covariate
-    ok, runs = ~np.isnan(y), 1 if k == 1 else restarts
-    design = np.stack([np.ones_like(x), x], axis=1)
-    gamma = np.ones((runs, len(y), k))
-    if k > 1:
-        for run in range(runs):  # cut by level, with noise, so that states start apart
-            rng = np.random.default_rng([seed, run])
-            mixed = rng.dirichlet(np.ones(k), len(y))
-            level = np.argsort(np.argsort(np.where(ok, y, np.nanmean(y)) + rng.normal(0, 0.3 * np.nanstd(y), len(y)))) * k // len(y)
-            gamma[run] = 0.2 * mixed + 0.8 * np.eye(k)[level]
-    b0, b1, pi, last = np.zeros((runs, k, k)), np.zeros((runs, k, k)), np.full((runs, k), 1 / k), np.full(runs, -np.inf)
-    d, seen = design[ok], y[ok]
-    for trace in range(maxit):
-        w = gamma[:, ok]
-        gram = np.einsum("rtk,ti,tj->rkij", w, d, d) + 1e-9 * np.eye(2)
-        beta = np.linalg.solve(gram, np.einsum("rtk,ti,t->rki", w, d, seen)[..., None])[..., 0]
-        off = seen[None, :, None] - np.einsum("ti,rki->rtk", d, beta)
-        sd = np.sqrt(np.maximum((w * off**2).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-9), 1e-8))
-        gamma, xi, loglik = forward_backward(_log_density(y, x, beta, sd), _transitions(z, b0, b1), pi)
-        if trace == maxit - 1 or (loglik - last < tol * np.abs(loglik)).all():
-            break
-        last, pi = loglik, gamma[:, 0]
-        if k > 1:
-            b0, b1 = _logit_step(xi, z[:-1], b0, b1)
-    i = int(loglik.argmax())
-    order = np.lexsort((beta[i, :, 0], beta[i, :, 1]))
-    pick = np.ix_(order, order)
-    raw1 = b1[i] / scale
-    raw0 = b0[i] - raw1 * np.nanmean(x)
-    return {"loglik": float(loglik[i]), "iterations": trace + 1, "beta": beta[i][order], "sd": sd[i][order], "pi": pi[i][order], "b0": raw0[pick], "b1": raw1[pick]}
-
-
-def _rows(uid, k: int, m: dict) -> list[tuple]:
-    tail = (m["loglik"], m["iterations"])
-    out = [(uid, k, "response", j + 1, 0, *m["beta"][j], m["sd"][j], *tail) for j in range(k)]
-    out += [(uid, k, "init", j + 1, 0, m["pi"][j], 0.0, 0.0, *tail) for j in range(k)]
-    return out + [(uid, k, "transition", i + 1, j + 1, m["b0"][i, j], m["b1"][i, j], 0.0, *tail) for i in range(k) for j in range(k)]
-
-
 def fit_regimes(
-    df: DataFrame, ks: Sequence[int] = (2,), obs: str = "obs", t: str = "t_d", key: str = "uid", ts: str = "ts", maxit: int = 60, restarts: int = 3, seed: int = 1
+    df: DataFrame, ks: Sequence[int] = (2,), obs: str = "obs", t: str = "t_d", key: str = "uid", ts: str = "ts", maxit: int = 60, restarts: int = 3, seed: int = 1, tol: float = 1e-6
 ) -> DataFrame:
     """uid, k, kind (response, init, transition), state, to_state, a, b, sd, loglik, iterations: a long table of fits.
 
     A response is a + b t with ``sd``; an initial share is a; a move's logit is
     a + b t. Rows without a temperature are left out, missing observations stay
-    in with density 1. Series with fewer than 10 k observations are skipped. The
-    seed depends on the series' name, so results repeat.
+    in with density 1. Series with fewer than 10 k observations are skipped, rows
+    without a name too. EM runs from several random starts side by side
+    (:mod:`fitting`); the best likelihood wins. States are sorted by slope, then
+    intercept. The seed depends on the series' name, so results repeat.
     """
-    pairs = df.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
-    return _fit_groups(pairs, obs, t, key, ts, maxit, restarts, seed)
-
-
-def _fit_groups(df: DataFrame, obs: str, t: str, key: str, ts: str, maxit: int = 60, restarts: int = 3, seed: int = 1) -> DataFrame:
-    """A fit of each user and size ``k`` of the rows."""
-    kind = dict(df.dtypes)[key]
-    names = ["uid", "k", "kind", "state", "to_state", "a", "b", "sd", "loglik", "iterations"]
-
-    def fit(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        uid, k = group[0], int(group[1])
-        pdf = pdf.dropna(subset=[t]).sort_values(ts)
-        y, x = pdf[obs].to_numpy(float), pdf[t].to_numpy(float)
-        if np.isfinite(y).sum() < 10 * k:
-            return pd.DataFrame(columns=names)
-        own = zlib.crc32(f"{seed}/{uid}/{k}".encode())
-        return pd.DataFrame(_rows(uid, k, fit_series(y, x, k, own, maxit, restarts=restarts)), columns=names)
-
-    return df.select(F.col(key).alias("uid"), F.col(ts).alias(ts), obs, t, "k").groupBy("uid", "k").applyInPandas(fit, FITTED.format(uid=kind))
+    sizes = df.select(F.col(key).alias("uid")).distinct().select("uid", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+    return fitting.fit(df, sizes, max(ks), obs, t, key, ts, FITTED, maxit, tol, restarts, seed)
 
 
 def split_models(fits: DataFrame, k: int | None = None) -> dict[str, DataFrame]:
@@ -209,8 +78,10 @@ def smooth_states(df: DataFrame, fits: DataFrame, obs: str = "obs", t: str = "t_
 
 def refit_chosen(df: DataFrame, chosen: DataFrame, obs: str = "obs", t: str = "t_d", **options) -> DataFrame:
     """The fits on all rows of the sizes that :func:`select_model_size` chose, a size for each user."""
-    sized = df.join(chosen.where("chosen").select("uid", F.col("k").alias("_k")), "uid")
-    return _fit_groups(sized.withColumnRenamed("_k", "k"), obs, t, "uid", "ts", **options)
+    picked = cut_lineage(chosen.where("chosen").select("uid", "k"))
+    largest = picked.agg(F.max("k")).first()[0] or 1
+    options = {"maxit": 60, "tol": 1e-6, "restarts": 3, "seed": 1} | options
+    return fitting.fit(df.where(F.col("uid").isNotNull()), picked, largest, obs, t, "uid", "ts", FITTED, **options)
 
 
 def likelihood_ratio(scores: DataFrame, small: int, large: int) -> DataFrame:
