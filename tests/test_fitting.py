@@ -49,10 +49,12 @@ def likelihood(rows, resp, tran, pi):
     return paths.forward_backward(fitting.log_density(y, x, resp[:, :2], resp[:, 2]), a, pi)
 
 
-def test_likelihoods_are_those_of_whole_series(spark, data, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 32 << 20])
+def test_likelihoods_are_those_of_whole_series(spark, data, monkeypatch, broadcast):
     monkeypatch.setattr(fitting, "CHUNK", 40)
+    monkeypatch.setattr(fitting, "BROADCAST_BYTES", broadcast)
     rows = [r for part in data.values() for r in part]
-    found = fits(spark, rows, ks=[1, 2, 3], maxit=6, restarts=2)
+    found = fits(spark, rows, ks=[1, 2, 3], maxit=4, restarts=2)
     assert {key[:2] for key in found} == {(u, k) for u in data for k in (1, 2, 3)}
     for uid in data:
         for k in (1, 2, 3):
@@ -71,7 +73,7 @@ def test_chunks_do_not_change_a_round(data):
         import pandas as pd
 
         cut = range(0, len(y), size)
-        part = pd.DataFrame([("a", k, 0, i, x[at : at + size], y[at : at + size], at + size >= len(y), 1.0, 2.0, 3.0, par) for i, at in enumerate(cut)], columns=["uid", "k", "run", "chunk", "x", "y", "ends", "xm", "xs", "ym", "par"])
+        part = pd.DataFrame([("a", k, 0, i, x[at : at + size], y[at : at + size], at + size >= len(y), 1.0, 2.0, 3.0, par, 1, None, 0) for i, at in enumerate(cut)], columns=["uid", "k", "run", "chunk", "x", "y", "ends", "xm", "xs", "ym", "par", "chunks", "last", "iterations"])
         ops = fitting._folded(part, k)[["chunk", "scale", "v"]].to_dict("records")
         one = part.iloc[:1].drop(columns=["chunk"]).assign(ops=[ops])
         bounds = fitting._bounded(one, k)

@@ -29,6 +29,11 @@ from wattweave.storage import cut_lineage
 #: Rows of a chunk.
 CHUNK = 512
 _FIT = ["uid", "k", "run"]
+#: What a fit carries through a round.
+_HELD = ["par", "xm", "xs", "ym", "chunks", "last", "iterations"]
+#: Bounds of all chunks are broadcast up to this many bytes, beyond it joined by chunk.
+BROADCAST_BYTES = 32 << 20
+_HELD_TYPES = "par array<double>, xm double, xs double, ym double, chunks bigint, last double, iterations int"
 _STATE = "uid {uid}, k int, run int, par array<double>, xm double, xs double, ym double, chunks bigint, last double, loglik double, iterations int, done boolean"
 
 
@@ -137,7 +142,7 @@ def _folded(part: pd.DataFrame, k: int) -> pd.DataFrame:
         scale = np.maximum(v.sum(axis=-1), 1e-300)
         v, logs = v / scale[..., None], logs + np.log(scale)
     logs = logs + (top * c.rows).sum(axis=1)[:, None]
-    return part[[*_FIT, "chunk"]].assign(scale=list(logs), v=list(v.reshape(len(part), -1)))
+    return part[[*_FIT, *_HELD, "chunk"]].assign(scale=list(logs), v=list(v.reshape(len(part), -1)))
 
 
 def _bounded(part: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -156,8 +161,9 @@ def _bounded(part: pd.DataFrame, k: int) -> pd.DataFrame:
             ws.append(w)
             w = np.exp(scale - scale.max()) * (v @ w)
             w = np.maximum(w / w.max(), 1e-300)
-        out += [(r.uid, k, r.run, o[0], u, w, loglik, r.par, r.xm, r.xs, r.ym) for o, u, w in zip(ops, us, reversed(ws))]
-    return pd.DataFrame(out, columns=[*_FIT, "chunk", "u", "w", "seen", "par", "xm", "xs", "ym"])
+        held = [getattr(r, name) for name in _HELD]
+        out += [(r.uid, k, r.run, *held, o[0], u, w, loglik) for o, u, w in zip(ops, us, reversed(ws))]
+    return pd.DataFrame(out, columns=[*_FIT, *_HELD, "chunk", "u", "w", "seen"])
 
 
 def _expected(part: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -180,7 +186,7 @@ def _expected(part: pd.DataFrame, k: int) -> pd.DataFrame:
     xi = alpha[..., None] * a * ahead[..., None, :]
     xi = xi / np.maximum(xi.sum(axis=(-2, -1), keepdims=True), 1e-300) * c.leaves[..., None, None]
     first = gamma[:, 0] * (part["chunk"].to_numpy() == 0)[:, None]
-    return part[[*_FIT, "seen"]].assign(s=list(c.sums(gamma * c.rows[..., None], first, xi, a)))
+    return part[[*_FIT, *_HELD, "seen"]].assign(s=list(c.sums(gamma * c.rows[..., None], first, xi, a)))
 
 
 def _improved(part: pd.DataFrame, k: int, maxit: int, tol: float) -> pd.DataFrame:
@@ -245,10 +251,11 @@ def fit(
     asked = cut_lineage(sizes.select("uid", F.col("k").cast("int").alias("k")).distinct().join(known, "uid").where("n >= 10 * k").select("*", runs.alias("run")))
     uid = dict(chunks.dtypes)["uid"]
     fit_of, state = f"uid {uid}, k int, run int", _STATE.format(uid=uid)
-    sums = [F.sum(F.get("s", F.lit(i))) for i in range(_n_sums(k_max))]
+    sums = [F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0.0)) for i in range(_n_sums(k_max))]
 
-    def totals(parts: DataFrame) -> DataFrame:
-        return parts.groupBy(*_FIT).agg(F.array(*[F.coalesce(s, F.lit(0.0)) for s in sums]).alias("s"))
+    held_on = [F.any_value(name).alias(name) for name in _HELD]
+    each = 8 * (6 * k_max + 2 * k_max * k_max + 16)  # bytes of a chunk's bounds with all that a fit carries
+    few = (asked.agg(F.sum("chunks")).first()[0] or 0) * each <= BROADCAST_BYTES
 
     def improve(rows: DataFrame) -> DataFrame:
         return rows.mapInPandas(_by_size(lambda part, k: _improved(part, k, maxit, tol)), state)
@@ -258,20 +265,18 @@ def fit(
         each = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         return chunks.join(each, ["uid", "chunk"])
 
-    begun = totals(placed(asked).mapInPandas(_by_size(lambda part, k: _started(part, k, seed)), f"{fit_of}, s array<double>"))
+    begun = placed(asked).mapInPandas(_by_size(lambda part, k: _started(part, k, seed)), f"{fit_of}, s array<double>").groupBy(*_FIT).agg(F.array(*sums).alias("s"))
     held = F.array_repeat(F.lit(0.0), 4 * F.col("k") + 2 * F.col("k") * F.col("k")).alias("par")
     blank = asked.select(*_FIT, held, "xm", "xs", "ym", "chunks", F.lit(None).cast("double").alias("last"), F.lit(None).cast("double").alias("seen"), F.lit(0).alias("iterations"))
     models = cut_lineage(improve(begun.join(blank, _FIT)))
     while not models.where("NOT done").isEmpty():
-        now = models.where("NOT done")
-        folded = placed(now.select(*_FIT, "par", "xm", "xs", "ym", "chunks")).mapInPandas(_by_size(_folded), f"{fit_of}, chunk bigint, scale array<double>, v array<double>")
-        ops = folded.groupBy(*_FIT).agg(F.array_sort(F.collect_list(F.struct("chunk", "scale", "v"))).alias("ops"))
-        bounds = ops.join(now.select(*_FIT, "par", "xm", "xs", "ym"), _FIT).mapInPandas(
-            _by_size(_bounded), f"{fit_of}, chunk bigint, u array<double>, w array<double>, seen double, par array<double>, xm double, xs double, ym double"
-        )
-        parts = chunks.join(bounds, ["uid", "chunk"]).mapInPandas(_by_size(_expected), f"{fit_of}, seen double, s array<double>")
-        gathered = parts.groupBy(*_FIT).agg(F.array(*[F.coalesce(s, F.lit(0.0)) for s in sums]).alias("s"), F.max("seen").alias("seen"))
-        models = cut_lineage(improve(gathered.join(now.drop("loglik", "done"), _FIT)).unionByName(models.where("done")))
+        now = models.where("NOT done").select(*_FIT, *_HELD)
+        folded = placed(now).mapInPandas(_by_size(_folded), f"{fit_of}, {_HELD_TYPES}, chunk bigint, scale array<double>, v array<double>")
+        ops = folded.groupBy(*_FIT).agg(*held_on, F.array_sort(F.collect_list(F.struct("chunk", "scale", "v"))).alias("ops"))
+        bounds = ops.mapInPandas(_by_size(_bounded), f"{fit_of}, {_HELD_TYPES}, chunk bigint, u array<double>, w array<double>, seen double")
+        parts = chunks.join(F.broadcast(bounds) if few else bounds, ["uid", "chunk"]).mapInPandas(_by_size(_expected), f"{fit_of}, {_HELD_TYPES}, seen double, s array<double>")
+        gathered = parts.groupBy(*_FIT).agg(*held_on, F.max("seen").alias("seen"), F.array(*sums).alias("s"))
+        models = cut_lineage(improve(gathered).unionByName(models.where("done")))
     best = models.groupBy("uid", "k").agg(F.max_by(F.struct("par", "xm", "xs", "ym", "loglik", "iterations"), F.struct("loglik", -F.col("run"))).alias("m"))
     return best.select("uid", "k", "m.*").mapInPandas(_by_size(_fit_rows), schema.format(uid=uid))
 
