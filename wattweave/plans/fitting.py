@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattweave.plans import passes
+from wattweave.plans.passes import log_density, moves
 from wattweave.storage import cut_lineage
 
 #: Rows of a chunk.
@@ -37,20 +38,6 @@ _HELD_TYPES = "par array<double>, xm double, xs double, ym double, chunks bigint
 _STATE = "uid {uid}, k int, run int, par array<double>, xm double, xs double, ym double, chunks bigint, last double, loglik double, iterations int, done boolean"
 
 
-def log_density(y: np.ndarray, x: np.ndarray, beta: np.ndarray, sd: np.ndarray) -> np.ndarray:
-    """... x T x K log densities of lines in x; a missing observation has density 1."""
-    beta, sd = beta[..., None, :, :], sd[..., None, :]
-    out = -0.5 * ((y[..., None] - beta[..., 0] - x[..., None] * beta[..., 1]) / sd) ** 2 - np.log(sd) - 0.5 * np.log(2 * np.pi)
-    return np.where(np.isnan(y)[..., None], 0.0, out)
-
-
-def moves(x: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """... x T x K x K shares of the moves away from each row, by its own covariate."""
-    z = b0[..., None, :, :] + b1[..., None, :, :] * x[..., None, None]
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    return z / z.sum(axis=-1, keepdims=True)
-
-
 def _unpacked(par: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """beta, sd, pi, b0, b1 of the rows of ``par``."""
     a, b, sd, pi, b0, b1 = np.split(par, [k, 2 * k, 3 * k, 4 * k, 4 * k + k * k], axis=-1)
