@@ -121,3 +121,25 @@ def test_chosen_sizes_are_fitted_again(spark, data):
     again = regimes.refit_chosen(df, chosen, maxit=3)
     assert {(r["uid"], r["k"]) for r in again.select("uid", "k").distinct().collect()} == {("a", 2), ("b", 1)}
     assert regimes.refit_chosen(df, chosen.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [0, 32 << 20])
+def test_series_in_one_piece_and_in_rounds_over_chunks_are_fitted_alike(spark, data, monkeypatch, broadcast):
+    monkeypatch.setattr(fitting, "CHUNK", 40)
+    monkeypatch.setattr(fitting, "BROADCAST_BYTES", broadcast)
+    rows, found = [r for part in data.values() for r in part], []
+    for whole in (8, 2, 0):  # all in one piece, one of them, none
+        monkeypatch.setattr(fitting, "WHOLE", whole)
+        found.append(fits(spark, rows, ks=[1, 2, 3], maxit=6, restarts=2))
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        for key, r in found[0].items():
+            assert r["iterations"] == other[key]["iterations"] and all(abs(r[c] - other[key][c]) < 1e-6 * (1 + abs(r[c])) for c in ("a", "b", "sd", "loglik"))
+
+
+def test_a_short_series_takes_no_round_over_the_cluster(spark, data, monkeypatch):
+    def never(*_):
+        raise AssertionError("a series of one piece was cut into chunks")
+
+    monkeypatch.setattr(fitting.passes, "pieces", never)
+    assert {key[0] for key in fits(spark, data["a"], ks=[2], maxit=3, restarts=1)} == {"a"}

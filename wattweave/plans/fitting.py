@@ -10,7 +10,12 @@ needs more than a chunk's rows at a time, or two vectors and a matrix for each
 chunk of a series. Fits that have ended leave the rounds. The table of models is
 written at every round, so a lost executor costs one round at most.
 
-Helpers take numpy batches: many chunks, or fits, of one size at once.
+A series of up to ``WHOLE`` chunks needs no such bounds: it is one row, and the rounds
+of its fits run where it lies (:func:`_settled`), with the same sums and the same
+step for the parameters. Rounds over the cluster are for longer series alone.
+
+Helpers take numpy batches: many chunks, or fits, of one size at once; arrays have time
+first and the batch last.
 """
 
 from __future__ import annotations
@@ -20,15 +25,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattweave.plans import passes
-from wattweave.plans.passes import log_density, moves
+from wattweave.plans.passes import log_density, moves  # noqa: F401
 from wattweave.storage import cut_lineage
 
 #: Rows of a chunk.
 CHUNK = 512
+#: Chunks of a series that is fitted in one piece.
+WHOLE = 8
+#: Moves of a batch of whole series, fits x rows x states x states, at most.
+CELLS = 1 << 21
 _FIT = ["uid", "k", "run"]
 #: What a fit carries through a round.
 _HELD = ["par", "xm", "xs", "ym", "chunks", "last", "iterations"]
@@ -46,45 +55,85 @@ def _unpacked(par: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
 
 
 class _Chunks:
-    """Chunks of one size of model, padded to one length; z and v are standardised covariate and centred observation."""
+    """Chunks of one size of model, padded to one length, time x chunks; z and v are standardised covariate and centred observation."""
 
     def __init__(self, part: pd.DataFrame):
         lengths = part["x"].map(len).to_numpy()
-        shape = (len(part), int(lengths.max()))
+        shape = (int(lengths.max()), len(part))
         x, y = np.zeros(shape), np.full(shape, np.nan)
         for i, (xs, ys) in enumerate(zip(part["x"], part["y"])):
-            x[i, : len(xs)], y[i, : len(ys)] = xs, ys
-        at = np.arange(shape[1])
-        self.rows = at < lengths[:, None]
-        self.leaves = self.rows & ~(part["ends"].to_numpy(bool)[:, None] & (at == lengths[:, None] - 1))
-        column = lambda name: part[name].to_numpy(float)[:, None]
+            x[: len(xs), i], y[: len(ys), i] = xs, ys
+        at = np.arange(shape[0])[:, None]
+        self.rows = at < lengths
+        self.leaves = self.rows & ~(part["ends"].to_numpy(bool) & (at == lengths - 1))
+        column = lambda name: part[name].to_numpy(float)
         self.z = (x - column("xm")) / column("xs")
         self.v = y - column("ym")
 
+    def only(self, keep: np.ndarray) -> _Chunks:
+        out = object.__new__(_Chunks)
+        for name, value in vars(self).items():
+            setattr(out, name, np.ascontiguousarray(value[:, keep]))
+        return out
+
     def densities(self, par: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Densities over the largest of a row, its logarithm, and moves; where nothing moves, the unit matrix."""
+        """Densities (time, state, chunk) over the largest of a row, its logarithm, and moves (time, from, to, chunk); where nothing moves, the unit matrix."""
         beta, sd, _, b0, b1 = _unpacked(par, k)
-        logs = log_density(self.v, self.z, beta, sd)
-        top = logs.max(axis=-1)
-        return np.exp(logs - top[..., None]), top, np.where(self.leaves[..., None, None], moves(self.z, b0, b1), np.eye(k))
+        level, slope, sd = beta[..., 0].T, beta[..., 1].T, sd.T
+        logs = (self.v[:, None] - level - self.z[:, None] * slope) / sd
+        logs = -0.5 * logs * logs - (np.log(sd) + 0.5 * np.log(2 * np.pi))
+        logs[np.broadcast_to(np.isnan(self.v)[:, None], logs.shape)] = 0.0
+        top = logs.max(axis=1)
+        logits = b0.transpose(1, 2, 0) + b1.transpose(1, 2, 0) * self.z[:, None, None]
+        logits -= logits.max(axis=2, keepdims=True)
+        a = np.exp(logits, out=logits)
+        a /= a.sum(axis=2, keepdims=True)
+        for i in range(k):
+            for j in range(k):
+                a[:, i, j][~self.leaves] = float(i == j)
+        return np.exp(logs - top[:, None]), top, a
 
     def sums(self, gamma: np.ndarray, first: np.ndarray, xi: np.ndarray | None = None, a: np.ndarray | None = None) -> np.ndarray:
         """A row for each chunk: weighted moments by state, shares at the start, slope and curvature of the logits of moves."""
-        n, _, k = gamma.shape
+        _, k, n = gamma.shape
         seen = ~np.isnan(self.v)
         z, v = self.z, np.where(seen, self.v, 0.0)
-        moments = np.stack([np.ones_like(z), z, z * z, v, z * v, v * v], axis=-1)
-        resp = np.einsum("btk,btm->bkm", gamma * seen[..., None], moments)
+        resp = np.stack([np.einsum("tn,tkn->nk", m, gamma) for m in (seen.astype(float), z * seen, z * z * seen, v, z * v, v * v)], axis=-1)
         if xi is None:
             g, h = np.zeros((n, 2 * k * (k - 1))), np.zeros((n, 3 * k * (k - 1) ** 2))
         else:
-            w, p = xi.sum(axis=-1), a[..., 1:]
-            g = np.einsum("btm,btiu->bmiu", moments[..., :2], xi[..., 1:] - w[..., None] * p)
-            each = np.einsum("btm,bti,btiu->bmiu", moments[..., :3], w, p, optimize=True)
-            both = np.einsum("btm,bti,btiu,btiv->bmiuv", moments[..., :3], w, p, p, optimize=True)
-            h = each[..., None] * np.eye(k - 1) - both
+            own = self.leaves.astype(float)
+            powers = (own, own * z, own * z * z)
+            p, h = a[:, :, 1:], np.zeros((n, 3, k, k - 1, k - 1))
+            moved = xi.sum(axis=2)[:, :, None] * p
+            g = np.stack([np.einsum("tn,tiun->niu", m, xi[:, :, 1:] - moved) for m in powers[:2]], axis=1)
+            for u in range(k - 1):
+                for w in range(u + 1):
+                    bend = moved[:, :, u] * (float(u == w) - p[:, :, w])
+                    for at, m in enumerate(powers):
+                        h[:, at, :, u, w] = h[:, at, :, w, u] = np.einsum("tn,tin->ni", m, bend)
         return np.concatenate([resp.reshape(n, -1), first, g.reshape(n, -1), h.reshape(n, -1)], axis=1)
 
+    def swept(self, par: np.ndarray, k: int, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Shares of states, shares of moves, the moves, and the log-likelihood of the rows, given shares ``u`` before a chunk and weights ``w`` of what follows it."""
+        b, top, a = self.densities(par, k)
+        u, w = np.ascontiguousarray(u.T), np.ascontiguousarray(w.T)
+        alpha, beta, ahead, scale = np.empty_like(b), np.empty_like(b), np.empty_like(b), np.empty_like(top)
+        for t in range(len(b)):
+            row = u * b[t]
+            scale[t] = np.maximum(row.sum(axis=0), 1e-300)
+            alpha[t] = row / scale[t]
+            u = (alpha[t][:, None] * a[t]).sum(axis=0)
+        for t in reversed(range(len(b))):
+            ahead[t] = w
+            beta[t] = (a[t] * w).sum(axis=1)
+            w = b[t] * beta[t]
+            w = w / np.maximum(w.max(axis=0), 1e-300)
+        alpha /= np.maximum((alpha * beta).sum(axis=1), 1e-300)[:, None]  # the same for states and moves, as beta sums moves times what follows
+        gamma = alpha * beta
+        xi = alpha[:, :, None] * a * ahead[:, None]
+        return gamma, xi, a, ((np.log(scale) + top) * self.rows).sum(axis=0)
+
 
 def _n_sums(k: int) -> int:
     return 7 * k + 2 * k * (k - 1) + 3 * k * (k - 1) ** 2
@@ -106,30 +155,64 @@ def _by_size(use: Callable[[pd.DataFrame, int], pd.DataFrame]) -> Callable[[Iter
     return run
 
 
-def _started(part: pd.DataFrame, k: int, seed: int) -> pd.DataFrame:
-    """Sums where states are slices of the observations by level, with noise, so that starts differ."""
-    c, first = _Chunks(part), np.zeros((len(part), k))
-    gamma = np.zeros((*c.z.shape, k))
+def _start_sums(c: _Chunks, part: pd.DataFrame, k: int, seed: int, size: int) -> np.ndarray:
+    """Sums where states are slices of the observations by level, with noise, so that starts differ; noise is drawn by chunk, of ``size`` rows, of a series."""
+    first, gamma = np.zeros((len(part), k)), np.zeros((len(c.z), k, len(part)))
     for i, r in enumerate(part.itertuples()):
-        rng = np.random.default_rng([seed, zlib.crc32(f"{r.uid}/{k}/{r.chunk}".encode()), r.run])
-        noisy = np.where(np.isnan(c.v[i]), 0.0, c.v[i]) + rng.normal(0, 0.3 * r.sy, c.z.shape[1])
         cuts = np.interp(np.arange(1, k) / k, np.linspace(0, 1, len(r.levels)), r.levels) - r.ym
-        gamma[i] = 0.2 * rng.dirichlet(np.ones(k), c.z.shape[1]) + 0.8 * np.eye(k)[np.searchsorted(cuts, noisy)]
+        for at in range(0, len(r.x), size):
+            rng, end = np.random.default_rng([seed, zlib.crc32(f"{r.uid}/{k}/{r.chunk + at // size}".encode()), r.run]), min(at + size, len(r.x))
+            v = c.v[at:end, i]
+            noisy = np.where(np.isnan(v), 0.0, v) + rng.normal(0, 0.3 * r.sy, size)[: end - at]
+            gamma[at:end, :, i] = 0.2 * rng.dirichlet(np.ones(k), size)[: end - at] + 0.8 * np.eye(k)[np.searchsorted(cuts, noisy)]
         first[i] = 1 / k if r.chunk == 0 else 0.0
-    return part[_FIT].assign(s=list(c.sums(gamma * c.rows[..., None], first)))
+    return c.sums(gamma, first)
+
+
+def _started(part: pd.DataFrame, k: int, seed: int, size: int) -> pd.DataFrame:
+    return part[_FIT].assign(s=list(_start_sums(_Chunks(part), part, k, seed, size)))
+
+
+def _settled(part: pd.DataFrame, k: int, maxit: int, tol: float, seed: int, size: int) -> pd.DataFrame:
+    """Fits of whole series, as they stand when their last round is over."""
+    c = _Chunks(part)
+    held = part[[*_FIT, "xm", "xs", "ym"]].assign(chunks=1, last=np.nan, iterations=0, par=[np.zeros(4 * k + 2 * k * k)] * len(part))
+    now = _improved(held.assign(s=list(_start_sums(c, part, k, seed, size)), seen=np.nan), k, maxit, tol)
+    over = []
+    while True:
+        done = now["done"].to_numpy(bool)
+        over.append(now[done])
+        if done.all():
+            return pd.concat(over)
+        if done.any():
+            now, c = now[~done], c.only(~done)
+        par = _matrix(now, "par")
+        gamma, xi, a, seen = c.swept(par, k, _unpacked(par, k)[2], np.ones((len(now), k)))
+        now = _improved(now.assign(s=list(c.sums(gamma, gamma[0].T, xi, a)), seen=seen), k, maxit, tol)
+
+
+def _asked(batches: Iterator[pd.DataFrame], restarts: int, maxit: int, tol: float, seed: int, size: int) -> Iterator[pd.DataFrame]:
+    """Of whole series with the sizes ``ks`` asked of each: all their fits, batch by batch."""
+    for pdf in batches:
+        pdf = pdf.assign(chunk=0, ends=True).explode("ks").rename(columns={"ks": "k"})
+        for k, own in pdf.groupby("k"):
+            runs = own.assign(run=[range(restarts if k > 1 else 1)] * len(own)).explode("run")
+            most = max(1, CELLS // (int(own["x"].map(len).max()) * k * k))
+            for at in range(0, len(runs), most):
+                yield _settled(runs.iloc[at : at + most], int(k), maxit, tol, seed, size)
 
 
 def _folded(part: pd.DataFrame, k: int) -> pd.DataFrame:
     """What each chunk does to a vector of states: rows that sum to 1, and the logarithms of their scales."""
     c = _Chunks(part)
     b, top, a = c.densities(_matrix(part, "par"), k)
-    v, logs = np.broadcast_to(np.eye(k), (len(part), k, k)), np.zeros((len(part), k))
-    for t in range(b.shape[1]):
-        v = (v * b[:, t, None, :]) @ a[:, t]
-        scale = np.maximum(v.sum(axis=-1), 1e-300)
-        v, logs = v / scale[..., None], logs + np.log(scale)
-    logs = logs + (top * c.rows).sum(axis=1)[:, None]
-    return part[[*_FIT, *_HELD, "chunk"]].assign(scale=list(logs), v=list(v.reshape(len(part), -1)))
+    v, logs = np.repeat(np.eye(k)[..., None], len(part), axis=2), np.zeros((k, len(part)))
+    for t in range(len(b)):
+        v = ((v * b[t])[:, :, None] * a[t]).sum(axis=1)
+        scale = np.maximum(v.sum(axis=1), 1e-300)
+        v, logs = v / scale[:, None], logs + np.log(scale)
+    logs = logs + (top * c.rows).sum(axis=0)
+    return part[[*_FIT, *_HELD, "chunk"]].assign(scale=list(logs.T), v=list(v.reshape(k * k, -1).T))
 
 
 def _bounded(part: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -156,24 +239,9 @@ def _bounded(part: pd.DataFrame, k: int) -> pd.DataFrame:
 def _expected(part: pd.DataFrame, k: int) -> pd.DataFrame:
     """Expected sums of each chunk, given what comes before and after it."""
     c = _Chunks(part)
-    b, _, a = c.densities(_matrix(part, "par"), k)
-    u, w = _matrix(part, "u"), _matrix(part, "w")
-    alpha, beta, ahead = np.empty_like(b), np.empty_like(b), np.empty_like(b)
-    for t in range(b.shape[1]):
-        row = u * b[:, t]
-        alpha[:, t] = row / np.maximum(row.sum(axis=-1, keepdims=True), 1e-300)
-        u = (alpha[:, t, None, :] @ a[:, t])[:, 0]
-    for t in reversed(range(b.shape[1])):
-        ahead[:, t] = w
-        beta[:, t] = (a[:, t] @ w[..., None])[..., 0]
-        w = b[:, t] * beta[:, t]
-        w = w / np.maximum(w.max(axis=-1, keepdims=True), 1e-300)
-    gamma = alpha * beta
-    gamma = gamma / np.maximum(gamma.sum(axis=-1, keepdims=True), 1e-300)
-    xi = alpha[..., None] * a * ahead[..., None, :]
-    xi = xi / np.maximum(xi.sum(axis=(-2, -1), keepdims=True), 1e-300) * c.leaves[..., None, None]
-    first = gamma[:, 0] * (part["chunk"].to_numpy() == 0)[:, None]
-    return part[[*_FIT, *_HELD, "seen"]].assign(s=list(c.sums(gamma * c.rows[..., None], first, xi, a)))
+    gamma, xi, a, _ = c.swept(_matrix(part, "par"), k, _matrix(part, "u"), _matrix(part, "w"))
+    first = gamma[0].T * (part["chunk"].to_numpy() == 0)[:, None]
+    return part[[*_FIT, *_HELD, "seen"]].assign(s=list(c.sums(gamma, first, xi, a)))
 
 
 def _improved(part: pd.DataFrame, k: int, maxit: int, tol: float) -> pd.DataFrame:
@@ -225,19 +293,51 @@ def fit(
     df: DataFrame, sizes: DataFrame, k_max: int, obs: str, t: str, key: str, ts: str, schema: str, maxit: int, tol: float, restarts: int, seed: int
 ) -> DataFrame:
     """The best fit of each (uid, k) of ``sizes``, as a long table; ``k_max`` is the largest k there. A random start is one only for k > 1."""
-    pieces = passes.pieces(df, obs, t, key, ts, CHUNK)
+    seen = F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double")) & F.col(key).isNotNull()
+    rows = cut_lineage(df.where(seen).select(F.col(key).alias("uid"), F.col(ts).alias("ts"), F.col(obs).cast("double").alias("y"), F.col(t).cast("double").alias("x")))
+    long = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE * CHUNK).select("uid")
+    any_long = not long.isEmpty()
+    models = _whole(rows.join(long, "uid", "left_anti") if any_long else rows, sizes, maxit, tol, restarts, seed)
+    if any_long:
+        models = models.unionByName(_spread(rows.join(long, "uid", "left_semi"), sizes, k_max, maxit, tol, restarts, seed))
+    best = models.groupBy("uid", "k").agg(F.max_by(F.struct("par", "xm", "xs", "ym", "loglik", "iterations"), F.struct("loglik", -F.col("run"))).alias("m"))
+    return best.select("uid", "k", "m.*").mapInPandas(_by_size(_fit_rows), schema.format(uid=dict(rows.dtypes)["uid"]))
+
+
+def _told(y: Column, x: Column) -> list[Column]:
+    """What starts and scales need of a series."""
+    y = F.when(~F.isnan(y), y)
+    return [
+        F.count(y).alias("n"), F.avg(y).alias("ym"), F.stddev_pop(y).alias("sy"), F.avg(x).alias("xm"),
+        F.greatest(F.stddev_pop(x), F.lit(1e-9)).alias("xs"), F.percentile_approx(y, [i / 100 for i in range(101)]).alias("levels"),
+    ]
+
+
+def _whole(rows: DataFrame, sizes: DataFrame, maxit: int, tol: float, restarts: int, seed: int) -> DataFrame:
+    """The ended fits of series of up to ``WHOLE`` chunks, each series with all the sizes asked of it in one row."""
+    series = rows.groupBy("uid").agg(*_told(F.col("y"), F.col("x")), F.array_sort(F.collect_list(F.struct("ts", "x", "y"))).alias("_r"))
+    fits = sizes.groupBy("uid").agg(F.collect_set(F.col("k").cast("int")).alias("ks")).join(series.where("n > 0"), "uid")
+    fits = fits.withColumn("ks", F.filter("ks", lambda k: F.col("n") >= 10 * k)).where(F.size("ks") > 0)
+    of = lambda name: F.transform("_r", lambda r: r[name]).alias(name)
+    stored = cut_lineage(fits.select("uid", "ks", "xm", "xs", "ym", "sy", "levels", of("y"), of("x")))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, stored.count() // 256)
+    state, size = _STATE.format(uid=dict(rows.dtypes)["uid"]), CHUNK
+    return cut_lineage(stored.repartition(tasks).mapInPandas(lambda batches: _asked(batches, restarts, maxit, tol, seed, size), state))
+
+
+def _spread(rows: DataFrame, sizes: DataFrame, k_max: int, maxit: int, tol: float, restarts: int, seed: int) -> DataFrame:
+    """The ended fits of longer series, in rounds over the cluster."""
+    pieces = passes.pieces(rows, "y", "x", "uid", "ts", CHUNK)
     chunks = passes.dealt(pieces.select("uid", "chunk", F.transform("rows", lambda r: r["y"]).alias("y"), F.transform("rows", lambda r: r["x"]).alias("x"), F.exists("rows", lambda r: r["last"]).alias("ends")))
-    cell = chunks.select("uid", F.explode(F.arrays_zip("y", "x")).alias("r")).select("uid", F.when(~F.isnan("r.y"), F.col("r.y")).alias("y"), F.col("r.x").alias("x"))
+    cell = chunks.select("uid", F.explode(F.arrays_zip("y", "x")).alias("r")).select("uid", "r.y", "r.x")
     spans = chunks.groupBy("uid").agg((F.max("chunk") + 1).alias("chunks"))
-    told = cell.groupBy("uid").agg(
-        F.count("y").alias("n"), F.avg("y").alias("ym"), F.stddev_pop("y").alias("sy"), F.avg("x").alias("xm"),
-        F.greatest(F.stddev_pop("x"), F.lit(1e-9)).alias("xs"), F.percentile_approx("y", [i / 100 for i in range(101)]).alias("levels"),
-    )
+    told = cell.groupBy("uid").agg(*_told(F.col("y"), F.col("x")))
     runs = F.explode(F.sequence(F.lit(0), F.when(F.col("k") > 1, F.lit(restarts - 1)).otherwise(F.lit(0))))
     known = told.where("n > 0").join(spans, "uid")
     asked = cut_lineage(sizes.select("uid", F.col("k").cast("int").alias("k")).distinct().join(known, "uid").where("n >= 10 * k").select("*", runs.alias("run")))
     uid = dict(chunks.dtypes)["uid"]
     fit_of, state = f"uid {uid}, k int, run int", _STATE.format(uid=uid)
+    size = CHUNK
     sums = [F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0.0)) for i in range(_n_sums(k_max))]
 
     held_on = [F.any_value(name).alias(name) for name in _HELD]
@@ -252,7 +352,7 @@ def fit(
         each = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         return chunks.join(each, ["uid", "chunk"])
 
-    begun = placed(asked).mapInPandas(_by_size(lambda part, k: _started(part, k, seed)), f"{fit_of}, s array<double>").groupBy(*_FIT).agg(F.array(*sums).alias("s"))
+    begun = placed(asked).mapInPandas(_by_size(lambda part, k: _started(part, k, seed, size)), f"{fit_of}, s array<double>").groupBy(*_FIT).agg(F.array(*sums).alias("s"))
     held = F.array_repeat(F.lit(0.0), 4 * F.col("k") + 2 * F.col("k") * F.col("k")).alias("par")
     blank = asked.select(*_FIT, held, "xm", "xs", "ym", "chunks", F.lit(None).cast("double").alias("last"), F.lit(None).cast("double").alias("seen"), F.lit(0).alias("iterations"))
     models = cut_lineage(improve(begun.join(blank, _FIT)))
@@ -264,6 +364,4 @@ def fit(
         parts = chunks.join(F.broadcast(bounds) if few else bounds, ["uid", "chunk"]).mapInPandas(_by_size(_expected), f"{fit_of}, {_HELD_TYPES}, seen double, s array<double>")
         gathered = parts.groupBy(*_FIT).agg(*held_on, F.max("seen").alias("seen"), F.array(*sums).alias("s"))
         models = cut_lineage(improve(gathered).unionByName(models.where("done")))
-    best = models.groupBy("uid", "k").agg(F.max_by(F.struct("par", "xm", "xs", "ym", "loglik", "iterations"), F.struct("loglik", -F.col("run"))).alias("m"))
-    return best.select("uid", "k", "m.*").mapInPandas(_by_size(_fit_rows), schema.format(uid=uid))
-
+    return models
