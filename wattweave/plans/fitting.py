@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,11 @@ def _unpacked(par: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     return np.stack([a, b], axis=-1), sd, pi, b0.reshape(square), b1.reshape(square)
 
 
+def _over(op: np.ufunc, m: np.ndarray, axis: int) -> np.ndarray:
+    """``op`` along an axis of a few states, slice by slice: numpy's own reduction is slow on so short an axis."""
+    return reduce(op, m.swapaxes(0, axis) if axis < 2 else np.moveaxis(m, axis, 0))
+
+
 class _Chunks:
     """Chunks of one size of model, padded to one length, time x chunks; z and v are standardised covariate and centred observation."""
 
@@ -83,14 +89,13 @@ class _Chunks:
         logs = (self.v[:, None] - level - self.z[:, None] * slope) / sd
         logs = -0.5 * logs * logs - (np.log(sd) + 0.5 * np.log(2 * np.pi))
         logs[np.broadcast_to(np.isnan(self.v)[:, None], logs.shape)] = 0.0
-        top = logs.max(axis=1)
+        top = _over(np.maximum, logs, 1)
         logits = b0.transpose(1, 2, 0) + b1.transpose(1, 2, 0) * self.z[:, None, None]
-        logits -= logits.max(axis=2, keepdims=True)
+        logits -= _over(np.maximum, logits, 2)[:, :, None]
         a = np.exp(logits, out=logits)
-        a /= a.sum(axis=2, keepdims=True)
-        for i in range(k):
-            for j in range(k):
-                a[:, i, j][~self.leaves] = float(i == j)
+        a /= _over(np.add, a, 2)[:, :, None]
+        for t in np.flatnonzero(~self.leaves.all(axis=1)):
+            a[t][:, :, ~self.leaves[t]] = np.eye(k)[..., None]
         return np.exp(logs - top[:, None]), top, a
 
     def sums(self, gamma: np.ndarray, first: np.ndarray, xi: np.ndarray | None = None, a: np.ndarray | None = None) -> np.ndarray:
@@ -105,7 +110,7 @@ class _Chunks:
             own = self.leaves.astype(float)
             powers = (own, own * z, own * z * z)
             p, h = a[:, :, 1:], np.zeros((n, 3, k, k - 1, k - 1))
-            moved = xi.sum(axis=2)[:, :, None] * p
+            moved = _over(np.add, xi, 2)[:, :, None] * p
             g = np.stack([np.einsum("tn,tiun->niu", m, xi[:, :, 1:] - moved) for m in powers[:2]], axis=1)
             for u in range(k - 1):
                 for w in range(u + 1):
@@ -121,15 +126,15 @@ class _Chunks:
         alpha, beta, ahead, scale = np.empty_like(b), np.empty_like(b), np.empty_like(b), np.empty_like(top)
         for t in range(len(b)):
             row = u * b[t]
-            scale[t] = np.maximum(row.sum(axis=0), 1e-300)
+            scale[t] = np.maximum(_over(np.add, row, 0), 1e-300)
             alpha[t] = row / scale[t]
-            u = (alpha[t][:, None] * a[t]).sum(axis=0)
+            u = _over(np.add, alpha[t][:, None] * a[t], 0)
         for t in reversed(range(len(b))):
             ahead[t] = w
-            beta[t] = (a[t] * w).sum(axis=1)
+            beta[t] = _over(np.add, a[t] * w, 1)
             w = b[t] * beta[t]
-            w = w / np.maximum(w.max(axis=0), 1e-300)
-        alpha /= np.maximum((alpha * beta).sum(axis=1), 1e-300)[:, None]  # the same for states and moves, as beta sums moves times what follows
+            w = w / np.maximum(_over(np.maximum, w, 0), 1e-300)
+        alpha /= np.maximum(_over(np.add, alpha * beta, 1), 1e-300)[:, None]  # the same for states and moves, as beta sums moves times what follows
         gamma = alpha * beta
         xi = alpha[:, :, None] * a * ahead[:, None]
         return gamma, xi, a, ((np.log(scale) + top) * self.rows).sum(axis=0)
