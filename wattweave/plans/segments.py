@@ -123,6 +123,18 @@ def _information(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cluster": cluster, "i": i.ravel(), "j": j.ravel() - 1, "v": m.ravel()})
 
 
+def covariances(days: DataFrame, key: str = "uid", vector: str = "v") -> DataFrame:
+    """uid, w: the population covariance between the places of a user's vectors, its rows one after the other; a user's days are one row on the way."""
+    kind = dict(days.dtypes)[key]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            gaps = [x - x.mean(axis=0) for x in (np.stack(v).astype(float) for v in pdf["_v"])]
+            yield pd.DataFrame({key: pdf[key], "w": [(x.T @ x / len(x)).ravel() for x in gaps]})
+
+    return days.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(vector).alias("_v")).mapInPandas(work, f"{key} {kind}, w array<double>")
+
+
 def kerror_cluster(
     df: DataFrame, k: int, iterations: int = 20, key: str = "id", vector: str = "v", error: str = "s", full: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -146,13 +158,15 @@ def kerror_cluster(
     def assigned() -> DataFrame:
         if full:
             model = [c[:] for c in centres]
-            return points.mapInPandas(lambda batches: _assign(model, batches), f"{key} {kind}, cluster int, distance double, x array<double>, s array<double>")
+            told = [key, "cluster", "distance"]
+            return points.mapInPandas(lambda batches: (b[told] for b in _assign(model, batches)), f"{key} {kind}, cluster int, distance double")
         best = _with_models(points, [centres]).withColumn("_b", _nearest(F.get("_m", F.lit(0)), F.col("x"), F.col("s")))
         return best.select(key, F.col("_b.cluster").alias("cluster"), F.col("_b.d").alias("distance"), "x", "s")
 
     def move(rows: DataFrame) -> None:
         if full:
-            sums = rows.select("cluster", "x", "s").mapInPandas(_information, "cluster int, i int, j int, v double").groupBy("cluster", "i", "j").agg(F.sum("v").alias("v")).collect()
+            model = [c[:] for c in centres]
+            sums = points.mapInPandas(lambda batches: _information(_assign(model, batches)), "cluster int, i int, j int, v double").groupBy("cluster", "i", "j").agg(F.sum("v").alias("v")).collect()
             for c in {r["cluster"] for r in sums}:
                 own = {(r["i"], r["j"]): r["v"] for r in sums if r["cluster"] == c}
                 p = len(centres[c])
@@ -167,8 +181,9 @@ def kerror_cluster(
 
     objective, before = None, None
     for _ in range(iterations):
-        now = cut_lineage(assigned())
-        move(now)
+        rows = assigned()
+        now = cut_lineage(rows.select(key, "cluster", "distance"))  # points and errors were stored once and are read again
+        move(rows)
         total = now.agg(F.sum("distance"), F.count(F.lit(1))).first()
         moved = total[1] if before is None else now.join(before.select(key, F.col("cluster").alias("_was")), key).where("cluster <> _was").count()
         fall = None if objective is None or not objective else (objective - (total[0] or 0.0)) / objective
