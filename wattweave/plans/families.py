@@ -16,6 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattweave.spread import spare
+from wattweave.storage import cut_lineage
+
 
 @dataclass(frozen=True)
 class Poisson:
@@ -313,15 +316,17 @@ def fit_families(df: DataFrame, k: int, responses: Sequence, iterations: int = 2
     cuts = rows.agg(F.percentile_approx(lead.cast("double"), [(j + 1) / k for j in range(k)]).alias("q")).first()["q"]
     if cuts is None:
         return df.sparkSession.createDataFrame([], schema)
+    (m,) = spare(rows, "m")
+    rows = cut_lineage(rows.groupBy(*names).agg(F.count(F.lit(1)).alias(m)))  # rows that are alike count as one, m times; rounds read this table
     slot = sum(((lead > c).cast("int") for c in cuts[:-1]), F.lit(0))
     shares = [F.when(slot == j, 0.8 if k > 1 else 1.0).otherwise(0.2 / max(k - 1, 1)) for j in range(k)]
     moving = any(isinstance(r, REGRESSIONS) for r in responses)
     gained, last, states, before, backs = F.lit(None).cast("double"), None, [], [], 0
     of = lambda r, j, i: r.sums(states[j][1][i] if states else None) if isinstance(r, REGRESSIONS) else r.sums()
     for _ in range(iterations):
-        sums = [F.sum(w).alias(f"n{j}") for j, w in enumerate(shares)] + [F.sum(gained).alias("loglik")]
+        sums = [F.sum(w * F.col(m)).alias(f"n{j}") for j, w in enumerate(shares)] + [F.sum(gained * F.col(m)).alias("loglik")]
         each = {(j, i): of(r, j, i) for j in range(k) for i, r in enumerate(responses)}
-        sums += [F.sum(shares[j] * e).alias(f"s{j} {i} {n}") for (j, i), own in each.items() for n, e in own.items()]
+        sums += [F.sum(shares[j] * F.col(m) * e).alias(f"s{j} {i} {n}") for (j, i), own in each.items() for n, e in own.items()]
         told = rows.agg(*sums).first().asDict()
         rise = None if last is None else told["loglik"] - last
         if rise is not None and rise < -1e-9 * abs(last) and moving and before and backs < 10:
@@ -335,7 +340,7 @@ def fit_families(df: DataFrame, k: int, responses: Sequence, iterations: int = 2
             for j in range(k):
                 n, own = max(told[f"n{j}"], 1e-9), []
                 for i, r in enumerate(responses):
-                    s = {m: told[f"s{j} {i} {m}"] for m in each[j, i]}
+                    s = {name: told[f"s{j} {i} {name}"] for name in each[j, i]}
                     own.append(r.update(n, s, before[j][1][i] if before else None) if isinstance(r, REGRESSIONS) else r.update(n, s))
                 states.append((n / total, own))
         logs = [sum((r.log_density(p) for r, p in zip(responses, own, strict=True)), F.lit(math.log(max(w, 1e-300)))) for w, own in states]
