@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattweave.functions.vectors import vector_sum
-from wattweave.spread import ordered_rank
+from wattweave.spread import ordered_rank, running_sum
 from wattweave.storage import cut_lineage
 
 
@@ -36,35 +38,51 @@ def truth_response_curve(df: DataFrame, value: str, t: str, low: int, high: int,
     )
 
 
-def _kth_distance(points: Column, x: Column, k: Column) -> Column:
-    """The distance from ``x`` within which ``k`` rows lie; ``points`` is array<struct<x, n, ...>>."""
-    far = F.array_sort(F.transform(points, lambda p: F.struct(F.abs(p["x"] - x).alias("d"), p["n"].alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("d"))
-    step = lambda acc, p: F.when(acc["n"] < k, F.struct((acc["n"] + p["n"]).alias("n"), p["d"].alias("d"))).otherwise(acc)
-    return F.aggregate(far, start, step, lambda acc: acc["d"])
+def _local_lines(x: np.ndarray, n: np.ndarray, w: np.ndarray, wy: np.ndarray, k: int, block: int = 256) -> np.ndarray:
+    """The tricube-weighted line around each of a user's points, at the point; its level alone where the points hardly spread; NaN without weight.
 
-
-def _local_line(points: Column, at: Column, least: Column) -> Column:
-    """The tricube-weighted line around a point, at the point; its level alone where the points hardly spread."""
-
-    def near(p: Column) -> Column:
-        d = F.abs(p["x"] - at["x"])
-        kernel = F.when(d <= 0.001 * at["h"], F.lit(1.0)).when(d <= 0.999 * at["h"], F.pow(1 - F.pow(d / at["h"], 3), 3)).otherwise(F.lit(0.0))
-        return F.struct((p["x"] - at["x"]).alias("z"), (kernel * p["w"]).alias("w"), (kernel * p["wy"]).alias("wy"))
-
-    total = lambda q, f: vector_sum(F.transform(q, f))
-    sums = F.transform(F.array(F.transform(points, near)), lambda q: F.struct(
-        total(q, lambda p: p["w"]).alias("s0"), total(q, lambda p: p["w"] * p["z"]).alias("s1"), total(q, lambda p: p["w"] * p["z"] * p["z"]).alias("s2"),
-        total(q, lambda p: p["wy"]).alias("t0"), total(q, lambda p: p["wy"] * p["z"]).alias("t1"),
-    ))
-
-    def level(s: Column) -> Column:
-        mean, y = s["s1"] / s["s0"], s["t0"] / s["s0"]
-        spread = s["s2"] / s["s0"] - mean * mean
-        tilted = F.when(F.sqrt(F.greatest(spread, F.lit(0.0))) > least, y - mean / spread * (s["t1"] / s["s0"] - mean * y)).otherwise(y)
-        return F.when(s["s0"] > 0, tilted)
-
-    return F.element_at(F.transform(sums, level), 1)
+    A neighbourhood reaches as far as ``k`` rows lie. ``block`` points meet all others at a time.
+    """
+    least, told = 0.001 * (x[-1] - x[0]), np.empty(len(x))
+    for at in range(0, len(x), block):
+        z = x[None, :] - x[at : at + block, None]
+        d = np.abs(z)
+        order = np.argsort(d, axis=1, kind="stable")
+        last = np.minimum((np.cumsum(n[order], axis=1) < k).sum(axis=1), len(x) - 1)
+        h = np.take_along_axis(d, np.take_along_axis(order, last[:, None], axis=1), axis=1)
+        u = np.divide(d, h, out=np.zeros_like(d), where=h > 0)
+        kernel = np.where(d <= 0.001 * h, 1.0, np.where(d <= 0.999 * h, (1 - u**3) ** 3, 0.0))
+        kw, kwy = kernel * w, kernel * wy
+        s0 = kw.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean, y = (kw * z).sum(axis=1) / s0, kwy.sum(axis=1) / s0
+            spread = (kw * z * z).sum(axis=1) / s0 - mean * mean
+            tilted = y - mean / spread * ((kwy * z).sum(axis=1) / s0 - mean * y)
+            told[at : at + block] = np.where(s0 > 0, np.where(np.sqrt(np.maximum(spread, 0.0)) > least, tilted, y), np.nan)
+    return told
+
+
+def _by_user(batches: Iterator[pd.DataFrame], work: Callable[[Any], tuple[np.ndarray, ...]], key: str, names: Sequence[str], most: int = 1000) -> Iterator[pd.DataFrame]:
+    """The arrays that ``work`` makes of each user's row, as rows with the user's key; ``most`` users are one frame."""
+    for batch in batches:
+        for at in range(0, len(batch), most):
+            part = batch.iloc[at : at + most]
+            told = [work(user) for user in part.itertuples(index=False)]
+            each = {name: np.concatenate([t[i] for t in told]) for i, name in enumerate(names)}
+            yield pd.DataFrame({key: part.iloc[:, 0].repeat([len(t[0]) for t in told]).to_numpy(), **each})
+
+
+def _fit_user(user: Any) -> tuple[np.ndarray, np.ndarray]:
+    """x, fit of a user with sums by temperature."""
+    x = np.asarray(user.x, dtype=float)
+    return x, _local_lines(x, np.asarray(user.n), np.asarray(user.w, dtype=float), np.asarray(user.wy, dtype=float), user.k)
+
+
+def _on_lines(x: np.ndarray, fit: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The fits at ``g`` on the lines between points; NaN outside them."""
+    left, right = np.maximum(np.searchsorted(x, g, side="right") - 1, 0), np.minimum(np.searchsorted(x, g), len(x) - 1)
+    wide = np.where(left == right, 1.0, x[right] - x[left])
+    return np.where((g >= x[0]) & (g <= x[-1]), fit[left] + (fit[right] - fit[left]) * (g - x[left]) / wide, np.nan)
 
 
 def lowess(df: DataFrame, value: str, t: str, span: float = 2 / 3, rounds: int = 3, resolution: float = 1.0, key: str = "uid") -> DataFrame:
@@ -72,52 +90,51 @@ def lowess(df: DataFrame, value: str, t: str, span: float = 2 / 3, rounds: int =
 
     A neighbourhood is the nearest ``span`` of the user's rows (two at least). After each of ``rounds``
     rounds, rows get bisquare weights by their residual in units of six times the user's median
-    absolute residual, until that is next to nothing. Rows are summed by (user, temperature) before
-    the kernel, so a user is a few hundred sums in one row, however many readings; the exact median
-    comes from ranges of the order. Nulls and NaN are left out.
+    absolute residual, until that is next to nothing. Equal rows are counted and go through the rounds
+    once. Rows are summed by (user, temperature) before the kernel, which numpy puts on a user's few
+    hundred sums, however many readings; the exact median comes from ranges of the order. Nulls and
+    NaN are left out.
     """
     seen = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     x = F.round(F.col(t).cast("double") / resolution) * resolution
-    rows = cut_lineage(df.where(seen(value) & seen(t) & F.col(key).isNotNull()).select(F.col(key).alias("uid"), x.alias("x"), F.col(value).cast("double").alias("y"), F.lit(1.0).alias("r")))
-    fits = None
+    each = df.where(seen(value) & seen(t) & F.col(key).isNotNull()).select(F.col(key).alias("uid"), x.alias("x"), F.col(value).cast("double").alias("y"))
+    rows = cut_lineage(each.groupBy("uid", "x", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("r", F.lit(1.0)))
+    kind, fits = dict(rows.dtypes)["uid"], None
     for done in range(rounds + 1):
-        sums = rows.groupBy("uid", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("w"), F.sum(F.col("r") * F.col("y")).alias("wy"))
+        sums = rows.groupBy("uid", "x").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("r")).alias("w"), F.sum(F.col("c") * F.col("r") * F.col("y")).alias("wy"))
         users = sums.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("x", "n", "w", "wy"))).alias("points"), F.sum("n").alias("n"))
         k = F.greatest(F.least(F.floor(F.col("n") * span + 1e-7), F.col("n")), F.lit(2))
-        wide = users.select("uid", "points", k.alias("k"), (0.001 * (F.element_at("points", -1)["x"] - F.element_at("points", 1)["x"])).alias("least"))
-        at = wide.withColumn("at", F.transform("points", lambda p: F.struct(p["x"].alias("x"), _kth_distance(F.col("points"), p["x"], F.col("k")).alias("h"))))
-        curve = F.transform("at", lambda a: F.struct(a["x"].alias("x"), _local_line(F.col("points"), a, F.col("least")).alias("fit")))
-        told = at.select("uid", F.explode(curve).alias("c")).select("uid", "c.x", "c.fit")
+        told = users.select("uid", *[F.col("points")[c].alias(c) for c in ("x", "n", "w", "wy")], k.alias("k")).mapInPandas(lambda users: _by_user(users, _fit_user, "uid", ("x", "fit")), f"uid {kind}, x double, fit double")
         fits = cut_lineage(told if fits is None else told.join(fits.withColumnRenamed("fit", "_held"), ["uid", "x"]).select("uid", "x", F.coalesce("fit", "_held").alias("fit")))
         if done < rounds:
-            off = cut_lineage(rows.join(fits, ["uid", "x"]).select("uid", "x", "y", "r", F.abs(F.col("y") - F.col("fit")).alias("e")))
-            placed = ordered_rank(off, [F.col("e")], "_place", by=["uid"]).join(off.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.avg("e").alias("_mean")), "uid")
-            middle = (F.col("_place") == F.floor(F.col("_n") / 2) + 1) | (F.col("_place") == F.floor((F.col("_n") + 1) / 2))
-            scale = placed.where(middle).groupBy("uid").agg((6 * F.avg("e")).alias("_six"), F.first("_mean").alias("_mean"))
+            off = cut_lineage(rows.join(fits, ["uid", "x"]).select("uid", "x", "y", "c", "r", F.abs(F.col("y") - F.col("fit")).alias("e")))
+            gaps = off.groupBy("uid", "e").agg(F.sum("c").alias("c"))
+            placed = running_sum(ordered_rank(gaps, [F.col("e")], "_place", by=["uid"]), "_place", F.col("c").cast("double"), "_upto", by=["uid"])
+            sizes = off.groupBy("uid").agg(F.sum("c").alias("_n"), (F.sum(F.col("c") * F.col("e")) / F.sum("c")).alias("_mean"))
+            holds = lambda place: ((F.col("_upto") - F.col("c") < place) & (place <= F.col("_upto"))).cast("int")
+            middle = holds(F.floor(F.col("_n") / 2) + 1) + holds(F.floor((F.col("_n") + 1) / 2))
+            scale = placed.join(sizes, "uid").groupBy("uid").agg((3 * F.sum(F.when(middle > 0, middle * F.col("e")))).alias("_six"), F.first("_mean").alias("_mean"))
             u = F.col("e") / F.col("_six")
             bisquare = F.when(F.col("_six") < 1e-7 * F.col("_mean"), F.col("r")).when(F.col("e") <= 0.001 * F.col("_six"), 1.0).when(F.col("e") <= 0.999 * F.col("_six"), (1 - u * u) * (1 - u * u)).otherwise(0.0)
-            rows = cut_lineage(off.join(scale, "uid").select("uid", "x", "y", bisquare.alias("r")))
+            rows = cut_lineage(off.join(scale, "uid").select("uid", "x", "y", "c", bisquare.alias("r")))
     return fits.withColumnRenamed("uid", key)
 
 
 def robust_response_curve(df: DataFrame, value: str, t: str, low: int, high: int, span: float = 2 / 3, rounds: int = 3, key: str = "uid") -> DataFrame:
     """uid, grid, fit, slope: :func:`lowess` at each whole degree, lines between temperatures, ends held; the slope is the step from the degree before."""
     curve = lowess(df, value, t, span, rounds, key=key).where("fit IS NOT NULL")
-    users = curve.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "fit"))).alias("_c"))
-
-    def on_line(g: Column) -> Column:
-        left = F.element_at(F.filter("_c", lambda p: p["x"] <= g), -1)
-        right = F.element_at(F.filter("_c", lambda p: p["x"] >= g), 1)
-        inside = left["fit"] + F.when(right["x"] > left["x"], (right["fit"] - left["fit"]) * (g - left["x"]) / (right["x"] - left["x"])).otherwise(F.lit(0.0))
-        return F.when((g >= F.element_at("_c", 1)["x"]) & (g <= F.element_at("_c", -1)["x"]), inside)
-
-    # a step is known from the first whole degree within the data on; beyond, the nearest known one stands
-    within = lambda g: F.greatest(F.least(g, F.floor(F.element_at("_c", -1)["x"])), F.ceil(F.element_at("_c", 1)["x"]) + 1)
-    held = lambda g: F.greatest(F.least(g.cast("double"), F.floor(F.element_at("_c", -1)["x"]).cast("double")), F.ceil(F.element_at("_c", 1)["x"]).cast("double"))
-    rows = users.withColumn("grid", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    rows = rows.withColumns({"_at": held(F.col("grid")), "_to": within(F.col("grid")).cast("double")})
-    rows = rows.withColumns({"fit": on_line(F.col("_at")), "_up": on_line(F.col("_to")), "_down": on_line(F.col("_to") - 1)})
-    return rows.select(key, F.col("grid").cast("int").alias("grid"), "fit", (F.col("_up") - F.col("_down")).alias("slope"))
+    points = curve.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "fit"))).alias("_c"))
+    grid = np.arange(low, high + 1)
+
+    def along(user: Any) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, fit = np.asarray(user.x, dtype=float), np.asarray(user.fit, dtype=float)
+        first, last = np.ceil(x[0]), np.floor(x[-1])
+        # a step is known from the first whole degree within the data on; beyond, the nearest known one stands
+        to = np.maximum(np.minimum(grid, last), first + 1)
+        return grid, _on_lines(x, fit, np.maximum(np.minimum(grid, last), first)), _on_lines(x, fit, to) - _on_lines(x, fit, to - 1)
+
+    users = points.select(key, F.col("_c")["x"].alias("x"), F.col("_c")["fit"].alias("fit"))
+    return users.mapInPandas(lambda batches: _by_user(batches, along, key, ("grid", "fit", "slope")), f"{key} {dict(df.dtypes)[key]}, grid int, fit double, slope double")
 
 
 def breakpoint_response(df: DataFrame, value: str, t: str, candidates: Sequence[float], key: str = "uid") -> DataFrame:
