@@ -86,24 +86,44 @@ def similar_days(profiles: DataFrame, forecast: Column, d: int, key: str = "uid"
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", day))).where(F.col("rank") <= d)
 
 
-def acf(df: DataFrame, value: str, max_lag: int, z: float = 1.96, key: str = "uid", ts: str = "ts") -> DataFrame:
-    """uid, lag, acf (denominator n), significant (|acf| > z / sqrt n). All lags come from one ordered window and one aggregation."""
-    w = Window.partitionBy(key)
-    centred = df.where(F.col(value).isNotNull()).select(key, ts, (F.col(value) - F.avg(value).over(w)).alias("x"))
-    lagged = centred.select(key, "x", *[F.lag("x", k).over(w.orderBy(ts)).alias(f"x{k}") for k in range(1, max_lag + 1)])
-    sums = lagged.groupBy(key).agg(
-        F.sum(F.col("x") * F.col("x")).alias("c0"), F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(F.col("x") * F.col(f"x{k}")) for k in range(1, max_lag + 1)]).alias("c"),
-    )
-    told = sums.select(key, "c0", "n", F.posexplode("c").alias("lag", "s")).where("s IS NOT NULL")
-    r = F.when(F.col("c0") > 0, F.col("s") / F.col("c0"))
-    return told.select(key, (F.col("lag") + 1).alias("lag"), r.alias("acf"), (F.abs(r) > z / F.sqrt("n")).alias("significant"))
+def _lagged_sums(df: DataFrame, values: Sequence[str], max_lag: int, key: str, ts: str) -> DataFrame:
+    """key, and of the i-th value n{i}, square{i} and lags{i}: its count and sums of products about its mean, all from one order of a key's rows.
+
+    A value's rows are those where it isn't null, and a lag counts these alone. Means come from the
+    whole frame of the same order, so that a task sorts once and holds the rows of one sort.
+    """
+    names = [f"v{i}" for i in range(len(values))]
+    whole = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    any_ = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])
+    rows = df.where(any_).select(F.col(key).alias("k"), F.col(ts).alias("t"), *[F.col(v).alias(n) for n, v in zip(names, values, strict=True)])
+    centred = rows.select("k", "t", *[(F.col(n) - F.avg(n).over(whole)).alias(n) for n in names])
+    ignore = "IGNORE NULLS" if len(names) > 1 else ""  # of a single value none is null here
+    at = {(n, lag): f"{n}_{lag}" for n in names for lag in range(1, max_lag + 1)}
+    lagged = centred.select("k", *names, *[F.expr(f"lag({n}, {lag}) {ignore} OVER (PARTITION BY k ORDER BY t)").alias(a) for (n, lag), a in at.items()])
+    sums = [
+        s
+        for i, n in enumerate(names)
+        for s in (F.sum(F.col(n) * F.col(n)).alias(f"square{i}"), F.count(n).alias(f"n{i}"), F.array(*[F.sum(F.col(n) * F.col(at[n, lag])) for lag in range(1, max_lag + 1)]).alias(f"lags{i}"))
+    ]
+    return lagged.groupBy("k").agg(*sums).withColumnRenamed("k", key)
 
 
-def acf_against_model(df: DataFrame, value: str, model: str, max_lag: int, key: str = "uid", ts: str = "ts") -> DataFrame:
-    """uid, lag, acf of the value and acf_model of the model's fit, joined on the lag, and whether the first is significant."""
-    own = acf(df, value, max_lag, key=key, ts=ts)
-    return own.join(acf(df, model, max_lag, key=key, ts=ts).select(key, "lag", F.col("acf").alias("acf_model")), [key, "lag"])
+def acf(df: DataFrame, value: str, max_lag: int, z: float = 1.96, key: str = "uid", ts: str = "ts") -> DataFrame:
+    """uid, lag, acf (denominator n), significant (|acf| > z / sqrt n). All lags come from one ordered window and one aggregation."""
+    sums = _lagged_sums(df, [value], max_lag, key, ts)
+    told = sums.select(key, "square0", "n0", F.posexplode("lags0").alias("lag", "s")).where("s IS NOT NULL")
+    r = F.when(F.col("square0") > 0, F.col("s") / F.col("square0"))
+    return told.select(key, (F.col("lag") + 1).alias("lag"), r.alias("acf"), (F.abs(r) > z / F.sqrt("n0")).alias("significant"))
+
+
+def acf_against_model(df: DataFrame, value: str, model: str, max_lag: int, key: str = "uid", ts: str = "ts", z: float = 1.96) -> DataFrame:
+    """uid, lag, acf of the value and acf_model of the model's fit, and whether the first is significant: lags that both have, from one pass."""
+    sums = _lagged_sums(df.where(F.col(key).isNotNull()), [value, model], max_lag, key, ts)
+    both = F.posexplode(F.arrays_zip(F.col("lags0").alias("s"), F.col("lags1").alias("m"))).alias("lag", "both")
+    told = sums.select(key, "square0", "square1", "n0", both).where("both.s IS NOT NULL AND both.m IS NOT NULL")
+    r = F.when(F.col("square0") > 0, F.col("both.s") / F.col("square0"))
+    own = F.when(F.col("square1") > 0, F.col("both.m") / F.col("square1"))
+    return told.select(key, (F.col("lag") + 1).alias("lag"), r.alias("acf"), (F.abs(r) > z / F.sqrt("n0")).alias("significant"), own.alias("acf_model"))
 
 
 def pacf(acf_table: DataFrame, key: str = "uid") -> DataFrame:
