@@ -193,11 +193,37 @@ def kerror_cluster(
     return assigned().select(key, "cluster", "distance"), spark.createDataFrame([(i, c, e) for i, (c, e) in enumerate(zip(centres, errors, strict=True))], CENTRES)
 
 
+def _sweep_sums(models: list, batches: Iterator[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataFrame]:
+    """size, cluster, dim, a, w, d: sums over a task of x / s, 1 / s and, at dim 0, the distances to the nearest centre of each model; ``rows`` points at a time."""
+    centres = [np.array(m) for m in models]
+    sums = [np.zeros((*c.shape, 3)) for c in centres]
+    for batch in batches:
+        if not len(batch):
+            continue
+        x, s = (np.stack(batch[c].to_numpy()).astype(float) for c in ("x", "s"))
+        gone = np.isnan(x) | np.isnan(s)
+        weight, x = np.where(gone, 0.0, 1 / np.where(gone, 1.0, s)), np.where(gone, 0.0, x)
+        for at in range(0, len(x), rows):
+            own, w = x[at : at + rows], weight[at : at + rows]
+            for c, told in zip(centres, sums, strict=True):
+                gaps = own[:, None, :] - c
+                d = np.einsum("nkp,nkp,np->nk", gaps, gaps, w)
+                best = d.argmin(axis=1)
+                mine = (best == np.arange(len(c))[:, None]).astype(float)
+                told[:, :, 0] += mine @ (own * w)
+                told[:, :, 1] += mine @ w
+                told[:, 0, 2] += mine @ d[np.arange(len(own)), best]
+    for size, told in enumerate(sums):
+        cluster, dim = np.nonzero(told[:, :, 1] > 0)
+        yield pd.DataFrame({"size": size, "cluster": cluster, "dim": dim, "a": told[cluster, dim, 0], "w": told[cluster, dim, 1], "d": told[cluster, dim, 2]})
+
+
 def kerror_sweep(df: DataFrame, ks: Sequence[int], iterations: int = 20, key: str = "id", vector: str = "v", error: str = "s") -> DataFrame:
     """k, objective: the least error-scaled objective of each size, for :func:`elbow_table`.
 
     All sizes advance together, a job for each round; a size stops when its objective falls by under
     0.5 %. Starts are nested: a larger size begins with the points of a smaller one, and more.
+    Points meet the centres in numpy and a task tells its sums alone; elements that are null or NaN count nowhere.
     """
     spark = df.sparkSession
     scale = F.transform(error, lambda e: F.greatest(e.cast("double"), F.lit(1e-12)))
@@ -208,12 +234,13 @@ def kerror_sweep(df: DataFrame, ks: Sequence[int], iterations: int = 20, key: st
     for _ in range(iterations):
         if not open_:
             break
-        each = _with_models(points, [models[k] for k in open_]).select("x", "s", F.posexplode(F.transform("_m", lambda m: _nearest(m, F.col("x"), F.col("s")))).alias("size", "b"))
-        told = each.select("size", "b.cluster", "b.d", F.posexplode(F.arrays_zip("x", "s")).alias("dim", "p"))
-        sums = told.groupBy("size", "cluster", "dim").agg(F.sum(F.col("p.x") / F.col("p.s")).alias("a"), F.sum(1 / F.col("p.s")).alias("w"), F.sum(F.when(F.col("dim") == 0, F.col("d")).otherwise(0.0)).alias("d")).collect()
+        told = [models[k] for k in open_]
+        each = points.select("x", "s").mapInPandas(lambda batches, told=told: _sweep_sums(told, batches), "size int, cluster int, dim int, a double, w double, d double")
+        sums = each.groupBy("size", "cluster", "dim").agg(*[F.sum(c).alias(c) for c in ("a", "w", "d")]).collect()
         total = dict.fromkeys(open_, 0.0)
         for r in sums:  # sizes x centres x dimensions
-            models[open_[r["size"]]][r["cluster"]][r["dim"]] = r["a"] / r["w"]
+            if r["w"]:
+                models[open_[r["size"]]][r["cluster"]][r["dim"]] = r["a"] / r["w"]
             total[open_[r["size"]]] += r["d"]
         for k in list(open_):
             before = objective.get(k)
