@@ -222,6 +222,9 @@ def impute_regression(
 
     Nulls start at the column's mean; each round fits every column on the rows
     where it was observed and predicts the rest. (No random multivariate draw.)
+    Rows with equal inputs are one to a fit, with their number as its weight and their mean as its label: for
+    squared errors the same trees, on a table that grows with the distinct inputs. A column whose
+    inputs have no gaps is fitted once, as a further round would give the same model.
     ``method="regression"`` is :func:`impute_linear`, whose rounds cost nothing.
     """
     if method == "none":
@@ -233,23 +236,22 @@ def impute_regression(
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    gaps = null_shares(df, cols)
+    told = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.avg(F.col(c).isNull().cast("double")).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    means, gaps = ({c: told[f"{kind}{i}"] for i, c in enumerate(cols)} for kind in "mg")
     filled = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in cols}).withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in cols}
     )
-    for _ in range(rounds):
+    for turn in range(rounds):
         for c in cols:
             if means[c] is None or not gaps[c]:  # nothing to learn from, or nothing to fill
                 continue
             inputs = [x for x in [*cols, *predictors] if x != c and means.get(x, 0) is not None]
-            data = VectorAssembler(inputCols=inputs, outputCol="_x").transform(filled)
-            model = GBTRegressor(featuresCol="_x", labelCol=c, predictionCol="_p", maxIter=trees, maxDepth=depth, stepSize=step, seed=1)
-            filled = (
-                model.fit(data.where(~F.col(f"_gap_{c}"))).transform(data)
-                .withColumn(c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c)))
-                .drop("_x", "_p")
-            )
+            if turn and not any(gaps.get(x) for x in inputs):  # nothing that the first fit learnt from has moved
+                continue
+            assembler = VectorAssembler(inputCols=inputs, outputCol="_x")
+            alike = cut_lineage(filled.where(~F.col(f"_gap_{c}")).groupBy(*inputs).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(c).alias("_y")))
+            model = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_n", predictionCol="_p", maxIter=trees, maxDepth=depth, stepSize=step, seed=1).fit(assembler.transform(alike))
+            filled = model.transform(assembler.transform(filled)).withColumn(c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c))).drop("_x", "_p")
     return filled.select(*df.columns)
 
 
