@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,34 @@ def write_usage(df: DataFrame, path: str, by: Sequence[str] = ("grain", "year"))
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def write_meter_tree(df: DataFrame, path: str, key: str = "uid", year: str = "year") -> int:
+    """Writes ``<path>/<year>/<key>.csv``, a file with a header for each key and year, and returns their number.
+
+    Spark deals rows to files and makes their text, one row a file, lines in order; tasks only store it, as Spark's
+    own writer would need a folder for each key. A null key or year is named ``null``; keys must be plain names.
+    """
+    columns = [c for c in df.columns if c not in (key, year)]
+    lines = F.array_sort(F.collect_list(F.to_csv(F.struct(*columns))))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(n) for c, n in ((year, "folder"), (key, "file"))]
+    files = df.groupBy(*named).agg(F.concat_ws("\n", F.lit(",".join(columns)), lines, F.lit("")).alias("text"))
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        folders = set()
+        for batch in batches:
+            for folder, file, text in zip(batch["folder"], batch["file"], batch["text"], strict=True):
+                if not re.fullmatch(r"[A-Za-z0-9-][A-Za-z0-9._-]*", file):
+                    raise ValueError(f"no file name: {file}")
+                if folder not in folders:
+                    fs.create_dir(f"{root}/{folder}", recursive=True)
+                    folders.add(folder)
+                with fs.open_output_stream(f"{root}/{folder}/{file}.csv", compression=None) as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.mapInPandas(store, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_new_tables_only(df: DataFrame, path: str, key: str) -> DataFrame:
     """Appends the rows of keys that the table at ``path`` lacks, and returns those keys, as stored before the write."""
     spark = df.sparkSession
