@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -121,23 +121,47 @@ def rename_covariates(df: DataFrame, mapping: Mapping[str, str], keys: Sequence[
     return df.select(*keys, *[F.col(a).alias(b) for a, b in mapping.items()])
 
 
-def _bends(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Second derivatives at the knots of the cubic spline through them, zero at both ends: elimination, then back substitution."""
-    n = len(x)
-    m = np.zeros(n)
-    if n < 3:
-        return m
-    h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    upper, right = np.zeros(n), np.zeros(n)
-    for i in range(1, n - 1):
-        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * upper[i - 1]
-        upper[i] = h[i] / pivot
-        right[i] = (6 * (slope[i] - slope[i - 1]) - h[i - 1] * right[i - 1]) / pivot
-    for i in range(n - 2, 0, -1):
-        m[i] = right[i] - upper[i] * m[i + 1]
+def _bends(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of the cubic splines through them, zero at both ends: elimination, then back substitution.
+
+    A row is a spline, of which the first ``n`` knots count.
+    """
+    m, upper, right = (np.zeros(x.shape) for _ in range(3))
+    h = np.where(np.arange(x.shape[1] - 1) < n[:, None] - 1, np.diff(x, axis=1), 1.0)
+    slope = np.diff(y, axis=1) / h
+    for i in range(1, x.shape[1] - 1):
+        pivot = 2 * (h[:, i - 1] + h[:, i]) - h[:, i - 1] * upper[:, i - 1]
+        inner = i < n - 1
+        upper[:, i] = np.where(inner, h[:, i] / pivot, 0.0)
+        right[:, i] = np.where(inner, (6 * (slope[:, i] - slope[:, i - 1]) - h[:, i - 1] * right[:, i - 1]) / pivot, 0.0)
+    for i in range(x.shape[1] - 2, 0, -1):
+        m[:, i] = right[:, i] - upper[:, i] * m[:, i + 1]
     return m
 
 
+def _placed_bends(placed: DataFrame, block: int = 512, margin: int = 64, splines: int = 256) -> DataFrame:
+    """key, x, bend and that of the next knot, from knots (key, x, y) with their place ``n`` in their series; a block is one row, ``splines`` of them are solved at a time."""
+    at = lambda shift: F.greatest(F.floor((F.col("n") + shift) / block), F.lit(0))
+    spread = placed.withColumn("block", F.explode(F.sequence(at(-margin), at(margin))))
+    blocks = spread.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("n", "x", "y"))).alias("k"))
+    rows = blocks.select("key", "block", *[F.col(f"k.{c}").alias(c) for c in ("n", "x", "y")])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), splines):
+                some = batch.iloc[start : start + splines]
+                size = some["x"].map(len).to_numpy()
+                inside = np.arange(size.max() + 1) < size[:, None]
+                n, x, y = (np.zeros(inside.shape) for _ in range(3))
+                for c, told in (("n", n), ("x", x), ("y", y)):
+                    told[inside] = np.concatenate(some[c].to_numpy())
+                m = _bends(x, y, size)
+                row, place = np.nonzero(inside & (n // block == some["block"].to_numpy()[:, None]))
+                yield pd.DataFrame({"key": some["key"].to_numpy()[row], "x": x[row, place], "bend": m[row, place], "after": m[row, place + 1]})
+
+    return rows.mapInPandas(solve, f"key {dict(placed.dtypes)['key']}, x double, bend double, after double")
+
+
 def spline_bends(knots: DataFrame, key: str, x: str, y: str, block: int = 512, margin: int = 64) -> DataFrame:
     """key, x, bend: the second derivatives of each series' natural cubic spline at its knots, a series of any length in blocks.
 
@@ -145,51 +169,39 @@ def spline_bends(knots: DataFrame, key: str, x: str, y: str, block: int = 512, m
     solved with ``margin`` knots on either side has its own to double precision.
     """
     placed = ordered_rank(knots.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), [F.col("x")], "n", by=["key"])
-    at = lambda shift: F.greatest(F.floor((F.col("n") + shift) / block), F.lit(0))
-    spread = placed.withColumn("block", F.explode(F.sequence(at(-margin), at(margin))))
-
-    def solve(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        pdf = pdf.assign(bend=_bends(pdf["x"].to_numpy(), pdf["y"].to_numpy()))
-        return pdf[pdf["n"] // block == group[1]][["key", "x", "bend"]]
-
-    return spread.groupBy("key", "block").applyInPandas(solve, f"key {dict(knots.dtypes)[key]}, x double, bend double")
+    return _placed_bends(placed, block, margin).select("key", "x", "bend")
 
 
 def gap_fill(df: DataFrame, value: str, max_gap: int = 12, key: str = "uid", ts: str = "ts", method: str = "line") -> DataFrame:
     """Values in gaps of up to ``max_gap`` rows between known ones, on a ``line`` or a cubic ``spline``; then rows still null go.
 
-    Rows are taken as evenly spaced. The next known value is the last one of the
-    descending order, so that both windows grow row by row. Longer gaps, and gaps at either end, stay
-    null. The spline runs through all known values of a series and is straight at its ends.
+    Rows are taken as evenly spaced. The known values before and after a row come from one order of
+    a key's rows. Longer gaps, and gaps at either end, stay null. The spline runs through all known
+    values of a series and is straight at its ends; rows that stay are stored once, and those of gaps meet the bends of the knot before them.
     """
     if method not in ("line", "spline"):
         raise ValueError(f"no method {method}")
-    i, a, b, bend = spare(df, "i", "a", "b", "bend")
-    w, back = Window.partitionBy(key).orderBy(ts), Window.partitionBy(key).orderBy(F.col(ts).desc())
-    numbered = df.withColumn(i, F.row_number().over(w))
-    if method == "spline":
-        numbered = cut_lineage(numbered)
-        bends = spline_bends(numbered.where(F.col(value).isNotNull() & F.col(key).isNotNull()), key, i, value)
-        told = bends.select(F.col("key").alias(key), F.col("x").cast("int").alias(i), F.col("bend").alias(bend))
-        numbered = numbered.join(told, [key, i], "left")
-    held = [F.col(i).alias("i"), F.col(value).alias("v")] + [F.coalesce(bend, F.lit(0.0)).alias("m")] * (method == "spline")
-    known = F.when(F.col(value).isNotNull(), F.struct(*held))
-    spanned = numbered.withColumns(
-        {
-            a: F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            b: F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
-    left, right = F.col(a), F.col(b)
-    width = right["i"] - left["i"]
-    share = (F.col(i) - left["i"]) / width
-    between = left["v"] + (right["v"] - left["v"]) * (F.col(i) - left["i"]) / width
+    i, n, a, b, bend, after, known, at, va, vb, width, share = spare(df, "i", "n", "a", "b", "bend", "after", "known", "at", "va", "vb", "width", "share")
+    w = Window.partitionBy(key).orderBy(ts)
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col(value).isNotNull(), F.struct(F.col(i).alias("i"), F.col(value).alias("v")))
+    quoted = [f"`{c.replace('`', '``')}`" for c in (known, key, ts)]
+    spanned = df.withColumns({i: F.row_number().over(w), n: F.count(value).over(sofar)}).withColumn(known, own)
+    spanned = spanned.withColumns({a: F.last(known, ignorenulls=True).over(sofar), b: F.expr("lead({}) IGNORE NULLS OVER (PARTITION BY {} ORDER BY {})".format(*quoted))})
+    gap, left, right = F.col(value).isNull(), F.col(a), F.col(b)
+    stay = spanned.where(~gap | (right["i"] - left["i"] - 1 <= max_gap))
+    told = {at: left["i"], va: left["v"], vb: right["v"], width: right["i"] - left["i"]}
+    stay = stay.select(*df.columns, i, n, *[F.when(gap, e).alias(c) for c, e in told.items()]).withColumn(share, (F.col(i) - F.col(at)) / F.col(width))
+    between = F.col(va) + (F.col(vb) - F.col(va)) * (F.col(i) - F.col(at)) / F.col(width)
     if method == "spline":
-        cube = lambda s: s * s * s - s
-        between = between + (cube(1 - share) * left["m"] + cube(share) * right["m"]) * width * width / 6
-    filled = F.coalesce(F.col(value), F.when(width - 1 <= max_gap, between))
-    return spanned.withColumn(value, filled).where(F.col(value).isNotNull()).select(*df.columns)
+        stay = cut_lineage(stay)
+        knots = stay.where(~gap & F.col(key).isNotNull())
+        bends = _placed_bends(knots.select(F.col(key).alias("key"), F.col(i).cast("double").alias("x"), F.col(value).cast("double").alias("y"), F.col(n).alias("n")))
+        told = bends.select(F.col("key").alias(key), F.col("x").cast("int").alias(at), F.col("bend").alias(bend), F.col("after").alias(after))
+        stay = stay.join(told, [key, at], "left")
+        s, r = F.col(share), 1 - F.col(share)
+        between = between + ((r * r * r - r) * F.coalesce(bend, F.lit(0.0)) + (s * s * s - s) * F.coalesce(after, F.lit(0.0))) * F.col(width) * F.col(width) / 6
+    return stay.withColumn(value, F.coalesce(F.col(value), between)).select(*df.columns)
 
 
 def interpolate_to_grid(df: DataFrame, cols: Sequence[str], step_seconds: int, key: str = "station", ts: str = "ts") -> DataFrame:
