@@ -7,6 +7,7 @@ import datetime as dt
 import numpy as np
 
 from wattweave.plans import selection
+from wattweave.queries import QUERIES
 
 
 def test_asked_users_meet_all_without_a_shuffle_of_pairs(spark):
@@ -25,3 +26,13 @@ def test_asked_users_meet_all_without_a_shuffle_of_pairs(spark):
     assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-12) for k in want)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "hashpartitioning(ui" not in plan and "SortMergeJoin" not in plan
+
+
+def test_query_tells_all_pairs(spark):
+    data = "/root/testdata/sf0.001"
+    users = spark.read.parquet(f"{data}/events.parquet").select("user_id").distinct().count()
+    out = QUERIES["response_cross_moment"](spark, data)
+    told = {(r["ui"], r["uj"]) for r in out.select("ui", "uj").distinct().collect()}
+    assert len(told) == users * (users + 1) // 2 and all(i <= j for i, j in told) and out.count() == 24 * len(told)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning(ui" not in plan and "SortMergeJoin" not in plan
