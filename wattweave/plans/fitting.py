@@ -11,8 +11,8 @@ chunk of a series. Fits that have ended leave the rounds. The table of models is
 written at every round, so a lost executor costs one round at most.
 
 A series of up to ``WHOLE`` chunks needs no such bounds: it is one row, and the rounds
-of its fits run where it lies (:func:`_settled`), with the same sums and the same
-step for the parameters. Rounds over the cluster are for longer series alone.
+of its fits run where it lies (:func:`_settled`, and :func:`_alike` where series have the same
+covariates), with the same sums and the same step for the parameters. Rounds over the cluster are for longer series alone.
 
 Helpers take numpy batches: many chunks, or fits, of one size at once; arrays have time
 first and the batch last.
@@ -39,6 +39,8 @@ CHUNK = 512
 WHOLE = 8
 #: Moves of a batch of whole series, fits x rows x states x states, at most.
 CELLS = 1 << 21
+#: Fits of series with the same covariates, from which on these are shared.
+ALIKE = 16
 _FIT = ["uid", "k", "run"]
 #: What a fit carries through a round.
 _HELD = ["par", "xm", "xs", "ym", "chunks", "last", "iterations"]
@@ -196,6 +198,152 @@ def _settled(part: pd.DataFrame, k: int, maxit: int, tol: float, seed: int, size
         now = _improved(now.assign(s=list(c.sums(gamma, gamma[0].T, xi, a)), seen=seen), k, maxit, tol)
 
 
+def _total(m: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The sum over the few states of the first axis, in ``out``."""
+    if len(m) == 1:
+        out[:] = m[0]
+    else:
+        np.add(m[0], m[1], out=out)
+        for row in m[2:]:
+            np.add(out, row, out=out)
+    return out
+
+
+class _Alike:
+    """Fits of whole series that have the same covariates: moves are told once for each distinct covariate, and what rows expect is added up by it."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.at = np.unique(np.asarray(x, float), return_inverse=True)
+        self.z, self.v = np.zeros((len(self.x), 0)), np.zeros((len(self.at), 0))
+
+    def add(self, part: pd.DataFrame, c: _Chunks) -> None:
+        column = lambda name: part[name].to_numpy(float)
+        self.z = np.concatenate([self.z, (self.x[:, None] - column("xm")) / column("xs")], axis=1)
+        self._hold(np.concatenate([self.v, c.v], axis=1))
+
+    def only(self, keep: np.ndarray) -> None:
+        self.z = np.ascontiguousarray(self.z[:, keep])
+        self._hold(np.ascontiguousarray(self.v[:, keep]))
+
+    def _hold(self, v: np.ndarray) -> None:
+        self.v, self.seen = v, ~np.isnan(v)
+        self.whole, self.v0 = bool(self.seen.all()), np.where(self.seen, v, 0.0)
+
+    def densities(self, par: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`_Chunks.densities`, but moves are (distinct covariate, from, to, series), and the logarithm is summed over rows."""
+        beta, sd, _, b0, b1 = _unpacked(par, k)
+        level, slope, sd = (np.ascontiguousarray(m.T) for m in (beta[..., 0], beta[..., 1], sd))
+        a = b0.transpose(1, 2, 0) + b1.transpose(1, 2, 0) * self.z[:, None, None]
+        a -= _over(np.maximum, a, 2)[:, :, None]
+        np.exp(a, out=a)
+        a /= _over(np.add, a, 2)[:, :, None]
+        line, scale, tops = level + self.z[:, None] * slope, np.log(sd) + 0.5 * np.log(2 * np.pi), np.zeros(len(par))
+        b = np.empty((len(self.v), k, len(par)))
+        for t in range(0, len(b), 32):  # few rows at a time stay in the processor's cache
+            rows = slice(t, t + 32)
+            logs = self.v[rows][:, None] - line[self.at[rows]]
+            logs /= sd
+            logs *= -0.5 * logs
+            logs -= scale
+            if not self.whole:
+                logs[np.broadcast_to(~self.seen[rows][:, None], logs.shape)] = 0.0
+            top = _over(np.maximum, logs, 1)
+            tops += top.sum(axis=0)
+            logs -= top[:, None]
+            np.exp(logs, out=b[rows])
+        return b, tops, a
+
+    def sums(self, par: np.ndarray, k: int, careful: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Expected sums of each fit, as those of :meth:`_Chunks.sums`, and its log-likelihood; done again with ``careful`` scales where plain ones fail."""
+        b, tops, a = self.densities(par, k)
+        rows, n = len(b), len(par)
+        alpha, scale, cells, moved = np.empty_like(b), np.empty((rows, n)), np.empty((k, k, n)), np.zeros((len(self.x), k, k, n))
+        u, turned = np.ascontiguousarray(_unpacked(par, k)[2].T), cells.swapaxes(0, 1)
+        for t, d in enumerate(self.at):
+            row, own = alpha[t], scale[t]
+            np.multiply(u, b[t], out=row)
+            np.maximum(_total(row, own), 1e-300, out=own)
+            row /= own
+            np.multiply(row[:, None], a[d], out=cells)
+            _total(cells, u)
+        logs = np.log(scale).sum(axis=0) + tops
+        if not careful:
+            b /= scale[:, None]
+        w, beta, norm = np.ones((k, n)), np.ones((k, n)), np.ones(n)
+        for t in range(rows - 1, -1, -1):
+            row = alpha[t]
+            if t < rows - 1:  # nothing moves after the last row
+                np.multiply(a[self.at[t]], w, out=cells)
+                _total(turned, beta)
+            if careful:
+                np.maximum(_total(row * beta, norm), 1e-300, out=norm)
+                row /= norm
+            if t < rows - 1:
+                cells *= row[:, None]
+                moved[self.at[t]] += cells
+            row *= beta  # from here on the shares of states
+            np.multiply(b[t], beta, out=w)
+            if careful:
+                w /= np.maximum(_over(np.maximum, w, 0), 1e-300)
+        first, seen, value, square = alpha[0].T.copy(), np.zeros((len(self.x), k, n)), np.zeros((len(self.x), k, n)), np.zeros((k, n))
+        whole = np.ones(n)
+        for d in range(len(self.x)):
+            own = np.flatnonzero(self.at == d)
+            gamma, v = alpha[own], self.v0[own]
+            if not careful:
+                whole = np.minimum(whole, 1 - np.abs(_over(np.add, gamma, 1) - 1).max(axis=0))
+            if not self.whole:
+                gamma *= self.seen[own][:, None]
+            seen[d] = gamma.sum(axis=0)
+            gamma *= v[:, None]
+            value[d] = gamma.sum(axis=0)
+            gamma *= v[:, None]
+            square += gamma.sum(axis=0)
+        if not careful and not (whole > 1 - 1e-9).all():
+            return self.sums(par, k, True)
+        z, zz = self.z, self.z * self.z
+        by = lambda m, e: np.einsum("dn,dkn->nk", m, e)
+        resp = np.stack([seen.sum(axis=0).T, by(z, seen), by(zz, seen), value.sum(axis=0).T, by(z, value), square.T], axis=-1)
+        p, out = a[:, :, 1:], moved.sum(axis=2)
+        left = out[:, :, None] * p
+        powers = (np.ones_like(z), z, zz)
+        g = np.stack([np.einsum("dn,diun->niu", m, moved[:, :, 1:] - left) for m in powers[:2]], axis=1)
+        h = np.zeros((n, 3, k, k - 1, k - 1))
+        for i in range(k - 1):
+            for j in range(i + 1):
+                bend = left[:, :, i] * (float(i == j) - p[:, :, j])
+                for at, m in enumerate(powers):
+                    h[:, at, :, i, j] = h[:, at, :, j, i] = by(m, bend)
+        flat = lambda m: m.reshape(n, -1)
+        return np.concatenate([flat(resp), first, flat(g), flat(h)], axis=1), logs
+
+
+def _alike(part: pd.DataFrame, k: int, maxit: int, tol: float, seed: int, size: int, most: int) -> pd.DataFrame:
+    """:func:`_settled` for series with the same covariates, ``most`` at a time: where fits have ended, the next take their place."""
+    c, begun, over, blank = _Alike(part["x"].iloc[0]), 0, [], 4 * k + 2 * k * k
+    index, par, last, rounds = np.zeros(0, int), np.zeros((0, blank)), np.zeros(0), np.zeros(0, int)
+    while begun < len(part) or len(index):
+        if begun < len(part) and 2 * len(index) <= most:
+            new = part.iloc[begun : begun + most - len(index)]
+            chunks = _Chunks(new)
+            c.add(new, chunks)
+            start = _stepped(np.zeros((len(new), blank)), _start_sums(chunks, new, k, seed, size), k)
+            index, par = np.concatenate([index, np.arange(begun, begun + len(new))]), np.concatenate([par, start])
+            last, rounds, begun = np.concatenate([last, np.full(len(new), -np.inf)]), np.concatenate([rounds, np.zeros(len(new), int)]), begun + len(new)
+        s, seen = c.sums(par, k)
+        rounds = rounds + 1
+        done = (rounds >= maxit) | (seen - last < tol * np.abs(seen))
+        if done.any():
+            ended = part.iloc[index[done]]
+            over.append(ended[[*_FIT, "xm", "xs", "ym"]].assign(chunks=1, par=list(par[done]), last=seen[done], loglik=seen[done], iterations=rounds[done], done=True))
+            index, par, s, seen, rounds = (m[~done] for m in (index, par, s, seen, rounds))
+            c.only(~done)
+        last = seen
+        if len(index):
+            par = _stepped(par, s, k)
+    return pd.concat(over)[[*_FIT, "par", "xm", "xs", "ym", "chunks", "last", "loglik", "iterations", "done"]]
+
+
 def _asked(batches: Iterator[pd.DataFrame], restarts: int, maxit: int, tol: float, seed: int, size: int) -> Iterator[pd.DataFrame]:
     """Of whole series with the sizes ``ks`` asked of each: all their fits, batch by batch."""
     for pdf in batches:
@@ -203,8 +351,13 @@ def _asked(batches: Iterator[pd.DataFrame], restarts: int, maxit: int, tol: floa
         for k, own in pdf.groupby("k"):
             runs = own.assign(run=[range(restarts if k > 1 else 1)] * len(own)).explode("run")
             most = max(1, CELLS // (int(own["x"].map(len).max()) * k * k))
-            for at in range(0, len(runs), most):
-                yield _settled(runs.iloc[at : at + most], int(k), maxit, tol, seed, size)
+            shared = runs["x"].map(lambda x: np.asarray(x, float).tobytes())
+            alike = shared.map(shared.value_counts()) >= ALIKE
+            for _, same in runs[alike].groupby(shared[alike]):
+                yield _alike(same, int(k), maxit, tol, seed, size, int(k) * most)
+            apart = runs[~alike]
+            for at in range(0, len(apart), most):
+                yield _settled(apart.iloc[at : at + most], int(k), maxit, tol, seed, size)
 
 
 def _folded(part: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -249,13 +402,9 @@ def _expected(part: pd.DataFrame, k: int) -> pd.DataFrame:
     return part[[*_FIT, *_HELD, "seen"]].assign(s=list(c.sums(gamma, first, xi, a)))
 
 
-def _improved(part: pd.DataFrame, k: int, maxit: int, tol: float) -> pd.DataFrame:
-    """The next parameters of each fit; those whose likelihood no longer rises, or that have had ``maxit`` rounds, stay and are done.
-
-    Lines by weighted least squares, moves by one Newton step a round; the first target is the base.
-    """
-    par, s = _matrix(part, "par"), _matrix(part, "s")[:, : _n_sums(k)]
-    resp, first, g, h = np.split(s, [6 * k, 7 * k, 7 * k + 2 * k * (k - 1)], axis=1)
+def _stepped(par: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """The next parameters of each fit from its expected sums: lines by weighted least squares, moves by one Newton step; the first target is the base."""
+    resp, first, g, h = np.split(s[:, : _n_sums(k)], [6 * k, 7 * k, 7 * k + 2 * k * (k - 1)], axis=1)
     n, z, zz, v, zv, vv = np.moveaxis(resp.reshape(-1, k, 6), -1, 0)
     det = (n + 1e-9) * (zz + 1e-9) - z * z
     a, b = ((zz + 1e-9) * v - z * zv) / det, ((n + 1e-9) * zv - z * v) / det
@@ -270,8 +419,14 @@ def _improved(part: pd.DataFrame, k: int, maxit: int, tol: float) -> pd.DataFram
         held = held + np.clip(np.linalg.solve(rows + 1e-3 * np.eye(2 * (k - 1)), slope[..., None])[..., 0], -2, 2)
         none = np.zeros_like(b0[..., :1])
         b0, b1 = np.concatenate([none, held[..., : k - 1]], axis=-1), np.concatenate([none, held[..., k - 1 :]], axis=-1)
-    flat = lambda m: m.reshape(len(part), -1)
-    new = np.concatenate([a, b, sd, first / np.maximum(first.sum(axis=1, keepdims=True), 1e-300), flat(b0), flat(b1)], axis=1)
+    flat = lambda m: m.reshape(len(par), -1)
+    return np.concatenate([a, b, sd, first / np.maximum(first.sum(axis=1, keepdims=True), 1e-300), flat(b0), flat(b1)], axis=1)
+
+
+def _improved(part: pd.DataFrame, k: int, maxit: int, tol: float) -> pd.DataFrame:
+    """The next parameters of each fit; those whose likelihood no longer rises, or that have had ``maxit`` rounds, stay and are done."""
+    par = _matrix(part, "par")
+    new = _stepped(par, _matrix(part, "s"), k)
     seen, last, rounds = part["seen"].to_numpy(float), part["last"].to_numpy(float), part["iterations"].to_numpy(int)
     told = ~np.isnan(seen)  # the start has no likelihood yet
     rounds = rounds + told
@@ -325,7 +480,7 @@ def _whole(rows: DataFrame, sizes: DataFrame, maxit: int, tol: float, restarts:
     fits = fits.withColumn("ks", F.filter("ks", lambda k: F.col("n") >= 10 * k)).where(F.size("ks") > 0)
     of = lambda name: F.transform("_r", lambda r: r[name]).alias(name)
     stored = cut_lineage(fits.select("uid", "ks", "xm", "xs", "ym", "sy", "levels", of("y"), of("x")))
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, stored.count() // 256)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, stored.count() // 1024)  # many, so that batches of fits stay full
     state, size = _STATE.format(uid=dict(rows.dtypes)["uid"]), CHUNK
     return cut_lineage(stored.repartition(tasks).mapInPandas(lambda batches: _asked(batches, restarts, maxit, tol, seed, size), state))
 
